@@ -1,10 +1,17 @@
 """The queries of this folder, and SQL for those that SQL can express."""
 
-from fernglass.llm import audio, packing, secrets
+from fernglass.llm import audio, chat, decontaminate, jaccard, langid, packing, resample, secrets, toxicity, urls
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op2_packing": packing.op2_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_urls": urls.op4_urls,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_jaccard": jaccard.op6_jaccard,
+    "op7_chat": chat.op7_chat,
+    "op8_resampling": resample.op8_resampling,
     "op9_secrets": secrets.op9_secrets,
     "op10_audio": audio.op10_audio,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_chat": chat.OP7_SQL}
