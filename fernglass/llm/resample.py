@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fernglass.llm._shared import WordHashes, map_arrow, materialize, mix, shingle_hashes, slices, word_hashes
 
-BUCKETS, TARGETS, SHARE, WEIGHT, SMOOTH, EMPTY, SEED = 1 << 16, 20_000, 0.5, 200, 1.0, -1e6, 29
+BUCKETS, TARGETS, SHARE, WEIGHT, SMOOTH, EMPTY, SEED = 1 << 16, 20_000, 0.8, 200, 1.0, -1e6, 29
 _words = WordHashes()
 
 
@@ -37,18 +37,33 @@ def buckets(text: str | None, n: int = BUCKETS) -> np.ndarray:
     return (grams % np.uint64(n)).astype(np.int64)
 
 
-def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log ratio of each bucket's probabilities, both smoothed towards the raw model, which a small target must not leave."""
-    if not target.sum() or not raw.sum():
+def ratios(target: np.ndarray, raw: np.ndarray, target_total: int, raw_total: int, n: int) -> np.ndarray:
+    """Log ratios of buckets' probabilities from their counts, the target's drawn towards the raw model."""
+    if target_total <= 0 or raw_total <= 0:
         return np.zeros(len(raw))
-    base = (raw + SMOOTH) / (raw.sum() + SMOOTH * len(raw))
-    strength = len(raw) / 4
-    return np.log((target + strength * base) / (target.sum() + strength) / base)
+    base = (raw + SMOOTH) / (raw_total + SMOOTH * n)
+    strength = n / 4
+    return np.log((target + strength * base) / (target_total + strength) / base)
 
 
-def importance(text: str | None, ratio: np.ndarray) -> float:
-    found = buckets(text, len(ratio))
-    return float(ratio[found].mean() * min(len(found), WEIGHT)) if len(found) else EMPTY
+class Ratio:
+    """Bucket counts of the target and of all raw texts."""
+
+    def __init__(self, target: np.ndarray, raw: np.ndarray):
+        self.target, self.raw = target, raw
+        self.target_total, self.raw_total = int(target.sum()), int(raw.sum())
+        self.whole = ratios(target, raw, self.target_total, self.raw_total, len(raw))
+
+    def importance(self, text: str | None, good: bool = False) -> float:
+        """Of a text; one of the target is left out of both models while it is scored, lest it speak for itself."""
+        found = buckets(text, len(self.raw))
+        n = len(found)
+        if not n:
+            return EMPTY
+        if good:
+            at, own = np.unique(found, return_counts=True)
+            return float((ratios(self.target[at] - own, self.raw[at] - own, self.target_total - n, self.raw_total - n, len(self.raw)) * own).sum() / n * min(n, WEIGHT))
+        return float(self.whole[found].mean() * min(n, WEIGHT))
 
 
 def gumbel(column: str):
@@ -97,15 +112,15 @@ def resample(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     spark = df.sparkSession
     good = labels.where(F.col(label) == 1).select(F.col(doc_id).alias("g")).where("g is not null").distinct().orderBy(F.xxhash64(F.lit(SEED), "g"), "g").limit(targets)
     docs = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
-    marked = docs.join(F.broadcast(good.withColumn("good", F.lit(True))), F.col("i") == F.col("g"), "left").select("t", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = docs.join(F.broadcast(good.withColumn("good", F.lit(True))), F.col("i") == F.col("g"), "left").select("i", "t", F.coalesce("good", F.lit(False)).alias("good"))
     raw, target = _counts(marked, n)
-    ratio = spark.sparkContext.broadcast(ratios(target, raw))
+    ratio = spark.sparkContext.broadcast(Ratio(target, raw))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        scores = [importance(t, ratio.value) for t in batch.column(1).to_pylist()]
+        scores = [ratio.value.importance(t, g) for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "importance"])
 
-    scored = map_arrow(docs, run, "doc_id long, importance double").withColumn("noisy", F.col("importance") + gumbel("doc_id"))
+    scored = map_arrow(marked, run, "doc_id long, importance double").withColumn("noisy", F.col("importance") + gumbel("doc_id"))
     # A long whose order is that of the value: non-negative, in steps of 1e-9.
     scored = materialize(scored.withColumn("key", F.greatest(F.lit(0), F.round((F.col("noisy") + 2e6) * 1e9)).cast("long")), "keys")
     rows = scored.count()
