@@ -1,13 +1,32 @@
-"""A corpus pipeline out of the text-preparation operators: each stage works on all that its predecessor kept."""
+"""A corpus pipeline out of the text-preparation operators: each stage works on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`. Learned and
+counted things (labels' words, shingle counts, word frequencies) are taken from the stage's own input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernglass.llm import packing, secrets
+from fernglass.llm import decontaminate, jaccard, packing, secrets, toxicity
 from fernglass.llm._shared import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the sentence model rejects go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles (similarity 0.8 or more) the least doc_id stays."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, whole or edited, go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; all documents stay."""
     return secrets.redact(docs)
@@ -21,6 +40,9 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", drop_leaks),
     ("secret scans", redact_secrets),
     ("packing", pack_windows),
 ]
