@@ -150,9 +150,7 @@ def _quoted(text: str) -> str:
 
 def sql_rewrite(text: str, pattern: str, replacement: str = "", fold: bool = False) -> str:
     p, r = re2(pattern, replacement, fold)
-    once = f"regexp_replace({text}, {_quoted(p)}, {_quoted(r)}, 'g')"
-    # A captured neighbour can't start the next match, so such rules run twice.
-    return f"regexp_replace({once}, {_quoted(p)}, {_quoted(r)}, 'g')" if r != replacement else once
+    return f"regexp_replace({text}, {_quoted(p)}, {_quoted(r)}, 'g')"
 
 
 def sql_clean(text: str) -> str:

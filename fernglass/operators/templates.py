@@ -12,31 +12,42 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _correlation(a: Column, b: Column, otherwise: float) -> Column:
+    """NCC of arrays of one length, `otherwise` where one is flat."""
+    n = F.nullif(F.size(a).cast("double"), F.lit(0.0))
+    means = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), (_sum(p["a"]) / n_(p)).alias("m"), (_sum(p["b"]) / n_(p)).alias("k"))
+    n_ = lambda p: F.nullif(F.size(p["a"]).cast("double"), F.lit(0.0))
+    sums = lambda p: F.struct(
+        _sum(F.zip_with(p["a"], p["b"], lambda x, y: (x - p["m"]) * (y - p["k"]))).alias("over"),
+        F.sqrt(_sum(F.transform(p["a"], lambda x: (x - p["m"]) * (x - p["m"]))) * _sum(F.transform(p["b"], lambda y: (y - p["k"]) * (y - p["k"])))).alias("under"),
+    )
+    score = lambda p: F.when(p["under"] >= FLAT, p["over"] / F.when(p["under"] >= FLAT, p["under"]))
+    found = _let(F.struct(a.alias("a"), b.alias("b")), lambda p: _let(means(p), lambda q: _let(sums(q), score)))
+    return F.coalesce(F.when(n.isNotNull(), found), F.lit(otherwise))
+
+
 def ncc(a: Column, b: Column) -> Column:
     """Normalized cross-correlation of two arrays of doubles; 0 if their lengths differ or one is flat."""
-    n = F.nullif(F.size(a).cast("double"), F.lit(0.0))
-    ma, mb = _sum(a) / n, _sum(b) / n
-    over = _sum(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    under = F.sqrt(_sum(F.transform(a, lambda x: (x - ma) * (x - ma))) * _sum(F.transform(b, lambda y: (y - mb) * (y - mb))))
-    return F.coalesce(F.when((F.size(a) == F.size(b)) & (under >= FLAT), over / F.when(under >= FLAT, under)), F.lit(0.0))
+    return F.when(F.size(a) == F.size(b), _correlation(a, b, 0.0)).otherwise(0.0)
 
 
 def centred(gray: Column, width: Column, height: Column, w: Column, h: Column) -> Column:
     """The middle w x h part of a row-major array of width x height."""
-    left, top = F.floor((width - w) / 2), F.floor((height - h) / 2)
-    at = F.transform(F.sequence(F.lit(0), (w * h - 1).cast("int")), lambda i: ((top + F.floor(i / w)) * width + left + i % w).cast("int"))
-    return F.when(w * h > 0, F.transform(at, lambda i: F.get(gray, i)))
+    left, top = F.floor((width - w) / 2).cast("int"), F.floor((height - h) / 2).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), (h - 1).cast("int")), lambda i: F.slice(gray, ((top + i) * width + left + 1).cast("int"), w.cast("int")))
+    return F.when(w * h > 0, F.flatten(rows))
 
 
 def overlap_ncc(a: Column, aw: Column, ah: Column, b: Column, bw: Column, bh: Column) -> Column:
     """NCC of the middle parts that two arrays share; 0.5 below 16 pixels or if one is flat."""
     w, h = F.least(aw, bw), F.least(ah, bh)
-    x, y = centred(a, aw, ah, w, h), centred(b, bw, bh, w, h)
-    n = F.nullif((w * h).cast("double"), F.lit(0.0))
-    mx, my = _sum(x) / n, _sum(y) / n
-    over = _sum(F.zip_with(x, y, lambda p, q: (p - mx) * (q - my)))
-    under = F.sqrt(_sum(F.transform(x, lambda p: (p - mx) * (p - mx))) * _sum(F.transform(y, lambda q: (q - my) * (q - my))))
-    return F.coalesce(F.when((w * h >= LEAST_PIXELS) & (under >= FLAT), over / F.when(under >= FLAT, under)), F.lit(UNDECIDED))
+    found = _correlation(centred(a, aw, ah, w, h), centred(b, bw, bh, w, h), UNDECIDED)
+    return F.coalesce(F.when(w * h >= LEAST_PIXELS, found), F.lit(UNDECIDED))
 
 
 def window_score(score: Column, has_template: Column, want: Column, x0: Column, y0: Column, x1: Column, y1: Column, tw: Column, th: Column) -> Column:

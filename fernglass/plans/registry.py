@@ -1,8 +1,6 @@
 """The queries over the driver's tables, and SQL for each that SQL can express."""
 
-from collections.abc import Callable
+from fernglass.plans import images, names, records
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**images.QUERIES, **names.QUERIES, **records.QUERIES}
+ORACLES = {**images.ORACLES, **names.ORACLES, **records.ORACLES}
