@@ -206,13 +206,25 @@ class Packer:
             self.size -= len(raw) // 4
         return out
 
+    def _settle(self) -> Iterator[tuple]:
+        """Empty the last pool: what does not fill a window is shed in powers of two, as is more if windows come out too large."""
+        fill = FILL
+        while self.size:
+            whole, over = divmod(self.size, int(self.capacity * fill))
+            if over and (not whole or self.capacity - over > PADDING * self.size):
+                yield from self._emit(self._shed(1 << (over.bit_length() - 1)))
+                continue
+            parts = split([len(h[2]) // 4 for h in self.held], whole + bool(over))
+            if max(sum(len(self.held[i][2]) // 4 for i in p) for p in parts) <= self.capacity:
+                for part in parts:
+                    yield from self._emit([self.held[i] for i in part])
+                self.held, self.size = [], 0
+            elif (fill := fill - 0.005) < 0.9:
+                return
+
     def flush(self, last: bool = False) -> Iterator[tuple]:
-        while last and self.size:
-            ways = -(-self.size // int(self.capacity * FILL))
-            if ways * self.capacity - self.size <= PADDING * self.size:
-                break
-            over = self.size - (ways - 1) * int(self.capacity * FILL)
-            yield from self._emit(self._shed(1 << (over.bit_length() - 1)))
+        if last:
+            yield from self._settle()
         if self.held:
             for part in windows([len(h[2]) // 4 for h in self.held], self.capacity):
                 yield from self._emit([self.held[i] for i in part])
