@@ -54,8 +54,9 @@ def fold(events: DataFrame) -> DataFrame:
     rows = left.join(right, F.col("e.conv").eqNullSafe(F.col("r.conv")), "left").select("e.*", last.alias("gone")).where("gone is null or seq > gone")
     whole = F.col("event") != "delta"
     start = F.max(F.when(whole, F.col("seq"))).over(Window.partitionBy("conv", "turn"))
-    parts = rows.withColumn("start", start).where("start is null or seq >= start")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", F.when(whole, 0).otherwise(1).alias("k"), "text")))
+    parts = rows.withColumn("start", start)
+    last_part = F.col("start").isNull() | (F.col("seq") >= F.col("start"))
+    ordered = F.array_sort(F.collect_list(F.when(last_part, F.struct("seq", F.when(whole, 0).otherwise(1).alias("k"), "text"))))
     named = F.max_by(F.col("role"), F.when(F.col("role") != "", F.col("seq")))
     return parts.groupBy("conv", "turn").agg(F.coalesce(named, F.lit("")).alias("role"), F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text"))
 
