@@ -63,3 +63,37 @@ def summary_urls(landed: DataFrame, body: str = "body") -> DataFrame:
     parsed = F.from_json(F.col(body), SUMMARY)
     found = F.array(resized(parsed["thumbnail"]["source"]), parsed["originalimage"]["source"])
     return landed.withColumn("urls", F.coalesce(F.filter(found, lambda u: u.isNotNull()), F.array().cast("array<string>")))
+
+
+PAGES = "query struct<pages:map<string,struct<title:string,imageinfo:array<struct<thumburl:string,url:string>>>>>"
+
+
+def encoded(term: Column) -> Column:
+    """A term as a part of a url, as browsers encode it: spaces as %20; ! ' ( ) * ~ stay."""
+    out = F.replace(F.url_encode(term), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def search_terms(names: DataFrame, name: str = "search_name") -> DataFrame:
+    """(search_name, term_idx, term) of the three searches for each distinct name (lower-cased, trimmed), once each."""
+    plain = names.select(F.trim(F.lower(F.col(name))).alias(name)).distinct()
+    terms = F.array(F.col(name), F.concat(name, F.lit(" plant")), F.concat(name, F.lit(" flower")))
+    return plain.select(name, F.posexplode(terms).alias("term_idx", "term"))
+
+
+def search_hits(landed: DataFrame, body: str = "body") -> DataFrame:
+    """(search_name, term_idx, hit_idx, title, url) of landed search answers; bad JSON and hits without a url are left out."""
+    pages = F.map_values(F.from_json(F.col(body), PAGES)["query"]["pages"])
+    rows = landed.select("search_name", "term_idx", F.posexplode(pages).alias("hit_idx", "p"))
+    first = F.try_element_at(F.col("p.imageinfo"), F.lit(1))
+    url = F.coalesce(F.nullif(first["thumburl"], F.lit("")), F.nullif(first["url"], F.lit("")))
+    return rows.select("search_name", "term_idx", "hit_idx", F.coalesce("p.title", F.lit("")).alias("title"), url.alias("url")).where("url is not null")
+
+
+def fetched(summaries: DataFrame, searches: DataFrame) -> DataFrame:
+    """(search_name, closeup, full) from landed encyclopedia summaries (search_name, body) and search answers (search_name, term_idx, body)."""
+    one = summary_urls(summaries).select("search_name", F.posexplode("urls").alias("hit_idx", "url")).withColumn("term_idx", F.lit(-1))
+    two = hits_until_enough(search_hits(searches))
+    return photos(one.unionByName(two).withColumn("ord", F.struct("term_idx", "hit_idx")))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernglass.functions import viewport
-from fernglass.operators import media, state
-from fernglass.sources import tables
+from fernglass.operators import markers, media, raster, state
+from fernglass.plans.images import LEAST, REGIONS, TOLERANCE
+from fernglass.sources import dims, tables
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -225,6 +226,77 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(state.export_json(F.lit("plan.png"), F.lit(40), F.lit("2024-01-01T00:00:00.000Z"), F.col("legend"), F.col("feedback"), F.struct("markers"), F.col("summary")).alias("json"))
 
 
-_NAMES = ("legend_left_lookup", "first_match_lookup", "suggestions_union_anti", "cascade_delete_anti", "feedback_latest_upsert", "feedback_summary", "keyed_upsert", "keyed_get", "saved_list_recent", "next_id", "json_props", "default_texts", "confirmed_entries", "low_confidence", "marker_visibility", "viewport_transform", "zoom_clamp", "crop_clamp", "thumb_ratio", "url_filter_dedupe", "url_categorize_rebalance")
+def annotations_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as points, named after plants, a palette colour or nothing."""
+    d = F.broadcast(dims.plants(spark).select("ord", F.upper("common").alias("common")))
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), (F.col("event_id") % 48).cast("int").alias("ord"), "event_type").join(d, "ord")
+    name = F.when(F.col("event_type") == "view", F.concat(F.lit(" "), F.col("common"), F.lit("\t"))).when(F.col("event_type") == "click", "Rust").when(F.col("event_type") == "error", "  ").otherwise("no such plant")
+    out = markers.annotated(e.select("point_id", "x", "y", name.alias("name")), tables.palette(spark), dims.plants(spark), dims.genera(spark))
+    return out.select("point_id", "id", "name", F.col("color_id").cast("long").alias("color_id"), "common", "botanical", "sun")
+
+
+_KNOWN = ", ".join("(" + ", ".join([str(r[0])] + ["'" + r[i].replace("'", "''") + "'" for i in (2, 3, 7)]) + ")" for r in dims.plant_rows())
+ANNOTATIONS_CREATED = f"""
+WITH p AS (SELECT * FROM (VALUES {_KNOWN}) AS t(ord, common, botanical, sun)), e AS (
+  SELECT event_id AS point_id, CASE event_type WHEN 'view' THEN upper(common) WHEN 'click' THEN 'Rust' WHEN 'error' THEN '' ELSE 'no such plant' END AS name, event_type = 'view' AS known, common, botanical, sun FROM events JOIN p ON event_id % 48 = ord
+) SELECT point_id, row_number() OVER (ORDER BY point_id)::BIGINT AS id, name, CASE WHEN name = 'Rust' THEN 2 END::BIGINT AS color_id,
+  CASE WHEN known THEN common ELSE name END AS common, CASE WHEN known THEN botanical ELSE '' END AS botanical, CASE WHEN known THEN sun ELSE '' END AS sun FROM e WHERE name <> ''
+"""
+
+
+def record_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as records; those of nation 7 get new attributes and lose their photos."""
+    attrs = {a: F.concat(F.lit(f"{a} "), F.col("c_mktsegment")) for a in markers.ATTRIBUTES}
+    rows = _t(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey")).withColumns(attrs).withColumns({"photos": F.array("c_name"), "photos_fetched": F.lit(True)})
+    edits = rows.where("c_nationkey = 7").select("id", *(F.upper(a).alias(a) for a in markers.ATTRIBUTES))
+    return markers.edited(rows, edits).select("id", "common", "notes", F.size("photos").cast("long").alias("n_photos"), "photos_fetched")
+
+
+RECORD_EDITS = "SELECT c_custkey AS id, CASE WHEN c_nationkey = 7 THEN upper('common ' || c_mktsegment) ELSE 'common ' || c_mktsegment END AS common, CASE WHEN c_nationkey = 7 THEN upper('notes ' || c_mktsegment) ELSE 'notes ' || c_mktsegment END AS notes, (c_nationkey <> 7)::BIGINT AS n_photos, c_nationkey <> 7 AS photos_fetched FROM customer"
+
+
+def plant_type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [*markers.TYPE_LABELS, "moss"]
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("p_partkey") % len(kinds) + 1).cast("int"))
+    return _t(spark, sf_dir, "part").select("p_partkey", markers.type_label(kind).alias("label"))
+
+
+_LABELS = [*markers.TYPE_LABELS.values()]
+PLANT_TYPE_LABELS = f"SELECT p_partkey, [{', '.join(f"'{v}'" for v in _LABELS)}, NULL][p_partkey % {len(_LABELS) + 1} + 1] AS label FROM part"
+
+
+def missing_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = {"corner_x": 4, "corner_y": 8, "offset_x": 1, "offset_y": 2, "scale": 0.5}
+    clicks = _t(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").alias("at_ms"), F.col("value").alias("client_x"), F.col("user_id").alias("client_y"), *(F.lit(v).alias(n) for n, v in fixed.items()))
+    return markers.missing_stub(clicks).select("marker_id", F.col("position.x").cast("long").alias("x"), F.col("position.y").cast("long").alias("y"), "is_missing")
+
+
+MISSING_STUBS = "SELECT 'missing_' || event_id AS marker_id, floor((value - 5) / 0.5::DOUBLE + 0.5)::BIGINT AS x, floor((user_id - 10) / 0.5::DOUBLE + 0.5)::BIGINT AS y, true AS is_missing FROM events WHERE event_type = 'error'"
+
+
+def request_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches for part names with odd characters, encoded."""
+    rows = _t(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" & (~é!'*) "), "p_brand").alias("search_name"))
+    return media.search_terms(rows).select("search_name", F.col("term_idx").cast("long").alias("term_idx"), media.encoded(F.col("term")).alias("term"))
+
+
+REQUEST_TERMS = """
+WITH n AS (SELECT DISTINCT trim(lower(p_name || ' & (~é!''*) ' || p_brand)) AS search_name FROM part
+), t AS (SELECT search_name, unnest([0, 1, 2])::BIGINT AS term_idx, unnest([search_name, search_name || ' plant', search_name || ' flower']) AS term FROM n)
+SELECT search_name, term_idx, replace(replace(replace(replace(replace(url_encode(term), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS term FROM t
+"""
+
+
+def rescan_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of colours 1 and 9; colour 1 is scanned again."""
+    palette = tables.palette(spark).where("id = 1")
+    blobs = raster.regions(raster.colour_mask(tables.pixels(spark, sf_dir), palette, TOLERANCE), LEAST)
+    old = _t(spark, sf_dir, "events").select(F.when(F.col("event_id") % 2 == 0, 1).otherwise(9).alias("color_id"), F.col("user_id").alias("image_id"), F.col("value").alias("x"), F.col("value").alias("y"), F.col("event_id").alias("blob_size"), F.lit("old").alias("name"))
+    return markers.rescanned(old, blobs, palette).groupBy("color_id", "name").agg(F.count("*").alias("n"), F.sum("blob_size").alias("size"))
+
+
+RESCAN_MARKERS = f"WITH RECURSIVE {REGIONS} SELECT 1::INTEGER AS color_id, 'middle gray' AS name, count(*)::BIGINT AS n, sum(size)::BIGINT AS size FROM blobs WHERE color_id = 1 UNION ALL SELECT 9, 'old', count(*), sum(event_id)::BIGINT FROM events WHERE event_id % 2 = 1"
+
+_NAMES = ("annotations_created", "record_edits", "plant_type_labels", "missing_stubs", "request_terms", "rescan_markers", "legend_left_lookup", "first_match_lookup", "suggestions_union_anti", "cascade_delete_anti", "feedback_latest_upsert", "feedback_summary", "keyed_upsert", "keyed_get", "saved_list_recent", "next_id", "json_props", "default_texts", "confirmed_entries", "low_confidence", "marker_visibility", "viewport_transform", "zoom_clamp", "crop_clamp", "thumb_ratio", "url_filter_dedupe", "url_categorize_rebalance")
 QUERIES = {n: globals()[n] for n in (*_NAMES, "export_json")}
 ORACLES = {n: globals()[n.upper()] for n in _NAMES}
