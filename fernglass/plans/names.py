@@ -164,5 +164,63 @@ WITH {LINES_SQL}, w AS (SELECT doc_id, pos, generate_subscripts(s, 1) - 1 AS i,
 SELECT doc_id, pos::BIGINT AS pos, count(*)::BIGINT AS n, max(x0 + wd)::BIGINT AS "right" FROM d WHERE cut = 0 GROUP BY ALL
 """
 
-QUERIES = {f.__name__: f for f in (clean_lines, valid_names, core_names, import_lines, import_counts, near_dup_names, lookup_cascade, lookup_enriched, genus_lookup, similar_pairs, plant_names, gap_cut)}
-ORACLES = {n.lower(): globals()[n] for n in ("CLEAN_LINES", "VALID_NAMES", "CORE_NAMES", "IMPORT_LINES", "IMPORT_COUNTS", "LOOKUP_CASCADE", "LOOKUP_ENRICHED", "GENUS_LOOKUP", "SIMILAR_PAIRS", "PLANT_NAMES", "GAP_CUT")}
+def _legend(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Swatches, sizes and words of a legend for each brand: its parts in four columns, their names beside them."""
+    from pyspark.sql import Window
+
+    p = tables.table(spark, sf_dir, "part").withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    x, y = (F.col("k") % 4) * 400 + 10, F.floor(F.col("k") / 4) * 40 + 10
+    level = [(F.col("p_size") * i % 256).cast("long").alias(c) for i, c in ((5, "cr"), (7, "cg"), (11, "cb"))]
+    s = p.select(F.col("p_brand").alias("image_id"), F.col("k").alias("idx"), F.col("p_partkey").alias("blob_id"), *level, x.alias("min_x"), (x + 20).alias("max_x"), y.alias("min_y"), (y + 20).alias("max_y"))
+    w = p.select("p_brand", "k", x.alias("x"), y.alias("y"), F.posexplode(F.split(F.initcap("p_name"), " ")).alias("i", "text"))
+    left = F.col("x") + 40 + F.col("i") * 60 + F.when(F.col("k") % 5 == 4, F.col("i") * 50).otherwise(0)
+    words = w.select(F.col("p_brand").alias("image_id"), (F.col("k") * 10 + F.col("i")).cast("int").alias("word_idx"), "text", (F.lit(50.0) + F.col("k") % 50).alias("confidence"), *(c.cast("int").alias(n) for c, n in ((left, "x0"), (F.col("y") + 4, "y0"), (left + 50, "x1"), (F.col("y") + 16, "y1"))))
+    return s, s.select("image_id").distinct().withColumn("width", F.lit(1600)), words
+
+
+def word_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, sizes, words = _legend(spark, sf_dir)
+    return layout.assign_words(layout.right_boundaries(s, sizes), words).select("image_id", *(F.col(c).cast("long").alias(c) for c in ("ord", "word_idx", "place")))
+
+
+_LEGEND = """
+p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part
+), o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY floor(((k // 4) * 40 + 10) / 25), (k % 4) * 400 + 10, k) - 1 AS ord FROM p
+), w AS (SELECT p_brand AS image_id, ord, k, unnest(string_split(p_name, ' ')) AS t, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS i FROM o
+), a AS (SELECT *, 50 + k % 50 AS confidence FROM w WHERE (i = 0 OR k % 5 <> 4) AND 40 + i * 60 <= 20 + 240)"""
+WORD_ASSIGNMENT = f"WITH {_LEGEND} SELECT image_id, ord::BIGINT AS ord, (k * 10 + i)::BIGINT AS word_idx, i::BIGINT AS place FROM a"
+
+
+def legend_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, sizes, words = _legend(spark, sf_dir)
+    return layout.named(layout.assign_words(layout.right_boundaries(s, sizes), words), words).select("image_id", F.col("ord").cast("long").alias("ord"), "raw", "name", "confidence", "valid")
+
+
+_NAMED = f"{_LEGEND}, r AS (SELECT image_id, ord, string_agg(upper(t[1]) || t[2:], ' ' ORDER BY i) AS raw, floor(avg(confidence) + 0.5)::BIGINT AS confidence FROM a GROUP BY ALL), n AS (SELECT image_id, ord::BIGINT AS ord, raw, {rules.sql_clean('raw')} AS name, confidence FROM r)"
+LEGEND_NAMES = f"WITH {_NAMED} SELECT *, {rules.sql_valid('name')} AS valid FROM n"
+_FOLD = (
+    "list_reduce(list_transform({all}, lambda e: [e]), lambda acc, e: CASE WHEN len(list_filter(acc, lambda k: k.p = e[1].p OR ((starts_with(k.p, e[1].p) OR starts_with(e[1].p, k.p)) "
+    "AND abs(length(k.p) - length(e[1].p)) < 5))) > 0 THEN acc ELSE list_concat(acc, e) END)"
+)
+
+
+def legend_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole parse of the legends."""
+    return layout.parse(*_legend(spark, sf_dir)).select("image_id", F.col("ord").cast("long").alias("ord"), "name", "confidence", F.col("cr").cast("long").alias("cr"))
+
+
+LEGEND_ENTRIES = f"""
+WITH {_NAMED}, v AS (SELECT * FROM n WHERE {rules.sql_valid('name')}
+), l AS (SELECT image_id, list({{'o': ord, 'p': regexp_replace(lower(name), '[^a-z]', '', 'g'), 'n': name, 'c': confidence}} ORDER BY ord) AS items FROM v GROUP BY 1
+), f AS (SELECT image_id, unnest({_FOLD.format(all='items')}) AS e FROM l)
+SELECT f.image_id, e.o AS ord, e.n AS name, e.c AS confidence, (p_size * 5 % 256)::BIGINT AS cr FROM f JOIN o ON o.p_brand = f.image_id AND o.ord = e.o
+"""
+NEAR_DUP_NAMES = f"""
+WITH {LINES_SQL}, s AS (SELECT doc_id, pos, array_to_string(string_split(line, ' ')[1:2], ' ') AS n FROM lines
+), l AS (SELECT doc_id, list({{'o': pos::BIGINT, 'p': regexp_replace(lower(n), '[^a-z]', '', 'g'), 'n': n}} ORDER BY pos) AS items FROM s GROUP BY 1
+), f AS (SELECT doc_id, unnest({_FOLD.format(all='items')}) AS e FROM l)
+SELECT doc_id, e.o AS pos, e.n AS name FROM f
+"""
+
+QUERIES = {f.__name__: f for f in (clean_lines, valid_names, core_names, import_lines, import_counts, near_dup_names, lookup_cascade, lookup_enriched, genus_lookup, similar_pairs, plant_names, gap_cut, word_assignment, legend_names, legend_entries)}
+ORACLES = {n.lower(): globals()[n] for n in ("CLEAN_LINES", "VALID_NAMES", "CORE_NAMES", "IMPORT_LINES", "IMPORT_COUNTS", "LOOKUP_CASCADE", "LOOKUP_ENRICHED", "GENUS_LOOKUP", "SIMILAR_PAIRS", "PLANT_NAMES", "GAP_CUT", "WORD_ASSIGNMENT", "LEGEND_NAMES", "LEGEND_ENTRIES", "NEAR_DUP_NAMES")}
