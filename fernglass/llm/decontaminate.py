@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from fernglass.llm._shared import map_arrow
 
 WORDS = re.compile(r"[^\W_]+")
-SEED, EXPECT, LEAST, ITEM_CHARS = 4, 0.05, 0.5, 4_000_000
+SEED, EXPECT, LEAST, ITEM_CHARS = 4, 0.05, 0.4, 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
