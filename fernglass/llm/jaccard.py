@@ -3,16 +3,17 @@
 A document's set holds the 64-bit hashes of its distinct runs of k words. Sets are ordered by a global order, rare shingles
 first. If two sets are as similar as asked for, the prefixes of n - least overlap + l shingles share at least l. Each
 document chooses its own l: the prefix is lengthened while the estimated cost (shared places, and verifications of
-candidates that share l of them by chance) falls. A pair is verified only if it shares min(l, l') prefix shingles.
+candidates that share l of them by chance) falls. A pair is verified only if it shares as many prefix shingles as its two
+lengthened prefixes demand: min(l, l') for the least alike sizes, more for nearer ones (`needed`).
 
 1. One pass over the texts gives each set's size and a 128-bit fingerprint, and counts all shingles in a sketch of
    fixed width (counts of hash buckets). Equal sets become one class, represented by the least doc_id.
 2. A second pass gives the prefixes of the classes. Spread by shingle and sorted, those of one document only are left out; the
    others get the list's first document as its hub.
-3. Documents are verified with hubs with which they share enough shingles: groups of near copies become stars, in a number
-   of comparisons in proportion to their members.
+3. Each document is verified with the hub that it shares most with: groups of near copies become stars, in a number of
+   comparisons in proportion to their members.
 4. What is left are pairs of different components. Lists within one component are skipped, so no pairs inside a group of
-   copies are made; pairs across components are counted, filtered by l and by length, and verified. No cap
+   copies are made; pairs across components are counted, filtered by what they share and by length, and verified. No cap
    is set on lists or candidates. Components of all links, spread to the copies, are the result.
 
 Verification sends each document's text to its hub's place, in salted parts, and compares whole sets. Tables between steps
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.llm._graph import components
@@ -85,6 +86,17 @@ def prefix(hashes: np.ndarray, weight: np.ndarray, percent: int, floor: float =
     return hashes[order[: best[1]]], best[2]
 
 
+def needed(nx: Column, lx: Column, ny: Column, ly: Column, percent: int) -> Column:
+    """Prefix shingles that two sets of these sizes and levels share at least if they are similar.
+
+    The overlap must be o = ceil(percent (nx + ny) / (100 + percent)). Of the two prefixes take the one that ends first in the order: its shingles
+    that the other set holds are in the other's prefix, so what is shared plus its set's rest (least_overlap(n) - l) must reach o. As either may
+    end first, the smaller of the two demands counts. At equal sizes it grows with the size, and it is never below min(lx, ly)."""
+    overlap = F.ceil((nx + ny) * percent / F.lit(100.0 + percent) - 1e-9)
+    rest = lambda n, level: F.floor((n * percent + 99) / F.lit(100.0) + 1e-9) - level
+    return F.greatest(F.lit(1), F.least(overlap - rest(nx, lx), overlap - rest(ny, ly)))
+
+
 def _place(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -279,9 +291,12 @@ def join(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_i
         places = places.withColumn("salt", F.lit(-1))
     lists = materialize(_lists(places.select("tok", "salt", "id", "n", "level")), "lists")
 
-    # Stars: each document with the hubs that it shares enough with, and the hubs of a dealt list with its least.
-    enough = F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("level") / 2))
-    stars = lists.where("id != hub").groupBy("id", "hub").agg(F.count("*").alias("shared"), F.min("level").alias("level")).where(enough).select(F.col("id").alias("x"), "hub")
+    # Stars: each document with the hub that it shares most with, if about as much as a set of its size would have to, and
+    # the hubs of a dealt list with its least. What is missed here is found among the open lists.
+    places = lists.where("id != hub").groupBy("id", "hub").agg(F.count("*").alias("shared"), F.min("level").alias("level"), F.max("n").alias("n"))
+    enough = F.col("shared") * 2 >= needed(F.col("n"), F.col("level"), F.col("n"), F.col("level"), percent)
+    best = places.where(enough).groupBy("id").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"))).alias("best"))
+    stars = best.select(F.col("id").alias("x"), (-F.col("best.hub")).alias("hub"))
     dealt = lists.where("salt >= 0").select("tok", "hub").distinct()
     first = dealt.groupBy("tok").agg(F.min("hub").alias("least"))
     stars = stars.unionByName(dealt.join(first, "tok").where("hub != least").select(F.col("hub").alias("x"), F.col("least").alias("hub"))).distinct()
@@ -298,7 +313,7 @@ def join(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_i
     left = named.select("tok", F.col("part").alias("p"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("level").alias("lx"))
     right = named.select("tok", F.col("part").alias("q"), F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("level").alias("lh"))
     pairs = across.join(left, ["tok", "p"]).join(right, ["tok", "q"]).where((F.col("nx") * percent <= F.col("nh") * 100) & (F.col("nh") * percent <= F.col("nx") * 100))
-    pairs = pairs.groupBy("x", "hub").agg(F.count("*").alias("shared"), F.min(F.least("lx", "lh")).alias("level")).where("shared >= level").select("x", "hub")
+    pairs = pairs.groupBy("x", "hub").agg(F.count("*").alias("shared"), F.min(needed(F.col("nx"), F.col("lx"), F.col("nh"), F.col("lh"), percent)).alias("needed")).where("shared >= needed").select("x", "hub")
     more = _verified(pairs, keyed, k, percent)
 
     edges = links.unionByName(more).unionByName(copies)
@@ -322,3 +337,18 @@ def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text"
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), m AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
+"""

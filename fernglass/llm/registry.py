@@ -14,4 +14,4 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_audio": audio.op10_audio,
 }
-ORACLES: dict[str, str] = {"op7_chat": chat.OP7_SQL}
+ORACLES: dict[str, str] = {"op6_jaccard": jaccard.OP6_SQL, "op7_chat": chat.OP7_SQL}

@@ -357,3 +357,6 @@ def test_prefixes_of_similar_sets_share_enough(seed):
     if want:
         (p, l), (q, m) = jaccard.prefix(a, weight(a), percent), jaccard.prefix(b, weight(b), percent)
         assert len(np.intersect1d(p, q)) >= min(l, m)
+        overlap = -(-percent * (len(a) + len(b)) // (100 + percent))
+        rest = [int(jaccard.least_overlap(len(s), percent)) - v for s, v in ((a, l), (b, m))]
+        assert len(np.intersect1d(p, q)) >= max(1, min(overlap - r for r in rest))
