@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -65,6 +68,23 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[
         yield start, len(texts)
 
 
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Say in a Python worker which operator works now: the caches that others left in it are emptied, and free memory goes back.
+
+    Spark reuses its workers, so caches of one operator would else stay beside those of the next."""
+    others = [n for n in _holders if n != name]
+    for n in others:
+        _holders.pop(n)()
+    _holders[name] = clear or (lambda: None)
+    if others:
+        gc.collect()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over single batches."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import map_arrow
+from fernglass.llm._shared import claim, map_arrow
 
 WORDS = re.compile(r"[^\W_]+")
 SEED, EXPECT, LEAST, ITEM_CHARS = 4, 0.05, 0.4, 4_000_000
@@ -158,6 +158,7 @@ def _counted(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int]:
     """Occurrences of the wanted words in all documents, and the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontamination")
         counts: Counter[str] = Counter()
         total = 0
         for batch in batches:

@@ -31,18 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernglass.llm._graph import components
-from fernglass.llm._shared import WordHashes, materialize, mix, shingle_hashes, slices, word_hashes
+from fernglass.llm._shared import WordHashes, claim, materialize, mix, shingle_hashes, slices, word_hashes
 
 LEVELS = (1, 2, 3, 4, 6, 8)
 #: Cost of a verification in units of a shared place; width of the sketches; estimated count from which a shingle's list is
 #: dealt to `SALTS` tasks; members of a hub that are verified together.
 VERIFY, BITS, WIDE, SALTS, TOGETHER = 30.0, 20, 1_000_000, 64, 64
 BLOCKS = 16
-_words = WordHashes()
+_words = WordHashes(200_000)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -97,6 +97,15 @@ def needed(nx: Column, lx: Column, ny: Column, ly: Column, percent: int) -> Colu
     return F.greatest(F.lit(1), F.least(overlap - rest(nx, lx), overlap - rest(ny, ly)))
 
 
+def least_needed(a: str, b: str, percent: int) -> Column:
+    """What `needed` is at least for any two sets of sides a and b (columns lo and hi of sizes, least level); 1 less where rounding inside a range may take it."""
+    overlap = lambda n, m: F.ceil((n + m) * percent / F.lit(100.0 + percent) - 1e-9)
+    rest = lambda n, level: F.floor((n * percent + 99) / F.lit(100.0) + 1e-9) - level
+    one = lambda s, t: overlap(F.col(f"{s}.hi"), F.col(f"{t}.lo")) - rest(F.col(f"{s}.hi"), F.col(f"{s}.level"))
+    single = (F.col(f"{a}.lo") == F.col(f"{a}.hi")) & (F.col(f"{b}.lo") == F.col(f"{b}.hi"))
+    return F.least(one(a, b), one(b, a)) - F.when(single, 0).otherwise(1)
+
+
 def _place(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -136,6 +145,7 @@ def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """A row for each document (id, n, two fingerprints; block is null), and each task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard", _words.clear)
         names, counts = ["id", "n", "f1", "f2", "block", "salt", "places", "counts"], np.zeros(1 << bits, np.int64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -161,6 +171,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, bits: i
     floor = load + 3 * load**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard", _words.clear)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for start, stop in slices(texts):
@@ -307,13 +318,23 @@ def join(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_i
     named = lists.join(parts, "id", "left").select("tok", "id", "n", "level", F.coalesce("component", "id").alias("part"))
     open_ = named.groupBy("tok").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("tok")
     named = materialize(named.join(open_, "tok").distinct(), "open")
-    sides = named.groupBy("tok", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # A pair is made at the first shingle that it shares, short lists first. From there on both documents must have as many
+    # places (`room`) in open lists as the pair has to share, which rules out most pairs of long lists.
+    named = named.join(named.groupBy("tok").agg(F.count("*").alias("wide")), "tok")
+    back = Window.partitionBy("id", "n", "level").orderBy(F.col("wide").desc(), F.col("tok").desc())
+    named = materialize(named.withColumn("room", F.row_number().over(back)), "rooms")
+    sides = named.groupBy("tok", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("level").alias("level"), F.max("room").alias("room"))
     close = (F.col("a.lo") * percent <= F.col("b.hi") * 100) & (F.col("b.lo") * percent <= F.col("a.hi") * 100)
-    across = sides.alias("a").join(sides.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.part") < F.col("b.part")) & close).select(F.col("a.tok").alias("tok"), F.col("a.part").alias("p"), F.col("b.part").alias("q"))
-    left = named.select("tok", F.col("part").alias("p"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("level").alias("lx"))
-    right = named.select("tok", F.col("part").alias("q"), F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("level").alias("lh"))
-    pairs = across.join(left, ["tok", "p"]).join(right, ["tok", "q"]).where((F.col("nx") * percent <= F.col("nh") * 100) & (F.col("nh") * percent <= F.col("nx") * 100))
-    pairs = pairs.groupBy("x", "hub").agg(F.count("*").alias("shared"), F.min(needed(F.col("nx"), F.col("lx"), F.col("nh"), F.col("lh"), percent)).alias("needed")).where("shared >= needed").select("x", "hub")
+    able = least_needed("a", "b", percent) <= F.least("a.room", "b.room")
+    across = sides.alias("a").join(sides.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.part") < F.col("b.part")) & close & able).select(F.col("a.tok").alias("tok"), F.col("a.part").alias("p"), F.col("b.part").alias("q"))
+    left = named.select("tok", F.col("part").alias("p"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("level").alias("lx"), F.col("room").alias("rx"))
+    right = named.select("tok", F.col("part").alias("q"), F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("level").alias("lh"), F.col("room").alias("rh"))
+    demand = needed(F.col("nx"), F.col("lx"), F.col("nh"), F.col("lh"), percent)
+    sized = (F.col("nx") * percent <= F.col("nh") * 100) & (F.col("nh") * percent <= F.col("nx") * 100) & (demand <= F.least("rx", "rh"))
+    pairs = across.join(left, ["tok", "p"]).alias("l").join(right.alias("r"), (F.col("l.tok") == F.col("r.tok")) & (F.col("l.q") == F.col("r.q")) & sized)
+    pairs = pairs.groupBy("x", "hub").agg(F.min(demand).alias("needed"))
+    shared = pairs.join(named.select(F.col("id").alias("x"), "tok"), "x").join(named.select(F.col("id").alias("hub"), "tok"), ["hub", "tok"])
+    pairs = shared.groupBy("x", "hub").agg(F.count("*").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed").select("x", "hub")
     more = _verified(pairs, keyed, k, percent)
 
     edges = links.unionByName(more).unionByName(copies)

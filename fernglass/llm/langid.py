@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import crc_mod, map_arrow, slices
+from fernglass.llm._shared import claim, crc_mod, map_arrow, slices
 
 CHAIN = 64
 DOCS_PER_LANG, TRAIN_WORDS, RUN, EPOCHS, RATE, DECAY = 250, 160_000, 12, 40, 0.3, 1e-5
@@ -213,6 +213,7 @@ _held: dict[str, Labeller] = {}
 
 
 def _labeller(crf: Crf) -> Labeller:
+    claim("languages", _held.clear)
     if crf.key not in _held:
         _held.clear()
         _held[crf.key] = Labeller(crf)

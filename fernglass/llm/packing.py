@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernglass.llm._shared import claim
+
 CAPACITY, END, PIECE, POOL = 4096, 2, 512, 192
 #: Share of the capacity at which differencing starts, and the padding from which the last pool sheds ids.
 FILL, PADDING = 0.997, 0.01
@@ -44,7 +46,7 @@ class Ids:
     words here; unknown words go to its model together. Any other text goes to the tokenizer whole. A full cache of
     parts is emptied; one of words becomes the old generation, which is asked before the model."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -239,6 +241,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", ids_of.cache_clear)
         ids, packer, rows = ids_of(tokenizer), Packer(capacity, piece, pool, TaskContext.get().partitionId() << 33), []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import WordHashes, map_arrow, materialize, mix, shingle_hashes, slices, word_hashes
+from fernglass.llm._shared import WordHashes, claim, map_arrow, materialize, mix, shingle_hashes, slices, word_hashes
 
 BUCKETS, TARGETS, SHARE, WEIGHT, SMOOTH, EMPTY, SEED = 1 << 16, 20_000, 0.8, 200, 1.0, -1e6, 29
 _words = WordHashes()
@@ -76,6 +76,7 @@ def _counts(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts over all rows (id, t, good): of all, and of the good ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("resampling", _words.clear)
         sums = np.zeros((2, n), np.int64)
         for batch in batches:
             texts, good = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)

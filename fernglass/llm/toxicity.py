@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import crc_mod, map_arrow
+from fernglass.llm._shared import claim, crc_mod, map_arrow
 
 PARTS = re.compile(r"\w+|[.!?\n]+")
 ENDS = re.compile(r"[.!?\n]+")
@@ -39,7 +39,7 @@ def features(word: str) -> list[str]:
 class _Words(dict):
     """Weight of each word by the weights of its features; None where that is 0. Emptied when it is full."""
 
-    def __init__(self, weights: dict[str, float], limit: int = 400_000):
+    def __init__(self, weights: dict[str, float], limit: int = 200_000):
         super().__init__()
         self.weights, self.limit = weights, limit
 
@@ -174,6 +174,7 @@ def detect(df: DataFrame, model: Sentences, text: str = "text", doc_id: str = "d
     """doc_id, held_out, score, predicted, and the offending sentences of predicted rows as start:end, comma-joined."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         texts = batch.column(2).to_pylist()
         scores = [model.score(t) for t in texts]
         spans = [",".join(f"{s}:{e}" for s, e, _ in model.located(t)) if p >= threshold else "" for t, p in zip(texts, scores, strict=True)]
@@ -190,6 +191,7 @@ def keep_clean(df: DataFrame, model: Sentences, text: str = "text", threshold: f
 
     @F.pandas_udf("double")
     def score(texts):
+        claim("toxicity")
         return texts.map(model.score)
 
     return df.where(score(F.col(text)) < threshold)
