@@ -46,7 +46,7 @@ class Ids:
     words here; unknown words go to its model together. Any other text goes to the tokenizer whole. A full cache of
     parts is emptied; one of words becomes the old generation, which is asked before the model."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
