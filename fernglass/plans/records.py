@@ -216,14 +216,19 @@ SELECT search_name, array_to_string(c[1:3], ' ') AS closeup, array_to_string(f[1
 
 
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document: the palette with its hits, totals and the feedback's counts."""
+    """The export in rows: a head (the palette with its hits, totals and the feedback's counts), and each marker's latest feedback.
+
+    The feedback grows with the input, so it is not gathered into the head: the rows with the part `feedback` are the elements
+    of its list, by marker_id."""
     from fernglass.plans.images import found_partition
 
     legend = found_partition(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("id", "name", F.lit("").alias("color"), F.col("hits").alias("count")))).alias("legend"), F.sum("hits").alias("markers"))
     counts = feedback_summary(spark, sf_dir).select(F.struct("*").alias("summary"))
-    last = feedback_latest_upsert(spark, sf_dir).agg(F.slice(F.array_sort(F.collect_list(F.struct("marker_id", "rating"))), 1, 20).alias("feedback"))
-    one = legend.crossJoin(counts).crossJoin(last)  # one row each
-    return one.select(state.export_json(F.lit("plan.png"), F.lit(40), F.lit("2024-01-01T00:00:00.000Z"), F.col("legend"), F.col("feedback"), F.struct("markers"), F.col("summary")).alias("json"))
+    last = feedback_latest_upsert(spark, sf_dir)
+    one = legend.crossJoin(counts).crossJoin(last.agg(F.count("*").alias("feedback")))  # one row each
+    head = state.export_json(F.lit("plan.png"), F.lit(40), F.lit("2024-01-01T00:00:00.000Z"), F.col("legend"), F.lit(None).cast("array<string>"), F.struct("markers", "feedback"), F.col("summary"))
+    rows = last.select(F.lit("feedback").alias("part"), "marker_id", F.to_json(F.struct("marker_id", "rating")).alias("json"))
+    return one.select(F.lit("head").alias("part"), F.lit(None).cast("string").alias("marker_id"), head.alias("json")).unionByName(rows)
 
 
 def annotations_created(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,19 @@ def test_stream_into_store(spark, tmp_path):
     assert sorted((r.marker_id, r.rating) for r in store.read().collect()) == [("a", "correct"), ("b", "wrong")]
     counts = ingest.windowed_counts(spark.createDataFrame([("a", "2024-01-01", "close")], "m string, ts string, rating string").withColumn("ts", F.col("ts").cast("timestamp")))
     assert counts.first().n == 1
+
+
+def test_export_has_all_feedback(spark):
+    from fernglass.plans import records
+
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id", "user_id", "ts", "event_type").collect()
+    kinds = {"view": "correct", "click": "close", "error": "wrong", "signup": "duplicate"}
+    latest = {}
+    for e in sorted(events, key=lambda e: (e.ts, e.event_id)):
+        latest[str(e.user_id)] = kinds.get(e.event_type)
+    rows = records.export_json(spark, "/root/testdata/sf0.01").collect()
+    got = [json.loads(r.json) for r in rows if r.part == "feedback"]
+    assert len(got) == len(latest) > 20 and {f["marker_id"]: f.get("rating") for f in got} == latest
+    (head,) = [json.loads(r.json) for r in rows if r.part == "head"]
+    assert head["totals"]["feedback"] == len(latest) and "feedback" not in head
+    assert head["summary"]["correct"] == sum(e.event_type == "view" for e in events)
