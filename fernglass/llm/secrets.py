@@ -2,7 +2,9 @@
 
 The guess cost of a value is the least sum, over its segmentations, of log10 costs of words, dates, repeats, keyboard
 walks and brute-force spans, found by dynamic programming from left to right. A value that stands where a credential
-stands and costs at least `least` is a span of kind `guess`.
+stands and costs at least `least` is a span of kind `guess`. Where only spaces part an unquoted value from the credential's
+name, a value of letters only must also have a lower-case letter before an upper-case one ("bearer qZxVbTrW"), as a word of
+prose has not ("token distribution").
 
 Whole texts are scanned, one at a time, inside mapInArrow; nothing is shuffled. Null and empty texts have no spans;
 repeated rows give repeated results; a null id stays null; other columns are ignored, whatever their names.
@@ -26,7 +28,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: Names that announce a credential, more than those of ASSIGN, and values with any printable characters.
-CONTEXT = re.compile(r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)["']?\x20*(?::=|=>|[:=]|\x20is\x20|\x20)\x20*(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"',;]{6,}))""")
+CONTEXT = re.compile(r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)["']?\x20*(:=|=>|[:=]|\x20is\x20|\x20)\x20*(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"',;]{6,}))""")
+#: Letters that are no word of prose; asked of unquoted values of letters only after a bare space.
+MIXED = re.compile(r"[^\W\d_A-Z][A-Z]")
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 #: log10 of the guesses from which a value counts as a secret.
 LEAST = 10.0
@@ -129,9 +133,9 @@ def all_spans(text: str, least: float = LEAST) -> tuple[list[tuple[int, int, str
     base = base_spans(text, low)
     found = set()
     if any(h in low for h in HINTS):
-        values = [(m.start(i), m.end(i)) for m in CONTEXT.finditer(text) if (i := m.lastindex)]
+        values = [m.span(m.lastindex) for m in CONTEXT.finditer(text) if m[1] != "\x20" or m.lastindex < 4 or not m[4].isalpha() or MIXED.search(m[4])]
         values += [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        found = {(s, e, "guess") for s, e in set(values) if (any(c.isdigit() for c in text[s:e]) or not text[s:e].isalpha()) and guess_cost(text[s:e])[0] >= least}
+        found = {(s, e, "guess") for s, e in set(values) if guess_cost(text[s:e])[0] >= least}
     return base, sorted([*base, *found], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -200,6 +200,19 @@ def test_costly_values_are_added_and_redacted():
     assert secrets.all_spans("") == ([], [])
 
 
+@pytest.mark.parametrize("context", ["passphrase: {}", "pwd={}", "bearer {}", "private_key: {}", "credentials => {}", "auth := {}", 'access-key "{}"', "passcode is {}", "token = {}"])
+def test_letters_only_are_priced_too(context):
+    text = "see " + context.format("qZxVbTrWplKmNsYh") + " there"
+    _, every = secrets.all_spans(text)
+    assert "qZxVbTrWplKmNsYh" in [text[s:e] for s, e, k in every if k == "guess"]
+    assert "qZxVbTrWplKmNsYh" not in secrets.redacted(text, every)
+
+
+def test_words_after_a_bare_space_are_prose():
+    for text in ("a token distribution", "the SECRET ORGANISATION", "auth Kubernetes", "password: password"):
+        assert secrets.all_spans(text)[1] in ([], [(0, 18, "assign")])
+
+
 # toxicity
 
 
