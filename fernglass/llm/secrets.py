@@ -27,8 +27,12 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
-#: Names that announce a credential, more than those of ASSIGN, and values with any printable characters.
-CONTEXT = re.compile(r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)["']?\x20*(:=|=>|[:=]|\x20is\x20|\x20)\x20*(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"',;]{6,}))""")
+_NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)"
+#: Names that announce a credential, more than those of ASSIGN, and values with any printable characters. Only the name is
+#: consumed, so that a name which stands in the place of another one's value has its own value.
+CONTEXT = re.compile(rf"""(?ai){_NAME}(?=["']?\x20*(:=|=>|[:=]|\x20is\x20|\x20)\x20*(?:"([^"\s]{{6,}})"|'([^'\s]{{6,}})'|([^\s"',;]{{6,}})))""")
+#: An unquoted value that is the name of the next one.
+NAMED = re.compile(rf"(?ai){_NAME}(?::=|=>|[:=])")
 #: Letters that are no word of prose; asked of unquoted values of letters only after a bare space.
 MIXED = re.compile(r"[^\W\d_A-Z][A-Z]")
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
@@ -133,7 +137,7 @@ def all_spans(text: str, least: float = LEAST) -> tuple[list[tuple[int, int, str
     base = base_spans(text, low)
     found = set()
     if any(h in low for h in HINTS):
-        values = [m.span(m.lastindex) for m in CONTEXT.finditer(text) if m[1] != "\x20" or m.lastindex < 4 or not m[4].isalpha() or MIXED.search(m[4])]
+        values = [m.span(m.lastindex) for m in CONTEXT.finditer(text) if m.lastindex < 4 or not (NAMED.fullmatch(m[4]) or m[1] == "\x20" and m[4].isalpha() and not MIXED.search(m[4]))]
         values += [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         found = {(s, e, "guess") for s, e in set(values) if guess_cost(text[s:e])[0] >= least}
     return base, sorted([*base, *found], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))

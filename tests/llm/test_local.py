@@ -208,6 +208,13 @@ def test_letters_only_are_priced_too(context):
     assert "qZxVbTrWplKmNsYh" not in secrets.redacted(text, every)
 
 
+@pytest.mark.parametrize("text,value", [("secret access_key: wJalrXUtnFEMI/K7MDENGbPxRfiCY", "wJalrXUtnFEMI/K7MDENGbPxRfiCY"), ("Authorization: Bearer credentials: Zx9!kQ#71vLp", "Zx9!kQ#71vLp"), ("token secret bearer private_key => Zx9!kQ#71vLp", "Zx9!kQ#71vLp"), ("auth: credentials: 'Zx9!kQ#71vLp'", "Zx9!kQ#71vLp")])
+def test_a_name_after_a_name_prices_its_own_value(text, value):
+    _, every = secrets.all_spans(text)
+    assert [text[s:e] for s, e, k in every if k == "guess"] == [value]
+    assert secrets.redacted(text, every) == text.replace(value, "[secret]")
+
+
 def test_words_after_a_bare_space_are_prose():
     for text in ("a token distribution", "the SECRET ORGANISATION", "auth Kubernetes", "password: password"):
         assert secrets.all_spans(text)[1] in ([], [(0, 18, "assign")])
