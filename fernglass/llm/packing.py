@@ -10,6 +10,9 @@ beyond its full windows goes into windows whose lengths are powers of two, which
 Tokenizing and packing are one pass over the scan without any shuffle, so no key can be hot; a pool is all that a task
 holds. Sequence ids are partition << 33 plus a running number, hence equal when a lost task runs again.
 
+Each row holds its piece's ids, as little-endian 32-bit numbers in `ids`; a window is the rows of one sequence id, by
+offset, one after the other.
+
 Null and empty texts have the end id only; repeated rows are packed each for itself; a null id stays null; other columns
 are ignored, whatever their names.
 """
@@ -33,6 +36,8 @@ from fernglass.llm._shared import claim
 CAPACITY, END, PIECE, POOL = 4096, 2, 512, 192
 #: Share of the capacity at which differencing starts, and the padding from which the last pool sheds ids.
 FILL, PADDING = 0.997, 0.01
+#: Rows and bytes of ids after which a task hands on a batch.
+BATCH_ROWS, BATCH_BYTES = 10_000, 8_000_000
 
 # Characters whose normal form and lower case do not depend on their neighbours, and the tokenizer's own words among them.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -162,10 +167,10 @@ def windows(sizes: list[int], capacity: int = CAPACITY, fill: float = FILL) -> l
 
 
 class Packer:
-    """Takes documents, gives rows (doc, start, length, crc, doc_tokens, sequence, offset)."""
+    """Takes documents, gives rows (doc, start, length, crc, doc_tokens, sequence, offset); with `ids`, the ids' bytes instead of their crc."""
 
-    def __init__(self, capacity: int, piece: int, pool: int, first: int):
-        self.capacity, self.piece, self.pool, self.next = capacity, piece, pool * capacity, first
+    def __init__(self, capacity: int, piece: int, pool: int, first: int, ids: bool = False):
+        self.capacity, self.piece, self.pool, self.next, self.ids = capacity, piece, pool * capacity, first, ids
         self.held: list[tuple[int | None, int, bytes, int]] = []
         self.size = 0
 
@@ -185,7 +190,7 @@ class Packer:
 
     def _row(self, item: tuple, offset: int) -> tuple:
         doc, start, raw, total = item
-        return doc, start, len(raw) // 4, zlib.crc32(raw), total, self.next, offset
+        return doc, start, len(raw) // 4, raw if self.ids else zlib.crc32(raw), total, self.next, offset
 
     def _emit(self, items: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -233,35 +238,49 @@ class Packer:
         self.held, self.size = [], 0
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+DIGEST = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end: int = END, piece: int = PIECE, pool: int = POOL) -> DataFrame:
-    """A row for each piece. `tokenizer` is the path of a tokenizers file with words that end in `</w>`, the same on all machines."""
+    """A row for each piece, with its ids and their crc32. `tokenizer` is the path of a tokenizers file with words that end in `</w>`, the same on all machines."""
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("packing", ids_of.cache_clear)
-        ids, packer, rows = ids_of(tokenizer), Packer(capacity, piece, pool, TaskContext.get().partitionId() << 33), []
+        ids, packer, rows = ids_of(tokenizer), Packer(capacity, piece, pool, TaskContext.get().partitionId() << 33, True), []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 7)], [f.split()[0] for f in SCHEMA.split(", ")])
-
+            names, kinds = zip(*(f.split() for f in SCHEMA.split(", ")), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "binary" else pa.int64()) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names)
+
+        def parts(rows: list[tuple]) -> Iterator[list[tuple]]:
+            start = size = 0
+            for i, row in enumerate(rows):
+                size += len(row[3])
+                if size >= BATCH_BYTES or i - start + 1 >= BATCH_ROWS:
+                    yield rows[start : i + 1]
+                    start, size = i + 1, 0
+            yield rows[start:]
+
+        size = 0
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(texts), 200):
                 for doc, raw in zip(docs[at : at + 200], ids.of([t or "" for t in texts[at : at + 200]]), strict=True):
                     rows += packer.add(doc, raw + last)
-                if len(rows) >= 10_000:
-                    yield out(rows)
-                    rows = []
+                    size += len(raw)
+                if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield from map(out, parts(rows))
+                    rows, size = [], 0
         rows += packer.flush(True)
-        yield out(rows)
+        yield from map(out, parts(rows))
 
-    return df.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
+    packed = df.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
+    return packed.select(*(F.crc32("ids").alias(c) if c == "ids_crc32" else c for c in DIGEST), "ids")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")).select(*DIGEST)

@@ -67,6 +67,20 @@ def test_packing_odd_rows(spark, odd):
     assert packing.pack(odd.limit(0), TOKENIZER).count() == 0
 
 
+def test_packed_windows_hold_their_ids(spark, odd):
+    rows = packing.pack(odd, TOKENIZER).collect()
+    tokenizer = packing.Ids(TOKENIZER).tokenizer
+    texts = dict(odd_rows())
+    want = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in texts.items()}
+    windows = defaultdict(bytes)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == len(windows[r.sequence_id]) // 4
+        windows[r.sequence_id] += r.ids
+        assert (np.frombuffer(r.ids, "<u4") == want[r.doc_id][r.start : r.start + r.length]).all() and len(r.ids) == 4 * r.length
+    assert all(len(w) <= 4 * packing.CAPACITY for w in windows.values())
+    assert sum(map(len, windows.values())) == 4 * sum(len(want[i]) for i, _ in odd_rows())
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (7, 1), (2, 0), (99, 1), (None, 1), (4, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
