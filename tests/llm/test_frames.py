@@ -105,6 +105,23 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string, host string, path string")).count() == 0
 
 
+@pytest.mark.parametrize("limit", (3, 1000))
+def test_models_count_all_ruled_urls(spark, limit):
+    rng = random.Random(limit)
+    good = [f"www.example.com/en/{rng.choice(('tea', 'sea', 'ünï'))}{i}" for i in range(40)]
+    bad = [f"x{i}.net/fr/{rng.randrange(10**6)}" for i in range(40)]
+    rest = [f"y.org/{rng.choice(('tea', 'fr', 'zz'))}/{i}" for i in range(20)]
+    df = spark.createDataFrame([(i, f"http://{u}" if u else None) for i, u in enumerate([*good, *good[:5], *bad, *rest, None, None])], "page_id long, url string")
+    by_hash = lambda some: [r.t for r in spark.createDataFrame([(t,) for t in some], "t string").orderBy(F.xxhash64(F.lit(urls.SEED), "t"), "t").limit(limit).collect()]
+    half = urls.train(by_hash(good), by_hash(bad))
+    want = urls.Ratio(urls.Markov(good), urls.Markov(bad), half.cut, half.slope)
+    got = urls.judge(df, limit=limit).collect()
+    assert len(got) == 107
+    for r in got:
+        assert r.block_score == pytest.approx(want.blocked(r.host + r.path), abs=1e-9)
+        assert r.rule or r.verdict == ("block" if r.block_score > 0.5 else "allow")
+
+
 def test_leaks_of_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "again and again and again"), (2, None), (3, ""), (4, "!!"), (None, "a null id has a text too"), (6, "nothing of this kind stands in any of these")], "item_id long, text string")
     got = decontaminate.contaminated(odd, bench).collect()
