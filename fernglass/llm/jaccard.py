@@ -10,22 +10,24 @@ lengthened prefixes demand: min(l, l') for the least alike sizes, more for neare
    fixed width (counts of hash buckets). Equal sets become one class, represented by the least doc_id.
 2. A second pass gives the prefixes of the classes. Spread by shingle and sorted, those of one document only are left out; the
    others get the list's first document as its hub.
-3. Each document is verified with the hub that it shares most with: groups of near copies become stars, in a number of
-   comparisons in proportion to their members.
-4. What is left are pairs of different components. Lists within one component are skipped, so no pairs inside a group of
-   copies are made; pairs across components are counted, filtered by what they share and by length, and verified. No cap
-   is set on lists or candidates. Components of all links, spread to the copies, are the result.
+3. Each document goes to the hub that it shares most with; hubs go to their own hubs. For each such group, what a member's
+   set and the first hub's do not share is kept. Links inside a group are found from these differences (`_within`), without
+   pairs of all members even where most of them are not linked.
+4. What is left are pairs of different groups. Lists within one group are skipped; pairs across groups are counted, filtered by
+   what they share and by length, and verified. No cap is set on lists or candidates. Components of all links, spread to the
+   copies, are the result.
 
 Verification sends each document's text to its hub's place, in salted parts, and compares whole sets. Tables between steps
 are Parquet files in the shared folder.
 
-Null and empty texts and texts without words have the empty set, are linked with nothing and are a component each. Rows that repeat
-a doc_id are merged with their own id's component and come out once for each row. A null doc_id gets a null component. Other
-columns are ignored, whatever their names.
+Null and empty texts and texts without words have the empty set, are linked with nothing and are a component each. Where doc_ids
+repeat, rows are told apart by a 64-bit hash of id and text; in `join` a repeated id's rows are merged into one component and come
+out once for each row. A null doc_id gets a null component. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +37,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernglass.llm._graph import components
-from fernglass.llm._shared import WordHashes, claim, materialize, mix, shingle_hashes, slices, word_hashes
+from fernglass.llm._shared import SLICE_CHARS, WordHashes, claim, materialize, mix, shingle_hashes, slices, word_hashes
 
-LEVELS = (1, 2, 3, 4, 6, 8)
+LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Cost of a verification in units of a shared place; width of the sketches; estimated count from which a shingle's list is
 #: dealt to `SALTS` tasks; members of a hub that are verified together.
-VERIFY, BITS, WIDE, SALTS, TOGETHER = 30.0, 20, 1_000_000, 64, 64
+VERIFY, BITS, WIDE, SALTS, TOGETHER = 30.0, 20, 100_000, 64, 64
 BLOCKS = 16
 _words = WordHashes(200_000)
 
@@ -240,36 +242,126 @@ def _texts(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
     return docs.mapInArrow(run, "id long, text string")
 
 
+def _gathered(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of `wanted` (id, hub, part, role, size) with their texts, dealt by (hub, part), role 0 first. A text is shuffled once by id, once more for each row."""
+    texts = _texts(docs, wanted.select("id").distinct())
+    return texts.join(wanted, "id").select("hub", "part", "role", "size", "id", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "id")
+
+
+def _parts(x: str, most: Column) -> Column:
+    """Which of ceil(most / TOGETHER) parts of a hub a member goes to."""
+    return F.pmod(F.xxhash64(x), F.greatest(F.lit(1), F.ceil(most / TOGETHER))).cast("int")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (x, hub) whose texts are similar enough, as edges (a, b)."""
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
-    pairs = materialize(pairs.join(sizes, "hub").select("x", "hub", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part")), "pairs")
-    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
-    texts = materialize(_texts(docs, ids).join(ids, "id", "left_semi"), "texts")
-    members = pairs.join(texts, pairs["x"] == texts["id"]).select("hub", "part", F.lit(1).alias("role"), "x", "text")
-    hubs = pairs.select("hub", "part").distinct().join(texts, F.col("hub") == F.col("id")).select("hub", "part", F.lit(0).alias("role"), F.col("hub").alias("x"), "text")
+    sizes = pairs.groupBy("hub").agg(F.count("*").cast("long").alias("size"))
+    members = materialize(pairs.join(sizes, "hub").select(F.col("x").alias("id"), "hub", _parts("x", F.col("size")).alias("part"), F.lit(1).alias("role"), "size"), "pairs")
+    wanted = members.unionByName(members.select("hub", "part", "size").distinct().select(F.col("hub").alias("id"), "hub", "part", F.lit(0).alias("role"), "size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        claim("jaccard", _words.clear)
+        key, held = None, None
         for batch in batches:
             a, b = [], []
-            for hub, part, role, x, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for hub, part, role, x, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
                 s = shingles(text, k)
                 if role == 0:
-                    if key != (hub, part):
-                        key, held = (hub, part), []
-                    held.append(s)
-                elif any(similar(s, h, percent) for h in held):
+                    key, held = (hub, part), s
+                elif key == (hub, part) and similar(s, held, percent):
                     a.append(x)
                     b.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return hubs.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(run, "a long, b long")
+    return _gathered(wanted, docs).mapInArrow(run, "a long, b long")
 
 
-def join(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, wide: int = WIDE) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row; a link is 100 * intersection >= percent * union."""
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+def _differences(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """For groups (id, hub), each of which has its hub as a member: (hub, size, x, n, slack, diff), diff being what x's set and the hub's do not share.
+
+    slack = (100 - percent) n - (100 + percent) |diff|. Groups of two have empty lists instead: with slacks they are settled."""
+    sizes = groups.groupBy("hub").agg(F.count("*").cast("long").alias("size"))
+    members = materialize(groups.join(sizes, "hub").select("id", "hub", _parts("id", F.col("size")).alias("part"), F.when(F.col("id") == F.col("hub"), 0).otherwise(1).alias("role"), "size"), "members")
+    parts = members.where("role = 1").select("hub", "part", "size").distinct()
+    wanted = members.where("role = 1").unionByName(parts.select(F.col("hub").alias("id"), "hub", "part", F.lit(0).alias("role"), "size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard", _words.clear)
+        key, held = None, None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for start, stop in slices(columns[5], SLICE_CHARS // 4):
+                rows = []
+                for hub, part, role, size, x, text in zip(*(c[start:stop] for c in columns), strict=True):
+                    s = shingles(text, k)
+                    if role == 0:
+                        key, held = (hub, part), s
+                        rows.append((hub, size, x, len(s), (100 - percent) * len(s), s[:0], part))
+                    elif key == (hub, part):
+                        diff = np.setxor1d(s, held, assume_unique=True)
+                        rows.append((hub, size, x, len(s), (100 - percent) * len(s) - (100 + percent) * len(diff), diff if size > 2 else s[:0], part))
+                if rows:
+                    *flat, lists, part = zip(*rows, strict=True)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
+                    diffs = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists).astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in flat), diffs, pa.array(part, pa.int32())], ["hub", "size", "x", "n", "slack", "diff", "part"])
+
+    found = _gathered(wanted, docs).mapInArrow(run, "hub long, size long, x long, n long, slack long, diff array<long>, part int")
+    first = parts.groupBy("hub").agg(F.min("part").alias("first"))  # a hub stands in each part of its group, and counts in one
+    hubs, others = found.where("x = hub"), found.where("x != hub")
+    return others.unionByName(hubs.join(first, (hubs["hub"] == first["hub"]) & (hubs["part"] == first["first"]), "left_semi")).drop("part")
+
+
+def _tops(diffs: DataFrame) -> DataFrame:
+    """The largest slack of each group, the least x that has it, and the least slack."""
+    tops = diffs.groupBy("hub").agg(F.max(F.struct("slack", (-F.col("x")).alias("x"))).alias("t"), F.min("slack").alias("low"))
+    return tops.select("hub", F.col("t.slack").alias("top"), (-F.col("t.x")).alias("best"), "low")
+
+
+def _within(diffs: DataFrame, percent: int) -> list[DataFrame]:
+    """Edges (a, b) that join what is linked inside the groups of `_differences`, without pairs of all members.
+
+    The sets of x and y differ by |Dx| + |Dy| - 2c where c counts what their differences from any third set share. They are linked when
+    slack(x) + slack(y) + 2 (100 + percent) c >= 0. So
+    1. if the slacks alone suffice, x and y are both linked to the member with the largest slack: one edge each;
+    2. any other link has a member u that the slacks don't link to that one, and needs a c of its own. Differences are ordered, rare ones first, and
+       prefixes cut by the least c that a partner of such a u, or u itself, can do with; a pair is made at a shared shingle only if both have
+       enough places from there on. Exact counts then decide.
+    Before 2, differences are taken from the set of what most of the group's members hold: what the hub alone has or lacks would else be shared by all."""
+    q = 2 * (100 + percent)
+    sure = lambda d, t: d.join(t, "hub").where("slack + top >= 0 and x != best").select(F.col("x").alias("a"), F.col("best").alias("b"))
+    tops = materialize(_tops(diffs), "tops")
+    edges = [sure(diffs, tops)]
+    loose = tops.where("low + top < 0").select("hub")
+    open_ = diffs.where("size > 2").join(loose, "hub", "left_semi")
+    counts = open_.select("hub", "size", F.explode("diff").alias("tok")).groupBy("hub", "tok").agg(F.count("*").alias("c"), F.max("size").alias("size"))
+    counts = materialize(counts.where("c > 1"), "counts")
+    most = counts.where("2 * c > size").groupBy("hub").agg(F.collect_list("tok").alias("most"))  # no longer than twice the members' mean difference
+    flipped = F.when(F.col("most").isNull(), F.col("diff")).otherwise(F.concat(F.array_except("diff", "most"), F.array_except("most", "diff")))
+    centred = open_.join(most, "hub", "left").select("hub", "x", "n", flipped.alias("diff"))
+    centred = materialize(centred.withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * F.size("diff")), "centred")
+    tops = materialize(_tops(centred), "tops")
+    edges.append(sure(centred, tops))
+
+    rare = counts.select("hub", "tok", F.when(F.expr("2 * c > size"), F.col("size") - F.col("c")).otherwise(F.col("c")).alias("c")).where("c > 1")
+    rows = centred.join(tops, "hub").select("hub", "x", "slack", "top", F.expr("slack + top < 0").alias("u"), F.explode("diff").alias("tok")).join(rare, ["hub", "tok"])
+    back = Window.partitionBy("hub", "x").orderBy(F.col("c").desc(), F.col("tok").desc())
+    least = lambda other: F.greatest(F.lit(1), F.ceil(-(F.col("slack") + other) / q))
+    rows = rows.withColumns({"room": F.row_number().over(back), "own": least(F.col("top")), "other": least(F.least(F.col("top"), -F.col("top") - 1))})
+    rows = materialize(rows.where((F.col("room") >= F.col("other")) | (F.col("u") & (F.col("room") >= F.col("own")))).select("hub", "tok", "x", "slack", "u", "room", "own", "other"), "places")
+    us = rows.where("u and room >= own").select("hub", "tok", *(F.col(c).alias(f"{c}_u") for c in ("x", "slack", "room")))
+    need = F.greatest(F.lit(1), F.ceil(-(F.col("slack_u") + F.col("slack")) / q))
+    both = us.alias("l").join(rows.where("room >= other").alias("r"), (F.col("l.hub") == F.col("r.hub")) & (F.col("l.tok") == F.col("r.tok")) & (F.col("x") != F.col("x_u")) & (~F.col("u") | (F.col("x_u") < F.col("x"))) & (need <= F.least("room", "room_u")))
+    pairs = both.select(F.col("l.hub").alias("hub"), "x_u", "x").distinct()
+    side = lambda x, d, s: centred.select("hub", F.col("x").alias(x), F.col("diff").alias(d), F.col("slack").alias(s))
+    pairs = pairs.join(side("x_u", "diff_u", "slack_u"), ["hub", "x_u"]).join(side("x", "diff", "slack"), ["hub", "x"])
+    shared = F.size(F.array_intersect("diff_u", "diff"))
+    edges.append(pairs.where(F.col("slack_u") + F.col("slack") + q * shared >= 0).select(F.col("x_u").alias("a"), F.col("x").alias("b")))
+    return edges
+
+
+def _joined(docs: DataFrame, k: int, percent: int, bits: int, wide: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n) of the rows (id, text), and (id, component) of ids with links; ids that repeat have one set."""
     keyed = docs.where("id is not null")
     scanned = materialize(_scan(docs, k, bits), "sets")
     rows = scanned.where("block is null").select("id", "n", "f1", "f2")
@@ -288,7 +380,7 @@ def join(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_i
     places = found.select("id", "n", "level", F.explode("prefix").alias("tok"))
     load = float(sketch.sum()) / len(sketch)
     if int(sketch.max(initial=0)) - load >= wide:  # which buckets hold such lists is as bounded as the sketch
-        heavy = df.sparkSession.sparkContext.broadcast(np.packbits(sketch - load >= wide))
+        heavy = docs.sparkSession.sparkContext.broadcast(np.packbits(sketch - load >= wide))
 
         @F.pandas_udf("int")
         def salt(tok, id):
@@ -302,20 +394,21 @@ def join(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_i
         places = places.withColumn("salt", F.lit(-1))
     lists = materialize(_lists(places.select("tok", "salt", "id", "n", "level")), "lists")
 
-    # Stars: each document with the hub that it shares most with, if about as much as a set of its size would have to, and
-    # the hubs of a dealt list with its least. What is missed here is found among the open lists.
+    # Groups: each document with the hub that it shares most with, if about as much as a set of its size would have to, and
+    # the hubs of a dealt list with its least; hubs with their own hubs. What is missed here is found among the open lists.
     places = lists.where("id != hub").groupBy("id", "hub").agg(F.count("*").alias("shared"), F.min("level").alias("level"), F.max("n").alias("n"))
     enough = F.col("shared") * 2 >= needed(F.col("n"), F.col("level"), F.col("n"), F.col("level"), percent)
     best = places.where(enough).groupBy("id").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"))).alias("best"))
-    stars = best.select(F.col("id").alias("x"), (-F.col("best.hub")).alias("hub"))
+    stars = best.select(F.col("id").alias("a"), (-F.col("best.hub")).alias("b"))
     dealt = lists.where("salt >= 0").select("tok", "hub").distinct()
     first = dealt.groupBy("tok").agg(F.min("hub").alias("least"))
-    stars = stars.unionByName(dealt.join(first, "tok").where("hub != least").select(F.col("hub").alias("x"), F.col("least").alias("hub"))).distinct()
-    links = materialize(_verified(stars, keyed, k, percent), "links")
-    parts = materialize(components(links), "parts")
+    stars = stars.unionByName(dealt.join(first, "tok").where("hub != least").select(F.col("hub").alias("a"), F.col("least").alias("b")))
+    groups = materialize(components(stars).withColumnRenamed("component", "hub"), "groups")
+    diffs = materialize(_differences(groups, keyed, k, percent), "diffs")
+    inside = _within(diffs, percent)
 
-    # Lists that still hold several components: pairs across them.
-    named = lists.join(parts, "id", "left").select("tok", "id", "n", "level", F.coalesce("component", "id").alias("part"))
+    # Lists that still hold several groups: pairs across them.
+    named = lists.join(groups.withColumnRenamed("hub", "part"), "id", "left").select("tok", "id", "n", "level", F.coalesce("part", "id").alias("part"))
     open_ = named.groupBy("tok").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("tok")
     named = materialize(named.join(open_, "tok").distinct(), "open")
     # A pair is made at the first shingle that it shares, short lists first. From there on both documents must have as many
@@ -335,25 +428,63 @@ def join(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_i
     pairs = pairs.groupBy("x", "hub").agg(F.min(demand).alias("needed"))
     shared = pairs.join(named.select(F.col("id").alias("x"), "tok"), "x").join(named.select(F.col("id").alias("hub"), "tok"), ["hub", "tok"])
     pairs = shared.groupBy("x", "hub").agg(F.count("*").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed").select("x", "hub")
-    more = _verified(pairs, keyed, k, percent)
-
-    edges = links.unionByName(more).unionByName(copies)
-    whole = components(edges)
-    out = rows.join(whole.select(F.col("id").alias("i"), "component"), F.col("id") == F.col("i"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
-
-def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows, with all their columns, but for those whose component has a smaller id. Rows with one id and a set keep one."""
-    found = materialize(join(df, k, percent, text, doc_id), "groups")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = df.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    again = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__gone"))
-    if again.isEmpty():
-        return kept
-    single = kept.join(again, F.col(doc_id) == F.col("__gone"), "left_semi")
-    has = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
-    return kept.join(again, F.col(doc_id) == F.col("__gone"), "left_anti").unionByName(single.where(has).dropDuplicates([doc_id])).unionByName(single.where(~has))
+    edges = copies.unionByName(_verified(pairs, keyed, k, percent))
+    for some in inside:
+        edges = edges.unionByName(some)
+    return rows, components(edges)
+
+
+def _repeats(docs: DataFrame) -> bool:
+    return not docs.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+
+
+def _key(id: Column, text: Column) -> Column:
+    """What stands for the id where ids repeat: a 64-bit hash of id and text, so that each text is judged for itself."""
+    return F.when(id.isNotNull(), F.xxhash64(id, F.coalesce(text, F.lit(""))))
+
+
+def join(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, wide: int = WIDE) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row; a link is 100 * intersection >= percent * union."""
+    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    if not _repeats(docs):
+        rows, found = _joined(docs, k, percent, bits, wide)
+        out = rows.join(found.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
+        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    keys = materialize(docs.select(F.col("id").alias("doc_id"), _key(F.col("id"), F.col("text")).alias("key")), "keys")
+    rows, found = _joined(docs.select(_key(F.col("id"), F.col("text")).alias("id"), "text"), k, percent, bits, wide)
+    ids = keys.where("key is not null").distinct()
+    same = ids.groupBy("doc_id").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
+    merged = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(ids.join(same, "doc_id").select(F.col("key").alias("a"), "b")))
+    named = materialize(ids.join(merged, ids["key"] == merged["id"], "left").select("doc_id", "key", F.coalesce("component", "key").alias("c")), "named")
+    least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "c").select("doc_id", "key", "component_id")
+    sizes = rows.where("id is not null").select("id", "n").distinct()
+    whole = keys.where("key is not null").join(named, ["doc_id", "key"]).join(sizes, F.col("key") == F.col("id")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return whole.unionByName(rows.where("id is null").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, wide: int = WIDE) -> DataFrame:
+    """The rows, with all their columns, but for those of whose group another with a smaller id stays.
+
+    Where ids repeat, each row is judged by its own text: of rows with one id and one text one stays, and rows with one id but unlike texts
+    all stay. Rows without words or without an id stay."""
+    name = f"__gone_{uuid.uuid4().hex}"
+    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    if not _repeats(docs):
+        gone = _joined(docs, k, percent, bits, wide)[1].where("id != component").select(F.col("id").alias(name))
+        return df.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
+    keyed = docs.select(_key(F.col("id"), F.col("text")).alias("id"), "text")
+    rows, found = _joined(keyed, k, percent, bits, wide)
+    ids = docs.where("id is not null").select(F.col("id").alias("doc_id"), _key(F.col("id"), F.col("text")).alias("key")).distinct()
+    first = ids.join(found, ids["key"] == found["id"]).select("doc_id", "key", "component")
+    stays = first.groupBy("component").agg(F.min(F.struct("doc_id", "key"))["key"].alias("stays"))
+    gone = materialize(first.join(stays, "component").where("key != stays").select(F.col("key").alias(name)), "gone")
+    some = materialize(rows.where("n > 0 and id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(name)), "again")
+    columns = df.columns
+    marked = df.withColumn(name + "k", _key(F.col(doc_id).cast("long"), F.col(text).cast("string")))
+    kept = marked.join(gone, F.col(name + "k") == F.col(name), "left_anti")
+    again = kept.join(some, F.col(name + "k") == F.col(name), "left_semi").dropDuplicates([name + "k"])
+    return kept.join(some, F.col(name + "k") == F.col(name), "left_anti").unionByName(again).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
