@@ -1,11 +1,12 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
-A document's ids (its end id included) fill whole windows as far as they go; the rest is cut into pieces of at most
-`piece` ids. Pieces gather in a pool inside the task that tokenized them. When a pool holds `pool` windows' worth of ids,
+A document's ids (its end id included) are one piece; one of more than `piece` ids is cut into near-equal pieces of at most half as many.
+Pieces gather in a pool inside the task that tokenized them. When a pool holds `pool` windows' worth of ids,
 differencing splits it into near-equal windows: every piece starts as a partial partition, and the two partitions with the largest
-imbalance are merged with the largest sums of one against the smallest of the other, until one is left. If a window
-would exceed the capacity, the number of windows rises and the pool is split again. What the last pool of a task has
-beyond its full windows goes into windows whose lengths are powers of two, which are not padded.
+imbalance are merged with the largest sums of one against the smallest of the other, until one is left. Where a window's sum
+exceeds the capacity, the ids beyond it are cut off and stay in the pool, so that the number of windows rises by what they
+need; nothing else is cut. What the last pool of a task has beyond its full windows goes into windows whose lengths are
+powers of two, which are not padded.
 
 Tokenizing and packing are one pass over the scan without any shuffle, so no key can be hot; a pool is all that a task
 holds. Sequence ids are partition << 33 plus a running number, hence equal when a lost task runs again.
@@ -27,88 +28,122 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import claim
+from fernglass.llm._shared import claim, slices
 
-CAPACITY, END, PIECE, POOL = 4096, 2, 512, 192
-#: Share of the capacity at which differencing starts, and the padding from which the last pool sheds ids.
-FILL, PADDING = 0.997, 0.01
+CAPACITY, END, PIECE, POOL = 4096, 2, 4096, 192
 #: Rows and bytes of ids after which a task hands on a batch.
 BATCH_ROWS, BATCH_BYTES = 10_000, 8_000_000
+#: Characters that are tokenized together.
+SLICE_CHARS = 4_000_000
 
 # Characters whose normal form and lower case do not depend on their neighbours, and the tokenizer's own words among them.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+_LINES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
+
+class Known:
+    """Ids of strings by their numbers, in one array; beyond `limit` strings the half that was used least goes."""
+
+    def __init__(self, limit: int, dtype: type):
+        self.limit, self.number = limit, {}
+        self.ids, self.at, self.used = np.zeros(0, dtype), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(names, range(len(self.used), len(self.used) + len(names)), strict=True))
+        self.ids, self.at = np.concatenate([self.ids, ids.astype(self.ids.dtype)]), np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.used = np.concatenate([self.used, np.zeros(len(names), np.int64)])
+
+    def shed(self) -> None:
+        if len(self.used) > self.limit:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+            names = list(self.number)
+            sizes = (self.at[1:] - self.at[:-1])[keep]
+            ids, used = self.of(keep)[0], self.used[keep] // 2
+            self.__init__(self.limit, self.ids.dtype.type)
+            self.add([names[i] for i in keep.tolist()], ids, sizes)
+            self.used = used
+
+    def missing(self, names: list[str]) -> list[str]:
+        return [n for n in names if n not in self.number]
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings one after the other, and how many each has."""
+        first, sizes = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
+        return self.ids[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], sizes
 
 
 class Ids:
     """Ids of texts as little-endian bytes, through caches of words; the same as the tokenizer's own for the whole text.
 
     Texts of plain characters are cut at white space, which the tokenizer drops, and unknown parts into the tokenizer's
-    words here; unknown words go to its model together. Any other text goes to the tokenizer whole. A full cache of
-    parts is emptied; one of words becomes the old generation, which is asked before the model."""
+    words here; unknown words go to its model together. Distinct parts of many texts are looked up once. Any other text goes
+    to the tokenizer whole."""
 
     def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer = Tokenizer.from_file(path)
         self.words_only = Tokenizer.from_file(path)  # for words that are normal already
         self.words_only.normalizer = normalizers.Sequence([])
         self.words_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.parts: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        kind = np.uint16 if len(self.last) <= 1 << 16 else np.uint32
+        self.parts, self.words = Known(limit, kind), Known(limit // 2, kind)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        known, old, new = self.known, self.old, []
-        for w in words:
-            if w not in known:
-                if (raw := old.get(w)) is None:
-                    new.append(w)
-                else:
-                    known[w] = raw
+    def _learn_words(self, new: list[str]) -> None:
+        found, sizes = [], []
         for at in range(0, len(new), 256):
             some = new[at : at + 256]
             ids = np.array(self.words_only.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(some):
-                raw, ends = ids.tobytes(), (4 * ends).tolist()
-                known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
-            else:
-                known.update((w, self.whole(w)) for w in some)
+            if len(ends) != len(some):
+                each = [self.whole(w) for w in some]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            found.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        if new:
+            self.words.add(new, np.concatenate(found), np.concatenate(sizes))
+
+    def _learn_parts(self, new: list[str]) -> None:
+        # One line for each part: line ends are words of their own here.
+        words = pa.array(_LINES.findall("\n".join(new)), pa.string()).dictionary_encode()
+        names = words.dictionary.to_pylist()
+        self.words.shed()
+        self._learn_words([w for w in self.words.missing(names) if w != "\n"])
+        of = np.array([-1 if w == "\n" else self.words.number[w] for w in names], np.int64)[words.indices.to_numpy()]
+        part = np.cumsum(of < 0)[of >= 0]
+        of = of[of >= 0]
+        self.words.used += np.bincount(of, minlength=len(self.words.used))
+        ids, sizes = self.words.of(of)
+        self.parts.add(new, ids, np.bincount(part, sizes, len(new)).astype(np.int64))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [t.lower().split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        found = [list(map(self.parts.get, c)) if c is not None else None for c in cut]
-        new: dict[str, bytes | None] = {}
-        gaps = []  # (row, place) of parts that are not in the cache
-        for row, values in enumerate(found):
-            at = -1
-            for _ in range(values.count(None) if values else 0):
-                at = values.index(None, at + 1)
-                gaps.append((row, at))
-                new[cut[row][at]] = None
-        words = {part: _WORDS.findall(part) for part in new}
-        self._learn({w for some in words.values() for w in some})
-        get = self.known.__getitem__
-        new.update((part, b"".join(map(get, some))) for part, some in words.items())
-        for row, at in gaps:
-            found[row][at] = new[cut[row][at]]
-        self.parts.update(new)
-        if len(self.parts) > self.limit:
-            self.parts = {}
-        if len(self.known) > self.limit:
-            self.known, self.old = {}, self.known
-        return [b"".join(values) if values is not None else self.whole(t) for values, t in zip(found, texts, strict=True)]
+        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        cut = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string())))
+        parts = cut.flatten().dictionary_encode()
+        names = parts.dictionary.to_pylist()
+        self.parts.shed()
+        if new := self.parts.missing(names):
+            self._learn_parts(new)
+        numbers = self.parts.numbers(names)[parts.indices.to_numpy()]
+        self.parts.used += np.bincount(numbers, minlength=len(self.parts.used))
+        ids, sizes = self.parts.of(numbers)
+        raw, ends = ids.astype("<u4").tobytes(), 4 * np.concatenate([[0], np.cumsum(sizes)])[cut.offsets.to_numpy()]
+        found = map(raw.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist()))
+        return [next(found) if p else self.whole(t).tobytes() for t, p in zip(texts, plain, strict=True)]
 
 
 @cache
@@ -156,16 +191,6 @@ def split(sizes: list[int], ways: int) -> list[list[int]]:
     return parts
 
 
-def windows(sizes: list[int], capacity: int = CAPACITY, fill: float = FILL) -> list[list[int]]:
-    """Parts with sums of at most `capacity`; their number rises until that holds."""
-    ways = max(1, -(-sum(sizes) // max(1, int(capacity * fill))))
-    while True:
-        parts = split(sizes, ways)
-        if (most := max((sum(sizes[i] for i in p) for p in parts), default=0)) <= capacity:
-            return parts
-        ways = max(ways + 1, -(-ways * most // capacity))
-
-
 class Packer:
     """Takes documents, gives rows (doc, start, length, crc, doc_tokens, sequence, offset); with `ids`, the ids' bytes instead of their crc."""
 
@@ -175,30 +200,38 @@ class Packer:
         self.size = 0
 
     def add(self, doc: int | None, raw: bytes) -> Iterator[tuple]:
-        total, at = len(raw) // 4, 0
-        while total - at >= self.capacity:
-            yield self._row((doc, at, raw[4 * at : 4 * (at + self.capacity)], total), 0)
-            self.next += 1
-            at += self.capacity
-        while at < total:
-            to = min(total, at + self.piece)
-            self.held.append((doc, at, raw[4 * at : 4 * to], total))
-            self.size += to - at
-            at = to
+        total = len(raw) // 4
+        ways = 1 if total <= self.piece else -(-2 * total // self.piece)
+        at = [4 * (total * i // ways) for i in range(ways + 1)]
+        self.held += [(doc, a // 4, raw[a:b], total) for a, b in zip(at, at[1:])]
+        self.size += total
         if self.size >= self.pool:
-            yield from self.flush()
+            yield from self._flush(round(self.size / self.capacity))
 
     def _row(self, item: tuple, offset: int) -> tuple:
         doc, start, raw, total = item
         return doc, start, len(raw) // 4, raw if self.ids else zlib.crc32(raw), total, self.next, offset
 
     def _emit(self, items: list[tuple]) -> Iterator[tuple]:
+        """A window; ids beyond the capacity are cut off and stay in the pool."""
         offset = 0
         for item in items:
-            yield self._row(item, offset)
-            offset += len(item[2]) // 4
+            doc, start, raw, total = item
+            room = self.capacity - offset
+            if len(raw) > 4 * room:
+                self.held.append((doc, start + room, raw[4 * room :], total))
+                self.size += len(raw) // 4 - room
+                item = doc, start, raw[: 4 * room], total
+            if item[2]:
+                yield self._row(item, offset)
+                offset += len(item[2]) // 4
         self.next += 1
 
+    def _flush(self, ways: int) -> Iterator[tuple]:
+        held, self.held, self.size = self.held, [], 0
+        for part in split([len(h[2]) // 4 for h in held], ways):
+            yield from self._emit([held[i] for i in part])
+
     def _shed(self, n: int) -> list[tuple]:
         """n ids from the end of the pool, the last piece cut where needed."""
         out = []
@@ -207,35 +240,18 @@ class Packer:
             if len(raw) > 4 * n:
                 cut = len(raw) - 4 * n
                 self.held.append((doc, start, raw[:cut], total))
-                doc, start, raw = doc, start + cut // 4, raw[cut:]
+                start, raw = start + cut // 4, raw[cut:]
             out.append((doc, start, raw, total))
             n -= len(raw) // 4
             self.size -= len(raw) // 4
         return out
 
-    def _settle(self) -> Iterator[tuple]:
-        """Empty the last pool: what does not fill a window is shed in powers of two, as is more if windows come out too large."""
-        fill = FILL
+    def flush(self) -> Iterator[tuple]:
+        """Empty the pool: full windows as long as there are ids for one, then windows of powers of two."""
+        while self.size >= self.capacity:
+            yield from self._flush(self.size // self.capacity)
         while self.size:
-            whole, over = divmod(self.size, int(self.capacity * fill))
-            if over and (not whole or self.capacity - over > PADDING * self.size):
-                yield from self._emit(self._shed(1 << (over.bit_length() - 1)))
-                continue
-            parts = split([len(h[2]) // 4 for h in self.held], whole + bool(over))
-            if max(sum(len(self.held[i][2]) // 4 for i in p) for p in parts) <= self.capacity:
-                for part in parts:
-                    yield from self._emit([self.held[i] for i in part])
-                self.held, self.size = [], 0
-            elif (fill := fill - 0.005) < 0.9:
-                return
-
-    def flush(self, last: bool = False) -> Iterator[tuple]:
-        if last:
-            yield from self._settle()
-        if self.held:
-            for part in windows([len(h[2]) // 4 for h in self.held], self.capacity):
-                yield from self._emit([self.held[i] for i in part])
-        self.held, self.size = [], 0
+            yield from self._emit(self._shed(1 << (self.size.bit_length() - 1)))
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -266,14 +282,14 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
         size = 0
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 200):
-                for doc, raw in zip(docs[at : at + 200], ids.of([t or "" for t in texts[at : at + 200]]), strict=True):
+            for start, stop in slices(texts, SLICE_CHARS):
+                for doc, raw in zip(docs[start:stop], ids.of([t or "" for t in texts[start:stop]]), strict=True):
                     rows += packer.add(doc, raw + last)
                     size += len(raw)
                 if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
                     yield from map(out, parts(rows))
                     rows, size = [], 0
-        rows += packer.flush(True)
+        rows += packer.flush()
         yield from map(out, parts(rows))
 
     packed = df.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
