@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,11 +29,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 _NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)"
-#: Names that announce a credential, more than those of ASSIGN, and values with any printable characters. Only the name is
-#: consumed, so that a name which stands in the place of another one's value has its own value.
-CONTEXT = re.compile(rf"""(?ai){_NAME}(?=["']?\x20*(:=|=>|[:=]|\x20is\x20|\x20)\x20*(?:"([^"\s]{{6,}})"|'([^'\s]{{6,}})'|([^\s"',;]{{6,}})))""")
-#: An unquoted value that is the name of the next one.
+#: Names that announce a credential, more than those of ASSIGN, and values with any printable characters; of an unquoted value the
+#: first one. Only the name is consumed, so that a name which stands in the place of another one's value has its own value. Blanks are
+#: taken without going back, so the time is in proportion to the text.
+CONTEXT = re.compile(rf"""(?ai){_NAME}(?=["']?(\x20*+(?::=|=>|[:=])|\x20++is\x20|\x20)\x20*+(?:"([^"\s]{{6,}})"|'([^'\s]{{6,}})'|([^\s"',;])))""")
+#: A name with its separator: an unquoted value ends before the next one.
 NAMED = re.compile(rf"(?ai){_NAME}(?::=|=>|[:=])")
+_END = re.compile(r"""[\s"',;]""")
 #: Letters that are no word of prose; asked of unquoted values of letters only after a bare space.
 MIXED = re.compile(r"[^\W\d_A-Z][A-Z]")
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
@@ -54,7 +57,12 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrs
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LONGEST = max(map(len, WORDS))
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
-DATE = re.compile(r"(?a)(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
+DATES = (
+    re.compile(r"(?a)(?=((?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])))"),
+    re.compile(r"(?a)(?=((?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d))"),
+    re.compile(r"(?a)(?=((?:19|20)\d\d))"),
+)
+DAYS, YEARS, KEYS = 365 * 120, 120, 4 * sum(map(len, ROWS))
 _NEXT = {a + b for row in ROWS for a, b in (*zip(row, row[1:]), *zip(row[1:], row))}
 
 
@@ -67,6 +75,36 @@ def _classes(part: str) -> int:
     return sum(n for n, p in ((26, r"[a-z]"), (26, r"[A-Z]"), (10, r"[0-9]"), (33, r"[^A-Za-z0-9]")) if re.search(p, part))
 
 
+def _cheapest(stack: list[tuple[float, int]], end: int) -> tuple[float, int]:
+    """Price and start of the cheapest segment of a run that ends at `end`. `stack` has (price at the start, start), latest starts last.
+
+    A segment's own cost is log10 of its length, so an earlier start gains on a later one as both grow: one that has caught up with those above
+    it stays ahead of them, and they go for good."""
+    top = stack[-1][0] + math.log10(end - stack[-1][1]), stack[-1][1]
+    while len(stack) > 1 and (below := stack[-2][0] + math.log10(end - stack[-2][1])) <= top[0]:
+        stack.pop()
+        top = below, stack[-1][1]
+    return top
+
+
+def _push(stack: list[tuple[float, int]], price: float, start: int, end: int) -> None:
+    """Add a start. `end` is the first end it can have; one that is not cheaper there never will be. A start between two others that would
+    be caught up with by the earlier one before it catches up with the later one is never the cheapest."""
+    if stack and _cheapest(stack, end)[0] <= price + math.log10(end - start):
+        return
+    while len(stack) > 1 and _meet(stack[-2], stack[-1]) <= _meet(stack[-1], (price, start)):
+        stack.pop()
+    stack.append((price, start))
+
+
+def _meet(early: tuple[float, int], late: tuple[float, int]) -> float:
+    """The end from which a segment with the earlier start is as cheap as one with the later start."""
+    if early[0] >= late[0] + 300:
+        return math.inf
+    ratio = 10 ** (late[0] - early[0])  # of the lengths, early to late
+    return math.inf if ratio <= 1 else (ratio * late[1] - early[1]) / (ratio - 1)
+
+
 def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses that the cheapest segmentation of a value takes, and its (kind, start, end) segments.
 
@@ -79,37 +117,39 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     low = value.lower()
     low = low if len(low) == n else value
     plain = low.translate(LEET)
-    per = math.log10(max(2, _classes(value)))
+    per, more = math.log10(max(2, _classes(value))), math.log10(2)
     ends: dict[int, list[tuple[int, str, float]]] = {}
 
     def offer(kind: str, start: int, end: int, cost: float) -> None:
         ends.setdefault(end, []).append((start, kind, cost))
 
-    for text, more in ((low, 0.0), *(((plain, math.log10(2)),) if plain != low else ())):
+    for text, leet in ((low, 0.0), *(((plain, more),) if plain != low else ())):
         for start in range(n):
             for end in range(start + 3, min(n, start + LONGEST) + 1):
                 if rank := RANK.get(text[start:end]):
-                    offer("word", start, end, math.log10(rank) + more + (math.log10(2) if value[start:end] != low[start:end] else 0))
-    for m in DATE.finditer(value):
-        offer("date", m.start(), m.end(), math.log10(365 * 120) if m.end() - m.start() > 4 else math.log10(120))
-    for kind, joined in (("repeat", lambda a, b: a == b), ("walk", lambda a, b: a + b in _NEXT)):
-        start = 0
-        for i in range(1, n + 1):
-            if i == n or not joined(low[i - 1], low[i]):
-                for cut in range(start, max(start, i - 2) if i - start <= 32 else start + 1):
-                    offer(kind, cut, i, math.log10((i - cut) * (per and 10**per if kind == "repeat" else 4 * sum(map(len, ROWS)))))
-                start = i
-    # A brute-force span grows by one character at the alphabet's price; best[i] is by whether the last segment is brute.
-    more = math.log10(2)
+                    offer("word", start, end, math.log10(rank) + leet + (more if value[start:end] != low[start:end] else 0))
+    for date, guesses in zip(DATES, (DAYS, DAYS, YEARS), strict=True):
+        for m in date.finditer(value):
+            offer("date", *m.span(1), math.log10(guesses))
     best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+    before = lambda at: best[at][0] + (more if at else 0.0)  # noqa: E731  what a segment that starts here adds to
+    # A brute-force span grows by one character at the alphabet's price; open_ is the cheapest that ends here.
     open_: tuple[float, int] = (math.inf, 0)
+    runs = [("repeat", per, [], 0), ("walk", math.log10(KEYS), [], 0)]
     for i in range(1, n + 1):
-        fresh = best[i - 1][0] + (more if i > 1 else 0.0)
-        open_ = min(open_, (fresh, i - 1))
+        open_ = min(open_, (before(i - 1), i - 1))
         open_ = (open_[0] + per, open_[1])
         choice = (open_[0], open_[1], "brute")
         for start, kind, cost in ends.get(i, ()):
-            choice = min(choice, (best[start][0] + cost + (more if start else 0.0), start, kind))
+            choice = min(choice, (before(start) + cost, start, kind))
+        for at, (kind, price, stack, first) in enumerate(runs):
+            if i > 1 and not (low[i - 2] == low[i - 1] if kind == "repeat" else low[i - 2 : i] in _NEXT):
+                stack, first = [], i - 1
+                runs[at] = kind, price, stack, first
+            if i - 3 >= first:
+                _push(stack, before(i - 3), i - 3, i)
+                cost, start = _cheapest(stack, i)
+                choice = min(choice, (cost + price, start, kind))
         best.append(choice)
     parts, at = [], n
     while at:
@@ -131,13 +171,28 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def context_values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values of 6 characters or more that credential names announce."""
+    named = [m.start() for m in NAMED.finditer(text)]
+    for m in CONTEXT.finditer(text):
+        if m.lastindex < 4:
+            yield m.span(m.lastindex)
+            continue
+        start, after = m.start(4), bisect_right(named, m.start(4) - 1)
+        limit = named[after] if after < len(named) else len(text)
+        end = found.start() if (found := _END.search(text, start, limit)) else limit
+        value = text[start:end]
+        if end - start >= 6 and not (m[1] == "\x20" and value.isalpha() and not MIXED.search(value)):
+            yield start, end
+
+
 def all_spans(text: str, least: float = LEAST) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The base spans, and these with the spans of costly values in credential contexts, both in order."""
     low = text.lower()
     base = base_spans(text, low)
     found = set()
     if any(h in low for h in HINTS):
-        values = [m.span(m.lastindex) for m in CONTEXT.finditer(text) if m.lastindex < 4 or not (NAMED.fullmatch(m[4]) or m[1] == "\x20" and m[4].isalpha() and not MIXED.search(m[4]))]
+        values = list(context_values(text))
         values += [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         found = {(s, e, "guess") for s, e in set(values) if guess_cost(text[s:e])[0] >= least}
     return base, sorted([*base, *found], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
