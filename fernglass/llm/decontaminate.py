@@ -1,11 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Test items and documents are words (letters and digits, lower-cased). A seed is a run of `SEED` words of an item that is
-rare beforehand: under the word frequencies of the whole corpus, independently drawn words would give it at most `EXPECT`
-times in the corpus. Frequencies are counted over all documents, for the items' words only, so copying an item a thousand times does
+Test items and documents are words (letters and digits, lower-cased). From each place of an item a seed runs as far as it takes to be
+rare, 2 words at least and `SEED` at most: under the word frequencies of the whole corpus, independently drawn words would give it to at most `RATE` of
+the corpus's places. That is a share, so the seeds of an item, and with them what is found, do not depend on how large the corpus is.
+Frequencies are counted over all documents, for the items' words only, so copying an item a thousand times does
 not make its seeds common. Where a seed meets a document, the item is aligned with the words around it; windows of
 one item that overlap are joined. The local alignment's score over the score of a full match is the row's `score`, and rows from
-`LEAST` on are reported. An item with fewer than `SEED` words, or without a rare seed, is sought by its whole word sequence.
+`LEAST` on are reported, if `SEED` words' worth of score is reached too. A copy is missed only if every two or more neighbours that make a
+seed were parted by its edits; tests hold what is found against aligning everything. An item with fewer than `SEED` words is sought
+by its whole word sequence.
 
 Items come to the driver in blocks of at most `ITEM_CHARS` characters; each block is a stated query set that runs against all
 documents, whatever the number of blocks. Each block is one pass over the scan; nothing of the documents is shuffled.
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import claim, map_arrow
+from fernglass.llm._shared import claim, map_arrow, slices
 
 WORDS = re.compile(r"[^\W_]+")
-SEED, EXPECT, LEAST, ITEM_CHARS = 4, 0.05, 0.4, 4_000_000
+SEED, RATE, LEAST, ITEM_CHARS = 4, 1e-6, 0.4, 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words of the windows that are aligned side by side, the shorter ones padded.
+AREA = 100_000
 
 
 def words(text: str | None) -> list[str]:
@@ -71,64 +76,110 @@ def align(item: np.ndarray, windows: list[np.ndarray]) -> list[tuple[int, int, i
     return []
 
 
+def _side_by_side(sizes: list[int], area: int = AREA) -> Iterator[list[int]]:
+    """Windows in groups whose number times their longest is at most `area` (or one window), short ones first."""
+    group: list[int] = []
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if group and (len(group) + 1) * sizes[i] > area:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 class Items:
     """A block of items: numbers of their words, seeds and where in which items they stand."""
 
-    def __init__(self, items: list[tuple[int | None, str]], counts: dict[str, int], total: int, seed: int = SEED, expect: float = EXPECT):
+    def __init__(self, items: list[tuple[int | None, str]], counts: dict[str, int], total: int, seed: int = SEED, rate: float = RATE):
         self.ids, lists = [i for i, _ in items], [words(t) for _, t in items]
+        self.seed = seed
         self.numbers = {w: n for n, w in enumerate(sorted({w for some in lists for w in some}), 1)}
         self.items = [np.array([self.numbers[w] for w in some], np.int64) for some in lists]
         share = np.zeros(len(self.numbers) + 1)
         for w, n in self.numbers.items():
             share[n] = max(counts.get(w, 0), 1) / max(total, 1)
-        self.by_length: dict[int, dict[bytes, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        by_length: dict[int, dict[bytes, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for k, item in enumerate(self.items):
-            rare = [i for i in range(len(item) - seed + 1) if total * np.prod(share[item[i : i + seed]]) <= expect]
-            for i in rare:
-                self.by_length[seed][item[i : i + seed].tobytes()].append((k, i))
-            if not rare and len(item):
-                self.by_length[len(item)][item.tobytes()].append((k, 0))
-        self.by_length = {n: dict(found) for n, found in self.by_length.items()}
+            n = len(item)
+            if 0 < n < seed:
+                by_length[n][item.tobytes()].append((k, 0))
+            for i in range(n - 1 if n >= seed else 0):
+                size = next((size for size in range(2, seed) if i + size <= n and np.prod(share[item[i : i + size]]) <= rate), seed)
+                if i + size <= n:
+                    by_length[size][item[i : i + size].tobytes()].append((k, i))
+        self._there = np.zeros(len(self.numbers) + 1, bool)
+        self.by_length = {n: dict(found) for n, found in by_length.items()}
         self._hashes = {n: np.unique([_roll(np.frombuffer(key, np.int64), n)[0] for key in found]) for n, found in self.by_length.items()}
+        self._bits = {n: np.zeros(1 << 20, bool) for n in self._hashes}
+        for n, hashes in self._hashes.items():
+            self._bits[n][(hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def seeds(self, numbers: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, place in it, place in the document) of each seed in a document's word numbers (0: not an item's word)."""
+        """(item, place in it, place in the text) of each seed in word numbers (0: not an item's word)."""
         out = []
         for n, known in self.by_length.items():
             if len(numbers) >= n:
-                inside = np.flatnonzero(np.convolve(numbers == 0, np.ones(n, np.int64), "valid") == 0) if n > 1 else np.flatnonzero(numbers)
-                if len(inside):
-                    hashes = _roll(numbers, n)[inside]
-                    slot = np.minimum(np.searchsorted(self._hashes[n], hashes), len(self._hashes[n]) - 1)
-                    for at in inside[self._hashes[n][slot] == hashes].tolist():
-                        out += [(k, i, at) for k, i in known.get(numbers[at : at + n].tobytes(), ())]
+                live = numbers > 0
+                inside = live[: len(live) - n + 1].copy()
+                for i in range(1, n):
+                    inside &= live[i : len(live) - n + 1 + i]
+                inside = np.flatnonzero(inside)
+                hashes = _roll(numbers, n)[inside]
+                maybe = self._bits[n][(hashes >> np.uint64(44)).astype(np.int64)]
+                inside, hashes = inside[maybe], hashes[maybe]
+                slot = np.minimum(np.searchsorted(self._hashes[n], hashes), len(self._hashes[n]) - 1)
+                for at in inside[self._hashes[n][slot] == hashes].tolist():
+                    out += [(k, i, at) for k, i in known.get(numbers[at : at + n].tobytes(), ())]
         return out
 
     def matches(self, text: str | None, least: float = LEAST) -> list[tuple[int, float, int, int, int]]:
         """(item, score, seeds, first word, end word) of the document's best passage for each item, from `least` on."""
-        some = words(text)
-        numbers = np.fromiter((self.numbers.get(w, 0) for w in some), np.int64, len(some))
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, i, at in self.seeds(numbers):
-            n = len(self.items[k])
-            found[k].append((max(0, at - i - n // 4 - 2), min(len(some), at - i + n + n // 4 + 2)))
+        return next(self.all_matches([text], least))
+
+    def all_matches(self, texts: list[str | None], least: float = LEAST) -> Iterator[list[tuple[int, float, int, int, int]]]:
+        """`matches` of each text. Seeds of many texts are sought together."""
+        for start, stop in slices(texts):
+            lists = [words(t) for t in texts[start:stop]]
+            ends = np.cumsum([len(some) + 1 for some in lists])  # a 0 parts one text from the next
+            get = self.numbers.get
+            numbers = np.fromiter((get(w, 0) for some in lists for w in (*some, "")), np.int64, int(ends[-1]))
+            found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+            hits = self.seeds(numbers)
+            for (k, i, at), doc in zip(hits, np.searchsorted(ends, [h[2] for h in hits], "right").tolist(), strict=True):
+                found[doc][k].append(at - i)
+            for doc, some in enumerate(lists):
+                first = int(ends[doc]) - len(some) - 1
+                yield self._best(numbers[first : first + len(some)], {k: [at - first for at in places] for k, places in found.get(doc, {}).items()}, least)
+
+    def _common(self, k: int, window: np.ndarray) -> int:
+        """Words of an item that a window has: as many as can be matched at most."""
+        self._there[window] = True
+        n = int(self._there[self.items[k]].sum())
+        self._there[window] = False
+        return n
+
+    def _best(self, numbers: np.ndarray, found: dict[int, list[int]], least: float) -> list[tuple[int, float, int, int, int]]:
+        """found: for each item the places in the text where it would start if a seed's words are all at their own distance."""
         out = []
-        for k, ranges in found.items():
+        for k, places in sorted(found.items()):
+            n = len(self.items[k])
             joined: list[list[int]] = []
-            for start, end in sorted(ranges):
+            for at in sorted(places):
+                start, end = max(0, at - n // 4 - 2), min(len(numbers), at + n + n // 4 + 2)
                 if joined and start <= joined[-1][1]:
                     joined[-1][1] = max(joined[-1][1], end)
                 else:
                     joined.append([start, end])
-            full = MATCH * len(self.items[k])
-            best = None
-            for at in range(0, len(joined), 256):
-                part = joined[at : at + 256]
-                for (start, _), (score, a, b) in zip(part, align(self.items[k], [numbers[s:e] for s, e in part]), strict=True):
-                    if best is None or score > best[0]:
-                        best = score, start + a, start + b
-            if best and best[0] >= least * full:
-                out.append((k, best[0] / full, len(ranges), best[1], best[2]))
+            full, best = MATCH * n, None
+            enough = max(least * full, min(full, MATCH * self.seed))
+            joined = [(start, end) for start, end in joined if MATCH * self._common(k, numbers[start:end]) >= enough]
+            for group in _side_by_side([e - s for s, e in joined]):
+                for j, (score, a, b) in zip(group, align(self.items[k], [numbers[slice(*joined[j])] for j in group]), strict=True):
+                    if best is None or (-score, joined[j][0] + a) < (-best[0], best[1]):
+                        best = score, joined[j][0] + a, joined[j][0] + b
+            if best and best[0] >= enough:
+                out.append((k, best[0] / full, len(places), best[1], best[2]))
         return out
 
 
@@ -175,16 +226,17 @@ def _counted(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int]:
 SCHEMA = "doc_id long, item_id long, score double, seeds int, first_word long, end_word long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", seed: int = SEED, expect: float = EXPECT, least: float = LEAST, limit: int = ITEM_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", seed: int = SEED, rate: float = RATE, least: float = LEAST, limit: int = ITEM_CHARS) -> DataFrame:
     """doc_id, item_id, score (0 to 1), number of seeds, and the passage's words [first_word, end_word) in the document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
     out = None
     for block in _blocks(benchmark, text, item_id, limit):
-        items = spark.sparkContext.broadcast(Items(block, *_counted(rows, {w for _, t in block for w in words(t)}), seed, expect))
+        items = spark.sparkContext.broadcast(Items(block, *_counted(rows, {w for _, t in block for w in words(t)}), seed, rate))
 
         def run(batch: pa.RecordBatch, items=items) -> Iterator[pa.RecordBatch]:
-            found = [(doc, items.value.ids[k], *rest) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, *rest in items.value.matches(text, least)]
+            claim("decontamination")
+            found = [(doc, items.value.ids[k], *rest) for doc, some in zip(batch.column(0).to_pylist(), items.value.all_matches(batch.column(1).to_pylist(), least), strict=True) for k, *rest in some]
             columns = list(zip(*found, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "seeds", "first_word", "end_word"])
@@ -197,17 +249,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 def _clean(items, least: float):
     @F.pandas_udf("boolean")
     def clean(texts):
-        return texts.map(lambda t: not items.value.matches(t, least)).astype(bool)
+        import pandas as pd
+
+        claim("decontamination")
+        return pd.Series([not some for some in items.value.all_matches(texts.tolist(), least)], dtype=bool)
 
     return clean
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", seed: int = SEED, expect: float = EXPECT, least: float = LEAST, limit: int = ITEM_CHARS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", seed: int = SEED, rate: float = RATE, least: float = LEAST, limit: int = ITEM_CHARS) -> DataFrame:
     """The rows, with all their columns, in which no item is found."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text).cast("string").alias("t"))
     for block in _blocks(benchmark, item_text, item_id, limit):
-        items = spark.sparkContext.broadcast(Items(block, *_counted(rows, {w for _, t in block for w in words(t)}), seed, expect))
+        items = spark.sparkContext.broadcast(Items(block, *_counted(rows, {w for _, t in block for w in words(t)}), seed, rate))
 
         docs = docs.where(_clean(items, least)(F.col(text).cast("string")))
     return docs

@@ -390,6 +390,34 @@ def test_alignment_equals_the_plain_recurrence(seed):
             assert _plain_alignment(item, w[start:end]) == score
 
 
+@pytest.mark.parametrize("total", (10**5, 10**13))
+@pytest.mark.parametrize("size,share", [(15, 0.2), (15, 0.3), (40, 0.2), (40, 0.3), (40, 0.4)])
+def test_recall_against_aligning_everything(size, share, total):
+    """Copies with replaced words: of those that a whole alignment reports, nearly all have a seed, whatever the corpus's size."""
+    rng = random.Random(size * total)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    counts = {w: max(1, int(total * x / sum(weights))) for w, x in zip(vocabulary, weights, strict=True)}
+    draw = lambda n: rng.choices(vocabulary, weights, k=n)
+    texts = [draw(size) for _ in range(60)]
+    items = decontaminate.Items([(i, " ".join(t)) for i, t in enumerate(texts)], counts, total)
+    found = there = 0
+    for k, item in enumerate(texts):
+        copy = [w if rng.random() > share else f"new{rng.randrange(99)}" for w in item]
+        doc = draw(60) + copy + draw(60)
+        numbers = np.array([items.numbers.get(w, 0) for w in doc])
+        score = decontaminate.align(items.items[k], [numbers])[0][0]
+        if score >= max(0.4 * 2 * size, 8):
+            there += 1
+            found += k in [m[0] for m in items.matches(" ".join(doc))]
+    assert there >= 20 and found >= 0.97 * there, (found, there)
+
+
+def test_long_windows_are_aligned_apart():
+    groups = list(decontaminate._side_by_side([10] * 255 + [90_000, 300_000]))
+    assert sorted(i for g in groups for i in g) == list(range(257)) and [len(g) for g in groups] == [255, 1, 1]
+
+
 def test_edited_copies_are_found_and_common_words_are_not():
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
