@@ -2,13 +2,14 @@
 
 A word is the letters of a part between white space. Its features are its prefixes and suffixes (up to 3 characters
 and a boundary mark), its inner n-grams (2 and 3 characters) and, from a lexicon of frequent training words, the word itself. Each feature has a weight for each language, and
-each pair of neighbouring languages a learned transition. Chains are runs of at most `CHAIN` words, so that code-switched text
-is labelled word by word: forward-backward gives each word's marginal probabilities. A text's score for a language is
-the mean of its words' marginals.
-
-Training takes whole texts of at most `docs_per_lang` labelled rows of each language (a documented bound, chosen by
-hash), cuts them into short runs, mixes runs of all languages into chains (that is where transitions between
-languages are seen) and climbs the exact gradient of the log-likelihood. Prediction is one pass over the scan without any
+each pair of neighbouring languages a learned transition. A text is one chain, so that code-switched text
+is labelled word by word: forward-backward gives each word's marginal probabilities. It goes block by block, `BLOCK` words at a time, side by side:
+each block's transfer matrix carries what stands before and after a block across it, so a long text's marginals are those of
+its whole chain. A text's score for a language is the mean of its words' marginals.
+
+Training takes whole texts of at most `docs_per_lang` labelled rows of each language, chosen by hash, and of these at most `words` words,
+as many of each language (both are documented bounds). It cuts them into short runs, mixes runs of all languages into chains of `BLOCK` words (that is
+where transitions between languages are seen) and climbs the exact gradient of the log-likelihood. Prediction is one pass over the scan without any
 shuffle; emission scores are cached by word.
 
 Null texts and texts without letters get `und` and score 0. Rows with null lang are not learned from; with no labelled row at
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fernglass.llm._shared import claim, crc_mod, map_arrow, slices
 
-CHAIN = 64
+BLOCK = 64
 DOCS_PER_LANG, TRAIN_WORDS, RUN, EPOCHS, RATE, DECAY = 250, 160_000, 12, 40, 0.3, 1e-5
 SEED = 11
 
@@ -49,14 +50,56 @@ def words_of(text: str) -> list[str]:
     return [w for part in text.lower().split() if (w := word_of(part))]
 
 
-def forward_backward(emit: np.ndarray, step: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def transfers(emit: np.ndarray, step: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """(blocks, labels, labels): weight of each label at a block's end after each label before the block, up to a factor for each block."""
+    blocks, length, labels = emit.shape
+    out = np.broadcast_to(np.eye(labels, dtype=emit.dtype), (blocks, labels, labels)).copy()
+    for t in range(length):
+        now = (out.reshape(-1, labels) @ step).reshape(out.shape) * emit[:, t, None]
+        now /= now.max((1, 2), keepdims=True)
+        out = np.where(live[:, t, None, None], now, out)
+    return out
+
+
+def carried(emit: np.ndarray, step: np.ndarray, live: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each block from the left and leaves it to the right, (blocks, labels) both, up to factors.
+
+    counts: blocks of each text, which stand one after the other."""
+    first = np.cumsum(counts) - counts
+    enter, leave = np.ones((len(emit), emit.shape[2]), emit.dtype), np.ones((len(emit), emit.shape[2]), emit.dtype)
+    follows = np.ones(len(emit), bool)
+    follows[first] = False
+    if not follows.any():
+        return enter, leave
+    across = np.empty((len(emit), emit.shape[2], emit.shape[2]), emit.dtype)
+    across[follows] = transfers(emit[follows], step, live[follows])
+    long = np.flatnonzero(counts > 1)
+    now = emit[first[long], 0]
+    for t in range(1, emit.shape[1]):  # the first of several blocks is full
+        now = (now @ step) * emit[first[long], t]
+        now /= now.sum(1, keepdims=True)
+    for b in range(1, int(counts.max())):
+        some = counts[long] > b
+        long, now = long[some], now[some]
+        at = first[long] + b
+        enter[at] = now @ step
+        now = np.einsum("ij,ijk->ik", now, across[at])
+        now /= now.sum(1, keepdims=True)
+    for b in range(int(counts.max()) - 1, 0, -1):
+        at = first[counts > b] + b
+        before = np.einsum("ijk,ik->ij", across[at], leave[at])
+        leave[at - 1] = before / before.max(1, keepdims=True)
+    return enter, leave
+
+
+def forward_backward(emit: np.ndarray, step: np.ndarray, live: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals (chains, length, labels), expected transitions (labels, labels) and log-likelihood normalizers by chain.
 
     emit: exp of emission scores (chains, length, labels); step: exp of transition scores; live: (chains, length) true for
-    words, which come first in each chain."""
+    words, which come first in each chain; enter and leave: what stands before and after a chain, if it is a block of one."""
     chains, length, labels = emit.shape
     alpha, scale = np.empty_like(emit), np.ones((chains, length), emit.dtype)
-    now = emit[:, 0]
+    now = emit[:, 0] if enter is None else emit[:, 0] * enter
     for t in range(length):
         if t:
             now = (alpha[:, t - 1] @ step) * emit[:, t]
@@ -64,9 +107,9 @@ def forward_backward(emit: np.ndarray, step: np.ndarray, live: np.ndarray) -> tu
         total = now.sum(1)
         scale[:, t] = np.where(live[:, t], total, 1)
         alpha[:, t] = now / total[:, None]
-    beta = np.ones((chains, labels), emit.dtype)
+    beta = np.ones((chains, labels), emit.dtype) if leave is None else leave
     marginal, moves = np.empty_like(emit), np.zeros((labels, labels))
-    marginal[:, -1] = alpha[:, -1]
+    marginal[:, -1] = alpha[:, -1] * beta
     for t in range(length - 1, 0, -1):
         inner = emit[:, t] * beta
         some = live[:, t, None]
@@ -127,11 +170,11 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, words: int = TRAIN
     found = [[i for g in (*grams(w), f"={w}") if (i := get(g)) is not None] for w in names]
     flat, owner = np.fromiter((i for f in found for i in f), np.int64), np.repeat(np.arange(len(names)), [len(f) for f in found])
     n, k = len(ids), len(langs)
-    rows = -(-n // CHAIN)
-    place = np.full(rows * CHAIN, -1)
+    rows = -(-n // BLOCK)
+    place = np.full(rows * BLOCK, -1)
     place[:n] = np.arange(n)
-    live = (place >= 0).reshape(rows, CHAIN)
-    before = np.flatnonzero(np.arange(1, n) % CHAIN)  # places whose next word is in the same chain
+    live = (place >= 0).reshape(rows, BLOCK)
+    before = np.flatnonzero(np.arange(1, n) % BLOCK)  # places whose next word is in the same chain
     true_moves = np.zeros((k, k))
     np.add.at(true_moves, (labels[before], labels[before + 1]), 1)
     truth = np.zeros((len(names), k))
@@ -140,9 +183,9 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, words: int = TRAIN
     speed_w, speed_s = np.full(weights.shape, 1e-8), np.full(steps.shape, 1e-8)
     for _ in range(epochs):
         score = np.stack([np.bincount(owner, weights[flat, c], len(names)) for c in range(k)], 1)
-        emit = np.ones((rows * CHAIN, k))
+        emit = np.ones((rows * BLOCK, k))
         emit[:n] = np.exp(score - score.max(1, keepdims=True))[ids]
-        marginal, moves, _ = forward_backward(np.maximum(emit, 1e-30).reshape(rows, CHAIN, k), np.exp(steps), live)
+        marginal, moves, _ = forward_backward(np.maximum(emit, 1e-30).reshape(rows, BLOCK, k), np.exp(steps), live)
         guess = marginal.reshape(-1, k)[:n]
         miss = truth - np.stack([np.bincount(ids, guess[:, c], len(names)) for c in range(k)], 1)
         grad = np.stack([np.bincount(flat, miss[owner, c], len(kept)) for c in range(k)], 1) / n - DECAY * weights
@@ -185,20 +228,21 @@ class Labeller:
         return np.fromiter(found, np.int64, len(parts))
 
     def marginals(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text, (words, languages) marginals by forward-backward over its chains."""
+        """For each text, (words, languages) marginals by forward-backward over its chain."""
         cut = [t.lower().split() for t in texts]
         ids = self.ids([p for some in cut for p in some])
         owner = np.repeat(np.arange(len(texts)), [len(c) for c in cut])[ids > 0]
         ids = ids[ids > 0]
         sizes = np.bincount(owner, minlength=len(texts))
-        chains = -(-sizes // CHAIN)
+        chains = -(-sizes // BLOCK)
         first = np.cumsum(chains) - chains
         rows, k = int(chains.sum()), len(self.crf.langs)
-        at = np.repeat(first * CHAIN - np.cumsum(sizes) + sizes, sizes) + np.arange(len(ids))
-        emit, live = np.ones((rows * CHAIN, k), np.float32), np.zeros(rows * CHAIN, bool)
+        at = np.repeat(first * BLOCK - np.cumsum(sizes) + sizes, sizes) + np.arange(len(ids))
+        emit, live = np.ones((rows * BLOCK, k), np.float32), np.zeros(rows * BLOCK, bool)
         emit[at] = np.maximum(self.emit[ids], 1e-12)
         live[at] = True
-        marginal = forward_backward(emit.reshape(rows, CHAIN, k), self.step, live.reshape(rows, CHAIN))[0].reshape(-1, k)[at]
+        emit, live = emit.reshape(rows, BLOCK, k), live.reshape(rows, BLOCK)
+        marginal = forward_backward(emit, self.step, live, *carried(emit, self.step, live, chains[chains > 0]))[0].reshape(-1, k)[at]
         return np.split(marginal, np.cumsum(sizes)[:-1]) if texts else []
 
     def languages(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -221,14 +265,14 @@ def _labeller(crf: Crf) -> Labeller:
 
 
 def sample(df: DataFrame, text: str, lang: str, doc_id: str, docs_per_lang: int) -> list[tuple[str, str]]:
-    """Whole texts of about `docs_per_lang` rows of each language, at most that many, by hash of the id."""
+    """Whole texts of about `docs_per_lang` rows of each language, at most that many, by hash of id and text; equal rows count once."""
     rows = df.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    place = F.pmod(F.xxhash64(F.lit(SEED), "i"), F.lit(1 << 40)) / float(1 << 40)
+    place = F.pmod(F.xxhash64(F.lit(SEED), "i", "t"), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * docs_per_lang / n + 8 / n))))
-    got = rows.where(place < share[F.col("l")]).select("t", "l", place.alias("p"), "i").collect()
+    got = rows.where(place < share[F.col("l")]).select("t", "l", place.alias("p"), "i").distinct().collect()
     taken: Counter[str] = Counter()
     out = []
     for r in sorted(got, key=lambda r: (r.p, str(r.i), r.t)):

@@ -2,16 +2,16 @@
 
 Words and pairs of words are hashed into `BUCKETS` buckets. Two bag models are counted, one over all raw documents and one over
 the target's (labelled good; at most `TARGETS` rows, a documented bound, chosen by hash). A document's importance is
-the mean log ratio of its n-grams' smoothed probabilities times min(their number, `WEIGHT`), so that a long text
-does not outweigh the noise by its length alone. Documents are resampled without replacement by Gumbel top-k: importance plus
-Gumbel noise (from a hash of the id, hence repeatable), and the k = ceil(`share` * rows) largest stay. k is the operator's
+the mean log ratio of its n-grams' smoothed probabilities times min(their number, `WEIGHT`): the log of the models' ratio, tempered for
+long texts, lest their length alone outweigh the noise. Documents are resampled without replacement by Gumbel top-k: importance plus
+Gumbel noise (from a hash of id and text, hence repeatable), and the k = ceil(`share` * rows) largest stay. k is the operator's
 feature; every document gets a row that says whether it stayed.
 
 The counts of all documents are summed in each task and meet as `BUCKETS` numbers. The k-th largest value is found by counting
 16 bits of the keys at a time (four small passes over ids and keys in the shared folder), not by a global sort.
 
 Null and empty texts have importance `EMPTY`, the lowest; with no target rows all importances are 0. Rows with equal keys (repeated
-ids and texts) at the cut are taken in no particular order, but exactly k rows stay. Null ids take part. Other columns are ignored.
+ids and texts) at the cut are taken in no particular order, by a second cut, but exactly k rows stay. Null ids take part. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.llm._shared import WordHashes, claim, map_arrow, materialize, mix, shingle_hashes, slices, word_hashes
@@ -66,9 +66,9 @@ class Ratio:
         return float(self.whole[found].mean() * min(n, WEIGHT))
 
 
-def gumbel(column: str):
-    """Standard Gumbel noise from a hash of the column."""
-    u = (F.pmod(F.xxhash64(F.lit(SEED), F.col(column)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def gumbel(*columns: str):
+    """Standard Gumbel noise from a hash of the columns."""
+    u = (F.pmod(F.xxhash64(F.lit(SEED), *columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
@@ -119,21 +119,23 @@ def resample(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         scores = [ratio.value.importance(t, g) for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "importance"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), batch.column(3)], ["doc_id", "importance", "noise"])
 
-    scored = map_arrow(marked, run, "doc_id long, importance double").withColumn("noisy", F.col("importance") + gumbel("doc_id"))
-    # A long whose order is that of the value: non-negative, in steps of 1e-9.
-    scored = materialize(scored.withColumn("key", F.greatest(F.lit(0), F.round((F.col("noisy") + 2e6) * 1e9)).cast("long")), "keys")
+    noisy = marked.withColumn("noise", gumbel("i", "t"))
+    scored = map_arrow(noisy, run, "doc_id long, importance double, noise double").withColumn("noisy", F.col("importance") + F.col("noise")).drop("noise")
+    # A long whose order is that of the value: non-negative, in steps of 1e-9. `row` parts rows with one key; it is written with them, hence fixed.
+    scored = materialize(scored.withColumns({"key": F.greatest(F.lit(0), F.round((F.col("noisy") + 2e6) * 1e9)).cast("long"), "row": F.monotonically_increasing_id()}), "keys")
     rows = scored.count()
     k = math.ceil(share * rows)
     if not k:
         return scored.select("doc_id", "importance", "noisy", F.lit(False).alias("kept"))
     least, left = cut(scored, k)
+    kept = F.col("key") >= least
     at = scored.where(F.col("key") == least)
-    if at.count() == left:
-        return scored.select("doc_id", "importance", "noisy", (F.col("key") >= least).alias("kept"))
-    tied = at.withColumn("kept", F.row_number().over(Window.orderBy("doc_id")) <= left)  # rows with one key only
-    return scored.where(F.col("key") != least).withColumn("kept", F.col("key") > least).unionByName(tied).select("doc_id", "importance", "noisy", "kept")
+    if at.count() > left:
+        last, _ = cut(at.select(F.col("row").alias("key")), left)
+        kept = (F.col("key") > least) | ((F.col("key") == least) & (F.col("row") >= last))
+    return scored.select("doc_id", "importance", "noisy", kept.alias("kept"))
 
 
 def op8_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

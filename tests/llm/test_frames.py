@@ -167,6 +167,13 @@ def test_resampling_odd_rows(spark, odd):
     assert resample.resample(odd.limit(0), labels).count() == 0 and {r.importance for r in resample.resample(odd, labels.limit(0)).collect()} == {0.0, resample.EMPTY}
 
 
+def test_resampling_parts_equal_rows(spark):
+    docs = spark.createDataFrame([(None, None)] * 500 + [(i, f"text {i}") for i in range(100)], "doc_id long, text string").repartition(7)
+    got = resample.resample(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), share=0.5)
+    assert sum(r.kept for r in got.collect()) == 300 and all(r.kept for r in got.collect() if r.doc_id is not None)
+    assert not [1 for n in ("Window", "Sort") if n in got._jdf.queryExecution().executedPlan().toString()]
+
+
 @pytest.mark.parametrize("k", (1, 2, 3, 7, 299, 300))
 def test_cut_is_the_kth_largest(spark, k):
     rng = random.Random(k)

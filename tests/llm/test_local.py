@@ -335,6 +335,22 @@ def test_forward_backward_equals_enumeration():
     assert moves == pytest.approx(want_moves)
 
 
+def test_marginals_of_long_texts_are_those_of_the_whole_chain():
+    rng = np.random.default_rng(5)
+    langs, words = ["aa", "bb", "cc"], [f"{a}{b}{c}" for a in "abcdefgh" for b in "klmnop" for c in "rst"]
+    crf = langid.Crf(langs, {g: i for i, g in enumerate(sorted({g for w in words for g in langid.grams(w)}))}, np.zeros((1, 3)), rng.normal(0, 1.5, (3, 3)))
+    crf.weights = rng.normal(0, 0.3, (len(crf.features), 3)).astype(np.float32)
+    labeller = langid.Labeller(crf)
+    sizes = [0, 1, 63, 64, 65, 128, 129, 700, 5, 1000]
+    texts = [" ".join(rng.choice(words, n)) for n in sizes]
+    for text, n, got in zip(texts, sizes, labeller.marginals(texts), strict=True):
+        assert got.shape == (n, 3)
+        if n:
+            emit = np.maximum(crf.emissions(text.split()), 1e-12).astype(np.float64)[None]
+            want = langid.forward_backward(emit, np.exp(crf.steps), np.ones((1, n), bool))[0][0]
+            assert got == pytest.approx(want, abs=2e-5), n
+
+
 def test_code_switched_words_are_labelled():
     rng = random.Random(6)
     make = {"aa": lambda: "".join(rng.choice("abcde") for _ in range(6)), "zz": lambda: "".join(rng.choice("vwxyz") for _ in range(6))}
