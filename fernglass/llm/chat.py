@@ -5,8 +5,8 @@ Only DataFrame functions. Events (conversation, seq, event, turn, role, text) of
 - delta: the text is appended,
 - edit: the text is replaced,
 - regenerate: the turn starts anew with this text, and what later turns held before is gone,
-are folded by (conversation, turn), so that the events of a long conversation are spread over tasks; only final messages meet
-in a row of the conversation, which is what formatting asks for.
+are dealt by conversation once and folded by turn there; rendering, reading back and digests keep that dealing, so that texts are shuffled
+once. A conversation's final messages meet in one row, which is what formatting asks for: a rendering must fit into a row (2 GB).
 
 The rendering is `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Inside roles and texts `<`, any backslashes and `|`
 in a row get one more backslash, so that no control string is left, and line ends and backslashes in roles are escaped; both are
@@ -46,12 +46,9 @@ def fold(events: DataFrame) -> DataFrame:
     """conv, turn, role, text of the final messages of events (conv, seq, event, turn, role, text)."""
     kind = F.coalesce(F.col("event"), F.lit("message"))
     rows = events.select("conv", "seq", kind.alias("event"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # The last regeneration of an earlier turn: a conversation has few, so they are gathered into a sorted list of it.
-    again = rows.where("event = 'regenerate'").groupBy("conv", "turn").agg(F.max("seq").alias("seq"))
-    again = again.groupBy("conv").agg(F.collect_list(F.struct("turn", "seq")).alias("again"))
-    last = F.aggregate(F.filter(F.coalesce(F.col("again"), F.expr("cast(array() as array<struct<turn:bigint,seq:bigint>>)")), lambda a: a["turn"] < F.col("turn")), F.lit(None).cast("long"), lambda m, a: F.greatest(m, a["seq"]))
-    left, right = rows.alias("e"), again.alias("r")
-    rows = left.join(right, F.col("e.conv").eqNullSafe(F.col("r.conv")), "left").select("e.*", last.alias("gone")).where("gone is null or seq > gone")
+    # The last regeneration of an earlier turn.
+    again = F.when((F.col("event") == "regenerate") & F.col("turn").isNotNull(), F.col("seq"))
+    rows = rows.withColumn("gone", F.max(again).over(Window.partitionBy("conv").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))).where("gone is null or seq > gone")
     whole = F.col("event") != "delta"
     start = F.max(F.when(whole, F.col("seq"))).over(Window.partitionBy("conv", "turn"))
     parts = rows.withColumn("start", start)
@@ -75,35 +72,46 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """conv, turn (from 0), role, text and loss (the text under the mask, unescaped; null where there is none) from the rendering alone."""
-    piece = rendered.select("conv", F.posexplode(F.slice(F.split(F.col("formatted"), r"<\|im_start\|>"), 2, 2147483647)).alias("turn", "piece"))
-    size = F.char_length("piece") + len(START)
-    at = F.coalesce(F.sum(size).over(Window.partitionBy("conv").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """conv, turn (from 0), role, text, loss (the text under the mask, unescaped; null where there is none) and size (characters) from the rendering alone."""
+    # Pieces and mask ranges become rows together: a range meets the piece whose body starts where it does.
+    rows = F.concat(
+        F.transform(F.slice("pieces", F.lit(2), F.size("pieces")), lambda p, i: F.struct(i.cast("long").alias("turn"), p.alias("piece"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"))),
+        F.transform("mask", lambda m: F.struct(F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("piece"), m["start"].cast("int").alias("s"), m["end"].cast("int").alias("e"))),
+    )
+    row = rendered.select("conv", "mask", F.split(F.col("formatted"), r"<\|im_start\|>").alias("pieces")).select("conv", F.explode(rows).alias("r")).select("conv", "r.*")
+    size = F.when(F.col("piece").isNotNull(), F.char_length("piece") + len(START))
+    at = F.coalesce(F.sum(size).over(Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     role = F.substring_index("piece", "\n", 1)
     body = F.expr(f"substring(piece, char_length(substring_index(piece, '\\n', 1)) + 2, char_length(piece) - char_length(substring_index(piece, '\\n', 1)) - {len(STOP) + 2})")
-    turns = piece.select("conv", "turn", role.alias("raw"), body.alias("body"), (at + len(START) + F.char_length(role) + 1).alias("start"))
-    spans = rendered.select(F.col("conv").alias("c"), F.explode("mask").alias("m")).select("c", F.col("m.start").alias("s"), F.col("m.end").alias("e"))
-    both = turns.join(spans, F.col("conv").eqNullSafe(F.col("c")) & (F.col("start") == F.col("s")), "left")
-    loss = F.when(F.col("e").isNotNull(), unescape(F.expr("substring(body, 1, cast(e - start as int))")))
-    return both.select("conv", "turn", unescape_role(F.col("raw")).alias("role"), unescape(F.col("body")).alias("text"), loss.alias("loss"))
+    row = row.select("conv", "turn", role.alias("raw"), body.alias("body"), size.alias("size"), F.coalesce("s", at + len(START) + F.char_length(role) + 1).alias("start"), "e")
+    both = row.withColumn("end", F.max("e").over(Window.partitionBy("conv", "start"))).where("turn is not null")
+    loss = F.when(F.col("end").isNotNull(), unescape(F.expr("substring(body, 1, cast(end - start as int))")))
+    return both.select("conv", "turn", unescape_role(F.col("raw")).alias("role"), unescape(F.col("body")).alias("text"), loss.alias("loss"), "size")
 
 
 def digest(rendered: DataFrame) -> DataFrame:
     """What `op7_chat` returns, read back from the rendering."""
     turn = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
     sorted_ = lambda column: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", column.alias("x")))), lambda p: p["x"]), "")
-    read = read_back(rendered).groupBy("conv").agg(
+    return read_back(rendered).groupBy(F.col("conv").alias("conv_id")).agg(
         F.count("*").alias("n_turns"), F.sha2(sorted_(turn), 256).alias("turns_sha256"), F.coalesce(F.sum(F.char_length("loss")), F.lit(0)).cast("long").alias("loss_chars"),
-        F.sha2(sorted_(F.coalesce("loss", F.lit(""))), 256).alias("loss_sha256"),
+        F.sha2(sorted_(F.coalesce("loss", F.lit(""))), 256).alias("loss_sha256"), F.sum("size").cast("long").alias("formatted_chars"),
     )
-    sizes = rendered.select(F.col("conv").alias("c"), F.char_length("formatted").cast("long").alias("formatted_chars"))
-    return read.join(sizes, F.col("conv").eqNullSafe(F.col("c"))).select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A log with a message for each row, turns numbered by turn, then role and text."""
+    """A log of the rows, turns numbered by turn, then role and text: each begins with a draft of up to 16 characters, then an edit (of an
+    assistant: a regeneration) brings half of the text, and a delta the rest."""
     number = (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).cast("long")
-    return conversations.select(F.col("conv_id").cast("long").alias("conv"), number.alias("seq"), F.lit("message").alias("event"), number.alias("turn"), "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv"), number.alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = (F.char_length("text") / 2).cast("int")
+    event = lambda k, kind, role, text: F.struct((3 * F.col("turn") + k).alias("seq"), kind.alias("event"), role.alias("role"), text.alias("text"))
+    events = F.array(
+        event(2, F.lit("delta"), F.lit(None).cast("string"), F.substring("text", half + 1, F.char_length("text"))),
+        event(0, F.lit("message"), F.col("role"), F.concat(F.lit("draft "), F.substring("text", 1, 10))),
+        event(1, F.when(F.col("role") == "assistant", "regenerate").otherwise("edit"), F.col("role"), F.substring("text", F.lit(1), half)),
+    )
+    return rows.select("conv", "turn", F.explode(events).alias("e")).select("conv", "e.seq", "e.event", "turn", "e.role", "e.text")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
