@@ -76,11 +76,30 @@ STOP_WORDS = ("one", "two", "three", "four", "five", "none", "some", "more", "le
 _BOUND = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
+_WORD_NEXT = re.compile(r"\(?(?:\\d|\[[A-Za-z]|[0-9A-Za-z])")
+_WORD_BEFORE = re.compile(r"(?:\\d|[0-9A-Za-z]|\[[0-9A-Za-z-]+\])(?:[+?]|\{[0-9,]+\})*\)?\Z|[0-9A-Za-z]\?\)\Z")
+
+
+def _bounds(pattern: str) -> str:
+    r"""The pattern with each \b spelled out. Where it stands before or after a word character only the other side is looked at."""
+    out, at = "", 0
+    for m in re.finditer(r"\\b", pattern):
+        before, after = pattern[: m.start()], pattern[m.end() :]
+        if _WORD_NEXT.match(after):
+            bound = "(?<![0-9A-Za-z_])"
+        elif _WORD_BEFORE.search(before) and not before.endswith(r"\.?"):
+            bound = "(?![0-9A-Za-z_])"
+        else:
+            bound = _BOUND
+        out, at = out + pattern[at : m.start()] + bound, m.end()
+    return out + pattern[at:]
+
+
 def java(pattern: str, fold: bool = False) -> str:
     """The pattern in Java's dialect."""
+    pattern = _bounds(pattern)
     out = re.sub(r"\[((?:\\.|[^\]\\])*)\]", lambda m: "[" + m[1].replace(r"\s", SPACES) + "]", pattern)
     out = re.sub(r"(?<!\\)\\s(?![^\[]*\])", lambda m: f"[{SPACES}]", out) if r"\s" in out else out
-    out = out.replace(r"\b", _BOUND)
     out = re.sub(r"\$$", r"\\z", out)
     return ("(?i)" if fold else "") + out
 
@@ -103,9 +122,25 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
 
 
+#: Rewrites [first, end) that change nothing in a text without a character of the class: they are skipped together.
+GATES = ((2, 15, "[0-9]"), (19, 20, "[0-9]"), (20, 22, r"\("), (22, 23, r"\["), (23, 24, r"\{"), (24, 28, r"[=><%»«\\]"), (32, 33, "[0-9]"))
+
+
+def _applied(text: Column, some: tuple) -> Column:
+    return reduce(lambda c, r: rewrite(c, *r), some, text)
+
+
+def _gated(text: Column, some: tuple, needs: str) -> Column:
+    # A lambda's variable, so that the text is computed once.
+    return F.transform(F.array(text), lambda t: F.when(t.rlike(needs), _applied(t, some)).otherwise(t))[0]
+
+
 def clean(text: Column) -> Column:
     """A legend text without the marks of recognition errors, sizes, counts and labels; '' for null and empty ones."""
-    return trimmed(reduce(lambda c, r: rewrite(c, *r), REWRITES, F.coalesce(text, F.lit(""))))
+    out, at = F.coalesce(text, F.lit("")), 0
+    for first, end, needs in GATES:
+        out, at = _gated(_applied(out, REWRITES[at:first]), REWRITES[first:end], needs), end
+    return trimmed(_applied(out, REWRITES[at:]))
 
 
 def core_of(cleaned: Column) -> Column:

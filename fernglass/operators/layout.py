@@ -119,15 +119,24 @@ def parse_rows(bands: DataFrame, sizes: DataFrame, words: DataFrame) -> DataFram
     return out.where(F.char_length("name") >= 2)
 
 
-def lines_of_words(words: DataFrame, share: float = 0.6) -> DataFrame:
-    """words with `line` from 0: in order of y0 and x0, a new line starts where a word is `share` of the line height (`y1 - y0` of its first word) or more away from its first word."""
+def lines_of_words(words: DataFrame, line_height: str | float, share: float = 0.6) -> DataFrame:
+    """words (image_id, word_idx, y0, y1, ...) in their own order, with `line` from 0: a new line starts where a word's middle is `share` line
+    heights or more away from the middle of the line's first word. `line_height` is a number or a column that an image's words share."""
     kind = words.schema["image_id"].dataType.simpleString()
-    rows = words.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "word_idx", "y1"))).alias("w"))
-    blank = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.expr("cast(array() as array<struct<word_idx:int,line:int>>)").alias("out"))
+    height = F.col(line_height) if isinstance(line_height, str) else F.lit(float(line_height))
+    rows = words.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", ((F.col("y0") + F.col("y1")) / 2).alias("mid")))).alias("w"), F.max(height).cast("double").alias("h"))
 
-    def step(acc, v):
-        fresh = (acc["line"] < 0) | (F.abs(v["y0"] - acc["y"]) >= acc["h"] * share)
-        line = F.when(fresh, acc["line"] + 1).otherwise(acc["line"])
-        return F.struct(line.alias("line"), F.when(fresh, v["y0"].cast("double")).otherwise(acc["y"]).alias("y"), F.when(fresh, (v["y1"] - v["y0"]).cast("double")).otherwise(acc["h"]).alias("h"), F.concat(acc["out"], F.array(F.struct(v["word_idx"].cast("int").alias("word_idx"), line.alias("line")))).alias("out"))
+    def fold(batches):
+        import pandas as pd
 
-    return rows.select(F.col("image_id").cast(kind).alias("image_id"), F.explode(F.aggregate("w", blank, step)["out"]).alias("o")).select("image_id", "o.word_idx", "o.line")
+        for pdf in batches:
+            out = []
+            for image, found, high in zip(pdf["image_id"], pdf["w"], pdf["h"], strict=True):
+                line, first = -1, 0.0
+                for v in found:
+                    if line < 0 or abs(v["mid"] - first) >= high * share:
+                        line, first = line + 1, v["mid"]
+                    out.append((image, v["word_idx"], line))
+            yield pd.DataFrame(out, columns=["image_id", "word_idx", "line"])
+
+    return rows.mapInPandas(fold, f"image_id {kind}, word_idx int, line int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernglass.functions import text as rules
+
 # Words of titles that are no photos, and of urls that show a detail.
 NOT_PHOTOS = ("icon", "map", "logo", "flag")
 DETAILS = ("flower", "bloom", "detail", "close")
@@ -65,7 +67,7 @@ def summary_urls(landed: DataFrame, body: str = "body") -> DataFrame:
     return landed.withColumn("urls", F.coalesce(F.filter(found, lambda u: u.isNotNull()), F.array().cast("array<string>")))
 
 
-PAGES = "query struct<pages:map<string,struct<title:string,imageinfo:array<struct<thumburl:string,url:string>>>>>"
+PAGES = "query struct<pages:map<string,struct<title:string,imageinfo:array<struct<thumburl:string,url:string>>>>>"  # a map keeps the keys' order
 
 
 def encoded(term: Column) -> Column:
@@ -76,24 +78,46 @@ def encoded(term: Column) -> Column:
     return out
 
 
-def search_terms(names: DataFrame, name: str = "search_name") -> DataFrame:
-    """(search_name, term_idx, term) of the three searches for each distinct name (lower-cased, trimmed), once each."""
-    plain = names.select(F.trim(F.lower(F.col(name))).alias(name)).distinct()
-    terms = F.array(F.col(name), F.concat(name, F.lit(" plant")), F.concat(name, F.lit(" flower")))
-    return plain.select(name, F.posexplode(terms).alias("term_idx", "term"))
+def search_terms(names: DataFrame, name: str = "search_name", order: str | None = None) -> DataFrame:
+    """(search_name, term_idx, term) of the three searches for each name, once each; `search_name` is the name in lower case without white space around.
+
+    Of names that differ in case or white space the first by `order` is asked for as it is written (without `order` the least)."""
+    rows = names.where(F.coalesce(F.col(name), F.lit("")) != "").select(rules.trimmed(F.lower(F.col(name))).alias("search_name"), F.struct(F.col(order or name).alias("o"), F.col(name).alias("n")).alias("s"))
+    first = rows.groupBy("search_name").agg(F.min("s")["n"].alias("n"))
+    terms = F.array(F.col("n"), F.concat("n", F.lit(" plant")), F.concat("n", F.lit(" flower")))
+    return first.select("search_name", F.posexplode(terms).alias("term_idx", "term"))
 
 
 def search_hits(landed: DataFrame, body: str = "body") -> DataFrame:
-    """(search_name, term_idx, hit_idx, title, url) of landed search answers; bad JSON and hits without a url are left out."""
-    pages = F.map_values(F.from_json(F.col(body), PAGES)["query"]["pages"])
-    rows = landed.select("search_name", "term_idx", F.posexplode(pages).alias("hit_idx", "p"))
+    """(search_name, term_idx, hit_idx, title, url) of landed search answers; hits without a url are left out.
+
+    Pages come as browsers list an object's members: whole numbers first, ascending, then other keys as they stand. A null body (no answer)
+    gives nothing; one that is no JSON ends its name's searches."""
+    spoilt = F.col(body).isNotNull() & F.try_parse_json(body).isNull()
+    rows = landed.withColumn("spoilt_", F.min(F.when(spoilt, F.col("term_idx"))).over(Window.partitionBy("search_name"))).where("spoilt_ is null or term_idx < spoilt_")
+    number = lambda k: F.when(k.rlike(r"\A(0|[1-9]\d{0,9})\z") & (F.try_to_number(k, F.lit("9999999999")).cast("long") < 4294967295), F.try_to_number(k, F.lit("9999999999")).cast("long"))
+    pages = F.transform(F.map_entries(F.from_json(F.col(body), PAGES)["query"]["pages"]), lambda p, i: F.struct(F.coalesce(number(p["key"]), F.lit(1 << 40) + i).alias("at"), p["value"].alias("p")))
+    rows = rows.select("search_name", "term_idx", F.posexplode(F.array_sort(pages)).alias("hit_idx", "e")).select("search_name", "term_idx", "hit_idx", "e.p")
     first = F.try_element_at(F.col("p.imageinfo"), F.lit(1))
     url = F.coalesce(F.nullif(first["thumburl"], F.lit("")), F.nullif(first["url"], F.lit("")))
     return rows.select("search_name", "term_idx", "hit_idx", F.coalesce("p.title", F.lit("")).alias("title"), url.alias("url")).where("url is not null")
 
 
 def fetched(summaries: DataFrame, searches: DataFrame) -> DataFrame:
-    """(search_name, closeup, full) from landed encyclopedia summaries (search_name, body) and search answers (search_name, term_idx, body)."""
-    one = summary_urls(summaries).select("search_name", F.posexplode("urls").alias("hit_idx", "url")).withColumn("term_idx", F.lit(-1))
-    two = hits_until_enough(search_hits(searches))
-    return photos(one.unionByName(two).withColumn("ord", F.struct("term_idx", "hit_idx")))
+    """(search_name, closeup, full) from landed encyclopedia summaries (search_name, body) and search answers (search_name, term_idx, body).
+
+    The encyclopedia's images are all full views and come first; search hits are told apart by their urls. Urls are distinct among the search hits.
+    Names that only one of the two knows have what it gives, names without any image two empty lists."""
+    empty = F.array().cast("array<string>")
+    one = summary_urls(summaries).groupBy("search_name").agg(F.max("urls").alias("known"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("term_idx", "hit_idx", "url"))), lambda u: u["url"])
+    two = hits_until_enough(search_hits(searches)).groupBy("search_name").agg(listed.alias("hits"))
+    names = summaries.select("search_name").unionByName(searches.select("search_name")).distinct()
+    rows = names.join(one, "search_name", "left").join(two, "search_name", "left").select("search_name", F.coalesce("known", empty).alias("known"), F.coalesce("hits", empty).alias("hits"))
+    close, full = balanced(F.filter("hits", lambda u: category(u) == "closeup"), F.concat("known", F.filter("hits", lambda u: category(u) == "full")))
+    return rows.select("search_name", close.alias("closeup"), full.alias("full"))
+
+
+def all_photos(fetched_: DataFrame) -> DataFrame:
+    """(search_name, photos): close-ups, then full views."""
+    return fetched_.select("search_name", F.concat("closeup", "full").alias("photos"))

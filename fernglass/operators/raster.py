@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernglass.functions import colour
+from fernglass.operators import templates as patterns
 from fernglass.operators.components import checkpointed, components, pixel_components
 
 TOLERANCE, LEAST_SIZE, LEAST_RADIUS, MOST_ASPECT = 40, 30, 30, 8
@@ -60,23 +61,28 @@ def regions(mask: DataFrame, least: int = LEAST_SIZE) -> DataFrame:
 def near_edges(blobs: DataFrame, floor: float = LEAST_RADIUS) -> DataFrame:
     """(image_id, a, b) of blobs of one (image, colour) whose boxes meet when one is grown by the larger radius of the two.
 
-    A blob's radius is max(floor, half its longer side). Candidates meet in cells as wide as the largest reach of their image and
-    colour, so blobs far apart are never paired."""
+    A blob's radius is max(floor, half its longer side). A blob grown by its own radius is looked up in cells about as wide as itself
+    (powers of two), by the blobs of its size class or a smaller one, so a large region does not make all pairs of small ones."""
     key = F.struct("image_id", "color_id")
     side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
     rows = blobs.select(key.alias("image_id"), F.col("blob_id").alias("id"), "min_x", "max_x", "min_y", "max_y", F.greatest(F.lit(float(floor)), side * 0.5).alias("radius"))
-    cell = rows.groupBy("image_id").agg(F.greatest(F.max(F.col("radius")), F.lit(1.0)).alias("cell"))
-    rows = rows.join(cell, "image_id")
-
-    def cells(reach):
-        low, high = lambda c: F.floor((F.col(c) - reach) / F.col("cell")), lambda c: F.floor((F.col(c) + reach) / F.col("cell"))
-        return lambda df: df.withColumn("cx", F.explode(F.sequence(low("min_x"), high("max_x")))).withColumn("cy", F.explode(F.sequence(low("min_y"), high("max_y"))))
-
-    a, b = cells(F.col("cell"))(rows).alias("a"), cells(F.lit(0))(rows).alias("b")
+    level = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("radius")))).cast("int")  # 2 ** level >= radius: the larger of two has the larger level
+    rows = rows.withColumn("level", level)
+    classes = rows.select("image_id", F.col("level").alias("at")).distinct()
+
+    def cells(df, reach, at):
+        cell = F.pow(F.lit(2.0), F.col(at))
+        low, high = lambda c: F.floor((F.col(c) - reach) / cell), lambda c: F.floor((F.col(c) + reach) / cell)
+        return df.withColumn("cx", F.explode(F.sequence(low("min_x"), high("max_x")))).withColumn("cy", F.explode(F.sequence(low("min_y"), high("max_y"))))
+
+    # The blob with the larger level goes into the cells of its own level, grown; the other one into those of every larger level of its image.
+    a = cells(rows.withColumn("at", F.col("level")), F.col("radius"), "at").alias("a")
+    b = cells(rows.join(classes, "image_id").where("at >= level"), F.lit(0), "at").alias("b")
     pad = F.greatest(F.col("a.radius"), F.col("b.radius"))
     touch = (F.col("a.min_x") - pad <= F.col("b.max_x")) & (F.col("a.max_x") + pad >= F.col("b.min_x")) & (F.col("a.min_y") - pad <= F.col("b.max_y")) & (F.col("a.max_y") + pad >= F.col("b.min_y"))
-    same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, same & touch).select(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") != F.col("b.id"))
+    found = a.join(b, same & touch).where((F.col("b.level") < F.col("a.level")) | (F.col("b.radius") <= F.col("a.radius")))
+    return found.select(F.col("a.image_id").alias("image_id"), F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def merged(blobs: DataFrame, floor: float = LEAST_RADIUS) -> DataFrame:
@@ -100,9 +106,19 @@ def compact(blobs: DataFrame, most: float = MOST_ASPECT) -> DataFrame:
     return blobs.where(F.greatest(w, h) / F.greatest(F.lit(1), F.least(w, h)) < most)
 
 
-def scan(pixels: DataFrame, palette: DataFrame, tolerance: int = TOLERANCE, least: int = LEAST_SIZE, floor: float = LEAST_RADIUS) -> DataFrame:
-    """The whole search without a template: mask, regions, merging, shape; every blob has pattern_score 1."""
-    return compact(merged(regions(colour_mask(pixels, palette, tolerance), least), floor)).withColumn("pattern_score", F.lit(1.0))
+def image_sizes(pixels: DataFrame) -> DataFrame:
+    """(image_id, width, height)."""
+    return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+def scan(pixels: DataFrame, palette: DataFrame, tolerance: int = TOLERANCE, least: int = LEAST_SIZE, floor: float = LEAST_RADIUS, templates: DataFrame | None = None, threshold: float = patterns.THRESHOLD) -> DataFrame:
+    """The whole search: mask, regions, merging, shape, and the pattern where a colour has a template (color_id, width, height, gray).
+
+    Blobs without a template have pattern_score 1."""
+    found = compact(merged(regions(colour_mask(pixels, palette, tolerance), least), floor))
+    if templates is None:
+        return found.withColumn("pattern_score", F.lit(1.0))
+    return patterns.scored(found, pixels, templates, image_sizes(pixels), threshold)
 
 
 def row_density(pixels: DataFrame) -> DataFrame:
@@ -131,8 +147,9 @@ def mean_colours(pixels: DataFrame) -> DataFrame:
 def sampled_colour(pixels: DataFrame, points: DataFrame, radius: int = 3) -> DataFrame:
     """(point_id, cr, cg, cb): the rounded mean around points (point_id, image_id, px, py), paper and line left out; else the
     point's own pixel. The window is 2 * radius + 1 wide from its corner, which is kept inside the image."""
-    left, top = F.greatest(F.lit(0), F.col("px") - radius), F.greatest(F.lit(0), F.col("py") - radius)
-    rows = points.join(pixels, "image_id").where((F.col("x") >= left) & (F.col("x") <= left + 2 * radius) & (F.col("y") >= top) & (F.col("y") <= top + 2 * radius))
+    left, top, wide = F.greatest(F.lit(0), F.col("px") - radius), F.greatest(F.lit(0), F.col("py") - radius), F.lit(2 * radius)
+    places = points.withColumn("y", F.explode(F.sequence(top.cast("long"), (top + wide).cast("long")))).withColumn("x", F.explode(F.sequence(left.cast("long"), (left + wide).cast("long"))))
+    rows = places.join(pixels, ["image_id", "y", "x"])
     out = colour.extreme(F.col("r"), F.col("g"), F.col("b"))
     own = (F.col("x") == F.col("px")) & (F.col("y") == F.col("py"))
     return rows.groupBy("point_id").agg(*(F.coalesce(colour.rounded(F.avg(F.when(~out, F.col(c)))), F.max(F.when(own, F.col(c))).cast("long")).alias(f"c{c}") for c in "rgb"))
@@ -144,6 +161,7 @@ def band_colours(pixels: DataFrame, bands: DataFrame, share: float = 0.35, least
     Swatches stand in the left `share` of a row; pixels brighter than 225 or darker than 30 are paper or ink."""
     width = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"))
     shade = colour.brightness(F.col("r"), F.col("g"), F.col("b"))
-    inside = (F.col("y").between(F.col("y_start"), F.col("y_end"))) & (F.col("x") < F.floor(F.col("w") * share)) & (shade <= 225) & (shade >= 30)
-    rows = bands.join(width, "image_id").join(pixels, "image_id", "left")
-    return rows.groupBy("image_id", "y_start", "y_end").agg(*(F.when(F.count_if(inside) >= least, colour.rounded(F.avg(F.when(inside, F.col(c))))).alias(f"c{c}") for c in "rgb"))
+    swatch = pixels.where((shade <= 225) & (shade >= 30)).join(width, "image_id").where(F.col("x") < F.floor(F.col("w") * share)).select("image_id", "y", "r", "g", "b")
+    sums = swatch.groupBy("image_id", "y").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{c}") for c in "rgb"))  # rows of pixels first: bands are made of them
+    rows = bands.withColumn("y", F.explode(F.sequence(F.col("y_start").cast("long"), F.col("y_end").cast("long")))).join(sums, ["image_id", "y"], "left")
+    return rows.groupBy("image_id", "y_start", "y_end").agg(*(F.when(F.sum("n") >= least, colour.rounded(F.sum(f"s{c}") / F.sum("n"))).alias(f"c{c}") for c in "rgb"))

@@ -246,14 +246,40 @@ def centred_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 CENTRED_OVERLAP = "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM embeddings) SELECT vec_id, round((SELECT corr(t.a, t.b) FROM (SELECT unnest(v[9:56]) AS a, unnest(w[1:48]) AS b) t), 6) AS score FROM n WHERE w IS NOT NULL"
 
 
+SIDE, PATTERN = 9, 0.2
+
+
 def template_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of the first colour whose window is like the one around the largest region of image 0."""
-    px, one = tables.pixels(spark, sf_dir), tables.palette(spark).where("id = 1")
-    found = raster.regions(raster.colour_mask(px, one, TOLERANCE), LEAST)
-    sizes = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    pick = found.where("image_id = 0").orderBy(F.col("size").desc(), "blob_id").limit(1)
-    box = pick.select("blob_id", "image_id", F.lit(20).alias("x0"), F.lit(10).alias("y0"), F.lit(26).alias("x1"), F.lit(16).alias("y1"))
-    return templates.scored(found, px, templates.tiles(px, box, "blob_id"), sizes, 0.2).select("image_id", "blob_id", F.round("pattern_score", 6).alias("pattern_score"))
+    """The whole search of every colour with the template captured around the middle of its largest region."""
+    px, palette = tables.pixels(spark, sf_dir), tables.palette(spark)
+    found = raster.regions(raster.colour_mask(px, palette, TOLERANCE), LEAST)
+    largest = found.groupBy("color_id").agg(F.max(F.struct("size", (-F.col("image_id")).alias("i"), (-F.col("blob_id")).alias("b"), "image_id", "x", "y")).alias("m"))
+    points = largest.select("color_id", "m.image_id", F.col("m.x").alias("px"), F.col("m.y").alias("py"))
+    captured = templates.tiles(px, templates.capture_boxes(points, raster.image_sizes(px), SIDE), "color_id")
+    return _shown(raster.scan(px, palette, TOLERANCE, LEAST, FLOOR, captured, PATTERN), F.round("pattern_score", 6).alias("pattern_score"))
+
+
+_LIGHT = "(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)::FLOAT::DOUBLE"
+TEMPLATE_SCAN = f"""
+WITH RECURSIVE {NEAR}, sz AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM pixels GROUP BY 1
+), pick AS (SELECT color_id, image_id, floor(x)::BIGINT AS px, floor(y)::BIGINT AS py FROM (SELECT *, row_number() OVER (PARTITION BY color_id ORDER BY size DESC, image_id, blob_id) AS n FROM blobs) WHERE n = 1
+), box AS (SELECT color_id, image_id, greatest(0, px - {SIDE // 2}) AS x0, greatest(0, py - {SIDE // 2}) AS y0, least(width, greatest(0, px - {SIDE // 2}) + {SIDE}) AS x1, least(height, greatest(0, py - {SIDE // 2}) + {SIDE}) AS y1 FROM pick JOIN sz USING (image_id)
+), tp AS (SELECT color_id, x - x0 AS dx, y - y0 AS dy, {_LIGHT} AS v FROM box JOIN pixels USING (image_id) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1
+), w0 AS (
+  SELECT image_id, color_id, blob_id, box.x1 - box.x0 AS tw, box.y1 - box.y0 AS th, width, height, greatest(0, floor(x + 0.5)::BIGINT - (box.x1 - box.x0) // 2) AS wx, greatest(0, floor(y + 0.5)::BIGINT - (box.y1 - box.y0) // 2) AS wy
+  FROM (SELECT * FROM merged WHERE greatest(max_x - min_x, max_y - min_y) / greatest(1, least(max_x - min_x, max_y - min_y))::DOUBLE < 8) JOIN (SELECT color_id, x0, y0, x1, y1 FROM box) AS box USING (color_id) JOIN sz USING (image_id)
+), w AS (SELECT *, least(width, wx + tw) - wx AS rw, least(height, wy + th) - wy AS rh FROM w0
+), cut AS (SELECT *, least(tw, rw) AS ww, least(th, rh) AS hh FROM w WHERE rw >= 0.7 * tw AND rh >= 0.7 * th
+), pr AS (
+  SELECT cut.image_id, cut.color_id, cut.blob_id, tp.v AS va, {_LIGHT} AS vb FROM cut JOIN tp ON tp.color_id = cut.color_id AND dx >= (tw - ww) // 2 AND dx < (tw - ww) // 2 + ww AND dy >= (th - hh) // 2 AND dy < (th - hh) // 2 + hh
+    JOIN pixels ON pixels.image_id = cut.image_id AND pixels.x = wx + (rw - ww) // 2 + dx - (tw - ww) // 2 AND pixels.y = wy + (rh - hh) // 2 + dy - (th - hh) // 2
+), sc AS (SELECT image_id, color_id, blob_id, covar_pop(va, vb) * count(*) AS over, sqrt(var_pop(va) * count(*) * var_pop(vb) * count(*)) AS under FROM pr GROUP BY ALL
+), f AS (
+  SELECT image_id, color_id, blob_id, CASE WHEN NOT (rw >= 0.7 * tw AND rh >= 0.7 * th) THEN 0.5::DOUBLE WHEN rw = tw AND rh = th THEN CASE WHEN under < 1e-4 THEN 0.0::DOUBLE ELSE over / under END
+    WHEN least(tw, rw) * least(th, rh) < 16 OR under < 1e-4 THEN 0.5::DOUBLE ELSE over / under END AS score FROM w LEFT JOIN sc USING (image_id, color_id, blob_id)
+)
+SELECT m.* EXCLUDE (parts) REPLACE (round(x, 6) AS x, round(y, 6) AS y), round(score, 6) AS pattern_score FROM merged m JOIN f USING (image_id, color_id, blob_id) WHERE score >= {PATTERN}
+"""
 
 
 def area_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,4 +291,4 @@ def area_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
 AREA_FENCE = "WITH p AS (SELECT p_partkey, p_brand AS image_id, (p_size::BIGINT * p_size * p_size)::BIGINT AS area FROM part), q AS (SELECT image_id, list_sort(list(area)) AS s, count(*) AS n FROM p GROUP BY 1) SELECT p.* FROM p JOIN q USING (image_id) WHERE n < 5 OR (area >= 0.05 * s[floor(n * 0.25)::INT + 1] AND area <= 20 * s[floor(n * 0.75)::INT + 1])"
 
 QUERIES = {f.__name__: f for f in (color_match_count, mean_color, pixel_measures, highlight_overlay, row_density, row_bands, band_colours, blobs, merged_blobs, scan_palette, found_partition, swatch_order, greedy_merge, swatch_boundaries, sampled_colour, ncc_pairs, ncc_topk, pattern_filter, centred_overlap, template_scan, area_fence)}
-ORACLES = {n.lower(): globals()[n] for n in ("COLOR_MATCH_COUNT", "MEAN_COLOR", "PIXEL_MEASURES", "HIGHLIGHT_OVERLAY", "ROW_DENSITY", "ROW_BANDS", "BAND_COLOURS", "BLOBS", "MERGED_BLOBS", "SCAN_PALETTE", "FOUND_PARTITION", "SWATCH_ORDER", "SWATCH_BOUNDARIES", "SAMPLED_COLOUR", "NCC_PAIRS", "NCC_TOPK", "PATTERN_FILTER", "CENTRED_OVERLAP", "AREA_FENCE")}
+ORACLES = {n.lower(): globals()[n] for n in ("COLOR_MATCH_COUNT", "MEAN_COLOR", "PIXEL_MEASURES", "HIGHLIGHT_OVERLAY", "ROW_DENSITY", "ROW_BANDS", "BAND_COLOURS", "BLOBS", "MERGED_BLOBS", "SCAN_PALETTE", "FOUND_PARTITION", "SWATCH_ORDER", "SWATCH_BOUNDARIES", "SAMPLED_COLOUR", "NCC_PAIRS", "NCC_TOPK", "PATTERN_FILTER", "CENTRED_OVERLAP", "TEMPLATE_SCAN", "AREA_FENCE")}

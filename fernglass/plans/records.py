@@ -280,15 +280,50 @@ MISSING_STUBS = "SELECT 'missing_' || event_id AS marker_id, floor((value - 5) /
 
 
 def request_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The searches for part names with odd characters, encoded."""
-    rows = _t(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" & (~é!'*) "), "p_brand").alias("search_name"))
+    """The searches for part names with odd characters and spaces around, encoded."""
+    rows = _t(spark, sf_dir, "part").select(F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit(" "), "p_name")), F.lit(" & (~é!'*) "), "p_brand").alias("search_name"))
     return media.search_terms(rows).select("search_name", F.col("term_idx").cast("long").alias("term_idx"), media.encoded(F.col("term")).alias("term"))
 
 
 REQUEST_TERMS = """
-WITH n AS (SELECT DISTINCT trim(lower(p_name || ' & (~é!''*) ' || p_brand)) AS search_name FROM part
-), t AS (SELECT search_name, unnest([0, 1, 2])::BIGINT AS term_idx, unnest([search_name, search_name || ' plant', search_name || ' flower']) AS term FROM n)
-SELECT search_name, term_idx, replace(replace(replace(replace(replace(url_encode(term), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS term FROM t
+WITH n AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE ' ' || p_name END || ' & (~é!''*) ' || p_brand AS name FROM part
+), f AS (SELECT trim(lower(name)) AS search_name, min(name) AS name FROM n GROUP BY 1
+), t AS (SELECT search_name, unnest([0, 1, 2])::BIGINT AS term_idx, unnest([name, name || ' plant', name || ' flower']) AS term FROM f)
+SELECT search_name, term_idx, replace(replace(replace(replace(replace(url_encode(term), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS term FROM t
+"""
+
+
+def photos_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The photos of names out of landed answers: for every page a name with a summary and three searches, whose JSON is made of the page's number."""
+    p = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("n"), F.col("page_id").cast("string")).alias("search_name"))
+    n = F.col("page_id")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    summary = F.when(n % 3 == 0, text('{"thumbnail":{"source":"https://u/', n, '/320px-flower.jpg"},"originalimage":{"source":"https://u/', n, '/o.jpg"}}')).when(n % 3 == 1, "{}").otherwise("no json")
+    page = lambda key, title, url: text('"', key, '":{"title":"', title, '","imageinfo":[{"url":"https://c/', url, '"}]}')
+    searches = p.select("page_id", "search_name", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("term_idx"))
+    t = F.col("term_idx")
+    body = F.when((n % 7 == 0) & (t == 1), "oops").when((n % 5 == 0) & (t == 0), F.lit(None).cast("string")).otherwise(text(
+        '{"query":{"pages":{', page(n + 20, F.lit("A"), text(n % 4, "/close", t)), ",", page(F.lit("-1"), F.lit("Map of B"), text(n, "/b", t)), ",", page(n + 3, F.lit("C"), text(n, "/c")), ",", page(F.lit("x"), F.lit("D"), text(n, "/d", t % (n % 3 + 1))), "}}}",
+    ))
+    found = media.fetched(p.select("search_name", summary.alias("body")), searches.select("search_name", "term_idx", body.alias("body")))
+    return media.all_photos(found).join(found, "search_name").select("search_name", F.array_join("closeup", " ").alias("closeup"), F.array_join("full", " ").alias("full"), F.array_join("photos", " ").alias("photos"))
+
+
+PHOTOS_FETCHED = """
+WITH p AS (SELECT page_id AS n, 'n' || page_id AS search_name FROM pages
+), s AS (SELECT *, CASE WHEN n % 3 = 0 THEN ['https://u/' || n || '/800px-flower.jpg', 'https://u/' || n || '/o.jpg'] ELSE [] END AS known FROM p
+), a AS (
+  SELECT n, search_name, t, unnest([0, 1, 2, 3]) AS h FROM (SELECT n, search_name, unnest([0, 1, 2]) AS t FROM p) WHERE NOT (n % 5 = 0 AND t = 0) AND NOT (n % 7 = 0 AND t >= 1)
+), u AS (
+  SELECT *, 'https://c/' || CASE h WHEN 0 THEN n || '/c' WHEN 1 THEN (n % 4) || '/close' || t WHEN 2 THEN n || '/b' || t ELSE n || '/d' || (t % (n % 3 + 1)) END AS url FROM a WHERE h <> 2
+), d AS (SELECT n, search_name, url, min(t * 10 + h) AS ord FROM u GROUP BY ALL
+), c AS (SELECT n, search_name, ord // 10 AS t, count(*) AS c FROM d GROUP BY ALL
+), b AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY search_name ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c
+), e AS (SELECT d.search_name, url, ord FROM d JOIN b ON d.search_name = b.search_name AND d.ord // 10 = b.t WHERE before < 6
+), l AS (SELECT search_name, list(url ORDER BY ord) FILTER (contains(url, 'close')) AS c0, list(url ORDER BY ord) FILTER (NOT contains(url, 'close')) AS f0 FROM e GROUP BY 1
+), z AS (SELECT search_name, coalesce(c0, []) AS c, list_concat(known, coalesce(f0, [])) AS f FROM s LEFT JOIN l USING (search_name)
+), m AS (SELECT search_name, CASE WHEN len(c) = 0 AND len(f) > 1 THEN [f[len(f)]] WHEN len(f) = 0 AND len(c) > 1 THEN c[1:len(c)-1] ELSE c END AS c, CASE WHEN len(f) = 0 AND len(c) > 1 THEN [c[len(c)]] WHEN len(c) = 0 AND len(f) > 1 THEN f[1:len(f)-1] ELSE f END AS f FROM z)
+SELECT search_name, array_to_string(c[1:3], ' ') AS closeup, array_to_string(f[1:3], ' ') AS "full", array_to_string(list_concat(c[1:3], f[1:3]), ' ') AS photos FROM m
 """
 
 
@@ -302,6 +337,6 @@ def rescan_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESCAN_MARKERS = f"WITH RECURSIVE {REGIONS} SELECT 1::INTEGER AS color_id, 'middle gray' AS name, count(*)::BIGINT AS n, sum(size)::BIGINT AS size FROM blobs WHERE color_id = 1 UNION ALL SELECT 9, 'old', count(*), sum(event_id)::BIGINT FROM events WHERE event_id % 2 = 1"
 
-_NAMES = ("annotations_created", "record_edits", "plant_type_labels", "missing_stubs", "request_terms", "rescan_markers", "legend_left_lookup", "first_match_lookup", "suggestions_union_anti", "cascade_delete_anti", "feedback_latest_upsert", "feedback_summary", "keyed_upsert", "keyed_get", "saved_list_recent", "next_id", "json_props", "default_texts", "confirmed_entries", "low_confidence", "marker_visibility", "viewport_transform", "zoom_clamp", "crop_clamp", "thumb_ratio", "url_filter_dedupe", "url_categorize_rebalance")
+_NAMES = ("annotations_created", "record_edits", "plant_type_labels", "missing_stubs", "request_terms", "photos_fetched", "rescan_markers", "legend_left_lookup", "first_match_lookup", "suggestions_union_anti", "cascade_delete_anti", "feedback_latest_upsert", "feedback_summary", "keyed_upsert", "keyed_get", "saved_list_recent", "next_id", "json_props", "default_texts", "confirmed_entries", "low_confidence", "marker_visibility", "viewport_transform", "zoom_clamp", "crop_clamp", "thumb_ratio", "url_filter_dedupe", "url_categorize_rebalance")
 QUERIES = {n: globals()[n] for n in (*_NAMES, "export_json")}
 ORACLES = {n: globals()[n.upper()] for n in _NAMES}

@@ -50,5 +50,10 @@ def test_rows_without_swatches(spark):
 
 def test_lines_and_gaps(spark):
     words = spark.createDataFrame([("i", 0, "a", 1.0, 0, 0, 10, 10), ("i", 1, "b", 1.0, 20, 5, 30, 15), ("i", 2, "c", 1.0, 81, 7, 90, 17), ("i", 3, "d", 1.0, 0, 30, 10, 40)], WORD)
-    assert {r.word_idx: r.line for r in layout.lines_of_words(words).collect()} == {0: 0, 1: 0, 2: 1, 3: 2}
+    assert {r.word_idx: r.line for r in layout.lines_of_words(words, 10).collect()} == {0: 0, 1: 0, 2: 1, 3: 2}
+    assert {r.word_idx: r.line for r in layout.lines_of_words(words.withColumn("h", F.lit(20.0)), "h").collect()} == {0: 0, 1: 0, 2: 0, 3: 1}
+    # Middles count, not tops, and words stay in their own order.
+    tall = spark.createDataFrame([("i", 0, "a", 1.0, 0, 0, 10, 40), ("i", 1, "b", 1.0, 20, 16, 30, 24), ("i", 2, "c", 1.0, 9, 60, 10, 70), ("i", 3, "d", 1.0, 9, 18, 10, 22)], WORD)
+    assert {r.word_idx: r.line for r in layout.lines_of_words(tall, 10).collect()} == {0: 0, 1: 0, 2: 1, 3: 2}
+    assert layout.lines_of_words(words.limit(0), 10).count() == 0
     assert sorted(r.word_idx for r in layout.gap_cut(words.where(F.col("word_idx") < 3), ("image_id",)).collect()) == [0, 1]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,68 @@ def test_colour_measures(spark):
     assert [x.t for x in got] == [False, False, False, False] and got[0].s == 0.0 and [x.e for x in got] == [True, False, True, False] and [x.k for x in got] == [False, False, False, True]
     text = spark.createDataFrame([(120, 140, 170)], "r int, g int, b int").select(colour.blue_gray(r, g, b).alias("t"), colour.coloured(r, g, b).alias("c")).first()
     assert text.t and not text.c
+
+
+def _raster(spark, gray):
+    """One gray image (rows of levels) as pixels of image 0."""
+    rows = [(0, y, x, v, v, v, 255) for y, line in enumerate(gray) for x, v in enumerate(line)]
+    return spark.createDataFrame(rows, "image_id long, y long, x long, r int, g int, b int, a int")
+
+
+def _gray(gray, x0, y0, x1, y1):
+    return [[float(np.float32(v)) for v in line[x0:x1]] for line in gray[y0:y1]]
+
+
+def test_windows_are_moved_into_the_image_and_scored(spark):
+    rng = np.random.default_rng(4)
+    gray = rng.integers(0, 256, (40, 40)).tolist()
+    for y in range(24, 40):  # a flat corner
+        gray[y][24:] = [90] * 16
+    px = _raster(spark, gray)
+    template = [v for line in _gray(gray, 0, 0, 8, 8) for v in line]
+    tmpl = spark.createDataFrame([(1, 8, 8, template)], "color_id int, width int, height int, gray array<double>")
+    points = [(1, 0, 2.0, 2.0), (1, 1, 32.0, 32.0), (1, 2, 39.0, 10.0), (1, 3, 36.6, 10.0), (1, 4, 4.0, 4.0), (2, 5, 1.0, 1.0)]
+    blobs = spark.createDataFrame([(0, c, b, x, y) for c, b, x, y in points], "image_id long, color_id int, blob_id long, x double, y double")
+    got = {r.blob_id: r.pattern_score for r in templates.scored(blobs, px, tmpl, raster.image_sizes(px), -1.0).collect()}
+    t = np.array(template)
+
+    def ncc(a, b):
+        a, b = a - a.mean(), b - b.mean()
+        return float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
+
+    cut = lambda x0, y0, x1, y1: np.array(_gray(gray, x0, y0, x1, y1))
+    assert got[0] == pytest.approx(1.0) and got[4] == pytest.approx(1.0)  # the corner is moved, the window keeps its size
+    assert got[1] == 0.0  # flat, of the template's size
+    assert got[2] == 0.5  # 5 of 8 columns are too few
+    # 7 of 8 columns: the middle 7 of the template against the window.
+    assert got[3] == pytest.approx(ncc(t.reshape(8, 8)[:, 0:7].ravel(), cut(33, 6, 40, 14).ravel()), abs=1e-6)
+    assert got[5] == 1.0  # a colour without a template
+    assert {r.blob_id for r in templates.scored(blobs, px, tmpl, raster.image_sizes(px), 0.4).collect()} == {0, 2, 4, 5} | ({3} if got[3] >= 0.4 else set())
+
+
+def test_template_boxes(spark):
+    sizes = spark.createDataFrame([(0, 100, 60)], "image_id long, width long, height long")
+    points = spark.createDataFrame([(0, 3.7, 50.2), (0, 99.0, 30.0)], "image_id long, px double, py double")
+    box = lambda r: (r.x0, r.y0, r.x1, r.y1)
+    assert sorted(map(box, templates.capture_boxes(points, sizes).collect())) == [(0, 34, 32, 60), (83, 14, 100, 46)]
+    bands = spark.createDataFrame([(0, 10, 17), (0, 20, 31), (0, 20, 59)], "image_id long, y_start int, y_end int")
+    assert sorted(map(box, templates.row_boxes(bands, sizes).collect())) == [(0, 27, 25, 52), (7, 20, 18, 31)]
+
+
+def test_near_regions_of_unlike_sizes_are_paired_once(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(150):
+        w, h = rng.choice(((3, 3), (30, 8), (200, 100), (1, 60))), rng.randrange(600)
+        x, y = rng.randrange(600), h
+        rows.append((0, 1, i, x, x + w[0], y, y + w[1]))
+    df = spark.createDataFrame(rows, "image_id long, color_id int, blob_id long, min_x int, max_x int, min_y int, max_y int")
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[2] < b[2]:
+                pad = max(5.0, *(0.5 * max(r[4] - r[3], r[6] - r[5]) for r in (a, b)))
+                if a[3] - pad <= b[4] and a[4] + pad >= b[3] and a[5] - pad <= b[6] and a[6] + pad >= b[5]:
+                    want.add((a[2], b[2]))
+    got = [(r.a, r.b) for r in raster.near_edges(df, 5.0).collect()]
+    assert set(got) == want and len(got) == len(want)
