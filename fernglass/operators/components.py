@@ -1,12 +1,13 @@
 """Connected components: of pixels, by runs of rows, and of rows in an edge table.
 
-Both spread the least label of a component until nothing changes. Each round is a join and an aggregation; what a round
+Pixels' runs are joined inside strips of rows first. Labels that are left, as those of an edge table, spread the least label of a component until nothing changes. Each round is a join and an aggregation; what a round
 made is written to the folder of spark.checkpoint.dir, which cuts the lineage. After each spreading step labels jump to
 their label's label, so that the number of rounds grows with the logarithm of a component's diameter.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder that the session names; a new local one only where none is set."""
+    """df.checkpoint() in the folder that the session names; a new local one only where none is set and the master is local."""
     spark: SparkSession = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fernglass-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="fernglass-"))
     return df.checkpoint()
 
 
@@ -36,19 +40,71 @@ def components(nodes: DataFrame, edges: DataFrame, image: str = "image_id") -> D
             return now
 
 
-def runs(mask: DataFrame, image: str = "image_id") -> DataFrame:
-    """(image, y, x0, x1, id) of the longest runs of masked pixels (image, y, x) in each row; id orders them by y, then x0."""
-    in_row = Window.partitionBy(image, "y").orderBy("x")
-    found = mask.select(image, "y", "x", (F.col("x") - F.row_number().over(in_row)).alias("g")).groupBy(image, "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    return found.select(image, "y", "x0", "x1", (F.col("y").cast("long") * F.lit(1 << 24) + F.col("x0")).alias("id"))
+STRIP = 512
 
 
-def pixel_components(mask: DataFrame, image: str = "image_id") -> DataFrame:
-    """(image, y, x0, x1, root): each run of a mask with its 8-connected component's least run id."""
-    rows = checkpointed(runs(mask, image))
-    under = rows.select(image, (F.col("y") - 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("id").alias("b"))
-    edges = rows.join(under, [image, "y"]).where("u0 <= x1 + 1 and u1 >= x0 - 1").select(image, F.col("id").alias("a"), "b")
-    return rows.join(components(rows, edges, image), [image, "id"]).select(image, "y", "x0", "x1", "root")
+def runs(mask: DataFrame, keys: tuple[str, ...] = ("image_id",), sums: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, y, x0, x1, id, n, sx, s<column>...) of the longest runs of masked pixels (keys, y, x, ...) in each row, with the sums of columns over
+    their pixels; id orders runs by y, then x0."""
+    in_row = Window.partitionBy(*keys, "y").orderBy("x")
+    found = mask.withColumn("g_", F.col("x") - F.row_number().over(in_row)).groupBy(*keys, "y", "g_")
+    found = found.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n"), F.sum("x").alias("sx"), *(F.sum(c).alias(f"s{c}") for c in sums)).drop("g_")
+    return found.withColumn("id", F.col("y").cast("long") * F.lit(1 << 24) + F.col("x0"))
+
+
+def _strip_root(pdf):
+    """Each run's least connected run inside one strip; runs come in any order."""
+    pdf = pdf.sort_values("id")
+    ys, lefts, rights, ids = (pdf[c].tolist() for c in ("y", "x0", "x1", "id"))
+    parent = list(range(len(ids)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    above = 0  # the first run of the row above that may touch this one
+    for i, (y, x0, x1) in enumerate(zip(ys, lefts, rights, strict=True)):
+        while above < i and (ys[above] < y - 1 or ys[above] == y - 1 and rights[above] < x0 - 1):
+            above += 1
+        j = above
+        while j < i and ys[j] == y - 1 and lefts[j] <= x1 + 1:
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+            j += 1
+    return pdf.assign(root=[ids[find(i)] for i in range(len(ids))])
+
+
+def pixel_components(mask: DataFrame, keys: tuple[str, ...] = ("image_id",), sums: tuple[str, ...] = (), strip: int = STRIP) -> DataFrame:
+    """`runs` of a mask, each with its 8-connected component's least run id as `root`.
+
+    Runs are joined inside strips of `strip` rows, one task each; then only components that meet a strip's border spread their labels
+    in rounds, so a strip and the borders' graph are all that has to fit anywhere."""
+    rows = runs(mask, keys, sums).withColumn("strip", F.floor(F.col("y") / strip).cast("long"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", root long"
+    rows = checkpointed(rows.groupBy(*keys, "strip").applyInPandas(_strip_root, fields))
+    image = F.struct(*keys)
+    low = rows.where((F.col("y") + 1) % strip == 0).select(image.alias("image"), (F.col("y") + 1).alias("y"), "x0", "x1", F.col("root").alias("a"))
+    high = rows.where(F.col("y") % strip == 0).select(image.alias("image"), "y", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("root").alias("b"))
+    edges = low.join(high, ["image", "y"]).where("u0 <= x1 + 1 and u1 >= x0 - 1").select("image", "a", "b").distinct()
+    edges = checkpointed(edges)
+    if edges.isEmpty():
+        return rows.drop("strip")
+    nodes = edges.select("image", F.col("a").alias("id")).unionByName(edges.select("image", F.col("b").alias("id"))).distinct()
+    found = components(nodes, edges, "image").select(*(F.col(f"image.{k}").alias(k) for k in keys), F.col("id").alias("root"), F.col("root").alias("whole"))
+    return rows.join(found, [*keys, "root"], "left").withColumn("root", F.coalesce("whole", "root")).drop("strip", "whole")
+
+
+def numbered(df: DataFrame, order: tuple[str, ...], name: str, first: int = 0) -> DataFrame:
+    """df with `name`: numbers from `first` on in the order of the columns. Rows are dealt by ranges and numbered there; the driver gets one count
+    for each range."""
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))
+    at, starts = first, {}
+    for r in sorted(ranged.groupBy("range_").agg(F.count("*").alias("n_")).collect(), key=lambda r: r.range_):
+        starts[r.range_], at = at, at + r.n_
+    start = F.try_element_at(F.create_map(*(F.lit(x) for pair in starts.items() for x in pair)), F.col("range_")) if starts else F.lit(first)
+    number = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
+    return ranged.withColumn(name, (start + number).cast("long")).drop("range_")
 
 
 def rounded(x: Column) -> Column:

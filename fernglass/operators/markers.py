@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.functions import text as rules
 from fernglass.functions import viewport
 from fernglass.operators import resolve, state
+from fernglass.operators.components import numbered
 
 ATTRIBUTES = ("common", "botanical", "type", "size", "bloom", "sun", "water", "notes")
 
@@ -36,8 +37,7 @@ def annotated(points: DataFrame, palette: DataFrame, plants: DataFrame, genera:
     same name (case aside, the lowest id) is linked; attributes come from the dictionaries."""
     rows = points.withColumn("name", rules.trimmed(F.col("name"))).where("name != ''")
     linked = state.left_lookup(rows, palette.select(F.col("id").alias("color_id"), F.col("name").alias("p_name")), "name", "p_name", "color_id", fold=True).drop("p_name")
-    number = F.row_number().over(Window.orderBy("point_id"))  # points that a person clicked, few at a time
-    full = resolve.enriched(linked.withColumn("id", (number + after).cast("long")), plants, genera).drop("stage")
+    full = resolve.enriched(numbered(linked, ("point_id",), "id", after + 1), plants, genera).drop("stage")
     return full.withColumns({"photos": F.array().cast("array<string>"), "photos_fetched": F.lit(False)})
 
 

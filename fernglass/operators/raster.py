@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import colour
 from fernglass.operators import templates as patterns
-from fernglass.operators.components import checkpointed, components, pixel_components
+from fernglass.operators.components import components, pixel_components
 
 TOLERANCE, LEAST_SIZE, LEAST_RADIUS, MOST_ASPECT = 40, 30, 30, 8
 
@@ -40,20 +40,12 @@ def regions(mask: DataFrame, least: int = LEAST_SIZE) -> DataFrame:
     """8-connected regions of a mask with r, g, b, for each (image_id, color_id), from `least` pixels on.
 
     Columns: blob_id (least y * 2**24 + x of its first run), x, y (means), size, cr, cg, cb (rounded means), min_x, max_x, min_y, max_y."""
-    keyed = checkpointed(mask.select(F.struct("image_id", "color_id").alias("image_id"), "y", "x", "r", "g", "b"))
-    parts = pixel_components(keyed)
-    # A run's sums come from its pixels; the join is by row, inside which the run is found by its left end.
-    in_row = Window.partitionBy("image_id", "y").orderBy("x")
-    sums = keyed.withColumn("g_", F.col("x") - F.row_number().over(in_row)).groupBy("image_id", "y", "g_").agg(
-        F.min("x").alias("x0"), F.count("*").alias("n"), F.sum("x").alias("sx"), *(F.sum(c).alias(f"s{c}") for c in "rgb")
-    )
-    joined = parts.join(sums.drop("g_"), ["image_id", "y", "x0"])
-    found = joined.groupBy("image_id", "root").agg(
+    found = pixel_components(mask.select("image_id", "color_id", "y", "x", "r", "g", "b"), ("image_id", "color_id"), ("r", "g", "b")).groupBy("image_id", "color_id", "root").agg(
         F.sum("n").alias("size"), F.sum("sx").alias("sx"), F.sum(F.col("y") * F.col("n")).alias("sy"), *(F.sum(f"s{c}").alias(f"s{c}") for c in "rgb"),
         F.min("x0").alias("min_x"), F.max("x1").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"),
     ).where(F.col("size") >= least)
     return found.select(
-        "image_id.image_id", "image_id.color_id", F.col("root").alias("blob_id"), (F.col("sx") / F.col("size")).alias("x"), (F.col("sy") / F.col("size")).alias("y"), "size",
+        "image_id", "color_id", F.col("root").alias("blob_id"), (F.col("sx") / F.col("size")).alias("x"), (F.col("sy") / F.col("size")).alias("y"), "size",
         *(colour.rounded(F.col(f"s{c}") / F.col("size")).alias(f"c{c}") for c in "rgb"), "min_x", "max_x", "min_y", "max_y",
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fernglass.operators import state
+from fernglass.operators.components import numbered
 
 
 class Store:
@@ -48,12 +49,9 @@ class Store:
 
     def insert(self, rows: DataFrame) -> None:
         """Rows get ids from the largest id plus 1 on, in the order of their columns."""
-        from pyspark.sql import Window
-
-        others = [c for c in self.schema.names if c != self.key]
-        first = state.next_id(self.read(), self.key)
-        number = F.row_number().over(Window.orderBy(*others))  # a user's new rows, few at a time
-        new = rows.select(*others).crossJoin(first).withColumn(self.key, (F.col("next_id") + number - 1).cast(self.schema[self.key].dataType))
+        others = tuple(c for c in self.schema.names if c != self.key)
+        first = state.next_id(self.read(), self.key).first()[0]
+        new = numbered(rows.select(*others), others, "number_", first).withColumn(self.key, F.col("number_").cast(self.schema[self.key].dataType))
         self._write(self.read().unionByName(new.select(*self.schema.names)))
 
     def delete(self, keys: DataFrame) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import colour
 from fernglass.operators import raster, swatches, templates
+from fernglass.operators.components import numbered, pixel_components
 
 PIXEL = "image_id string, y long, x long, r int, g int, b int, a int"
 
@@ -210,3 +211,22 @@ def test_near_regions_of_unlike_sizes_are_paired_once(spark):
                     want.add((a[2], b[2]))
     got = [(r.a, r.b) for r in raster.near_edges(df, 5.0).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("strip", (1, 2, 5, 512))
+def test_strips_are_joined_at_their_borders(spark, strip):
+    rng = random.Random(strip)
+    cells = {(y, x) for y in range(24) for x in range(24) if rng.random() < 0.42} | {(y, 30) for y in range(24)}
+    mask = spark.createDataFrame([("a", y, x) for y, x in cells] + [("b", 3, 3)], "image_id string, y long, x long")
+    got = {}
+    for r in pixel_components(mask, strip=strip).collect():
+        for x in range(r.x0, r.x1 + 1):
+            got.setdefault((r.image_id, r.root), []).append((r.y, x))
+    want = {("a", min(y * 2**24 + x for y, x in part)): part for part in flood(cells)} | {("b", 3 * 2**24 + 3): [(3, 3)]}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_rows_are_numbered_in_order(spark):
+    df = spark.createDataFrame([(i * 7919 % 500, "x") for i in range(500)], "k long, v string").repartition(6)
+    assert [r.number for r in numbered(df, ("k",), "number", 3).orderBy("k").collect()] == list(range(3, 503))
+    assert numbered(df.limit(0), ("k",), "number").count() == 0
