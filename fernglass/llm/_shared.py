@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set to a new local folder only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set to a new local folder only where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fernglass-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,6 +72,17 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def taken(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows of an Arrow text column with about `limit` bytes each, and their texts: only one range's are Python objects at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = int(ends[start - 1]) if start else 0
+        stop = min(len(column), max(start + 1, int(np.searchsorted(ends, before + limit, "left")) + 1))
+        yield start, stop, column.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 _holders: dict[str, Callable[[], None]] = {}
 
 

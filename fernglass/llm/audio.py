@@ -1,6 +1,6 @@
 """Media columns: telephony audio (G.711 mu-law and A-law, IMA ADPCM) and resampled PCM.
 
-`store` puts bytes into an 8 kHz mono WAV of 8-bit samples without loss, `load` reads them back, and `decode`
+`text_media` makes a media column of a text column, `described` reads one. `store` puts bytes into an 8 kHz mono WAV of 8-bit samples without loss, `load` reads them back, and `decode`
 expands a stored file to 16-bit PCM at twice its rate. Work is done for each Arrow batch in numpy; ADPCM blocks, which
 are serial inside, are decoded side by side. Nothing is shuffled.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import map_arrow, slices
+from fernglass.llm._shared import map_arrow, taken
 
 BLOCK = 192
 RATE = 8000
@@ -173,36 +173,46 @@ def _levels(pcm: np.ndarray) -> str:
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def text_audio(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Store each whole text as mu-law samples, read the file back and describe what it plays as.
+def text_media(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_bytes and `media`: each whole text's bytes, with spaces up to a multiple of 192, as the mu-law samples of a WAV file."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for start, stop, texts in taken(batch.column(1)):
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+            media = [store(r + b" " * (-len(r) % BLOCK if r else BLOCK)) for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[start:stop].cast(pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return map_arrow(df.select(F.col(doc_id).cast("long"), F.col(text).cast("string")), run, "doc_id long, n_bytes long, media binary")
+
+
+def described(df: DataFrame, media: str = "media") -> DataFrame:
+    """What stored files (doc_id, n_bytes, media) hold and play as, read from their bytes.
 
     `feature` is `mu:peak,crossings,power;al:...;ad:...;pcm:crc32`: of the payload as mu-law, as A-law and as ADPCM
     blocks of 192 bytes, and the CRC-32 of the mu-law samples resampled to 16 kHz."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for start, stop in slices(texts):
-            sizes, loaded, out = [], [], []
-            for text in texts[start:stop]:
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                media = store(raw + b" " * (-len(raw) % BLOCK if raw else BLOCK))
-                payload = load(media)[3]
-                sizes.append(len(raw))
-                loaded.append(payload)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()))
+        for start, stop, files in taken(batch.column(2)):
+            loaded = [load(f)[3] for f in files]
             decoded, at, features = adpcm(b"".join(loaded)), 0, []
             for payload in loaded:
                 n = len(payload) // BLOCK
                 mu = expand(payload)
                 features.append(f"mu:{_levels(mu)};al:{_levels(expand(payload, 'alaw'))};ad:{_levels(decoded[at : at + n].ravel())};pcm:{zlib.crc32(resample(mu).tobytes())}")
                 at += n
-            columns = list(zip(*out, strict=True))
+            sha = lambda some: pa.array([hashlib.sha256(x).hexdigest() for x in some], pa.string())
+            size = lambda some: pa.array([len(x) for x in some], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids[start:stop].cast(pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)), pa.array(features, pa.string())],
+                [batch.column(0)[start:stop], batch.column(1)[start:stop], size(loaded), sha(loaded), pa.array([zlib.crc32(p[-16:]) for p in loaded], pa.int64()), size(files), sha(files), pa.array(features, pa.string())],
                 ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    return map_arrow(df.select(F.col(doc_id).cast("long"), F.col(text).cast("string")), run, SCHEMA)
+    return map_arrow(df.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), F.col(media).cast("binary")), run, SCHEMA)
+
+
+def text_audio(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Texts stored as media and read back: a media column in between."""
+    return described(text_media(df, text, doc_id))
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

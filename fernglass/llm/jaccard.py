@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernglass.llm._graph import components
-from fernglass.llm._shared import SLICE_CHARS, WordHashes, claim, materialize, mix, shingle_hashes, slices, word_hashes
+from fernglass.llm._shared import SLICE_CHARS, WordHashes, claim, materialize, mix, shingle_hashes, taken, word_hashes
 
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Cost of a verification in units of a shared place; width of the sketches; estimated count from which a shingle's list is
@@ -150,9 +150,9 @@ def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
         claim("jaccard", _words.clear)
         names, counts = ["id", "n", "f1", "f2", "block", "salt", "places", "counts"], np.zeros(1 << bits, np.int64)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, stop in slices(texts):
-                sets = [shingles(t, k) for t in texts[start:stop]]
+            ids = batch.column(0)
+            for start, stop, texts in taken(batch.column(1)):
+                sets = [shingles(t, k) for t in texts]
                 first = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
                 second = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else 0 for s in sets], np.uint64).astype(np.int64)
                 counts += np.bincount(_place(np.concatenate(sets), bits), minlength=1 << bits)
@@ -175,10 +175,10 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, bits: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard", _words.clear)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, stop in slices(texts):
+            ids = batch.column(0)
+            for start, stop, texts in taken(batch.column(1)):
                 rows = []
-                for id, text in zip(ids[start:stop].to_pylist(), texts[start:stop], strict=True):
+                for id, text in zip(ids[start:stop].to_pylist(), texts, strict=True):
                     if len(s := shingles(text, k)):
                         weight = counts.value[_place(s, bits)]
                         chosen, level = prefix(s, weight, percent, floor)
@@ -264,13 +264,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         key, held = None, None
         for batch in batches:
             a, b = [], []
-            for hub, part, role, x, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
-                s = shingles(text, k)
-                if role == 0:
-                    key, held = (hub, part), s
-                elif key == (hub, part) and similar(s, held, percent):
-                    a.append(x)
-                    b.append(hub)
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 4)]
+            for start, stop, texts in taken(batch.column(5)):
+                for hub, part, role, x, text in zip(*(c[start:stop] for c in columns), texts, strict=True):
+                    s = shingles(text, k)
+                    if role == 0:
+                        key, held = (hub, part), s
+                    elif key == (hub, part) and similar(s, held, percent):
+                        a.append(x)
+                        b.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return _gathered(wanted, docs).mapInArrow(run, "a long, b long")
@@ -289,10 +291,10 @@ def _differences(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
         claim("jaccard", _words.clear)
         key, held = None, None
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for start, stop in slices(columns[5], SLICE_CHARS // 4):
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for start, stop, texts in taken(batch.column(5), SLICE_CHARS // 4):
                 rows = []
-                for hub, part, role, size, x, text in zip(*(c[start:stop] for c in columns), strict=True):
+                for hub, part, role, size, x, text in zip(*(c[start:stop] for c in columns), texts, strict=True):
                     s = shingles(text, k)
                     if role == 0:
                         key, held = (hub, part), s

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import claim, crc_mod, map_arrow, slices
+from fernglass.llm._shared import claim, crc_mod, map_arrow, taken
 
 BLOCK = 64
 DOCS_PER_LANG, TRAIN_WORDS, RUN, EPOCHS, RATE, DECAY = 250, 160_000, 12, 40, 0.3, 1e-5
@@ -290,9 +290,8 @@ def identify(df: DataFrame, crf: Crf | None, text: str = "text", doc_id: str = "
     model = df.sparkSession.sparkContext.broadcast(crf)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = batch.column(2).to_pylist()
-        for start, stop in slices(texts):
-            found = _labeller(model.value).languages(texts[start:stop]) if model.value else [("und", 0.0)] * (stop - start)
+        for start, stop, texts in taken(batch.column(2)):
+            found = _labeller(model.value).languages(texts) if model.value else [("und", 0.0)] * (stop - start)
             part = batch.slice(start, stop - start)
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 

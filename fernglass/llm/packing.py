@@ -24,7 +24,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import claim, slices
+from fernglass.llm._shared import claim, taken
 
 CAPACITY, END, PIECE, POOL = 4096, 2, 4096, 192
 #: Rows and bytes of ids after which a task hands on a batch.
 BATCH_ROWS, BATCH_BYTES = 10_000, 8_000_000
-#: Characters that are tokenized together.
-SLICE_CHARS = 4_000_000
 
 # Characters whose normal form and lower case do not depend on their neighbours, and the tokenizer's own words among them.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -90,16 +88,23 @@ class Ids:
     def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.words_only = Tokenizer.from_file(path)  # for words that are normal already
         self.words_only.normalizer = normalizers.Sequence([])
         self.words_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        vocabulary = self.words_only.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         kind = np.uint16 if len(self.last) <= 1 << 16 else np.uint32
         self.parts, self.words = Known(limit, kind), Known(limit // 2, kind)
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, loaded when a text asks for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -281,9 +286,9 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
 
         size = 0
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, stop in slices(texts, SLICE_CHARS):
-                for doc, raw in zip(docs[start:stop], ids.of([t or "" for t in texts[start:stop]]), strict=True):
+            docs = batch.column(0).to_pylist()
+            for start, stop, texts in taken(batch.column(1)):
+                for doc, raw in zip(docs[start:stop], ids.of([t or "" for t in texts]), strict=True):
                     rows += packer.add(doc, raw + last)
                     size += len(raw)
                 if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import WordHashes, claim, map_arrow, materialize, mix, shingle_hashes, slices, word_hashes
+from fernglass.llm._shared import WordHashes, claim, map_arrow, materialize, mix, shingle_hashes, taken, word_hashes
 
 BUCKETS, TARGETS, SHARE, WEIGHT, SMOOTH, EMPTY, SEED = 1 << 16, 20_000, 0.8, 200, 1.0, -1e6, 29
 _words = WordHashes()
@@ -79,9 +79,9 @@ def _counts(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         claim("resampling", _words.clear)
         sums = np.zeros((2, n), np.int64)
         for batch in batches:
-            texts, good = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            for start, stop in slices(texts):
-                sets = [buckets(t, n) for t in texts[start:stop]]
+            good = batch.column(1).to_numpy(zero_copy_only=False)
+            for start, stop, texts in taken(batch.column(0)):
+                sets = [buckets(t, n) for t in texts]
                 sums[0] += np.bincount(np.concatenate(sets), minlength=n)
                 if some := [s for s, g in zip(sets, good[start:stop], strict=True) if g]:
                     sums[1] += np.bincount(np.concatenate(some), minlength=n)
