@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as rules
 from fernglass.functions import viewport
-from fernglass.operators import resolve, state
+from fernglass.operators import raster, resolve, state
 from fernglass.operators.components import numbered
 
 ATTRIBUTES = ("common", "botanical", "type", "size", "bloom", "sun", "water", "notes")
@@ -47,6 +47,18 @@ def rescanned(markers: DataFrame, blobs: DataFrame, palette: DataFrame) -> DataF
     return state.without(markers, palette.select(F.col("id").alias("color_id")), "color_id").select(*fresh.columns).unionByName(fresh)
 
 
+def scanned(markers: DataFrame, pixels: DataFrame, palette: DataFrame, plants: DataFrame, genera: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """Colours (id, name, r, g, b) scanned again: the markers, in which their old ones have given way to new hits with attributes from the
+    dictionaries, and the palette with its counts. New ids go on from the largest of all. `limits` are those of `raster.scan`."""
+    blobs = raster.scan(pixels, palette, **limits)
+    counts = state.hits_per_colour(palette, blobs).withColumnRenamed("hits", "count").drop("part")
+    first = state.next_id(markers).first()[0]
+    fresh = numbered(blobs.join(palette.select(F.col("id").alias("color_id"), "name"), "color_id"), ("color_id", "image_id", "blob_id"), "id", first)
+    full = resolve.enriched(fresh.select("id", "image_id", "x", "y", F.col("size").alias("blob_size"), "color_id", F.array("cr", "cg", "cb").alias("found_colour"), "name"), plants, genera).drop("stage")
+    full = full.withColumns({"photos": F.array().cast("array<string>"), "photos_fetched": F.lit(False)})
+    return state.without(markers, palette.select(F.col("id").alias("color_id")), "color_id").unionByName(full, allowMissingColumns=True), counts
+
+
 def edited(records: DataFrame, edits: DataFrame, key: str = "id") -> DataFrame:
     """Records with the attributes of their edits (one a key); an edit also drops the photos."""
     new = edits.select(F.col(key).alias("k_"), *(F.col(a).alias(f"n_{a}") for a in ATTRIBUTES), F.lit(True).alias("hit_"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.functions import text as rules
+from fernglass.operators.components import checkpointed
 
 MOST = 100_000
 
@@ -64,6 +65,7 @@ def lookup(names: DataFrame, plants: DataFrame, genera: DataFrame, name: str = "
     dim = F.broadcast(plants.select("ord", F.col("key").alias("k"), "botanical"))
     lower = lambda c: rules.trimmed(F.lower(c))
     rows = names.select(name).where(F.col(name) != "").distinct().withColumns({"key_": lower(rules.core(F.col(name))), "orig_": lower(F.col(name))})
+    rows = checkpointed(rows)  # each rewritten name serves five plans below
     exact = [rows.join(dim, F.col(c) == F.col("k")).select(name, F.lit(n).alias("stage"), "ord", "k") for n, c in ((1, "key_"), (2, "orig_"))]
     exact = reduce(DataFrame.unionByName, exact).groupBy(name).agg(F.min(F.struct("stage", "ord", "k")).alias("hit"))
     rest = rows.join(exact, name, "left_anti")

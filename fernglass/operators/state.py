@@ -69,6 +69,45 @@ def confirmed(entries: DataFrame) -> DataFrame:
     return kept.withColumn("id", F.row_number().over(Window.partitionBy("image_id").orderBy("ord"))).withColumn("count", F.lit(0))
 
 
+def legend_palette(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A confirmed legend takes the place of palette and markers: the new palette (image_id, id, name, db_key, cr, cg, cb, count) and the images whose
+    markers go."""
+    palette = confirmed(entries).select("image_id", "id", "name", F.lower("name").alias("db_key"), "cr", "cg", "cb", "count")
+    return palette, entries.select("image_id").distinct()
+
+
+def low_confidence(confidence: Column, least: int = 60) -> Column:
+    return confidence < least
+
+
+def visible(kind: Column, annotating: Column) -> Column:
+    """While annotating only annotations show, else both kinds."""
+    return (kind == "annotation") | ~annotating
+
+
+def display_colour(own: Column, palette: Column) -> Column:
+    """rgb(...) of a marker's own colour, else its palette entry's; null for lists of fewer than three numbers."""
+    colour = F.coalesce(own, palette)
+    return F.when(F.size(colour) >= 3, F.concat(F.lit("rgb("), F.concat_ws(",", F.slice(colour, 1, 3)), F.lit(")")))
+
+
+def with_feedback(markers: DataFrame, feedback: DataFrame, key: str = "marker_id", order: str = "timestamp", tie: str = "rating") -> DataFrame:
+    """Markers with the rating and the correct name of their latest feedback, and the class that shows it."""
+    last = latest(feedback, key, order, tie).select(F.col(key).alias("k_"), "rating", "correct_name")
+    rows = markers.join(last, F.col(key) == F.col("k_"), "left").drop("k_")
+    return rows.withColumn("shown_as", F.concat(F.lit("debug-"), "rating"))
+
+
+def iso_time(at: Column) -> Column:
+    """A time in UTC as browsers write it: 2024-01-31T09:05:00.000Z."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def shown_time(at: Column) -> Column:
+    """A saved image's time in the session's zone, as it is shown: 1/31/2024 09:05 AM."""
+    return F.date_format(at, "M/d/yyyy hh:mm a")
+
+
 def export_json(filename: Column, tolerance: Column, date: Column, palette: Column, feedback: Column, totals: Column, summary: Column) -> Column:
     """One pretty-printed JSON document of a scan and its feedback. palette: array<struct<id,name,color,count>>."""
     legend = F.transform(palette, lambda p: F.struct(p["id"].alias("id"), p["name"].alias("name"), p["color"].alias("color"), F.coalesce(p["count"], F.lit(0)).alias("count")))

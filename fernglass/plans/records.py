@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import viewport
 from fernglass.operators import markers, media, raster, state
-from fernglass.plans.images import LEAST, REGIONS, TOLERANCE
+from fernglass.plans.images import LEAST, NEAR, REGIONS, TOLERANCE
 from fernglass.sources import dims, tables
 
 
@@ -130,7 +130,7 @@ CONFIRMED_ENTRIES = "SELECT p_brand AS image_id, p_partkey AS ord, p_name AS nam
 
 
 def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").groupBy("p_brand").agg(F.floor(F.avg("p_size") * 2 + 10.5).alias("confidence")).withColumn("low", F.col("confidence") < 60)
+    return _t(spark, sf_dir, "part").groupBy("p_brand").agg(F.floor(F.avg("p_size") * 2 + 10.5).alias("confidence")).withColumn("low", state.low_confidence(F.col("confidence")))
 
 
 LOW_CONFIDENCE = "SELECT p_brand, floor(avg(p_size) * 2 + 10.5)::BIGINT AS confidence, floor(avg(p_size) * 2 + 10.5) < 60 AS low FROM part GROUP BY 1"
@@ -139,7 +139,7 @@ LOW_CONFIDENCE = "SELECT p_brand, floor(avg(p_size) * 2 + 10.5)::BIGINT AS confi
 def marker_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """While annotating only annotations show, else both kinds."""
     both = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", "annotation").otherwise("marker").alias("kind"), F.explode(F.array(F.lit(True), F.lit(False))).alias("annotating"))
-    return both.where((F.col("kind") == "annotation") | ~F.col("annotating")).groupBy("annotating", "kind").agg(F.count("*").alias("n"))
+    return both.where(state.visible(F.col("kind"), F.col("annotating"))).groupBy("annotating", "kind").agg(F.count("*").alias("n"))
 
 
 MARKER_VISIBILITY = "WITH e AS (SELECT CASE WHEN event_type = 'click' THEN 'annotation' ELSE 'marker' END AS kind, unnest([true, false]) AS annotating FROM events) SELECT annotating, kind, count(*)::BIGINT AS n FROM e WHERE kind = 'annotation' OR NOT annotating GROUP BY ALL"
@@ -337,6 +337,63 @@ def rescan_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESCAN_MARKERS = f"WITH RECURSIVE {REGIONS} SELECT 1::INTEGER AS color_id, 'middle gray' AS name, count(*)::BIGINT AS n, sum(size)::BIGINT AS size FROM blobs WHERE color_id = 1 UNION ALL SELECT 9, 'old', count(*), sum(event_id)::BIGINT FROM events WHERE event_id % 2 = 1"
 
-_NAMES = ("annotations_created", "record_edits", "plant_type_labels", "missing_stubs", "request_terms", "photos_fetched", "rescan_markers", "legend_left_lookup", "first_match_lookup", "suggestions_union_anti", "cascade_delete_anti", "feedback_latest_upsert", "feedback_summary", "keyed_upsert", "keyed_get", "saved_list_recent", "next_id", "json_props", "default_texts", "confirmed_entries", "low_confidence", "marker_visibility", "viewport_transform", "zoom_clamp", "crop_clamp", "thumb_ratio", "url_filter_dedupe", "url_categorize_rebalance")
+def scan_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour 1, named after a plant, scanned whole: old markers of it go, new ones get ids, attributes and a count."""
+    palette = tables.palette(spark).where("id = 1").withColumn("name", F.lit("Boxwood"))
+    old = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("image_id"), F.col("value").alias("x"), F.col("value").alias("y"), F.col("event_id").alias("blob_size"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(9).alias("color_id"), F.lit("old").alias("name"))
+    found, counts = markers.scanned(old, tables.pixels(spark, sf_dir), palette, dims.plants(spark), dims.genera(spark), tolerance=TOLERANCE, least=LEAST, floor=1)
+    n = F.broadcast(counts.select(F.col("id").alias("k_"), F.col("count").cast("long").alias("count")))  # a row for each scanned colour
+    return found.join(n, F.col("color_id") == F.col("k_"), "left").select("id", F.col("color_id").cast("long").alias("color_id"), "name", F.col("blob_size").cast("long").alias("blob_size"), "botanical", "sun", "count")
+
+
+_BOX = next(r for r in dims.plant_rows() if r[1] == "boxwood")
+SCAN_COLOUR = f"""
+WITH RECURSIVE {NEAR}, hits AS (SELECT *, row_number() OVER (ORDER BY image_id, blob_id) AS i FROM merged WHERE color_id = 1 AND greatest(max_x - min_x, max_y - min_y) / greatest(1, least(max_x - min_x, max_y - min_y))::DOUBLE < 8)
+SELECT event_id AS id, 9::BIGINT AS color_id, 'old' AS name, event_id::BIGINT AS blob_size, NULL::VARCHAR AS botanical, NULL::VARCHAR AS sun, NULL::BIGINT AS count FROM events WHERE event_id % 2 <> 0
+UNION ALL SELECT (SELECT max(event_id) FROM events) + i, 1, 'Boxwood', size, '{_BOX[3]}', '{_BOX[7]}', (SELECT count(*) FROM hits) FROM hits
+"""
+
+
+def marker_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as markers with the latest of their events as feedback."""
+    m = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("marker_id"), "c_name")
+    f = _t(spark, sf_dir, "events").select(F.col("user_id").alias("marker_id"), F.col("ts").alias("timestamp"), F.col("event_type").alias("rating"), F.col("event_id").cast("string").alias("correct_name"), "event_id")
+    return state.with_feedback(m, f, "marker_id", "timestamp", "event_id")
+
+
+MARKER_FEEDBACK = "WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT c_custkey AS marker_id, c_name, event_type AS rating, event_id::VARCHAR AS correct_name, 'debug-' || event_type AS shown_as FROM customer LEFT JOIN f ON user_id = c_custkey AND n = 1"
+
+
+def shown_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", state.iso_time(F.col("ts")).alias("iso"), state.shown_time(F.col("ts")).alias("shown"))
+
+
+SHOWN_TIMES = "SELECT event_id, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, strftime(ts, '%-m/%-d/%Y %I:%M %p') AS shown FROM events"
+
+
+def display_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of parts: their own, a short list, or the palette's."""
+    p, b = _t(spark, sf_dir, "part"), F.col("p_size").cast("int")
+    own = F.when(F.col("p_partkey") % 3 == 0, F.array(b, b + 1, b + 2)).when(F.col("p_partkey") % 3 == 1, F.array(b, b))
+    entry = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit(128), F.lit(96), b, b))
+    return p.select("p_partkey", state.display_colour(own, entry).alias("shown"))
+
+
+DISPLAY_COLOURS = "WITH c AS (SELECT p_partkey, coalesce(CASE p_partkey % 3 WHEN 0 THEN [p_size, p_size + 1, p_size + 2] WHEN 1 THEN [p_size, p_size] END, CASE WHEN p_partkey % 2 = 0 THEN [128, 96, p_size, p_size] END) AS c FROM part) SELECT p_partkey, CASE WHEN len(c) >= 3 THEN 'rgb(' || array_to_string(c[1:3], ',') || ')' END AS shown FROM c"
+
+
+def legend_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entries of legends: the new palettes, and how many markers (events) their images lose."""
+    rows = _t(spark, sf_dir, "part").select((F.col("p_size") % 7).alias("image_id"), F.col("p_partkey").alias("ord"), F.when(F.col("p_size") > 5, F.col("p_name")).alias("name"), F.when(F.col("p_size") < 45, F.col("p_size")).alias("cr"), F.lit(1).alias("cg"), F.lit(2).alias("cb"))
+    palette, images = state.legend_palette(rows)
+    left = state.without(_t(spark, sf_dir, "events").select((F.col("event_id") % 9).cast("int").alias("image_id")), images, "image_id").groupBy("image_id").agg(F.count("*").alias("n"))
+    kept = left.agg(F.sum("n").alias("markers_left"))
+    return palette.crossJoin(kept).select("image_id", F.col("id").cast("long").alias("id"), "name", "db_key", "cr", "markers_left")  # one row
+
+
+LEGEND_CONFIRMED = "WITH e AS (SELECT p_size % 7 AS image_id, row_number() OVER (PARTITION BY p_size % 7 ORDER BY p_partkey) AS id, p_name AS name, p_size AS cr FROM part WHERE p_size > 5 AND p_size < 45) SELECT image_id, id::BIGINT AS id, name, lower(name) AS db_key, cr, (SELECT count(*) FROM events WHERE event_id % 9 NOT IN (SELECT p_size % 7 FROM part))::BIGINT AS markers_left FROM e"
+
+
+_NAMES = ("scan_colour", "marker_feedback", "shown_times", "display_colours", "legend_confirmed", "annotations_created", "record_edits", "plant_type_labels", "missing_stubs", "request_terms", "photos_fetched", "rescan_markers", "legend_left_lookup", "first_match_lookup", "suggestions_union_anti", "cascade_delete_anti", "feedback_latest_upsert", "feedback_summary", "keyed_upsert", "keyed_get", "saved_list_recent", "next_id", "json_props", "default_texts", "confirmed_entries", "low_confidence", "marker_visibility", "viewport_transform", "zoom_clamp", "crop_clamp", "thumb_ratio", "url_filter_dedupe", "url_categorize_rebalance")
 QUERIES = {n: globals()[n] for n in (*_NAMES, "export_json")}
 ORACLES = {n: globals()[n.upper()] for n in _NAMES}
