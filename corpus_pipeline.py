@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`. Learned and
 counted things (labels' words, shingle counts, word frequencies) are taken from the stage's own input.
+
+Documents with a null or empty text, or without words, are never toxic, copies or leaks and hold no secret: they stay, and are packed as
+their end id alone. A null doc_id is no hindrance: such rows are judged by their texts, but for copies, of which they are none. Of rows with one doc_id and
+equal texts one stays, rows with one doc_id and unlike texts are judged each for itself. Of equal documents the least doc_id stays. Texts are
+worked on whole, however long. Empty tables give empty results. Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm._shared import materialize
+from fernglass.llm._shared import materialize, scratch
 
 SALT = 16
 
@@ -21,20 +21,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round writes its edges into the shared folder; the number of rounds grows with the logarithm of the longest path.
     Stars of a hub are joined with one row of it, which Spark can split. An empty table gives no rows."""
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    while True:
-        # Large star: neighbours above a node go to its least neighbour (itself included).
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _least(both, "a", "b").select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        # Small star: a node and its lower neighbours go to the least of these.
-        least = _least(large, "a", "b").select(F.col("a").alias("k"), "m")
-        joined = large.join(least, F.col("a") == F.col("k"))
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
-        then = materialize(small, "edges")
-        before, after = (e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for e in (now, then))
-        now = then
-        if before == after:
-            break
+    with scratch() as keep:
+        now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+        while True:
+            then = materialize(_round(now), "edges")
+            before, after = (e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for e in (now, then))
+            now = then
+            if before == after:
+                break
+        keep(now)
     roots = now.select(F.col("b").alias("id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+
+
+def _round(now: DataFrame) -> DataFrame:
+    # Large star: neighbours above a node go to its least neighbour (itself included).
+    both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = _least(both, "a", "b").select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    # Small star: a node and its lower neighbours go to the least of these.
+    least = _least(large, "a", "b").select(F.col("a").alias("k"), "m")
+    joined = large.join(least, F.col("a") == F.col("k"))
+    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernglass.llm._graph import components
-from fernglass.llm._shared import SLICE_CHARS, WordHashes, claim, materialize, mix, shingle_hashes, taken, word_hashes
+from fernglass.llm._shared import SLICE_CHARS, WordHashes, claim, materialize, mix, scratch, shingle_hashes, taken, word_hashes
 
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Cost of a verification in units of a shared place; width of the sketches; estimated count from which a shingle's list is
@@ -363,9 +363,15 @@ def _within(diffs: DataFrame, percent: int) -> list[DataFrame]:
 
 
 def _joined(docs: DataFrame, k: int, percent: int, bits: int, wide: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n) of the rows (id, text), and (id, component) of ids with links; ids that repeat have one set."""
+    """(id, n) of the rows (id, text), and (id, component) of ids with links; ids that repeat have one set. Other tables are deleted when these two stand."""
+    with scratch() as keep:
+        scanned = keep(materialize(_scan(docs, k, bits), "sets"))
+        found = keep(materialize(_linked(docs, scanned, k, percent, bits, wide), "groups"))
+    return scanned.where("block is null").select("id", "n", "f1", "f2"), found
+
+
+def _linked(docs: DataFrame, scanned: DataFrame, k: int, percent: int, bits: int, wide: int) -> DataFrame:
     keyed = docs.where("id is not null")
-    scanned = materialize(_scan(docs, k, bits), "sets")
     rows = scanned.where("block is null").select("id", "n", "f1", "f2")
     sketch = _total(scanned.where("block is not null").select("block", "salt", "places", "counts"), bits)
 
@@ -433,7 +439,7 @@ def _joined(docs: DataFrame, k: int, percent: int, bits: int, wide: int) -> tupl
     edges = copies.unionByName(_verified(pairs, keyed, k, percent))
     for some in inside:
         edges = edges.unionByName(some)
-    return rows, components(edges)
+    return components(edges)
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -328,5 +328,55 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == scanned
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    rows = [*odd_rows(), (9, "nine has one text of its own here"), (9, "and another text under the same number nine"), (10, "and another text under the same number nine")]
+    docs = table(spark, rows).withColumn("__gone", F.lit(1)).withColumn("key", F.lit(2))
+    spark.createDataFrame([(1, 1, 0), (9, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some, want in ((docs, ["1", "2", "3", "4", "5", "7", "9", "9", "None"]), (docs.limit(0), [])):
+        kept = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == docs.columns, name
+        assert sorted(str(r.doc_id) for r in kept.collect()) == want
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
+        assert sorted({str(r.doc_id) for r in packed.collect()}) == sorted(set(want))
+
+
+def test_unlike_texts_under_one_id_all_stay(spark):
+    rows = [(1, "one two three four five six seven"), (1, "quite another text than the first one is"), (2, "one two three four five six seven"), (1, None), (1, None)]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(table(spark, rows)).collect()), key=str)
+    assert kept == sorted([rows[0], rows[1], rows[3], rows[4]], key=str)
+
+
+def test_near_copies_below_the_limit_make_few_pairs(spark, monkeypatch):
+    """500 edited copies of one text, most of them not linked: their links are found without comparing all of them."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(140)]
+    rows = []
+    for i in range(500):
+        text = list(base)
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 6, 9, 12))):
+            text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}" if rng.random() < 0.9 else "same"
+        if i % 10 == 3 and rows:  # a copy of a copy, one word off
+            text = rows[-1][1].split()
+            text[5] = f"z{i}"
+        rows.append((i, " ".join(text)))
+    made, tables = [], jaccard.materialize
+
+    def counted(df, label):
+        out = tables(df, label)
+        if label in ("places", "pairs"):
+            made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    got = sorted(map(tuple, jaccard.join(table(spark, rows), 4, 85).collect()), key=str)
+    want = brute_components(rows, 4, 85)
+    assert got == want
+    assert len({c for _, _, c in want}) > 100  # many are linked with nothing
+    assert sum(n for _, n in made) < 20_000  # all pairs would be 124,750
+
+
 def test_queries_are_registered():
     assert [re.match(r"op(\d+)_", n)[1] for n in registry.QUERIES] == [str(i) for i in range(1, 11)]
