@@ -67,10 +67,30 @@ DESCRIPTION = r"^(dwarf|giant|miniature|variegated|golden|purple|red|blue|white|
 
 # Patterns that no name may show (pattern, whether case is ignored), and words that none starts with.
 REJECTED: tuple[tuple[str, bool], ...] = (
-    *((rf"^{w}\b", True) for w in ("form", "type", "color", "size", r"var\.?", r"cv\.?", r"sp\.?", r"spp\.?", "or", "and", "with", "worn", "cond", "soon")),
-    (r"^[-–—]", False), (r"^\(", False), (r"^\d", False), (r"^[a-z]{1,3}\b", False), (r"^[A-Z][a-z]?\s+[a-z]{1,2}\b", True),
-    (r"^(See|Also|Note|Legend|Key|Plant|Symbol|Color)\b", True), (r"^Butter\s+and\b", True), (r"cere$", True), (r"EH\s", True),
-)
+    (r"^form\b", True),
+    (r"^type\b", True),
+    (r"^color\b", True),
+    (r"^size\b", True),
+    (r"^var\.?\b", True),
+    (r"^cv\.?\b", True),
+    (r"^sp\.?\b", True),
+    (r"^spp\.?\b", True),
+    (r"^or\b", True),
+    (r"^and\b", True),
+    (r"^with\b", True),
+    (r"^worn\b", True),
+    (r"^cond\b", True),
+    (r"^soon\b", True),
+    (r"^[-–—]", False),
+    (r"^\(", False),
+    (r"^\d", False),
+    (r"^[a-z]{1,3}\b", False),
+    (r"^[A-Z][a-z]?\s+[a-z]{1,2}\b", True),
+    (r"^(See|Also|Note|Legend|Key|Plant|Symbol|Color)\b", True),
+    (r"^Butter\s+and\b", True),
+    (r"cere$", True),
+    (r"EH\s", True),
+)
 STOP_WORDS = ("one", "two", "three", "four", "five", "none", "some", "more", "less", "this", "that", "these", "those", "the", "for", "are", "but")
 
 _BOUND = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"

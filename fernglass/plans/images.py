@@ -161,33 +161,55 @@ def found_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOUND_PARTITION = f"WITH RECURSIVE {REGIONS}, p AS (SELECT id, name FROM palette UNION ALL SELECT 4, 'magenta'), h AS (SELECT color_id, count(*) AS n FROM blobs GROUP BY 1) SELECT id::BIGINT AS id, name, coalesce(n, 0)::BIGINT AS hits, CASE WHEN coalesce(n, 0) > 0 THEN 'found' ELSE 'missing' END AS part FROM p LEFT JOIN h ON id = color_id"
 
 
+def _by_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of all colours; each (image, colour) counts as an image of its own."""
+    found = raster.regions(raster.colour_mask(tables.pixels(spark, sf_dir), tables.palette(spark), TOLERANCE), LEAST)
+    return found.withColumn("image_id", F.col("image_id") * 10 + F.col("color_id"))
+
+
+_BY_COLOUR = f"{REGIONS}, o AS (SELECT * REPLACE (image_id * 10 + color_id AS image_id), row_number() OVER (PARTITION BY image_id, color_id ORDER BY floor(min_y / 30), min_x, min_y, blob_id) - 1 AS idx FROM blobs)"
+
+
 def swatch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blobs of the first colour in reading order."""
-    one = tables.palette(spark).where("id = 1")
-    found = raster.regions(raster.colour_mask(tables.pixels(spark, sf_dir), one, TOLERANCE), LEAST)
-    return swatches.ordered(found).select("image_id", "blob_id", F.col("idx").cast("long").alias("idx"))
+    """Blobs in reading order."""
+    return swatches.ordered(_by_colour(spark, sf_dir)).select("image_id", "blob_id", F.col("idx").cast("long").alias("idx"))
 
 
-SWATCH_ORDER = f"WITH RECURSIVE {REGIONS} SELECT image_id, blob_id, (row_number() OVER (PARTITION BY image_id ORDER BY floor(min_y / 30), min_x, min_y, blob_id) - 1)::BIGINT AS idx FROM blobs WHERE color_id = 1"
+SWATCH_ORDER = f"WITH RECURSIVE {_BY_COLOUR} SELECT image_id, blob_id, idx::BIGINT AS idx FROM o"
 
 
 def greedy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = tables.palette(spark).where("id = 1")
-    found = raster.regions(raster.colour_mask(tables.pixels(spark, sf_dir), one, TOLERANCE), LEAST)
-    return swatches.merge_near(swatches.ordered(found))
+    return swatches.merge_near(swatches.ordered(_by_colour(spark, sf_dir)))
+
+
+# One step looks at one later item j for the item i that grows; a row whose j is past the end has the finished i.
+GREEDY_MERGE = f"""
+WITH RECURSIVE {_BY_COLOUR}, l AS (
+  SELECT image_id, count(*) AS n, list({{'size': size, 'cr': cr, 'cg': cg, 'cb': cb, 'min_x': min_x, 'max_x': max_x, 'min_y': min_y, 'max_y': max_y}} ORDER BY idx) AS s FROM o GROUP BY 1
+), st AS (
+  SELECT image_id, n, s, 0::BIGINT AS i, 1::BIGINT AS j, []::BIGINT[] AS used, s[1].size AS size, s[1].min_x AS min_x, s[1].max_x AS max_x, s[1].min_y AS min_y, s[1].max_y AS max_y FROM l
+  UNION ALL
+  SELECT image_id, n, s, CASE WHEN j < n THEN i ELSE nx END, CASE WHEN j < n THEN j ELSE nx END + 1, CASE WHEN ok THEN list_append(used, j) ELSE used END,
+    CASE WHEN j >= n THEN s[nx + 1].size WHEN ok THEN size + b.size ELSE size END, CASE WHEN j >= n THEN s[nx + 1].min_x WHEN ok THEN least(min_x, b.min_x) ELSE min_x END, CASE WHEN j >= n THEN s[nx + 1].max_x WHEN ok THEN greatest(max_x, b.max_x) ELSE max_x END,
+    CASE WHEN j >= n THEN s[nx + 1].min_y WHEN ok THEN least(min_y, b.min_y) ELSE min_y END, CASE WHEN j >= n THEN s[nx + 1].max_y WHEN ok THEN greatest(max_y, b.max_y) ELSE max_y END
+  FROM (
+    SELECT *, j < n AND NOT list_contains(used, j) AND (a.cr - b.cr) * (a.cr - b.cr) + (a.cg - b.cg) * (a.cg - b.cg) + (a.cb - b.cb) * (a.cb - b.cb) <= 2500
+      AND min_x - 10 <= b.max_x AND max_x + 10 >= b.min_x AND min_y - 10 <= b.max_y AND max_y + 10 >= b.min_y AS ok
+    FROM (SELECT *, s[i + 1] AS a, s[j + 1] AS b, CASE WHEN j >= n THEN list_filter(range(i + 1, n), lambda x: NOT list_contains(used, x))[1] END AS nx FROM st)
+  ) WHERE j < n OR nx IS NOT NULL
+)
+SELECT image_id, i AS idx, size::BIGINT AS size, s[i + 1].cr AS cr, s[i + 1].cg AS cg, s[i + 1].cb AS cb, min_x, max_x, min_y, max_y FROM st WHERE j = n
+"""
 
 
 def swatch_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = tables.palette(spark).where("id = 1")
-    px = tables.pixels(spark, sf_dir)
-    found = swatches.ordered(raster.regions(raster.colour_mask(px, one, TOLERANCE), LEAST))
-    bounded = layout.right_boundaries(found, px.groupBy("image_id").agg((F.max("x") + 1).alias("width")))
+    found = swatches.ordered(_by_colour(spark, sf_dir))
+    bounded = layout.right_boundaries(found, found.select("image_id").distinct().withColumn("width", F.lit(tables.SIDE)))
     return bounded.select("image_id", "blob_id", F.col("ord").cast("long").alias("ord"), F.round(F.col("right_boundary").cast("double"), 6).alias("right_boundary"))
 
 
 SWATCH_BOUNDARIES = f"""
-WITH RECURSIVE {REGIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY floor(min_y / 30), min_x, min_y, blob_id) - 1 AS idx FROM blobs WHERE color_id = 1
-), s AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY floor(min_y / 25), min_x, idx) - 1)::BIGINT AS ord, (min_y + max_y) / 2.0::DOUBLE AS mid FROM o
+WITH RECURSIVE {_BY_COLOUR}, s AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY floor(min_y / 25), min_x, idx) - 1)::BIGINT AS ord, (min_y + max_y) / 2.0::DOUBLE AS mid FROM o
 ), n AS (SELECT a.image_id, a.ord, arg_min(b.min_x, b.ord) AS beside FROM s a JOIN s b ON a.image_id = b.image_id AND b.ord > a.ord AND abs(b.mid - a.mid) < (a.max_y - a.min_y) * 1.2 AND b.min_x > a.max_x GROUP BY ALL)
 SELECT image_id, blob_id, ord, round(least(max_x + 64 * 0.15::DOUBLE, coalesce(beside - 5, max_x + 64 * 0.15::DOUBLE))::DOUBLE, 6) AS right_boundary FROM s LEFT JOIN n USING (image_id, ord)
 """
@@ -291,4 +313,4 @@ def area_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
 AREA_FENCE = "WITH p AS (SELECT p_partkey, p_brand AS image_id, (p_size::BIGINT * p_size * p_size)::BIGINT AS area FROM part), q AS (SELECT image_id, list_sort(list(area)) AS s, count(*) AS n FROM p GROUP BY 1) SELECT p.* FROM p JOIN q USING (image_id) WHERE n < 5 OR (area >= 0.05 * s[floor(n * 0.25)::INT + 1] AND area <= 20 * s[floor(n * 0.75)::INT + 1])"
 
 QUERIES = {f.__name__: f for f in (color_match_count, mean_color, pixel_measures, highlight_overlay, row_density, row_bands, band_colours, blobs, merged_blobs, scan_palette, found_partition, swatch_order, greedy_merge, swatch_boundaries, sampled_colour, ncc_pairs, ncc_topk, pattern_filter, centred_overlap, template_scan, area_fence)}
-ORACLES = {n.lower(): globals()[n] for n in ("COLOR_MATCH_COUNT", "MEAN_COLOR", "PIXEL_MEASURES", "HIGHLIGHT_OVERLAY", "ROW_DENSITY", "ROW_BANDS", "BAND_COLOURS", "BLOBS", "MERGED_BLOBS", "SCAN_PALETTE", "FOUND_PARTITION", "SWATCH_ORDER", "SWATCH_BOUNDARIES", "SAMPLED_COLOUR", "NCC_PAIRS", "NCC_TOPK", "PATTERN_FILTER", "CENTRED_OVERLAP", "TEMPLATE_SCAN", "AREA_FENCE")}
+ORACLES = {n.lower(): globals()[n] for n in ("COLOR_MATCH_COUNT", "MEAN_COLOR", "PIXEL_MEASURES", "HIGHLIGHT_OVERLAY", "ROW_DENSITY", "ROW_BANDS", "BAND_COLOURS", "BLOBS", "MERGED_BLOBS", "SCAN_PALETTE", "FOUND_PARTITION", "SWATCH_ORDER", "GREEDY_MERGE", "SWATCH_BOUNDARIES", "SAMPLED_COLOUR", "NCC_PAIRS", "NCC_TOPK", "PATTERN_FILTER", "CENTRED_OVERLAP", "TEMPLATE_SCAN", "AREA_FENCE")}

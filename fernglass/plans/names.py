@@ -52,8 +52,8 @@ IMPORT_COUNTS = f"WITH i AS ({IMPORT_LINES}) SELECT doc_id, count(*)::BIGINT AS
 
 
 def near_dup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First two words of each document's lines, without near repeats."""
-    rows = tables.lines(spark, sf_dir).select("doc_id", "pos", F.array_join(F.slice(F.split("line", " "), 1, 2), " ").alias("name"))
+    """Each document's lines as names, without near repeats."""
+    rows = tables.lines(spark, sf_dir).select("doc_id", "pos", F.col("line").alias("name"))
     return layout.without_near_names(rows, "doc_id", "pos", "name")
 
 
@@ -140,7 +140,16 @@ def plant_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.plants(spark).select(F.col("ord").cast("long").alias("ord"), "common")
 
 
+def plant_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary's photos, one a row, for the names of parts that it knows."""
+    found = resolve.lookup(names(spark, sf_dir), dims.plants(spark), dims.genera(spark)).where("key is not null")
+    p = F.broadcast(dims.plants(spark).select("key", F.posexplode("photos").alias("pos", "photo")))  # the fixed dictionary
+    return found.join(p, "key").select("name", F.col("pos").cast("long").alias("pos"), "photo")
+
+
 PLANT_NAMES = f"SELECT ord::BIGINT AS ord, common FROM {_PLANTS}"
+_PHOTOS = _values([(r[1], i, u) for r in dims.plant_rows() for i, u in enumerate(r[-1])], "key, pos, photo")
+PLANT_PHOTOS = f"SELECT DISTINCT name, pos::BIGINT AS pos, photo FROM ({LOOKUP_CASCADE}) JOIN {_PHOTOS.replace(' AS t(', ' AS t2(')} USING (key)"
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,11 +225,11 @@ WITH {_NAMED}, v AS (SELECT * FROM n WHERE {rules.sql_valid('name')}
 SELECT f.image_id, e.o AS ord, e.n AS name, e.c AS confidence, (p_size * 5 % 256)::BIGINT AS cr FROM f JOIN o ON o.p_brand = f.image_id AND o.ord = e.o
 """
 NEAR_DUP_NAMES = f"""
-WITH {LINES_SQL}, s AS (SELECT doc_id, pos, array_to_string(string_split(line, ' ')[1:2], ' ') AS n FROM lines
+WITH {LINES_SQL}, s AS (SELECT doc_id, pos, line AS n FROM lines
 ), l AS (SELECT doc_id, list({{'o': pos::BIGINT, 'p': regexp_replace(lower(n), '[^a-z]', '', 'g'), 'n': n}} ORDER BY pos) AS items FROM s GROUP BY 1
 ), f AS (SELECT doc_id, unnest({_FOLD.format(all='items')}) AS e FROM l)
 SELECT doc_id, e.o AS pos, e.n AS name FROM f
 """
 
-QUERIES = {f.__name__: f for f in (clean_lines, valid_names, core_names, import_lines, import_counts, near_dup_names, lookup_cascade, lookup_enriched, genus_lookup, similar_pairs, plant_names, gap_cut, word_assignment, legend_names, legend_entries)}
-ORACLES = {n.lower(): globals()[n] for n in ("CLEAN_LINES", "VALID_NAMES", "CORE_NAMES", "IMPORT_LINES", "IMPORT_COUNTS", "LOOKUP_CASCADE", "LOOKUP_ENRICHED", "GENUS_LOOKUP", "SIMILAR_PAIRS", "PLANT_NAMES", "GAP_CUT", "WORD_ASSIGNMENT", "LEGEND_NAMES", "LEGEND_ENTRIES", "NEAR_DUP_NAMES")}
+QUERIES = {f.__name__: f for f in (clean_lines, valid_names, core_names, import_lines, import_counts, near_dup_names, lookup_cascade, lookup_enriched, genus_lookup, similar_pairs, plant_names, plant_photos, gap_cut, word_assignment, legend_names, legend_entries)}
+ORACLES = {n.lower(): globals()[n] for n in ("CLEAN_LINES", "VALID_NAMES", "CORE_NAMES", "IMPORT_LINES", "IMPORT_COUNTS", "LOOKUP_CASCADE", "LOOKUP_ENRICHED", "GENUS_LOOKUP", "SIMILAR_PAIRS", "PLANT_NAMES", "PLANT_PHOTOS", "GAP_CUT", "WORD_ASSIGNMENT", "LEGEND_NAMES", "LEGEND_ENTRIES", "NEAR_DUP_NAMES")}

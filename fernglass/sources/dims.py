@@ -237,12 +237,69 @@ ficus | vine | part-shade | moderate |  | Climbing fig
 """
 
 
+# Key | photo, in order.
+PHOTOS = """
+boxwood | https://upload.wikimedia.org/wikipedia/commons/thumb/7/7f/Buxus_sempervirens0.jpg/800px-Buxus_sempervirens0.jpg
+boxwood | https://upload.wikimedia.org/wikipedia/commons/thumb/a/af/Buxus_sempervirens_%27Suffruticosa%27.jpg/800px-Buxus_sempervirens_%27Suffruticosa%27.jpg
+hydrangea | https://upload.wikimedia.org/wikipedia/commons/thumb/e/e8/Hydrangea_macrophylla_-_Hortensia_hydrangea.jpg/800px-Hydrangea_macrophylla_-_Hortensia_hydrangea.jpg
+lavender | https://upload.wikimedia.org/wikipedia/commons/thumb/6/60/Lavandula_angustifolia_-_0001.jpg/800px-Lavandula_angustifolia_-_0001.jpg
+hosta | https://upload.wikimedia.org/wikipedia/commons/thumb/4/41/Hosta_%27Sagae%27.jpg/800px-Hosta_%27Sagae%27.jpg
+daylily | https://upload.wikimedia.org/wikipedia/commons/thumb/c/c9/Hemerocallis_lilioasphodelus_2.jpg/800px-Hemerocallis_lilioasphodelus_2.jpg
+japanese maple | https://upload.wikimedia.org/wikipedia/commons/thumb/4/4f/Acer_palmatum_var_amoenum_%27Osakazuki%27_JPG1a.jpg/800px-Acer_palmatum_var_amoenum_%27Osakazuki%27_JPG1a.jpg
+crepe myrtle | https://upload.wikimedia.org/wikipedia/commons/thumb/4/4b/Lagerstroemia_indica_flowers.jpg/800px-Lagerstroemia_indica_flowers.jpg
+knockout rose | https://upload.wikimedia.org/wikipedia/commons/thumb/e/e6/Rosa_Knock_Out_2.jpg/800px-Rosa_Knock_Out_2.jpg
+blue fescue | https://upload.wikimedia.org/wikipedia/commons/thumb/5/5b/Festuca_glauca_a1.jpg/800px-Festuca_glauca_a1.jpg
+liriope | https://upload.wikimedia.org/wikipedia/commons/thumb/c/cd/Liriope_muscari1.jpg/800px-Liriope_muscari1.jpg
+azalea | https://upload.wikimedia.org/wikipedia/commons/thumb/a/a7/Azalea_japonica.jpg/800px-Azalea_japonica.jpg
+camellia | https://upload.wikimedia.org/wikipedia/commons/thumb/3/33/Camellia_japonica_flower_2.jpg/800px-Camellia_japonica_flower_2.jpg
+gardenia | https://upload.wikimedia.org/wikipedia/commons/thumb/4/41/Gardenia_jasminoides_cv1.jpg/800px-Gardenia_jasminoides_cv1.jpg
+ornamental grass | https://upload.wikimedia.org/wikipedia/commons/thumb/0/01/Miscanthus_sinensis_var._condensatus_%27Cosmopolitan%27.jpg/800px-Miscanthus_sinensis_var._condensatus_%27Cosmopolitan%27.jpg
+fountain grass | https://upload.wikimedia.org/wikipedia/commons/thumb/1/1a/Pennisetum_alopecuroides_Hameln2.jpg/800px-Pennisetum_alopecuroides_Hameln2.jpg
+black-eyed susan | https://upload.wikimedia.org/wikipedia/commons/thumb/4/41/Rudbeckia_fulgida_var_sullivantii_%27Goldsturm%27.jpg/800px-Rudbeckia_fulgida_var_sullivantii_%27Goldsturm%27.jpg
+coneflower | https://upload.wikimedia.org/wikipedia/commons/thumb/6/6e/Echinacea_purpurea_02.jpg/800px-Echinacea_purpurea_02.jpg
+salvia | https://upload.wikimedia.org/wikipedia/commons/thumb/1/1d/Salvia_nemorosa_%27Caradonna%27_01.JPG/800px-Salvia_nemorosa_%27Caradonna%27_01.JPG
+russian sage | https://upload.wikimedia.org/wikipedia/commons/thumb/d/d5/Perovskia_atriplicifolia_002.JPG/800px-Perovskia_atriplicifolia_002.JPG
+holly | https://upload.wikimedia.org/wikipedia/commons/thumb/a/ac/Ilex_aquifolium_fruits.jpg/800px-Ilex_aquifolium_fruits.jpg
+juniper | https://upload.wikimedia.org/wikipedia/commons/thumb/e/e3/Juniperus_chinensis_Pfitzeriana_Aurea_1.jpg/800px-Juniperus_chinensis_Pfitzeriana_Aurea_1.jpg
+viburnum | https://upload.wikimedia.org/wikipedia/commons/thumb/5/5e/Viburnum_opulus_flowers.jpg/800px-Viburnum_opulus_flowers.jpg
+dogwood | https://upload.wikimedia.org/wikipedia/commons/thumb/8/8d/Cornus_florida_flowers.jpg/800px-Cornus_florida_flowers.jpg
+magnolia | https://upload.wikimedia.org/wikipedia/commons/thumb/a/a5/Magnolia_grandiflora_flower.jpg/800px-Magnolia_grandiflora_flower.jpg
+tulip | https://upload.wikimedia.org/wikipedia/commons/thumb/4/44/Tulip_-_florAnswer.jpg/800px-Tulip_-_florAnswer.jpg
+daffodil | https://upload.wikimedia.org/wikipedia/commons/thumb/3/3d/Narcissus_pseudonarcissus_%28daffodils%29.jpg/800px-Narcissus_pseudonarcissus_%28daffodils%29.jpg
+iris | https://upload.wikimedia.org/wikipedia/commons/thumb/4/49/Iris_germanica_%28Purple_bearded_iris%29%2C_Giverny.jpg/800px-Iris_germanica_%28Purple_bearded_iris%29%2C_Giverny.jpg
+peony | https://upload.wikimedia.org/wikipedia/commons/thumb/d/da/Paeonia_lactiflora1.jpg/800px-Paeonia_lactiflora1.jpg
+astilbe | https://upload.wikimedia.org/wikipedia/commons/thumb/4/44/Astilbe_japonica_%27Europa%27.JPG/800px-Astilbe_japonica_%27Europa%27.JPG
+fern | https://upload.wikimedia.org/wikipedia/commons/thumb/4/4a/Athyrium_filix-femina_1.jpg/800px-Athyrium_filix-femina_1.jpg
+sedum | https://upload.wikimedia.org/wikipedia/commons/thumb/3/33/Sedum_telephium_ssp_maximum.jpg/800px-Sedum_telephium_ssp_maximum.jpg
+yew | https://upload.wikimedia.org/wikipedia/commons/thumb/e/e1/Taxus_baccata_%28European_Yew%29.jpg/800px-Taxus_baccata_%28European_Yew%29.jpg
+spirea | https://upload.wikimedia.org/wikipedia/commons/thumb/8/8c/Spiraea_japonica1.jpg/800px-Spiraea_japonica1.jpg
+barberry | https://upload.wikimedia.org/wikipedia/commons/thumb/4/49/Berberis_thunbergii_var_atropurpurea.jpg/800px-Berberis_thunbergii_var_atropurpurea.jpg
+clematis | https://upload.wikimedia.org/wikipedia/commons/thumb/7/73/Clematis_%27Nelly_Moser%27.jpg/800px-Clematis_%27Nelly_Moser%27.jpg
+wisteria | https://upload.wikimedia.org/wikipedia/commons/thumb/5/58/Wisteria_sinensis_in_Jena.jpg/800px-Wisteria_sinensis_in_Jena.jpg
+ivy | https://upload.wikimedia.org/wikipedia/commons/thumb/9/9d/Hedera_helix_leaves.jpg/800px-Hedera_helix_leaves.jpg
+pachysandra | https://upload.wikimedia.org/wikipedia/commons/thumb/3/36/Pachysandra_terminalis_02.jpg/800px-Pachysandra_terminalis_02.jpg
+rhododendron | https://upload.wikimedia.org/wikipedia/commons/thumb/c/cb/Rhododendron_catawbiense_a4.jpg/800px-Rhododendron_catawbiense_a4.jpg
+lantana | https://upload.wikimedia.org/wikipedia/commons/thumb/c/c1/Lantana_camara_flowers.jpg/800px-Lantana_camara_flowers.jpg
+catmint | https://upload.wikimedia.org/wikipedia/commons/thumb/3/3d/Nepeta_faassenii2.jpg/800px-Nepeta_faassenii2.jpg
+rose of sharon | https://upload.wikimedia.org/wikipedia/commons/thumb/a/a8/Hibiscus_syriacus_%27Oiseau_Bleu%27.jpg/800px-Hibiscus_syriacus_%27Oiseau_Bleu%27.jpg
+nandina | https://upload.wikimedia.org/wikipedia/commons/thumb/0/0d/Nandina_domestica3.jpg/800px-Nandina_domestica3.jpg
+agapanthus | https://upload.wikimedia.org/wikipedia/commons/thumb/3/3a/Agapanthus_africanus_-_Botanischer_Garten_Berlin.jpg/800px-Agapanthus_africanus_-_Botanischer_Garten_Berlin.jpg
+mondo grass | https://upload.wikimedia.org/wikipedia/commons/thumb/3/3f/Ophiopogon_japonicus1.jpg/800px-Ophiopogon_japonicus1.jpg
+mexican feather grass | https://upload.wikimedia.org/wikipedia/commons/thumb/b/b8/Nassella_tenuissima.jpg/800px-Nassella_tenuissima.jpg
+coral bells | https://upload.wikimedia.org/wikipedia/commons/thumb/e/ec/Heuchera_%27Autumn_Leaves%27.jpg/800px-Heuchera_%27Autumn_Leaves%27.jpg
+arborvitae | https://upload.wikimedia.org/wikipedia/commons/thumb/c/c0/Thuja_occidentalis_Smaragd1.jpg/800px-Thuja_occidentalis_Smaragd1.jpg
+"""
+
+
 def _cells(table: str) -> list[list[str]]:
     return [[cell.strip() for cell in line.split("|")] for line in table.strip().split("\n")]
 
 
 def plant_rows() -> list[tuple]:
-    return [(i, *cells, []) for i, cells in enumerate(_cells(PLANTS))]
+    photos: dict[str, list[str]] = {}
+    for key, url in _cells(PHOTOS):
+        photos.setdefault(key, []).append(url)
+    return [(i, *cells, photos.get(cells[0], [])) for i, cells in enumerate(_cells(PLANTS))]
 
 
 def genus_rows() -> list[tuple]:

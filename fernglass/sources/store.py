@@ -1,6 +1,6 @@
 """A keyed store in Parquet: every change writes a new version beside the last, which readers keep seeing until it is whole.
 
-A version is a folder `v=<number>`; the newest with a success mark counts. Changes are joins and unions over DataFrames, so stores may be
+A version is a folder `v=<number>`; the newest with a success mark counts, and the one before it is kept for its readers. Changes are joins and unions over DataFrames, so stores may be
 larger than one machine. One writer at a time is assumed.
 """
 
@@ -41,7 +41,13 @@ class Store:
         return self.read().where(F.col(self.key) == key)
 
     def _write(self, rows: DataFrame) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v={self.version() + 1}")
+        new = self.version() + 1
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v={new}")
+        jvm, root, fs = self._files()
+        for status in fs.listStatus(root):  # readers of the last version may still be at work; older ones are not
+            name = status.getPath().getName()
+            if name.startswith("v=") and int(name[2:]) < new - 1:
+                fs.delete(status.getPath(), True)
 
     def put(self, rows: DataFrame) -> None:
         """Rows replace those of their keys."""

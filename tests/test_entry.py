@@ -19,6 +19,8 @@ def test_the_rest_works_without_the_text_folders(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=skip)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'blobs' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True).returncode == 0
+    tests = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_text.py", "tests/test_layout.py"], cwd=tmp_path / "repo", capture_output=True, text=True)
+    assert tests.returncode == 0, tests.stdout[-2000:]
 
 
 def test_entry(spark):
