@@ -111,7 +111,8 @@ def shown_time(at: Column) -> Column:
 def export_json(filename: Column, tolerance: Column, date: Column, palette: Column, feedback: Column, totals: Column, summary: Column) -> Column:
     """One pretty-printed JSON document of a scan and its feedback. palette: array<struct<id,name,color,count>>."""
     legend = F.transform(palette, lambda p: F.struct(p["id"].alias("id"), p["name"].alias("name"), p["color"].alias("color"), F.coalesce(p["count"], F.lit(0)).alias("count")))
-    return F.to_json(F.struct(date.alias("date"), filename.alias("filename"), tolerance.alias("tolerance"), legend.alias("legend"), totals.alias("totals"), feedback.alias("feedback"), summary.alias("summary")), {"pretty": "true"})
+    fields = {"exportDate": date, "imageFilename": filename, "colorTolerance": tolerance, "legendEntries": legend, "totalMarkers": totals["markers"], "feedbackCount": totals["feedback"], "feedback": feedback, "summary": summary}
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())), {"pretty": "true"})
 
 
 def imported_lines(texts: DataFrame, text: str = "text", key: str = "id") -> DataFrame:

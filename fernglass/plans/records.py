@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import viewport
 from fernglass.operators import markers, media, raster, state
-from fernglass.plans.images import LEAST, NEAR, REGIONS, TOLERANCE
+from fernglass.plans.images import FOUND_PARTITION, LEAST, NEAR, REGIONS, TOLERANCE
 from fernglass.sources import dims, tables
 
 
@@ -231,6 +231,17 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.lit("head").alias("part"), F.lit(None).cast("string").alias("marker_id"), head.alias("json")).unionByName(rows)
 
 
+_ENTRY = "'{' || chr(10) || '    \"id\" : ' || id || ',' || chr(10) || '    \"name\" : \"' || name || '\",' || chr(10) || '    \"color\" : \"\",' || chr(10) || '    \"count\" : ' || hits || chr(10) || '  }'"
+_COUNTS = " || ',' || chr(10) || ".join(f"'    \"{r}\" : ' || {r}" for r in ("correct", "close", "wrong", "duplicate", "missing"))
+EXPORT_JSON = f"""
+WITH p AS ({FOUND_PARTITION}), s AS ({FEEDBACK_SUMMARY}), l AS ({FEEDBACK_LATEST_UPSERT})
+SELECT 'head' AS part, NULL::VARCHAR AS marker_id, '{{' || chr(10) || '  "exportDate" : "2024-01-01T00:00:00.000Z",' || chr(10) || '  "imageFilename" : "plan.png",' || chr(10) || '  "colorTolerance" : 40,' || chr(10) ||
+  '  "legendEntries" : [ ' || (SELECT string_agg({_ENTRY}, ', ' ORDER BY id) FROM p) || ' ],' || chr(10) || '  "totalMarkers" : ' || (SELECT sum(hits) FROM p) || ',' || chr(10) || '  "feedbackCount" : ' || (SELECT count(*) FROM l) || ',' || chr(10) ||
+  '  "summary" : {{' || chr(10) || {_COUNTS} || chr(10) || '  }}' || chr(10) || '}}' AS json FROM s
+UNION ALL SELECT 'feedback', marker_id, '{{"marker_id":"' || marker_id || '"' || coalesce(',"rating":"' || rating || '"', '') || '}}' FROM l
+"""
+
+
 def annotations_created(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as points, named after plants, a palette colour or nothing."""
     d = F.broadcast(dims.plants(spark).select("ord", F.upper("common").alias("common")))
@@ -394,6 +405,6 @@ def legend_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEGEND_CONFIRMED = "WITH e AS (SELECT p_size % 7 AS image_id, row_number() OVER (PARTITION BY p_size % 7 ORDER BY p_partkey) AS id, p_name AS name, p_size AS cr FROM part WHERE p_size > 5 AND p_size < 45) SELECT image_id, id::BIGINT AS id, name, lower(name) AS db_key, cr, (SELECT count(*) FROM events WHERE event_id % 9 NOT IN (SELECT p_size % 7 FROM part))::BIGINT AS markers_left FROM e"
 
 
-_NAMES = ("scan_colour", "marker_feedback", "shown_times", "display_colours", "legend_confirmed", "annotations_created", "record_edits", "plant_type_labels", "missing_stubs", "request_terms", "photos_fetched", "rescan_markers", "legend_left_lookup", "first_match_lookup", "suggestions_union_anti", "cascade_delete_anti", "feedback_latest_upsert", "feedback_summary", "keyed_upsert", "keyed_get", "saved_list_recent", "next_id", "json_props", "default_texts", "confirmed_entries", "low_confidence", "marker_visibility", "viewport_transform", "zoom_clamp", "crop_clamp", "thumb_ratio", "url_filter_dedupe", "url_categorize_rebalance")
-QUERIES = {n: globals()[n] for n in (*_NAMES, "export_json")}
+_NAMES = ("export_json", "scan_colour", "marker_feedback", "shown_times", "display_colours", "legend_confirmed", "annotations_created", "record_edits", "plant_type_labels", "missing_stubs", "request_terms", "photos_fetched", "rescan_markers", "legend_left_lookup", "first_match_lookup", "suggestions_union_anti", "cascade_delete_anti", "feedback_latest_upsert", "feedback_summary", "keyed_upsert", "keyed_get", "saved_list_recent", "next_id", "json_props", "default_texts", "confirmed_entries", "low_confidence", "marker_visibility", "viewport_transform", "zoom_clamp", "crop_clamp", "thumb_ratio", "url_filter_dedupe", "url_categorize_rebalance")
+QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLES = {n: globals()[n.upper()] for n in _NAMES}

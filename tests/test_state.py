@@ -34,8 +34,8 @@ def test_restored(spark, tmp_path):
 
 
 def test_export(spark):
-    row = spark.range(1).select(state.export_json(F.lit("f"), F.lit(40), F.lit("d"), F.array(F.struct(F.lit(1).alias("id"), F.lit("n").alias("name"), F.lit("c").alias("color"), F.lit(None).cast("int").alias("count"))), F.array(), F.struct(F.lit(2).alias("markers")), F.struct(F.lit(3).alias("wrong"))).alias("j")).first()
-    assert json.loads(row.j)["legend"] == [{"id": 1, "name": "n", "color": "c", "count": 0}] and "\n" in row.j
+    row = spark.range(1).select(state.export_json(F.lit("f"), F.lit(40), F.lit("d"), F.array(F.struct(F.lit(1).alias("id"), F.lit("n").alias("name"), F.lit("c").alias("color"), F.lit(None).cast("int").alias("count"))), F.array(), F.struct(F.lit(2).alias("markers"), F.lit(0).alias("feedback")), F.struct(F.lit(3).alias("wrong"))).alias("j")).first()
+    assert json.loads(row.j)["legendEntries"] == [{"id": 1, "name": "n", "color": "c", "count": 0}] and "\n" in row.j
 
 
 def test_photos(spark):
@@ -87,5 +87,5 @@ def test_export_has_all_feedback(spark):
     got = [json.loads(r.json) for r in rows if r.part == "feedback"]
     assert len(got) == len(latest) > 20 and {f["marker_id"]: f.get("rating") for f in got} == latest
     (head,) = [json.loads(r.json) for r in rows if r.part == "head"]
-    assert head["totals"]["feedback"] == len(latest) and "feedback" not in head
+    assert head["feedbackCount"] == len(latest) and "feedback" not in head
     assert head["summary"]["correct"] == sum(e.event_type == "view" for e in events)
