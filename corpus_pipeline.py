@@ -17,23 +17,36 @@ from fernglass.llm import decontaminate, jaccard, packing, secrets, toxicity
 from fernglass.llm._shared import materialize
 
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def _text_rows(spark: SparkSession) -> None:
+    """Rows are whole texts: fewer of them go to a Python worker at once than Spark's default, unless the session has a number of its own."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the sentence model rejects go."""
+    _text_rows(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles (similarity 0.8 or more) the least doc_id stays."""
+    _text_rows(spark)
     return jaccard.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, whole or edited, go."""
+    _text_rows(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; all documents stay."""
+    _text_rows(spark)
     return secrets.redact(docs)
 
 
@@ -41,6 +54,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Pieces of the documents in windows of 4096 ids."""
     import public_tokenizers
 
+    _text_rows(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
