@@ -142,8 +142,11 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
 
 
-#: Rewrites [first, end) that change nothing in a text without a character of the class: they are skipped together.
-GATES = ((2, 15, "[0-9]"), (19, 20, "[0-9]"), (20, 22, r"\("), (22, 23, r"\["), (23, 24, r"\{"), (24, 28, r"[=><%»«\\]"), (32, 33, "[0-9]"))
+#: Rewrites [first, end) that change nothing in a text without a match of the pattern: they are skipped together.
+GATES = (
+    (2, 15, "[0-9]"), (16, 17, "[-–:]"), (17, 18, "[-–]"), (19, 20, "[0-9]"), (20, 22, r"\("), (22, 23, r"\["), (23, 24, r"\{"), (24, 28, r"[=><%»«\\]"),
+    (30, 32, "[A-Z]{2}"), (32, 33, "[0-9][tT]"), (37, 38, r"\."), (38, 39, f"[{SPACES.replace(' ', '', 1)}]|  "),
+)
 
 
 def _applied(text: Column, some: tuple) -> Column:

@@ -40,14 +40,14 @@ def parse(pixels: DataFrame, words: DataFrame, failed: DataFrame | None = None)
     bad = failed.select("image_id").distinct() if failed is not None else images.limit(0)
     read = words.join(bad, "image_id", "left_anti")
     bounded = layout.right_boundaries(found, sizes)
-    colours = lambda df: [F.col(c).cast("long").alias(c) for c in ("cr", "cg", "cb")]
+    whole = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
     none = lambda *names: [F.lit(None).cast("long").alias(c) for c in names]
-    box, band = [F.col(c).cast("long").alias(c) for c in BOX], [F.col(c).cast("long").alias(c) for c in ("y_start", "y_end")]
-    one = layout.parse(found, sizes, read).select("image_id", F.col("ord").cast("long").alias("ord"), "name", F.col("confidence").cast("long").alias("confidence"), *colours(found), *box, *none("y_start", "y_end"))
-    bare = bounded.join(bad, "image_id", "left_semi").select("image_id", F.col("ord").cast("long").alias("ord"), F.lit("").alias("name"), F.lit(0).cast("long").alias("confidence"), *colours(found), *box, *none("y_start", "y_end"))
+    colours, box, band = whole("cr", "cg", "cb"), whole(*BOX), whole("y_start", "y_end")
+    one = layout.parse(found, sizes, read).select("image_id", F.col("ord").cast("long").alias("ord"), "name", F.col("confidence").cast("long").alias("confidence"), *colours, *box, *none("y_start", "y_end"))
+    bare = bounded.join(bad, "image_id", "left_semi").select("image_id", F.col("ord").cast("long").alias("ord"), F.lit("").alias("name"), F.lit(0).cast("long").alias("confidence"), *colours, *box, *none("y_start", "y_end"))
     lined = row_entries(rest, bands, read)
     lined = lined.join(bad.withColumn("bad_", F.lit(True)), "image_id", "left").where(F.col("bad_") | (F.char_length("name") >= 2))
-    two = lined.select("image_id", "ord", "name", "confidence", *colours(lined), *none(*BOX), *band)
+    two = lined.select("image_id", "ord", "name", "confidence", *colours, *none(*BOX), *band)
     entries = checkpointed(one.unionByName(bare).unionByName(two))
     key = F.struct("image_id", "ord").alias("key_")
     boxes = templates.swatch_boxes(entries.where("min_x is not null")).select(key, "image_id", "x0", "y0", "x1", "y1").unionByName(templates.row_boxes(entries.where("y_start is not null"), sizes).select(key, "image_id", "x0", "y0", "x1", "y1"))

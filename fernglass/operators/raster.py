@@ -20,9 +20,9 @@ def colour_mask(pixels: DataFrame, palette: DataFrame, tolerance: int = TOLERANC
     """Pixels that match a palette colour, with its `color_id`. The palette must be small: it is checked to be at most 10,000 rows."""
     if palette.limit(10_001).count() > 10_000:
         raise ValueError("a palette has at most 10,000 colours")
-    p = F.broadcast(palette.select(F.col("id").alias("color_id"), F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb")))
-    near = colour.matches(F.col("r"), F.col("g"), F.col("b"), F.col("a"), (F.col("pr"), F.col("pg"), F.col("pb")), tolerance)
-    return pixels.join(p, near).drop("pr", "pg", "pb")
+    p = F.broadcast(palette.select(F.col("id").alias("color_id"), F.col("r").alias("__pr"), F.col("g").alias("__pg"), F.col("b").alias("__pb")))
+    near = colour.matches(F.col("r"), F.col("g"), F.col("b"), F.col("a"), (F.col("__pr"), F.col("__pg"), F.col("__pb")), tolerance)
+    return pixels.join(p, near).drop("__pr", "__pg", "__pb")
 
 
 def match_counts(pixels: DataFrame, palette: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +37,11 @@ def test_core(spark):
 @pytest.mark.parametrize("text,want", [("a\n", "a"), (" a﻿", "a"), (" \t", "")])
 def test_trimmed(spark, text, want):
     assert column(spark, [text], rules.trimmed) == [want]
+
+
+def test_skipped_rules_change_nothing(spark):
+    rng = random.Random(9)
+    parts = ["Azalea", "1", "12", "x3", "3x", "qty", "5 gal", "#7", "-", "–", ":", "(sun)", "(3)", "[2]", "[a]", "{b}", "»", ".", " .", "AB", "BR", "2T.", "FR-", "Shrubs", "new", "native", "  ", "\t", "a", "0ak", "l|", "6' o.c.", "10 ft", "é", " "]
+    df = spark.createDataFrame([("".join(rng.choice(parts) + rng.choice(("", " ", " ")) for _ in range(rng.randrange(1, 9))),) for _ in range(3000)], "t string")
+    plain = rules.trimmed(reduce(lambda c, r: rules.rewrite(c, *r), rules.REWRITES, F.col("t")))
+    assert df.where(rules.clean(F.col("t")) != plain).count() == 0
