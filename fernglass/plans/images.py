@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernglass.functions import colour
-from fernglass.operators import layout, raster, state, swatches, templates
+from fernglass.functions import text as rules
+from fernglass.operators import layout, legend, raster, state, swatches, templates
 from fernglass.sources import tables
 from fernglass.sources.tables import PIXELS_SQL
 
@@ -304,6 +305,38 @@ SELECT m.* EXCLUDE (parts) REPLACE (round(x, 6) AS x, round(y, 6) AS y), round(s
 """
 
 
+def swatch_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as regions of many sizes, fills and colours: those of a swatch's shape."""
+    p = tables.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("w"), (F.col("p_partkey") % 40 + 5).alias("h"))
+    rows = p.select(F.lit(1).alias("image_id"), F.col("p_partkey").alias("blob_id"), F.lit(0).alias("min_x"), F.col("w").alias("max_x"), F.lit(0).alias("min_y"), F.col("h").alias("max_y"), F.floor(F.col("w") * F.col("h") * (F.col("p_partkey") % 11) / 10).alias("size"),
+        (F.col("w") * 5 % 256).alias("cr"), (F.col("p_partkey") % 256).alias("cg"), (F.col("p_partkey") * 7 % 256).alias("cb"))
+    sizes = spark.createDataFrame([(1, 300, 250)], "image_id int, width int, height int")
+    return swatches.shaped(rows, sizes).select("blob_id", F.col("max_x").cast("long").alias("w"), F.col("max_y").cast("long").alias("h"), "size")
+
+
+SWATCH_SHAPES = """
+WITH p AS (SELECT p_partkey AS blob_id, p_size::BIGINT AS w, p_partkey % 40 + 5 AS h, p_size * 5 % 256 AS r, p_partkey % 256 AS g, p_partkey * 7 % 256 AS b FROM part
+), q AS (SELECT *, floor(w * h * (blob_id % 11) / 10)::BIGINT AS size, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM p)
+SELECT blob_id, w, h, size FROM q WHERE w >= 12 AND h >= 12 AND NOT (w > 250 * 0.12::DOUBLE AND h > 250 * 0.12::DOUBLE) AND size >= 80 AND greatest(w, h)::DOUBLE / least(w, h) <= 4 AND size::DOUBLE / (w * h) >= 0.35::DOUBLE
+  AND NOT (hi - lo < 15 AND hi > 50 AND hi < 220) AND NOT (b > g AND g > r AND r BETWEEN 100 AND 125 AND g BETWEEN 130 AND 150 AND b BETWEEN 165 AND 185 AND (hi - lo)::DOUBLE / hi < 0.35)
+"""
+
+
+def legend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names as words on the rasters, read row band by row band."""
+    k = F.col("p_partkey")
+    words = tables.table(spark, sf_dir, "part").select((k % 10).alias("image_id"), k.cast("int").alias("word_idx"), F.col("p_name").alias("text"), F.col("p_size").cast("double").alias("confidence"), (k * 7 % 64).cast("int").alias("x0"), (k % 60).cast("int").alias("y0"), (k * 7 % 64 + 9).cast("int").alias("x1"), (k % 60 + 4).cast("int").alias("y1"))
+    return legend.row_entries(tables.pixels(spark, sf_dir), row_bands(spark, sf_dir), words).where(F.char_length("name") >= 2)
+
+
+LEGEND_ROWS = f"""
+WITH c AS ({BAND_COLOURS}), w AS (SELECT p_partkey % 10 AS image_id, p_partkey AS word_idx, p_name, p_size, p_partkey * 7 % 64 AS x0, p_partkey % 60 + 2 AS mid FROM part WHERE p_partkey * 7 % 64 >= 16
+), j AS (SELECT c.image_id, y_start, y_end, cr, cg, cb, string_agg(p_name, ' ' ORDER BY x0, word_idx) AS raw, floor(avg(p_size) + 0.5)::BIGINT AS confidence FROM c JOIN w ON c.image_id = w.image_id AND mid BETWEEN y_start AND y_end WHERE cr IS NOT NULL GROUP BY ALL
+), n AS (SELECT *, {rules.sql_clean("trim(raw)")} AS name FROM j)
+SELECT image_id, y_start, y_end, cr, cg, cb, name, confidence, y_start AS ord FROM n WHERE length(name) >= 2
+"""
+
+
 def area_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = F.pow("p_size", F.lit(3)).cast("long")
     rows = tables.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("image_id"), area.alias("area"))
@@ -312,5 +345,5 @@ def area_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AREA_FENCE = "WITH p AS (SELECT p_partkey, p_brand AS image_id, (p_size::BIGINT * p_size * p_size)::BIGINT AS area FROM part), q AS (SELECT image_id, list_sort(list(area)) AS s, count(*) AS n FROM p GROUP BY 1) SELECT p.* FROM p JOIN q USING (image_id) WHERE n < 5 OR (area >= 0.05 * s[floor(n * 0.25)::INT + 1] AND area <= 20 * s[floor(n * 0.75)::INT + 1])"
 
-QUERIES = {f.__name__: f for f in (color_match_count, mean_color, pixel_measures, highlight_overlay, row_density, row_bands, band_colours, blobs, merged_blobs, scan_palette, found_partition, swatch_order, greedy_merge, swatch_boundaries, sampled_colour, ncc_pairs, ncc_topk, pattern_filter, centred_overlap, template_scan, area_fence)}
-ORACLES = {n.lower(): globals()[n] for n in ("COLOR_MATCH_COUNT", "MEAN_COLOR", "PIXEL_MEASURES", "HIGHLIGHT_OVERLAY", "ROW_DENSITY", "ROW_BANDS", "BAND_COLOURS", "BLOBS", "MERGED_BLOBS", "SCAN_PALETTE", "FOUND_PARTITION", "SWATCH_ORDER", "GREEDY_MERGE", "SWATCH_BOUNDARIES", "SAMPLED_COLOUR", "NCC_PAIRS", "NCC_TOPK", "PATTERN_FILTER", "CENTRED_OVERLAP", "TEMPLATE_SCAN", "AREA_FENCE")}
+QUERIES = {f.__name__: f for f in (color_match_count, mean_color, pixel_measures, highlight_overlay, row_density, row_bands, band_colours, blobs, merged_blobs, scan_palette, found_partition, swatch_order, greedy_merge, swatch_boundaries, sampled_colour, ncc_pairs, ncc_topk, pattern_filter, centred_overlap, template_scan, swatch_shapes, legend_rows, area_fence)}
+ORACLES = {n.lower(): globals()[n] for n in ("COLOR_MATCH_COUNT", "MEAN_COLOR", "PIXEL_MEASURES", "HIGHLIGHT_OVERLAY", "ROW_DENSITY", "ROW_BANDS", "BAND_COLOURS", "BLOBS", "MERGED_BLOBS", "SCAN_PALETTE", "FOUND_PARTITION", "SWATCH_ORDER", "GREEDY_MERGE", "SWATCH_BOUNDARIES", "SAMPLED_COLOUR", "NCC_PAIRS", "NCC_TOPK", "PATTERN_FILTER", "CENTRED_OVERLAP", "TEMPLATE_SCAN", "SWATCH_SHAPES", "LEGEND_ROWS", "AREA_FENCE")}
