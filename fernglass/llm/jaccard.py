@@ -223,16 +223,37 @@ def _lists(places: DataFrame) -> DataFrame:
     return places.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "id").mapInArrow(run, "tok long, salt int, id long, n long, level int, hub long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """(id, text) of the documents with these ids. A Bloom filter of fixed size keeps the others out of the shuffle."""
+def _marked(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the ids: 2 ** bits bits, packed. Each task marks its own, and those of a block of places meet in one; the driver gets one row for a block."""
+    names = ["block", "bits"]
+
+    def rows(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())], names)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int8)
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[_place(batch.column(0).to_numpy().astype(np.uint64), bits)] = True
+        yield rows({block: np.packbits(some) for block, some in enumerate(np.split(seen, BLOCKS)) if some.any()})
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            counts[_place(batch.column(0).to_numpy().astype(np.uint64), bits)] = 1
-        yield from _blocks(counts)
+            for block, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                some = np.frombuffer(raw, np.uint8)
+                held[block] = held[block] | some if block in held else some
+        yield rows(held)
+
+    size = (1 << bits) // BLOCKS // 8
+    out = np.zeros(BLOCKS * size, np.uint8)
+    for row in ids.coalesce(32).mapInArrow(mark, "block int, bits binary").repartition(BLOCKS, "block").mapInArrow(united, "block int, bits binary").collect():
+        out[row.block * size : (row.block + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return out
+
 
-    filter_ = docs.sparkSession.sparkContext.broadcast(np.packbits(_total(ids.coalesce(32).mapInArrow(mark, _COUNTS), bits) > 0))
+def _texts(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """(id, text) of the documents with these ids. A Bloom filter of fixed size keeps the others out of the shuffle."""
+    filter_ = docs.sparkSession.sparkContext.broadcast(_marked(ids, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
