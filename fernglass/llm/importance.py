@@ -62,8 +62,8 @@ def gains(raw: list[int], target: list[int]) -> list[int]:
 def weight(b: Column, gain: list[int]) -> Column:
     """Floored mean of the gains of an array of buckets; 0 for an empty one."""
     table = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<bigint>")  # folded into one literal
-    total, n = F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + F.element_at(table, x + 1)), F.size(b).cast("long")
-    return F.when(n == 0, F.lit(0).cast("long")).otherwise(((total - F.pmod(total, F.greatest(n, F.lit(1).cast("long")))) / F.greatest(n, F.lit(1).cast("long"))).cast("long"))
+    # In doubles the quotient of two integers below 2^53 has the floor of the exact one.
+    return F.when(F.size(b) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + F.element_at(table, x + 1), lambda acc: F.floor(acc / F.size(b)).cast("long")))
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:

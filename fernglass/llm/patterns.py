@@ -3,7 +3,7 @@
 A document's ids (its end id included) are one piece; only a longer one is cut, into pieces of `capacity` ids and a shorter last one. Pieces are counted
 by length. The driver works on this histogram alone, at most `capacity` numbers whatever the corpus: patterns of one to three lengths that fill a
 sequence exactly are enumerated (at most `most`; where there would be more, by a stride over the middle length), their repeat counts are fitted to the histogram by non-negative least squares
-(coordinate descent), and rounded to what the histogram holds. What is left over is packed best fit, longest lengths first, many sequences at a time: all open
+(coordinate descent, lengths weighted by their squares), and rounded down. What is left over is packed best fit, longest lengths first, many sequences at a time: all open
 sequences with equal room that were opened together are one range, and a length's pieces go to the ranges with the least room that is enough.
 
 Either way the result is a list of placements (length, first rank, how many, first sequence, pieces for each sequence, offset): pieces of one length are
@@ -53,21 +53,19 @@ def exact_patterns(counts: np.ndarray, capacity: int, most: int = PATTERNS) -> l
 
 
 def fitted(patterns: list[tuple[int, ...]], counts: np.ndarray, sweeps: int = SWEEPS) -> list[float]:
-    """Non-negative repeat counts x with the least ||counts - sum of x * pattern||, by coordinate descent."""
+    """Non-negative repeat counts x with the least weighted ||counts - sum of x * pattern||, by coordinate descent. A length weighs with its square,
+    since long pieces are the hardest to place afterwards."""
+    weigh = ((np.arange(len(counts)) / (len(counts) - 1)) ** 2).tolist()
     left, x = counts.astype(float).tolist(), [0.0] * len(patterns)
     for _ in range(sweeps):
         moved = 0.0
         for k, p in enumerate(patterns):
-            if len(p) == 3:
+            if len(p) == 3 and p[0] != p[1] and p[1] != p[2]:
                 a, b, c = p
-                # A length that stands twice in a pattern counts with its square.
-                norm = 3 if a != b and b != c else 5 if a != c else 9
-                d = (left[a] + left[b] + left[c]) / norm
-            elif len(p) == 2:
-                a, b = p
-                d = (left[a] + left[b]) / (2 if a != b else 4)
-            else:
-                d = left[p[0]]
+                d = (weigh[a] * left[a] + weigh[b] * left[b] + weigh[c] * left[c]) / (weigh[a] + weigh[b] + weigh[c])
+            else:  # a length that stands twice in a pattern counts with its square
+                times = [(a, p.count(a)) for a in dict.fromkeys(p)]
+                d = sum(n * weigh[a] * left[a] for a, n in times) / sum(n * n * weigh[a] for a, n in times)
             if d < -x[k]:
                 d = -x[k]
             if d:
@@ -95,7 +93,7 @@ def placed(counts: np.ndarray, capacity: int, most: int = PATTERNS) -> tuple[lis
         left[length] -= n
 
     for p, x in sorted(zip(patterns, fitted(patterns, counts), strict=True), key=lambda y: -y[1]):
-        times = min([round(x), *(left[a] // p.count(a) for a in p)])
+        times = min([int(x), *(left[a] // p.count(a) for a in p)])
         if times > 0:
             offset = 0
             for a in dict.fromkeys(p):
