@@ -155,5 +155,10 @@ def band_colours(pixels: DataFrame, bands: DataFrame, share: float = 0.35, least
     shade = colour.brightness(F.col("r"), F.col("g"), F.col("b"))
     swatch = pixels.where((shade <= 225) & (shade >= 30)).join(width, "image_id").where(F.col("x") < F.floor(F.col("w") * share)).select("image_id", "y", "r", "g", "b")
     sums = swatch.groupBy("image_id", "y").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{c}") for c in "rgb"))  # rows of pixels first: bands are made of them
+    return colours_of_bands(bands, sums, least)
+
+
+def colours_of_bands(bands: DataFrame, sums: DataFrame, least: int = 5) -> DataFrame:
+    """The colours of bands from sums over their rows' swatch pixels (image_id, y, n, sr, sg, sb)."""
     rows = bands.withColumn("y", F.explode(F.sequence(F.col("y_start").cast("long"), F.col("y_end").cast("long")))).join(sums, ["image_id", "y"], "left")
     return rows.groupBy("image_id", "y_start", "y_end").agg(*(F.when(F.sum("n") >= least, colour.rounded(F.sum(f"s{c}") / F.sum("n"))).alias(f"c{c}") for c in "rgb"))

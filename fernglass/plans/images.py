@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernglass.functions import colour
 from fernglass.functions import text as rules
-from fernglass.operators import layout, legend, raster, state, swatches, templates
+from fernglass.operators import layout, legend, raster, state, swatches, templates, tiles
 from fernglass.sources import tables
 from fernglass.sources.tables import PIXELS_SQL
 
@@ -15,7 +14,7 @@ TOLERANCE, LEAST, FLOOR = 40, 3, 1
 
 
 def color_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = raster.match_counts(tables.pixels(spark, sf_dir), tables.palette(spark), TOLERANCE)
+    counts = tiles.match_counts(tables.tiles(spark, sf_dir), tables.palette(spark), TOLERANCE)
     return counts.select("image_id", F.col("color_id").cast("long").alias("color_id"), "matches").orderBy("image_id", "color_id")
 
 
@@ -24,20 +23,15 @@ COLOR_MATCH_COUNT = f"WITH {MASK} SELECT image_id, color_id, count(*)::BIGINT AS
 
 
 def mean_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.mean_colours(tables.pixels(spark, sf_dir))
+    return tiles.mean_colours(tables.tiles(spark, sf_dir))
 
 
 MEAN_COLOR = f"WITH {PIXELS_SQL} SELECT image_id, count(*)::BIGINT AS n, floor(avg(r)+0.5)::BIGINT AS cr, floor(avg(g)+0.5)::BIGINT AS cg, floor(avg(b)+0.5)::BIGINT AS cb FROM pixels GROUP BY image_id"
 
 
 def pixel_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, g, b = F.col("r"), F.col("g"), F.col("b")
-    near = colour.distance(r, g, b, (128, 128, 128))
-    return tables.pixels(spark, sf_dir).select(
-        "image_id", "y", "x", F.round(near, 6).alias("distance"), F.round(colour.brightness(r, g, b), 6).alias("brightness"), F.round(colour.saturation(r, g, b), 6).alias("saturation"),
-        colour.spread(r, g, b).cast("long").alias("spread"), F.round(colour.luminance(r, g, b), 6).alias("luminance"), colour.coloured(r, g, b).alias("coloured"),
-        colour.blue_gray(r, g, b).alias("blue_gray"), colour.inked(r, g, b).alias("inked"), colour.grayish(r, g, b).alias("grayish"), colour.extreme(r, g, b).alias("extreme"),
-    )
+    found = tiles.measures(tables.tiles(spark, sf_dir), (128, 128, 128))
+    return found.withColumns({c: F.round(c, 6) for c in ("distance", "brightness", "saturation", "luminance")})
 
 
 PIXEL_MEASURES = f"""
@@ -53,7 +47,7 @@ FROM t
 
 
 def highlight_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raster.highlighted(tables.pixels(spark, sf_dir), (128, 128, 128), TOLERANCE)
+    rows = tiles.pixels(tiles.highlighted(tables.tiles(spark, sf_dir), (128, 128, 128), TOLERANCE))
     return rows.groupBy("image_id", "y").agg(F.count_if(F.col("a") == 140).alias("painted"), F.sum(F.col("r").cast("long")).alias("red"), F.sum(F.col("b").cast("long")).alias("blue"))
 
 
@@ -61,7 +55,7 @@ HIGHLIGHT_OVERLAY = f"WITH {PIXELS_SQL}, h AS (SELECT image_id, y, (a >= 128 AND
 
 
 def row_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.row_density(tables.pixels(spark, sf_dir)).withColumn("density", F.round("density", 6))
+    return tiles.row_shares(tables.tiles(spark, sf_dir)).withColumn("density", F.round("density", 6))
 
 
 ROW_DENSITY = f"WITH {PIXELS_SQL} SELECT image_id, y, round(count(*) FILTER ((r+g+b)/3.0 > 20 AND (r+g+b)/3.0 < 240) / count(*)::DOUBLE, 6) AS density FROM pixels GROUP BY ALL"
@@ -69,7 +63,7 @@ BAND = (0.25, 2, 3)
 
 
 def _red_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.pixels(spark, sf_dir).groupBy("image_id", "y").agg((F.count_if(F.col("r") > 145) / F.count("*")).alias("density"))
+    return tiles.row_shares(tables.tiles(spark, sf_dir), lambda planes: planes[0] > 145)
 
 
 def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +82,7 @@ SELECT image_id, min(y_start)::BIGINT AS y_start, max(y_end)::BIGINT AS y_end FR
 
 
 def band_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.band_colours(tables.pixels(spark, sf_dir), row_bands(spark, sf_dir))
+    return raster.colours_of_bands(row_bands(spark, sf_dir), tiles.swatch_sums(tables.tiles(spark, sf_dir)))
 
 
 BAND_COLOURS = f"""
@@ -104,7 +98,7 @@ def _shown(blobs: DataFrame, *more: str) -> DataFrame:
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(raster.regions(raster.colour_mask(tables.pixels(spark, sf_dir), tables.palette(spark), TOLERANCE), LEAST))
+    return _shown(tiles.regions(tables.tiles(spark, sf_dir), tables.palette(spark), TOLERANCE, LEAST))
 
 
 REGIONS = f"""
@@ -138,7 +132,7 @@ NEAR = f"""
 
 
 def merged_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = raster.regions(raster.colour_mask(tables.pixels(spark, sf_dir), tables.palette(spark), TOLERANCE), LEAST)
+    found = tiles.regions(tables.tiles(spark, sf_dir), tables.palette(spark), TOLERANCE, LEAST)
     return _shown(raster.merged(found, FLOOR), "parts")
 
 
@@ -146,7 +140,7 @@ MERGED_BLOBS = f"WITH RECURSIVE {NEAR} SELECT * REPLACE (round(x, 6) AS x, round
 
 
 def scan_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(raster.scan(tables.pixels(spark, sf_dir), tables.palette(spark), TOLERANCE, LEAST, FLOOR), "parts", "pattern_score")
+    return _shown(tiles.scan(tables.tiles(spark, sf_dir), tables.palette(spark), TOLERANCE, LEAST, FLOOR), "parts", "pattern_score")
 
 
 SCAN_PALETTE = f"WITH RECURSIVE {NEAR} SELECT * REPLACE (round(x, 6) AS x, round(y, 6) AS y), 1.0::DOUBLE AS pattern_score FROM merged WHERE greatest(max_x - min_x, max_y - min_y) / greatest(1, least(max_x - min_x, max_y - min_y))::DOUBLE < 8"
@@ -155,7 +149,7 @@ SCAN_PALETTE = f"WITH RECURSIVE {NEAR} SELECT * REPLACE (round(x, 6) AS x, round
 def found_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every palette colour, with one that no image shows."""
     palette = tables.palette(spark).unionByName(spark.createDataFrame([(4, "magenta", 255, 0, 255)], "id int, name string, r int, g int, b int"))
-    found = raster.regions(raster.colour_mask(tables.pixels(spark, sf_dir), palette, TOLERANCE), LEAST)
+    found = tiles.regions(tables.tiles(spark, sf_dir), palette, TOLERANCE, LEAST)
     return state.hits_per_colour(palette, found).select(F.col("id").cast("long").alias("id"), "name", "hits", "part")
 
 
@@ -164,7 +158,7 @@ FOUND_PARTITION = f"WITH RECURSIVE {REGIONS}, p AS (SELECT id, name FROM palette
 
 def _by_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of all colours; each (image, colour) counts as an image of its own."""
-    found = raster.regions(raster.colour_mask(tables.pixels(spark, sf_dir), tables.palette(spark), TOLERANCE), LEAST)
+    found = tiles.regions(tables.tiles(spark, sf_dir), tables.palette(spark), TOLERANCE, LEAST)
     return found.withColumn("image_id", F.col("image_id") * 10 + F.col("color_id"))
 
 
@@ -218,7 +212,7 @@ SELECT image_id, blob_id, ord, round(least(max_x + 64 * 0.15::DOUBLE, coalesce(b
 
 def sampled_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point_id"), (F.col("p_partkey") % 10).alias("image_id"), (F.col("p_size") % 40).cast("long").alias("px"), (F.col("p_partkey") % 31).alias("py"))
-    return raster.sampled_colour(tables.pixels(spark, sf_dir), points)
+    return tiles.sampled_colour(tables.tiles(spark, sf_dir), points, side=tables.SIDE)
 
 
 SAMPLED_COLOUR = f"""
@@ -274,12 +268,12 @@ SIDE, PATTERN = 9, 0.2
 
 def template_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search of every colour with the template captured around the middle of its largest region."""
-    px, palette = tables.pixels(spark, sf_dir), tables.palette(spark)
-    found = raster.regions(raster.colour_mask(px, palette, TOLERANCE), LEAST)
+    images, palette = tables.tiles(spark, sf_dir), tables.palette(spark)
+    found = tiles.regions(images, palette, TOLERANCE, LEAST)
     largest = found.groupBy("color_id").agg(F.max(F.struct("size", (-F.col("image_id")).alias("i"), (-F.col("blob_id")).alias("b"), "image_id", "x", "y")).alias("m"))
     points = largest.select("color_id", "m.image_id", F.col("m.x").alias("px"), F.col("m.y").alias("py"))
-    captured = templates.tiles(px, templates.capture_boxes(points, raster.image_sizes(px), SIDE), "color_id")
-    return _shown(raster.scan(px, palette, TOLERANCE, LEAST, FLOOR, captured, PATTERN), F.round("pattern_score", 6).alias("pattern_score"))
+    captured = tiles.captured(images, templates.capture_boxes(points, tiles.image_sizes(images), SIDE), "color_id", tables.SIDE)
+    return _shown(tiles.scan(images, palette, TOLERANCE, LEAST, FLOOR, captured, PATTERN, tables.SIDE), F.round("pattern_score", 6).alias("pattern_score"))
 
 
 _LIGHT = "(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)::FLOAT::DOUBLE"

@@ -6,13 +6,15 @@ tables: words (image_id, word_idx, text, confidence, x0, y0, x1, y1), and pages
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernglass.operators import tiles as tiling
+
 WORDS_SCHEMA = "image_id string, word_idx int, text string, confidence double, x0 int, y0 int, x1 int, y1 int"
 PIXELS_SCHEMA = "image_id string, y int, x int, r int, g int, b int, a int"
 ROWS = 1 << 16
@@ -46,6 +48,31 @@ def pixels(decoded: DataFrame) -> DataFrame:
     return decoded.mapInArrow(run, PIXELS_SCHEMA)
 
 
+def tiles(decoded: DataFrame, side: int = tiling.SIDE) -> DataFrame:
+    """Decoded images as tiles (operators/tiles), opaque where there is no alpha; gray images have equal channels. No pixel becomes a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w, h, c = (batch.column(k)[i].as_py() for k in range(1, 4))
+                flat = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8).reshape(h, w, c)
+                for top in range(0, h, side):  # a strip of tiles at a time
+                    strip = flat[top : top + side]
+                    blue, green, red = (strip[:, :, min(k, c - 1) if c < 3 else k] for k in range(3))
+                    planes = np.stack([red, green, blue, strip[:, :, 3] if c == 4 else np.full(strip.shape[:2], 255, np.uint8)])
+                    yield tiling.batch_of(batch.column(0)[i], list(tiling.cut(planes, side, top, h)))
+
+    return decoded.select("image_id", "width", "height", "channels", "data").mapInArrow(run, f"image_id string, {tiling.FIELDS}")
+
+
+def kept(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The tiles stored in a folder; made and stored there first where it holds none, so that files are decoded once however many scans follow."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def pages(files: DataFrame, count: str = "n_pages") -> DataFrame:
     """A row for each page of a document, numbered from 1."""
     return files.withColumn("page", F.explode(F.sequence(F.lit(1), F.col(count))))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernglass.operators import tiles as tiling
+
 SIDE = 64
 PALETTE = ((1, "middle gray", 128, 128, 128), (2, "rust", 160, 128, 96), (3, "slate", 96, 128, 160))
 
@@ -26,6 +30,20 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("image_id", "y", F.col("x").cast("long").alias("x"), level(0).alias("r"), level(21).alias("g"), level(42).alias("b"), F.lit(255).alias("a"))
 
 
+def tiles(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
+    """The same rasters as tiles."""
+    rows = Window.partitionBy("label")
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("image_id"), (F.row_number().over(rows.orderBy("vec_id")) - 1).alias("y"), F.count("*").over(rows).cast("int").alias("height"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def strip(found: pa.Table) -> pa.Table:
+        found = found.sort_by("y")
+        v = np.floor(128 + np.array(found["v"].to_pylist()) * 400).clip(0, 255).astype(np.uint8)
+        planes = np.stack([np.roll(v, -shift, 1) for shift in (0, 21, 42)] + [np.full(v.shape, 255, np.uint8)])
+        return pa.Table.from_batches([tiling.batch_of(found["image_id"][0], list(tiling.cut(planes, side, found["y"][0].as_py(), found["height"][0].as_py())))])
+
+    return e.withColumn("strip", F.floor(F.col("y") / side)).groupBy("image_id", "strip").applyInArrow(strip, f"image_id long, {tiling.FIELDS}")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, line) of documents' texts."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
