@@ -1,8 +1,16 @@
 """Names to dictionary rows, in stages: exact, contained, botanical, first word, similar, genus. The first stage that hits
 wins; within a stage the dictionary's order does.
 
-Distinct names are resolved once and joined back. Exact stages are equi joins; the others compare a name with each row of the
-dictionary, a fixed table whose size is checked (at most `MOST` rows), so a name costs a bounded number of comparisons.
+Distinct names are resolved once and joined back. Every stage is an equi join, so a name meets only the rows that it shares a key with and the dictionary may be large:
+
+* contained (3): a key of at least 0.6 of a name's length is one of the name's parts of such lengths; a name of more than `SHORT` characters is met by
+  the 8 characters in its middle, which any such key covers;
+* botanical (4): beginnings of the name; and the four letters on either side of a space for the first two words;
+* first word (5): that word;
+* similar (6): the first three letters and a length at most 2 apart.
+
+Rows that a stage can't tell apart (equal keys, botanical names or first words) count once, with the first in order. What the keys bring together is then compared exactly.
+Null keys and botanical names meet nothing; empty and null names are left out.
 """
 
 from __future__ import annotations
@@ -15,7 +23,7 @@ from pyspark.sql import functions as F
 from fernglass.functions import text as rules
 from fernglass.operators.components import checkpointed
 
-MOST = 100_000
+SHORT = 64
 
 
 def similar_enough(a: Column, b: Column) -> Column:
@@ -29,16 +37,67 @@ def similar_enough(a: Column, b: Column) -> Column:
     return F.coalesce((F.abs(la - lb) <= 2) & (share >= least) & F.startswith(long, F.substring(short, 1, 3)), F.lit(False))
 
 
-def stage(key: Column, orig: Column, k: Column, botanical: Column) -> Column:
-    """The first stage (3 to 6) at which a name meets a dictionary row; null if none does."""
-    bot = F.lower(botanical)
-    parts = F.split(bot, " ")
-    two = F.array_join(F.slice(parts, 1, 2), " ")
-    contained = F.contains(key, k) & (F.char_length(k) >= F.char_length(key) * 0.6)
-    by_botanical = (bot == key) | (bot == orig) | F.startswith(key, bot) | F.startswith(orig, bot) | ((F.size(parts) >= 2) & (F.contains(key, two) | F.contains(orig, two)))
-    first = F.try_element_at(F.filter(F.split(key, f"[{rules.SPACES}]+"), lambda w: F.char_length(w) > 2), F.lit(1))
-    by_first = F.contains(k, F.lit(" ")) & (F.element_at(F.split(k, " "), 1) == first)
-    return F.when(contained, 3).when(by_botanical, 4).when(by_first, 5).when(similar_enough(key, k), 6)
+def _parts(c: Column, low: Column, high: Column) -> Column:
+    """All parts of a text whose lengths are from low to high."""
+    n = F.char_length(c)
+    of = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(c, i, size))
+    return F.when(low <= high, F.flatten(F.transform(F.sequence(low, F.greatest(low, high)), of)))
+
+
+def _first(rows: DataFrame, by: str | Column) -> DataFrame:
+    """(t, ord, k) of the first row in order for each text t."""
+    return rows.select((F.col(by) if isinstance(by, str) else by).alias("t"), "ord", "k").where("t is not null").groupBy("t").agg(F.min(F.struct("ord", "k")).alias("m")).select("t", "m.ord", "m.k")
+
+
+def contained(names: DataFrame, dim: DataFrame) -> DataFrame:
+    """(name_, ord, k) of names (name_, key_) that contain a key (ord, k) of at least 0.6 of their length."""
+    keys = _first(dim, "k")
+    longest = keys.agg(F.max(F.char_length("t"))).first()[0] or 0
+    n, enough = F.char_length("key_"), F.char_length("k") >= F.char_length("key_") * 0.6
+    low = F.floor(n * 0.6).cast("int")
+    short = names.where(n <= SHORT).select("name_", "key_", F.explode(F.array_distinct(_parts(F.col("key_"), low, F.least(n, F.lit(longest))))).alias("t"))
+    found = short.join(keys, "t").where(enough).select("name_", "ord", "k")
+    if longest < SHORT * 0.6:
+        return found
+    middle = names.where(n > SHORT).where(n * 0.6 <= longest).select("name_", "key_", F.substring(F.col("key_"), F.ceil(n * 0.4).cast("int") + 1, F.lit(8)).alias("g"))
+    grams = keys.where(F.char_length("t") > SHORT * 0.6 - 1).select("ord", "k", F.explode(F.array_distinct(_parts(F.col("t"), F.lit(8), F.lit(8)))).alias("g"))
+    return found.unionByName(middle.join(grams, "g").where(enough & F.contains("key_", F.col("k"))).select("name_", "ord", "k"))
+
+
+def by_botanical(names: DataFrame, dim: DataFrame) -> DataFrame:
+    """(name_, ord, k) of names (name_, t: cleaned or as written) that begin with a botanical name, or contain its first two words."""
+    rows = dim.select("ord", "k", F.lower("botanical").alias("bot"))
+    whole = _first(rows, "bot")
+    sizes = sorted(r.n for r in whole.select(F.char_length("t").alias("n")).distinct().collect())  # as many as there are lengths of a name
+    starts = F.transform(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.char_length("t")), lambda n: F.substring(F.col("t"), F.lit(1), n))
+    found = names.select("name_", F.explode(starts).alias("t")).join(whole, "t").select("name_", "ord", "k")
+    words = F.split("bot", " ")
+    pairs = _first(rows.where(F.size(words) >= 2), F.array_join(F.slice(words, 1, 2), " ")).withColumns({"two": F.col("t"), "l": F.split("t", " ")[0], "r": F.split("t", " ")[1]})
+    pairs = pairs.select("two", "ord", "k", F.substring(F.col("l"), F.greatest(F.lit(1), F.char_length("l") - 3), F.lit(4)).alias("l"), F.substring("r", 1, 4).alias("r"))
+    kinds = pairs.select(F.char_length("l").alias("a"), F.char_length("r").alias("b")).distinct().collect()  # 25 at most
+    split = F.split("t", " ")
+    gaps = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(split) - 1)), lambda i: F.struct(F.element_at(split, i).alias("l"), F.try_element_at(split, i + 1).alias("r")))
+    spaced = names.where(F.size(split) >= 2).select("name_", "t", F.explode(gaps).alias("g")).select("name_", "t", "g.l", "g.r")
+    near = F.array(*(F.when((F.char_length("l") >= a) & (F.char_length("r") >= b), F.struct(F.right("l", F.lit(a)).alias("l"), F.left("r", F.lit(b)).alias("r"))) for a, b in kinds))
+    spaced = spaced.select("name_", "t", F.explode(F.filter(near, lambda x: x.isNotNull())).alias("x")).select("name_", "t", "x.l", "x.r").distinct() if kinds else spaced.limit(0)
+    return found.unionByName(spaced.join(pairs, ["l", "r"]).where(F.contains("t", F.col("two"))).select("name_", "ord", "k"))
+
+
+def by_first_word(names: DataFrame, dim: DataFrame) -> DataFrame:
+    """(name_, ord, k) of names (name_, key_) whose first word of more than two letters begins a key of several words."""
+    word = F.try_element_at(F.filter(F.split("key_", f"[{rules.SPACES}]+"), lambda w: F.char_length(w) > 2), F.lit(1))
+    several = _first(dim.where(F.contains("k", F.lit(" "))), F.element_at(F.split("k", " "), 1))
+    return names.select("name_", word.alias("t")).join(several, "t").select("name_", "ord", "k")
+
+
+def similar(names: DataFrame, dim: DataFrame) -> DataFrame:
+    """(name_, ord, k) of names (name_, key_) and keys that are similar enough; of equal keys the first in order."""
+    keys = _first(dim, "k")
+    n = F.char_length("key_")
+    sizes = F.filter(F.sequence(n - 2, n + 2), lambda m: m > 0)
+    asked = names.where(n > 0).select("name_", "key_", F.explode(sizes).alias("m")).withColumn("p", F.least(F.lit(3), n, F.col("m"))).withColumn("s", F.substring(F.col("key_"), F.lit(1), F.col("p")))
+    there = keys.where(F.char_length("t") > 0).select("ord", "k", F.char_length("t").alias("m"), F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.char_length("t")))).alias("p")).withColumn("s", F.substring(F.col("k"), F.lit(1), F.col("p")))
+    return asked.join(there, ["m", "p", "s"]).where(similar_enough(F.col("key_"), F.col("k"))).select("name_", "ord", "k")
 
 
 def botanical_part(name: Column) -> Column:
@@ -55,35 +114,35 @@ def genus_words(name: Column) -> Column:
 def genus_lookup(names: DataFrame, genera: DataFrame, name: str = "name") -> DataFrame:
     """(name, genus) of the first word that is a genus."""
     words = names.select(name).distinct().select(name, F.posexplode(genus_words(F.col(name))).alias("pos", "genus"))
-    return words.join(F.broadcast(genera.select("genus")), "genus").groupBy(name).agg(F.min_by("genus", "pos").alias("genus"))
+    return words.join(genera.select("genus"), "genus").groupBy(name).agg(F.min_by("genus", "pos").alias("genus"))
 
 
 def lookup(names: DataFrame, plants: DataFrame, genera: DataFrame, name: str = "name") -> DataFrame:
     """(name, stage, key, genus) for each distinct non-empty name; stage is null where nothing was found."""
-    if plants.limit(MOST + 1).count() > MOST:
-        raise ValueError(f"a dictionary has at most {MOST} rows")
-    dim = F.broadcast(plants.select("ord", F.col("key").alias("k"), "botanical"))
+    dim = plants.select("ord", F.col("key").alias("k"), "botanical")
     lower = lambda c: rules.trimmed(F.lower(c))
-    rows = names.select(name).where(F.col(name) != "").distinct().withColumns({"key_": lower(rules.core(F.col(name))), "orig_": lower(F.col(name))})
-    rows = checkpointed(rows)  # each rewritten name serves five plans below
-    exact = [rows.join(dim, F.col(c) == F.col("k")).select(name, F.lit(n).alias("stage"), "ord", "k") for n, c in ((1, "key_"), (2, "orig_"))]
-    exact = reduce(DataFrame.unionByName, exact).groupBy(name).agg(F.min(F.struct("stage", "ord", "k")).alias("hit"))
-    rest = rows.join(exact, name, "left_anti")
-    loose = rest.join(dim, stage(F.col("key_"), F.col("orig_"), F.col("k"), F.col("botanical")).isNotNull())
-    loose = loose.groupBy(name).agg(F.min(F.struct(stage(F.col("key_"), F.col("orig_"), F.col("k"), F.col("botanical")).alias("stage"), "ord", "k")).alias("hit"))
-    hits = exact.unionByName(loose).select(name, "hit.stage", F.col("hit.k").alias("key"))
-    left = rows.join(hits, name, "left_anti").select(name)
-    by_genus = genus_lookup(left, genera, name)
-    out = rows.select(name).join(hits, name, "left").join(by_genus, name, "left")
-    return out.select(name, F.when(F.col("genus").isNotNull(), 7).otherwise(F.col("stage")).alias("stage"), "key", "genus")
+    rows = names.select(F.col(name).alias("name_")).where("name_ != ''").distinct().withColumns({"key_": lower(rules.core(F.col("name_"))), "orig_": lower(F.col("name_"))})
+    rows = checkpointed(rows)  # each rewritten name serves the plans below
+    keys = _first(dim, "k")
+    exact = [rows.join(keys, F.col(c) == F.col("t")).select("name_", F.lit(n).alias("stage"), "ord", "k") for n, c in ((1, "key_"), (2, "orig_"))]
+    best = lambda found: found.groupBy("name_").agg(F.min(F.struct("stage", "ord", "k")).alias("hit"))
+    exact = checkpointed(best(reduce(DataFrame.unionByName, exact)))
+    rest = rows.join(exact, "name_", "left_anti")
+    written = rest.select("name_", F.explode(F.array_distinct(F.array("key_", "orig_"))).alias("t"))
+    loose = [contained(rest, dim), by_botanical(written, dim), by_first_word(rest, dim), similar(rest, dim)]
+    loose = best(reduce(DataFrame.unionByName, [found.withColumn("stage", F.lit(n)) for n, found in enumerate(loose, 3)]))
+    hits = checkpointed(exact.unionByName(loose)).select("name_", "hit.stage", F.col("hit.k").alias("key"))
+    by_genus = genus_lookup(rows.join(hits, "name_", "left_anti").select("name_"), genera, "name_")
+    out = rows.select("name_").join(hits, "name_", "left").join(by_genus, "name_", "left")
+    return out.select(F.col("name_").alias(name), F.when(F.col("genus").isNotNull(), 7).otherwise(F.col("stage")).alias("stage"), "key", "genus")
 
 
 def enriched(rows: DataFrame, plants: DataFrame, genera: DataFrame, name: str = "name") -> DataFrame:
     """rows with the eight plant attributes of their names; without a hit common is the name and the others ''."""
     found = lookup(rows, plants, genera, name)
     attrs = ("common", "botanical", "type", "size", "bloom", "sun", "water", "notes")
-    p = F.broadcast(plants.select("key", *(F.col(a).alias(f"p_{a}") for a in attrs)))
-    g = F.broadcast(genera.select("genus", *(F.col(a).alias(f"g_{a}") for a in ("type", "sun", "water", "bloom", "notes"))))
+    p = plants.select("key", *(F.col(a).alias(f"p_{a}") for a in attrs))
+    g = genera.select("genus", *(F.col(a).alias(f"g_{a}") for a in ("type", "sun", "water", "bloom", "notes")))
     out = rows.join(found, name, "left").join(p, "key", "left").join(g, "genus", "left")
     own = {"common": rules.trimmed(F.col(name)), "botanical": F.when(F.col("genus").isNotNull(), botanical_part(F.col(name)))}
     value = lambda a: F.coalesce(F.nullif(F.col(f"p_{a}"), F.lit("")), own[a] if a in own else F.col(f"g_{a}") if f"g_{a}" in g.columns else F.lit(None), F.lit(""))

@@ -127,9 +127,8 @@ GENUS_LOOKUP = f"WITH {_NAMES}, words AS (SELECT name, unnest(s) AS w, generate_
 
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct part names and dictionary keys (a fixed table) that are similar enough."""
-    keys = F.broadcast(dims.plants(spark).select("key"))
-    rows = names(spark, sf_dir).select(F.lower("name").alias("name")).distinct()
-    return rows.join(keys, resolve.similar_enough(F.col("name"), F.col("key")))
+    rows = names(spark, sf_dir).select(F.lower("name").alias("name_")).distinct().withColumn("key_", F.col("name_"))
+    return resolve.similar(rows, dims.plants(spark).withColumnRenamed("key", "k")).select(F.col("name_").alias("name"), F.col("k").alias("key"))
 
 
 SIMILAR_PAIRS = f"WITH {_NAMES}, l AS (SELECT DISTINCT lower(name) AS name FROM names) SELECT name, k AS key FROM l, plants WHERE {_SIMILAR.format(a='name', b='k')}"
