@@ -1,7 +1,8 @@
 """Words and swatches of a legend: which words name which colour.
 
-Boundaries are joins inside one image. The assignment is a fold in swatch order (a word goes to one swatch only, and
-words beyond a gap stay free), so it runs for each image over its sorted words; an image's legend bounds the group.
+Swatches meet swatches and words by image and row bucket: a swatch goes into the buckets of its own height class that its rows touch, a word into the one bucket
+of each class, and what meets is compared exactly. The assignment is a fold in swatch order (a word goes to one swatch only, and words beyond a gap stay free): the pairs of an image stream
+through one task, sorted, which holds the words that are taken. Names without near repeats are such a fold too, which holds the kept names' beginnings.
 """
 
 from __future__ import annotations
@@ -11,10 +12,23 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as rules
 from fernglass.functions.colour import rounded
+from fernglass.operators.folds import in_order
 
 ROW, REACH, GAP = 25, 0.15, 50
 
 
+def banded(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """Spans (image_id, low, high, ...) joined with the points (image_id, at, ...) of their image that lie inside, by image, height class and bucket."""
+    width = lambda level: F.pow(F.lit(2.0), level)
+    level = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("high") - F.col("low")))).cast("int")  # a span touches two buckets, three at most
+    spans = spans.withColumn("level_", level)
+    levels = spans.select("image_id", "level_").distinct()
+    cell = lambda c: F.floor(F.col(c) / width(F.col("level_")))
+    left = spans.where("low <= high").withColumn("cell_", F.explode(F.sequence(cell("low"), cell("high"))))
+    right = points.join(levels, "image_id").withColumn("cell_", cell("at"))
+    return left.join(right, ["image_id", "level_", "cell_"]).where(F.col("at").between(F.col("low"), F.col("high"))).drop("level_", "cell_")
+
+
 def right_boundaries(swatches: DataFrame, sizes: DataFrame) -> DataFrame:
     """Swatches in reading order (`ord` from 0, rows of 25 pixels) with `right_boundary`.
 
@@ -22,9 +36,11 @@ def right_boundaries(swatches: DataFrame, sizes: DataFrame) -> DataFrame:
     1.2 heights away and which starts to the right, if that is nearer."""
     order = Window.partitionBy("image_id").orderBy(F.floor(F.col("min_y") / ROW), "min_x", "idx")
     rows = swatches.withColumn("ord", F.row_number().over(order) - 1).withColumn("mid", (F.col("min_y") + F.col("max_y")) / 2)
-    next_ = F.min_by("b.min_x", "b.ord")
-    later = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.ord") > F.col("a.ord")) & (F.abs(F.col("b.mid") - F.col("a.mid")) < (F.col("a.max_y") - F.col("a.min_y")) * 1.2) & (F.col("b.min_x") > F.col("a.max_x"))
-    beside = rows.alias("a").join(rows.alias("b"), later).groupBy(F.col("a.image_id").alias("image_id"), F.col("a.ord").alias("ord")).agg(next_.alias("beside"))
+    reach = (F.col("max_y") - F.col("min_y")) * 1.2
+    spans = rows.select("image_id", "ord", "max_x", "mid", reach.alias("reach"), (F.col("mid") - reach).alias("low"), (F.col("mid") + reach).alias("high"))
+    others = rows.select("image_id", F.col("ord").alias("ord_b"), F.col("mid").alias("at"), F.col("min_x").alias("min_x_b"))
+    later = (F.col("ord_b") > F.col("ord")) & (F.abs(F.col("at") - F.col("mid")) < F.col("reach")) & (F.col("min_x_b") > F.col("max_x"))
+    beside = banded(spans, others).where(later).groupBy("image_id", "ord").agg(F.min_by("min_x_b", "ord_b").alias("beside"))
     far = F.col("max_x") + F.col("width") * REACH
     return rows.join(sizes.select("image_id", "width"), "image_id").join(beside, ["image_id", "ord"], "left").withColumn("right_boundary", F.least(far, F.coalesce(F.col("beside") - 5, far))).drop("beside", "width", "mid")
 
@@ -38,30 +54,29 @@ def assign_words(bounded: DataFrame, words: DataFrame) -> DataFrame:
     words: (image_id, word_idx, text, confidence, x0, y0, x1, y1). A word belongs if it starts at most 5 pixels left of the swatch's right side,
     not beyond its boundary, with its middle within the swatch's height and min(10, 0.3 heights) more. Words after a gap of more than 50
     pixels are not taken and stay free for later swatches."""
-    s = bounded.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", "min_y", "max_x", "max_y", "right_boundary"))).alias("swatches"))
-    w = words.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "x0", "y0", "x1", "y1"))).alias("words"))
-    kind = words.schema["image_id"].dataType.simpleString()
-
-    def fold(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for image, swatches, found in zip(pdf["image_id"], pdf["swatches"], pdf["words"], strict=True):
-                free = {v["word_idx"]: v for v in found}
-                for sw in swatches:
-                    high = sw["max_y"] - sw["min_y"]
-                    pad = min(10, 0.3 * high)
-                    mine = [v for v in free.values() if sw["max_x"] - 5 <= v["x0"] <= sw["right_boundary"] and sw["min_y"] - pad <= (v["y0"] + v["y1"]) / 2 <= sw["max_y"] + pad]
-                    mine.sort(key=lambda v: v["x0"])
-                    for place, v in enumerate(mine):
-                        if place and v["x0"] - mine[place - 1]["x1"] > GAP:
-                            break
-                        del free[v["word_idx"]]
-                        out.append((image, sw["ord"], v["word_idx"], place))
-            yield pd.DataFrame(out, columns=["image_id", "ord", "word_idx", "place"])
-
-    return s.join(w, "image_id").mapInPandas(fold, f"image_id {kind}, {ASSIGNED}")
+    pad = F.least(F.lit(10.0), 0.3 * (F.col("max_y") - F.col("min_y")))
+    spans = bounded.select("image_id", F.col("ord").cast("int").alias("ord"), (F.col("min_y") - pad).alias("low"), (F.col("max_y") + pad).alias("high"), F.col("max_x").alias("right_x"), "right_boundary")
+    points = words.select("image_id", "word_idx", "x0", "x1", ((F.col("y0") + F.col("y1")) / 2).alias("at"))
+    pairs = banded(spans, points).where((F.col("x0") >= F.col("right_x") - 5) & (F.col("x0") <= F.col("right_boundary")))
+    return in_order(pairs, "image_id", [F.asc("ord"), F.asc("x0"), F.asc("word_idx")], ["ord", "word_idx", "x0", "x1"], _Taken, ASSIGNED)
+
+
+class _Taken:
+    """Words of swatch after swatch, from the left: free ones before the first wide gap are taken."""
+
+    def __init__(self):
+        self.taken, self.ord, self.place, self.end, self.over = set(), None, 0, 0, False
+
+    def row(self, ord: int, word: int, x0: float, x1: float):
+        if ord != self.ord:
+            self.ord, self.place, self.over = ord, 0, False
+        if not self.over and word not in self.taken:
+            if self.place and x0 - self.end > GAP:
+                self.over = True
+            else:
+                self.taken.add(word)
+                self.place, self.end = self.place + 1, x1
+                yield ord, word, self.place - 1
 
 
 def named(assigned: DataFrame, words: DataFrame) -> DataFrame:
@@ -82,11 +97,27 @@ def gap_cut(words: DataFrame, keys: tuple[str, ...], most: int = GAP) -> DataFra
 def without_near_names(entries: DataFrame, key: str = "image_id", order: str = "ord", name: str = "name") -> DataFrame:
     """(key, order, name) of entries that repeat no kept one: letters only, equal, or one the other's beginning and fewer than 5 letters shorter."""
     plain = F.regexp_replace(F.lower(F.col(name)), "[^a-z]", "")
-    rows = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), plain.alias("p"), F.col(name).alias("n")))).alias("all_"))
-    repeats = lambda kept, e: F.exists(kept, lambda k: (k["p"] == e["p"]) | ((F.startswith(k["p"], e["p"]) | F.startswith(e["p"], k["p"])) & (F.abs(F.char_length(k["p"]) - F.char_length(e["p"])) < 5)))
-    # An accumulator of entries that were kept; it starts as an empty slice of the list, which has its type.
-    fold = F.aggregate("all_", F.slice("all_", 1, 0), lambda kept, e: F.when(repeats(kept, e), kept).otherwise(F.concat(kept, F.array(e))))
-    return rows.select(key, F.explode(fold).alias("e")).select(key, F.col("e.o").alias(order), F.col("e.n").alias(name))
+    kinds = [f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in (order, name)]
+    rows = entries.select(key, order, name, plain.alias("plain_"))
+    return in_order(rows, key, [F.col(order).asc_nulls_last(), F.col("plain_").asc_nulls_last(), F.col(name).asc_nulls_last()], [order, name, "plain_"], _Kept, ", ".join(kinds))
+
+
+class _Kept:
+    """Kept names and their beginnings that are up to four letters shorter: a trie of which only what is asked for is held, so a name costs ten lookups."""
+
+    SHORTER = 4
+
+    def __init__(self):
+        self.names, self.beginnings = set(), set()
+
+    def row(self, order, name, plain):
+        if plain is not None:
+            own = [plain[: len(plain) - k] for k in range(min(self.SHORTER, len(plain)) + 1)]
+            if plain in self.beginnings or any(p in self.names for p in own):
+                return
+            self.names.add(plain)
+            self.beginnings.update(own)
+        yield order, name
 
 
 def parse(swatches: DataFrame, sizes: DataFrame, words: DataFrame) -> DataFrame:
@@ -108,35 +139,19 @@ def parse_counts(bounded: DataFrame, found: DataFrame, kept: DataFrame) -> DataF
     return rows.select("image_id", "swatches", (F.col("swatches") - F.col("named")).alias("no_text"), "rejected", "valid", (F.col("valid") - F.col("kept")).alias("deduped"))
 
 
-def parse_rows(bands: DataFrame, sizes: DataFrame, words: DataFrame) -> DataFrame:
-    """(image_id, y_start, y_end, name, confidence) of legends without swatches: words right of a quarter of the width whose middle lies in a band.
-
-    Only names of fewer than 2 characters are dropped."""
-    w = words.join(sizes.select("image_id", "width"), "image_id").where(F.col("x0") >= F.floor(F.col("width") * 0.25)).withColumn("mid", (F.col("y0") + F.col("y1")) / 2)
-    rows = bands.join(w, "image_id").where(F.col("mid").between(F.col("y_start"), F.col("y_end")))
-    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_idx", "text"))), lambda v: v["text"]), " ")
-    out = rows.groupBy("image_id", "y_start", "y_end").agg(rules.clean(rules.trimmed(raw)).alias("name"), rounded(F.avg("confidence")).alias("confidence"))
-    return out.where(F.char_length("name") >= 2)
-
-
 def lines_of_words(words: DataFrame, line_height: str | float, share: float = 0.6) -> DataFrame:
     """words (image_id, word_idx, y0, y1, ...) in their own order, with `line` from 0: a new line starts where a word's middle is `share` line
     heights or more away from the middle of the line's first word. `line_height` is a number or a column that an image's words share."""
-    kind = words.schema["image_id"].dataType.simpleString()
     height = F.col(line_height) if isinstance(line_height, str) else F.lit(float(line_height))
-    rows = words.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", ((F.col("y0") + F.col("y1")) / 2).alias("mid")))).alias("w"), F.max(height).cast("double").alias("h"))
-
-    def fold(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for image, found, high in zip(pdf["image_id"], pdf["w"], pdf["h"], strict=True):
-                line, first = -1, 0.0
-                for v in found:
-                    if line < 0 or abs(v["mid"] - first) >= high * share:
-                        line, first = line + 1, v["mid"]
-                    out.append((image, v["word_idx"], line))
-            yield pd.DataFrame(out, columns=["image_id", "word_idx", "line"])
-
-    return rows.mapInPandas(fold, f"image_id {kind}, word_idx int, line int")
+    rows = words.select("image_id", F.col("word_idx").cast("int").alias("word_idx"), ((F.col("y0") + F.col("y1")) / 2).alias("mid"), F.max(height).over(Window.partitionBy("image_id")).cast("double").alias("high"))
+    return in_order(rows, "image_id", [F.asc("word_idx"), F.asc("mid")], ["word_idx", "mid", "high"], lambda: _Lines(share), "word_idx int, line int")
+
+
+class _Lines:
+    def __init__(self, share: float):
+        self.share, self.line, self.first = share, -1, 0.0
+
+    def row(self, word: int, mid: float, high: float):
+        if self.line < 0 or abs(mid - self.first) >= high * self.share:
+            self.line, self.first = self.line + 1, mid
+        yield word, self.line

@@ -20,10 +20,11 @@ def row_entries(pixels: DataFrame, bands: DataFrame, words: DataFrame) -> DataFr
     sizes = raster.image_sizes(pixels)
     coloured = raster.band_colours(pixels, bands).where("cr is not null")
     found = words.join(sizes.select("image_id", "width"), "image_id").where(F.col("x0") >= F.floor(F.col("width") * 0.25)).withColumn("mid", (F.col("y0") + F.col("y1")) / 2)
-    rows = coloured.alias("c").join(found.alias("w"), (F.col("c.image_id") == F.col("w.image_id")) & F.col("w.mid").between(F.col("c.y_start"), F.col("c.y_end")), "left")
-    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("w.text").isNotNull(), F.struct("w.x0", "w.word_idx", "w.text")))), lambda v: v["text"]), " ")
-    keys = [F.col(f"c.{c}").alias(c) for c in ("image_id", "y_start", "y_end", "cr", "cg", "cb")]
-    out = rows.groupBy(*keys).agg(rules.clean(rules.trimmed(raw)).alias("name"), F.coalesce(rounded(F.avg("w.confidence")), F.lit(0)).cast("long").alias("confidence"))
+    spans = coloured.select("image_id", "y_start", "y_end", F.col("y_start").cast("double").alias("low"), F.col("y_end").cast("double").alias("high"))
+    rows = layout.banded(spans, found.select("image_id", "x0", "word_idx", "text", "confidence", F.col("mid").alias("at")))
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("x0", "word_idx", "text")))), lambda v: v["text"]), " ")
+    read = rows.groupBy("image_id", "y_start", "y_end").agg(raw.alias("raw"), rounded(F.avg("confidence")).alias("mean"))
+    out = coloured.join(read, ["image_id", "y_start", "y_end"], "left").select("image_id", "y_start", "y_end", "cr", "cg", "cb", rules.clean(rules.trimmed(F.coalesce("raw", F.lit("")))).alias("name"), F.coalesce("mean", F.lit(0)).cast("long").alias("confidence"))
     return out.withColumn("ord", F.col("y_start").cast("long"))
 
 

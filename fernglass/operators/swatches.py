@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+from itertools import product
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernglass.functions import colour
 from fernglass.operators.raster import regions
+from fernglass.operators.selection import order_statistics
 
 LEAST_SIDE, LEAST_PIXELS, MOST_SHARE, MOST_ASPECT, LEAST_FILL = 12, 80, 0.12, 4, 0.35
 ROW, NEAR, NEAR_COLOUR = 30, 10, 50
@@ -28,48 +33,104 @@ def ordered(swatches: DataFrame, row: int = ROW) -> DataFrame:
     return swatches.withColumn("idx", F.row_number().over(by) - 1)
 
 
+class Cells:
+    """Swatches by colour (cubes of NEAR_COLOUR) and place, each in a grid of its own size class, so that it stands in four cells at most."""
+
+    def __init__(self, items: list[tuple], gone: set[int]):
+        self.gone = gone
+        self.grids: dict[tuple, dict[int, dict[int, dict[int, list[int]]]]] = {}  # by colour, size class, column and row
+        for i, (_, _, cr, cg, cb, x0, x1, y0, y1) in enumerate(items):
+            level = max(4, int(max(x1 - x0, y1 - y0)).bit_length())
+            columns = self.grids.setdefault((cr // NEAR_COLOUR, cg // NEAR_COLOUR, cb // NEAR_COLOUR), {}).setdefault(level, {})
+            for cx in range(x0 >> level, (x1 >> level) + 1):
+                for cy in range(y0 >> level, (y1 >> level) + 1):
+                    columns.setdefault(cx, {}).setdefault(cy, []).append(i)
+
+    def near(self, tint: tuple, box: tuple, before: tuple | None) -> list[int]:
+        """Swatches of colours that may be near enough in the cells that the box touches, but for those that it touched before it grew."""
+        out = []
+        for at in product(*((t - 1, t, t + 1) for t in tint)):
+            for level, columns in self.grids.get(at, {}).items():
+                x0, x1, y0, y1 = (v >> level for v in box)
+                if before is None:
+                    parts = [(x0, x1, y0, y1)]
+                else:
+                    u0, u1, v0, v1 = (v >> level for v in before)
+                    parts = [(x0, u0 - 1, y0, y1), (u1 + 1, x1, y0, y1), (u0, u1, y0, v0 - 1), (u0, u1, v1 + 1, y1)]
+                for low_x, high_x, low_y, high_y in parts:
+                    if low_x <= high_x and low_y <= high_y:
+                        for cx in _among(columns, low_x, high_x):
+                            rows = columns[cx]
+                            for cy in _among(rows, low_y, high_y):
+                                rows[cy] = [j for j in rows[cy] if j not in self.gone]
+                                out += rows[cy]
+        return out
+
+
+def _among(there: dict[int, object], low: int, high: int) -> list[int]:
+    """Keys from low to high, by whichever is shorter: the range or the keys."""
+    return [k for k in range(low, high + 1) if k in there] if high - low < len(there) else [k for k in there if low <= k <= high]
+
+
+def merged_in_order(items: list[tuple]) -> list[tuple]:
+    """The fold of `merge_near` over one image's swatches (idx, size, cr, cg, cb, min_x, max_x, min_y, max_y), in order."""
+    used: set[int] = set()
+    cells, out = Cells(items, used), []
+    for i, (idx, size, cr, cg, cb, x0, x1, y0, y1) in enumerate(items):
+        if i in used:
+            continue
+        used.add(i)  # it can't be taken by a later one
+        tint = cr // NEAR_COLOUR, cg // NEAR_COLOUR, cb // NEAR_COLOUR
+        box = x0 - NEAR, x1 + NEAR, y0 - NEAR, y1 + NEAR
+        waiting = [j for j in cells.near(tint, box, None) if j > i]
+        heapify(waiting)
+        at = i
+        while waiting:
+            j = heappop(waiting)
+            if j <= at or j in used:
+                continue
+            at = j
+            _, more, r, g, b, u0, u1, v0, v1 = items[j]
+            if (cr - r) ** 2 + (cg - g) ** 2 + (cb - b) ** 2 <= NEAR_COLOUR**2 and x0 - NEAR <= u1 and x1 + NEAR >= u0 and y0 - NEAR <= v1 and y1 + NEAR >= v0:
+                used.add(j)
+                size += more
+                if u0 < x0 or u1 > x1 or v0 < y0 or v1 > y1:
+                    x0, x1, y0, y1 = min(x0, u0), max(x1, u1), min(y0, v0), max(y1, v1)
+                    before, box = box, (x0 - NEAR, x1 + NEAR, y0 - NEAR, y1 + NEAR)
+                    for k in cells.near(tint, box, before):
+                        if k > j:
+                            heappush(waiting, k)
+        out.append((idx, size, cr, cg, cb, x0, x1, y0, y1))
+    return out
+
+
+MERGED = "idx long, size long, cr long, cg long, cb long, min_x long, max_x long, min_y long, max_y long"
+
+
 def merge_near(swatches: DataFrame) -> DataFrame:
     """One pass in order: a swatch takes each later free one of a colour within 50 whose box is within 10 pixels of its
-    growing box. Colours stay the first's; sizes add up. The fold is in order, so it runs for each image over a sorted array."""
-    item = F.struct("idx", F.col("size").cast("long").alias("size"), *(F.col(c).cast("long").alias(c) for c in ("cr", "cg", "cb", "min_x", "max_x", "min_y", "max_y")))
-    rows = swatches.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
-
-    def fold(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for image, items in zip(pdf["image_id"], pdf["s"], strict=True):
-                items, used = [dict(i) if isinstance(i, dict) else i.asDict() for i in items], set()
-                for i, a in enumerate(items):
-                    if i in used:
-                        continue
-                    a = dict(a)
-                    for j in range(i + 1, len(items)):
-                        b = items[j]
-                        alike = sum((a[c] - b[c]) ** 2 for c in ("cr", "cg", "cb")) <= NEAR_COLOUR**2
-                        near = all(a[f"min_{d}"] - NEAR <= b[f"max_{d}"] and a[f"max_{d}"] + NEAR >= b[f"min_{d}"] for d in "xy")
-                        if j not in used and alike and near:
-                            used.add(j)
-                            a["size"] += b["size"]
-                            for d in "xy":
-                                a[f"min_{d}"], a[f"max_{d}"] = min(a[f"min_{d}"], b[f"min_{d}"]), max(a[f"max_{d}"], b[f"max_{d}"])
-                    out.append({"image_id": image, **{k: int(v) for k, v in a.items()}})
-            yield pd.DataFrame(out, columns=["image_id", "idx", "size", "cr", "cg", "cb", "min_x", "max_x", "min_y", "max_y"])
-
+    growing box. Colours stay the first's; sizes add up. The fold is in order, so an image's swatches are in one task; each looks
+    only at those in the cells that its box touches as it grows."""
+    names = [f.split()[0] for f in MERGED.split(", ")]
     kind = swatches.schema["image_id"].dataType.simpleString()
-    return rows.mapInPandas(fold, f"image_id {kind}, idx long, size long, cr long, cg long, cb long, min_x long, max_x long, min_y long, max_y long")
+
+    def run(found: pa.Table) -> pa.Table:
+        items = merged_in_order(sorted(zip(*(found[n].to_pylist() for n in names), strict=True)))
+        return pa.table({"image_id": pa.repeat(found["image_id"][0], len(items)), **{n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*items, strict=True), strict=True)}})
+
+    rows = swatches.select("image_id", *(F.col(n).cast("long").alias(n) for n in names))
+    return rows.groupBy("image_id").applyInArrow(run, f"image_id {kind}, {MERGED}")
 
 
-def size_fence(rows: DataFrame, key: str = "image_id", area: str = "area", order: str | None = None) -> DataFrame:
+def size_fence(rows: DataFrame, key: str = "image_id", area: str = "area") -> DataFrame:
     """Rows whose area lies between 0.05 first quartiles and 20 third quartiles of their key's; fewer than 5 rows all stay.
 
-    Quartiles are the items at floor(n / 4) and floor(3 n / 4) of the sorted areas, from 0."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(area)) - 1
-    whole = Window.partitionBy(key)
-    ranked = rows.withColumn("p_", place).withColumn("n_", F.count("*").over(whole))
-    ranked = ranked.withColumn("q1_", F.max(F.when(F.col("p_") == F.floor(F.col("n_") * 0.25), F.col(area))).over(whole)).withColumn("q3_", F.max(F.when(F.col("p_") == F.floor(F.col("n_") * 0.75), F.col(area))).over(whole))
-    return ranked.where((F.col("n_") < 5) | F.col(area).between(F.col("q1_") * 0.05, F.col("q3_") * 20)).drop("p_", "n_", "q1_", "q3_")
+    Quartiles are the items at floor(n / 4) and floor(3 n / 4) of the sorted areas (whole numbers), from 0. Null areas don't count, and stay only where all do."""
+    names = {c: f"__fence_{c}" for c in ("key", "n", "low", "high")}
+    found = order_statistics(rows, key, area, {names["low"]: 0.25, names["high"]: 0.75}).withColumnsRenamed({key: names["key"], "n_": names["n"]})
+    fenced = rows.join(found, F.col(key).eqNullSafe(F.col(names["key"])), "left")
+    stays = (F.coalesce(names["n"], F.lit(0)) < 5) | F.col(area).between(F.col(names["low"]) * 0.05, F.col(names["high"]) * 20)
+    return fenced.where(stays).drop(*names.values())
 
 
 def detect(pixels: DataFrame) -> DataFrame:

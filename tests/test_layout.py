@@ -41,13 +41,6 @@ def test_near_names_are_dropped_in_order(spark):
     assert layout.without_near_names(df.limit(0)).count() == 0
 
 
-def test_rows_without_swatches(spark):
-    words = spark.createDataFrame([("i", 0, "Azalea", 90.0, 60, 10, 90, 20), ("i", 1, "x", 90.0, 10, 10, 15, 20), ("i", 2, "Iv", 40.0, 50, 42, 70, 48), ("i", 3, "q", 50.0, 80, 100, 90, 110)], WORD)
-    bands = spark.createDataFrame([("i", 5, 25), ("i", 40, 50), ("i", 95, 120)], "image_id string, y_start int, y_end int")
-    sizes = spark.createDataFrame([("i", 160, 200)], "image_id string, width int, height int")
-    assert sorted((r.y_start, r.name, r.confidence) for r in layout.parse_rows(bands, sizes, words).collect()) == [(5, "Azalea", 90), (40, "Iv", 40)]
-
-
 def test_lines_and_gaps(spark):
     words = spark.createDataFrame([("i", 0, "a", 1.0, 0, 0, 10, 10), ("i", 1, "b", 1.0, 20, 5, 30, 15), ("i", 2, "c", 1.0, 81, 7, 90, 17), ("i", 3, "d", 1.0, 0, 30, 10, 40)], WORD)
     assert {r.word_idx: r.line for r in layout.lines_of_words(words, 10).collect()} == {0: 0, 1: 0, 2: 1, 3: 2}
