@@ -176,6 +176,14 @@ def core(text: Column) -> Column:
     return core_of(clean(text))
 
 
+def _fused(patterns: tuple[tuple[str, bool], ...]) -> list[str]:
+    """The patterns as few: those with and without case, each at the beginning and elsewhere, are one alternation, so that a text is scanned once for all."""
+    groups: dict[tuple[bool, bool], list[str]] = {}
+    for p, fold in patterns:
+        groups.setdefault((fold, p.startswith("^")), []).append(java(p.removeprefix("^")))
+    return [f"{'(?i)' if fold else ''}{chr(92) + 'A' if first else ''}(?:{'|'.join(some)})" for (fold, first), some in groups.items()]
+
+
 def valid(name: Column) -> Column:
     """Whether a cleaned text can be a plant's name; false for null."""
     words = F.split(name, f"[{SPACES}]+")
@@ -188,7 +196,7 @@ def valid(name: Column) -> Column:
         F.char_length(name) >= 3,
         name.rlike(r"\A[A-Z]") | ((name == F.upper(name)) & name.rlike("[A-Z]")),
         ~name.rlike(r"[\[\]{}]"),
-        *(~name.rlike(java(p, fold)) for p, fold in REJECTED),
+        *(~name.rlike(p) for p in _fused(REJECTED)),
         (n != 1) | (F.char_length(first) >= 4),
         F.char_length(first) >= 3,
         (n == 1) | (short * 2 <= n),

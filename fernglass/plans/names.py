@@ -35,7 +35,7 @@ CORE_NAMES = f"WITH c AS ({CLEAN_LINES}) SELECT doc_id, pos, {rules.sql_core_of(
 
 
 def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = state.imported_lines(tables.table(spark, sf_dir, "documents"), "text", "doc_id")
+    rows = state.imported_lines(tables.spread(tables.table(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id")
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 

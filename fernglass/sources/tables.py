@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a scan below which its rows may all be in one row group, hence in one task.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan's rows dealt to all cores, as a file with one row group is read by one task; a larger scan as it is."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size.longValue() < SMALL else df
+
+
 def palette(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PALETTE, "id int, name string, r int, g int, b int")
 
@@ -46,7 +56,7 @@ def tiles(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, line) of documents' texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
 
 
 PIXELS_SQL = """

@@ -24,6 +24,29 @@ def test_store(spark, tmp_path):
     assert {r.more for r in wider.read().collect()} == {None}
 
 
+def test_store_leaves_untouched_buckets_alone(spark, tmp_path):
+    files = lambda: {str(p.relative_to(tmp_path)) for p in (tmp_path / "s" / "data").rglob("part-*")}
+    store = Store(spark, f"{tmp_path}/s", "id long, name string", "id", 16)
+    store.put(spark.range(400).select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name")))
+    before = files()
+    assert len(before) == 16 and store.get(7).first().name == "n7" and len(store.get(7).inputFiles()) == 1
+    store.put(spark.createDataFrame([(7, "new"), (7, "new")], store.schema))
+    after = files()
+    assert before <= after and len(after - before) == 1  # the bucket's old file stays for readers of the last version
+    store.delete(spark.createDataFrame([(7,)], "id long"))
+    assert len(files() - after) == 1 and len(before & files()) == 15 and store.read().count() == 399
+    store.insert(spark.createDataFrame([("late",)], "name string"))
+    assert len(before & files()) == 15 and store.get(400).first().name == "late" and store.read().count() == 400
+    store.delete(store.read())
+    assert store.read().count() == 0 and store.get(1).count() == 0
+    store.insert(spark.createDataFrame([("again",)], "name string"))
+    assert [tuple(r) for r in store.read().collect()] == [(1, "again")]
+    # Later changes keep the store's own number of buckets, whatever is asked for.
+    other = Store(spark, f"{tmp_path}/s", "id long, name string", "id", 3)
+    other.put(spark.range(1, 50).select("id", F.lit("x").alias("name")))
+    assert store.read().count() == 49 and {store.get(i).first().name for i in (1, 25, 49)} == {"x"}
+
+
 def test_restored(spark, tmp_path):
     key = autosave_key("plan_v", 3, "x.png")
     store = Store(spark, f"{tmp_path}/s", "key string, palette array<string>", "key")

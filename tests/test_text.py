@@ -45,3 +45,12 @@ def test_skipped_rules_change_nothing(spark):
     df = spark.createDataFrame([("".join(rng.choice(parts) + rng.choice(("", " ", " ")) for _ in range(rng.randrange(1, 9))),) for _ in range(3000)], "t string")
     plain = rules.trimmed(reduce(lambda c, r: rules.rewrite(c, *r), rules.REWRITES, F.col("t")))
     assert df.where(rules.clean(F.col("t")) != plain).count() == 0
+
+
+def test_fused_patterns_reject_what_each_rejects(spark):
+    rng = random.Random(4)
+    heads = ["Form", "form", "formal", "Type x", "var. x", "variegated", "sp", "spp.", "OR", "Orchid", "-x", "(x", "7 x", "abc d", "Ab cd", "See", "seed", "legend", "Butter  and x", "Butter andy", "Azalea"]
+    tails = ["", " cere", "cere", " EH x", " eh", "EH", " x\n", "cere\n", " and"]
+    df = spark.createDataFrame([(rng.choice(heads) + rng.choice(tails),) for _ in range(1500)], "t string")
+    one, each = (reduce(lambda a, b: a | b, (F.col("t").rlike(p) for p in some)) for some in (rules._fused(rules.REJECTED), [rules.java(p, fold) for p, fold in rules.REJECTED]))
+    assert df.where(one != each).count() == 0 and 0 < df.where(one).count() < 1500
