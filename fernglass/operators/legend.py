@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as rules
 from fernglass.functions.colour import rounded
-from fernglass.operators import layout, raster, swatches, templates
+from fernglass.operators import layout, raster, swatches, templates, tiles
 from fernglass.operators.components import checkpointed
 
 BOX = ("min_x", "max_x", "min_y", "max_y")
 
 
-def row_entries(pixels: DataFrame, bands: DataFrame, words: DataFrame) -> DataFrame:
+def row_entries(images: DataFrame, bands: DataFrame, words: DataFrame) -> DataFrame:
     """(image_id, ord, name, confidence, cr, cg, cb, y_start, y_end) of row bands that have a colour and a name of two characters or more.
 
     Words of a band stand right of a quarter of the image's width with their middle inside the band. Bands without any keep name '' and confidence 0."""
-    sizes = raster.image_sizes(pixels)
-    coloured = raster.band_colours(pixels, bands).where("cr is not null")
+    sizes = tiles.image_sizes(images)
+    coloured = raster.colours_of_bands(bands, tiles.swatch_sums(images)).where("cr is not null")
     found = words.join(sizes.select("image_id", "width"), "image_id").where(F.col("x0") >= F.floor(F.col("width") * 0.25)).withColumn("mid", (F.col("y0") + F.col("y1")) / 2)
     spans = coloured.select("image_id", "y_start", "y_end", F.col("y_start").cast("double").alias("low"), F.col("y_end").cast("double").alias("high"))
     rows = layout.banded(spans, found.select("image_id", "x0", "word_idx", "text", "confidence", F.col("mid").alias("at")))
@@ -28,16 +28,16 @@ def row_entries(pixels: DataFrame, bands: DataFrame, words: DataFrame) -> DataFr
     return out.withColumn("ord", F.col("y_start").cast("long"))
 
 
-def parse(pixels: DataFrame, words: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Entries (image_id, ord, name, confidence, cr, cg, cb, min_x, max_x, min_y, max_y, y_start, y_end, template) of legend images.
+def parse(drawn: DataFrame, words: DataFrame, failed: DataFrame | None = None, side: int = tiles.SIDE) -> DataFrame:
+    """Entries (image_id, ord, name, confidence, cr, cg, cb, min_x, max_x, min_y, max_y, y_start, y_end, template) of legend images, given as tiles.
 
     Images with swatches are read swatch by swatch, the others row by row (then the box is null, else the band). `failed` lists images whose text
     could not be recognized: their swatches or coloured bands come with name '' and confidence 0. template: (width, height, gray), null if too small."""
-    sizes = raster.image_sizes(pixels)
-    found = checkpointed(swatches.detect(pixels))
+    sizes = tiles.image_sizes(drawn)
+    found = checkpointed(swatches.detect(drawn))
     images = found.select("image_id").distinct()
-    rest = pixels.join(images, "image_id", "left_anti")
-    bands = checkpointed(raster.row_bands(raster.row_density(rest)))
+    rest = drawn.join(images, "image_id", "left_anti")
+    bands = checkpointed(raster.row_bands(tiles.row_shares(rest)))
     bad = failed.select("image_id").distinct() if failed is not None else images.limit(0)
     read = words.join(bad, "image_id", "left_anti")
     bounded = layout.right_boundaries(found, sizes)
@@ -52,5 +52,5 @@ def parse(pixels: DataFrame, words: DataFrame, failed: DataFrame | None = None)
     entries = checkpointed(one.unionByName(bare).unionByName(two))
     key = F.struct("image_id", "ord").alias("key_")
     boxes = templates.swatch_boxes(entries.where("min_x is not null")).select(key, "image_id", "x0", "y0", "x1", "y1").unionByName(templates.row_boxes(entries.where("y_start is not null"), sizes).select(key, "image_id", "x0", "y0", "x1", "y1"))
-    cut = templates.tiles(pixels, boxes, "key_").select("key_", F.struct("width", "height", "gray").alias("template"))
+    cut = tiles.captured(drawn, boxes, "key_", side).select("key_", F.struct("width", "height", "gray").alias("template"))
     return entries.withColumn("key_", key).join(cut, "key_", "left").drop("key_")

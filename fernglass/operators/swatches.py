@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernglass.functions import colour
-from fernglass.operators.raster import regions
+from fernglass.operators import tiles
 from fernglass.operators.selection import order_statistics
 
 LEAST_SIDE, LEAST_PIXELS, MOST_SHARE, MOST_ASPECT, LEAST_FILL = 12, 80, 0.12, 4, 0.35
@@ -133,10 +133,8 @@ def size_fence(rows: DataFrame, key: str = "image_id", area: str = "area") -> Da
     return fenced.where(stays).drop(*names.values())
 
 
-def detect(pixels: DataFrame) -> DataFrame:
-    """The swatches of images: (image_id, idx, cr, cg, cb, size, min_x, max_x, min_y, max_y)."""
-    sizes = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    mask = pixels.where(colour.coloured(F.col("r"), F.col("g"), F.col("b"))).withColumn("color_id", F.lit(0))
-    found = ordered(shaped(regions(mask, 1), sizes))
+def detect(images: DataFrame) -> DataFrame:
+    """The swatches of images, given as tiles: (image_id, idx, cr, cg, cb, size, min_x, max_x, min_y, max_y)."""
+    found = ordered(shaped(tiles.mask_regions(images, tiles.coloured), tiles.image_sizes(images)))
     one = merge_near(found).withColumn("area", (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")))
     return size_fence(one).drop("area")

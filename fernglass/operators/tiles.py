@@ -87,6 +87,24 @@ def pixels(tiles: DataFrame) -> DataFrame:
     return _each(tiles, rows, "y long, x long, r int, g int, b int, a int")
 
 
+def of_pixels(pixels: DataFrame, side: int = SIDE) -> DataFrame:
+    """Pixel rows (image_id, y, x, r, g, b, a) as tiles; places without a row are clear."""
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    sized = pixels.join(raster.image_sizes(pixels), "image_id").withColumns({"ty": F.floor(F.col("y") / side).cast("int"), "tx": F.floor(F.col("x") / side).cast("int")})
+
+    def tile(found: pa.Table) -> pa.Table:
+        ty, tx, width, height = (found[c][0].as_py() for c in ("ty", "tx", "width", "height"))
+        h, w = min(side, height - ty * side), min(side, width - tx * side)
+        planes = np.zeros((4, h, w), np.uint8)
+        y, x = found["y"].to_numpy() - ty * side, found["x"].to_numpy() - tx * side
+        for k, c in enumerate("rgba"):
+            planes[k, y, x] = found[c].to_numpy()
+        return pa.Table.from_batches([batch_of(found["image_id"][0], [(ty, tx, ty * side, tx * side, h, w, width, height, planes.tobytes())])])
+
+    rows = sized.select("image_id", "ty", "tx", *(F.col(c).cast("int").alias(c) for c in ("y", "x", "r", "g", "b", "a", "width", "height")))
+    return rows.groupBy("image_id", "ty", "tx").applyInArrow(tile, f"image_id {kind}, {FIELDS}")
+
+
 # Measures
 
 
@@ -117,6 +135,15 @@ def measures(tiles: DataFrame, to: tuple[int, int, int]) -> DataFrame:
     return _each(tiles, rows, "y long, x long, distance double, brightness double, saturation double, spread long, luminance double, coloured boolean, blue_gray boolean, inked boolean, grayish boolean, extreme boolean")
 
 
+def coloured(planes: np.ndarray) -> np.ndarray:
+    """Which pixels are coloured, as `colour.coloured` tells."""
+    r, g, b = (planes[k].astype(np.int64) for k in range(3))
+    high, low, shade = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b), _shade(planes)
+    saturation = np.divide(high - low, high, out=np.zeros(high.shape), where=high > 0)
+    text = (b > g) & (g > r) & (r >= 100) & (r <= 125) & (g >= 130) & (g <= 150) & (b >= 165) & (b <= 185) & (saturation < 0.35)
+    return (shade > 30) & (shade < 240) & (high - low > 10) & ~text
+
+
 def mean_colours(tiles: DataFrame) -> DataFrame:
     """(image_id, n, cr, cg, cb): pixels and their rounded mean."""
 
@@ -278,10 +305,13 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 _REGION = "n long, sx long, sy long, sr long, sg long, sb long, min_x long, max_x long, min_y long, max_y long"
 
 
-def _tile_regions(planes: np.ndarray, y0: int, x0: int, grid: Grid) -> Iterator[Arrays]:
-    """Regions inside a tile: id (least y * 2^24 + x), sums, box, and their pixels on the tile's border: `heads` above and left, `feet` below, `sides` right."""
+Sought = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _tile_regions(planes: np.ndarray, y0: int, x0: int, ids: np.ndarray, matches: Sought) -> Iterator[Arrays]:
+    """Regions of matches (see `_matches`) inside a tile: id (least y * 2^24 + x), sums, box, and their pixels on the tile's border: `heads` above and left, `feet` below, `sides` right."""
     h, w = planes.shape[1:]
-    colours, places, pixel, starts = _matches(planes, grid)
+    colours, places, pixel, starts = matches
     order = np.argsort(colours, kind="stable")
     colours, places = colours[order], places[order]
     sizes = np.diff(starts)[places]
@@ -315,7 +345,7 @@ def _tile_regions(planes: np.ndarray, y0: int, x0: int, grid: Grid) -> Iterator[
         owner = region[run]
         edge = lambda mask: _lists(owner[mask], place[mask], k)
         yield {
-            "color_id": grid.ids[rc[firsts]], "id": (ry[firsts] + y0) * _ROW + left[firsts] + x0, "n": sums(length), "sx": total(x) + x0 * sums(length), "sy": total(y) + y0 * sums(length),
+            "color_id": ids[rc[firsts]], "id": (ry[firsts] + y0) * _ROW + left[firsts] + x0, "n": sums(length), "sx": total(x) + x0 * sums(length), "sy": total(y) + y0 * sums(length),
             **{f"s{name}": total(planes[i].ravel()[p].astype(np.int64)) for i, name in enumerate("rgb")}, "min_x": box[0] + x0, "max_x": box[1] + x0, "min_y": box[2] + y0, "max_y": box[3] + y0,
             "heads": edge((y == 0) | (x == 0)), "feet": edge(y == h - 1), "sides": edge(x == w - 1),
         }
@@ -323,7 +353,26 @@ def _tile_regions(planes: np.ndarray, y0: int, x0: int, grid: Grid) -> Iterator[
 
 def regions(tiles: DataFrame, palette: DataFrame, tolerance: int = raster.TOLERANCE, least: int = raster.LEAST_SIZE) -> DataFrame:
     """8-connected regions of all palette colours, as `raster.regions` gives them of a mask."""
-    found = checkpointed(_gridded(tiles, palette, tolerance, _tile_regions, f"id long, {_REGION}, heads array<long>, feet array<long>, sides array<long>"))
+    return _joined(_gridded(tiles, palette, tolerance, lambda planes, y0, x0, grid: _tile_regions(planes, y0, x0, grid.ids, _matches(planes, grid)), _IN_TILE), least)
+
+
+def mask_regions(tiles: DataFrame, kind: Callable[[np.ndarray], np.ndarray], least: int = 1) -> DataFrame:
+    """8-connected regions of the pixels of a kind (planes to a mask), with color_id 0."""
+    one = np.zeros(1, np.int64)
+
+    def inside(planes: np.ndarray, y0: int, x0: int) -> Iterator[Arrays]:
+        hit = np.flatnonzero(kind(planes))
+        return _tile_regions(planes, y0, x0, one, (one, one, hit, np.array([0, len(hit)]))) if len(hit) else iter(())
+
+    return _joined(_each(tiles, inside, f"color_id long, {_IN_TILE}"), least)
+
+
+_IN_TILE = f"id long, {_REGION}, heads array<long>, feet array<long>, sides array<long>"
+
+
+def _joined(found: DataFrame, least: int) -> DataFrame:
+    """Whole regions from those inside tiles."""
+    found = checkpointed(found)
     keyed = found.withColumn("key", F.struct("image_id", "color_id"))
     step = lambda dy, dx: F.lit(dy * _ROW + dx)
     down, right = [step(1, d) for d in (-1, 0, 1)], [step(d, 1) for d in (-1, 0, 1)]

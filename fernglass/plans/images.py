@@ -320,7 +320,7 @@ def legend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' names as words on the rasters, read row band by row band."""
     k = F.col("p_partkey")
     words = tables.table(spark, sf_dir, "part").select((k % 10).alias("image_id"), k.cast("int").alias("word_idx"), F.col("p_name").alias("text"), F.col("p_size").cast("double").alias("confidence"), (k * 7 % 64).cast("int").alias("x0"), (k % 60).cast("int").alias("y0"), (k * 7 % 64 + 9).cast("int").alias("x1"), (k % 60 + 4).cast("int").alias("y1"))
-    return legend.row_entries(tables.pixels(spark, sf_dir), row_bands(spark, sf_dir), words).where(F.char_length("name") >= 2)
+    return legend.row_entries(tables.tiles(spark, sf_dir), row_bands(spark, sf_dir), words).where(F.char_length("name") >= 2)
 
 
 LEGEND_ROWS = f"""
@@ -339,5 +339,94 @@ def area_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AREA_FENCE = "WITH p AS (SELECT p_partkey, p_brand AS image_id, (p_size::BIGINT * p_size * p_size)::BIGINT AS area FROM part), q AS (SELECT image_id, list_sort(list(area)) AS s, count(*) AS n FROM p GROUP BY 1) SELECT p.* FROM p JOIN q USING (image_id) WHERE n < 5 OR (area >= 0.05 * s[floor(n * 0.25)::INT + 1] AND area <= 20 * s[floor(n * 0.75)::INT + 1])"
 
-QUERIES = {f.__name__: f for f in (color_match_count, mean_color, pixel_measures, highlight_overlay, row_density, row_bands, band_colours, blobs, merged_blobs, scan_palette, found_partition, swatch_order, greedy_merge, swatch_boundaries, sampled_colour, ncc_pairs, ncc_topk, pattern_filter, centred_overlap, template_scan, swatch_shapes, legend_rows, area_fence)}
-ORACLES = {n.lower(): globals()[n] for n in ("COLOR_MATCH_COUNT", "MEAN_COLOR", "PIXEL_MEASURES", "HIGHLIGHT_OVERLAY", "ROW_DENSITY", "ROW_BANDS", "BAND_COLOURS", "BLOBS", "MERGED_BLOBS", "SCAN_PALETTE", "FOUND_PARTITION", "SWATCH_ORDER", "GREEDY_MERGE", "SWATCH_BOUNDARIES", "SAMPLED_COLOUR", "NCC_PAIRS", "NCC_TOPK", "PATTERN_FILTER", "CENTRED_OVERLAP", "TEMPLATE_SCAN", "SWATCH_SHAPES", "LEGEND_ROWS", "AREA_FENCE")}
+
+
+def _digests(spark: SparkSession, sf_dir: str, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Size and sum of the gray values of boxes' templates."""
+    key = F.concat_ws(",", *keys).alias("key_")
+    found = tiles.captured(tables.tiles(spark, sf_dir), boxes.select(key, "image_id", "x0", "y0", "x1", "y1"), "key_", tables.SIDE)
+    total = F.round(F.aggregate("gray", F.lit(0.0), lambda s, v: s + v), 3).alias("total")
+    return found.select(*(F.split("key_", ",")[i].cast("long").alias(k) for i, k in enumerate(keys)), "width", "height", total)
+
+
+def swatch_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates cut out of merged regions that are large enough."""
+    found = raster.merged(tiles.regions(tables.tiles(spark, sf_dir), tables.palette(spark), TOLERANCE, LEAST), FLOOR)
+    return _digests(spark, sf_dir, templates.swatch_boxes(found), ["image_id", "color_id", "blob_id"])
+
+
+_CUT = f"SELECT {{keys}}, (max(x1) - max(x0))::BIGINT AS width, (max(y1) - max(y0))::BIGINT AS height, round(sum({_LIGHT}), 3) AS total FROM boxes JOIN pixels USING (image_id) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY {{keys}}"
+SWATCH_TEMPLATES = f"WITH RECURSIVE {NEAR}, boxes AS (SELECT image_id, color_id, blob_id, min_x AS x0, max_x AS x1, min_y AS y0, max_y AS y1 FROM merged WHERE max_x - min_x >= 8 AND max_y - min_y >= 8) {_CUT.format(keys='image_id, color_id, blob_id')}"
+
+
+def row_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of row bands: squares in the middle of the left quarter."""
+    boxes = templates.row_boxes(row_bands(spark, sf_dir), tiles.image_sizes(tables.tiles(spark, sf_dir)))
+    return _digests(spark, sf_dir, boxes, ["image_id", "y_start", "y_end"])
+
+
+ROW_TEMPLATES = f"""
+WITH bands AS ({ROW_BANDS.strip()}), {PIXELS_SQL}, sz AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM pixels GROUP BY 1
+), q AS (SELECT *, least(32, y_end - y_start, floor(width * 0.25)::BIGINT) AS side, floor(floor(width * 0.25) / 2)::BIGINT AS cx, floor((y_start + y_end) / 2)::BIGINT AS cy FROM bands JOIN sz USING (image_id)
+), c AS (SELECT *, greatest(0, cx - side // 2) AS x0, greatest(0, cy - side // 2) AS y0 FROM q WHERE side >= 8
+), boxes AS (SELECT image_id, y_start, y_end, x0, y0, least(width, x0 + side) AS x1, least(height, y0 + side) AS y1 FROM c WHERE least(width, x0 + side) - x0 >= 8 AND least(height, y0 + side) - y0 >= 8
+) {_CUT.format(keys='image_id, y_start, y_end')}
+"""
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of a legend for each brand: a box for each of its parts, four in a row, on white; every fifth is cut in two by a white line."""
+    p = tables.table(spark, sf_dir, "part").withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("p_brand")))
+    key, wide = F.col("p_partkey"), F.when(F.col("p_partkey") % 5 == 0, 28).otherwise(12) + F.col("p_size") % 5
+    boxes = p.select(F.col("p_brand").alias("image_id"), (F.floor((F.col("n") - 1) / 4) * 30 + 30).cast("int").alias("height"), (F.col("k") % 4 * 60 + 8).cast("int").alias("x"), (F.floor(F.col("k") / 4) * 30 + 8).cast("int").alias("y"), wide.cast("int").alias("w"), (key % 7 + 9).cast("int").alias("h"),
+        (key % 5 == 0).alias("halved"), (F.col("p_size") * 5 % 256).cast("int").alias("r"), (key % 256).cast("int").alias("g"), (key * 7 % 256).cast("int").alias("b"))
+    boxes = boxes.withColumn("strip", F.explode(F.sequence(F.floor(F.col("y") / tables.SIDE), F.floor((F.col("y") + F.col("h")) / tables.SIDE))))
+
+    def paint(found):
+        import numpy as np
+        import pyarrow as pa
+
+        height, top = found["height"][0].as_py(), found["strip"][0].as_py() * tables.SIDE
+        planes = np.full((4, min(tables.SIDE, height - top), 248), 255, np.uint8)
+        for x, y, w, h, halved, *rgb in zip(*(found[c].to_pylist() for c in ("x", "y", "w", "h", "halved", "r", "g", "b")), strict=True):
+            rows = slice(max(0, y - top), max(0, y + h + 1 - top))
+            for k, v in enumerate(rgb):
+                planes[k, rows, x : x + w + 1] = v
+            if halved:
+                planes[:, rows, x + 13 : x + 16] = 255
+        return pa.Table.from_batches([tiles.batch_of(found["image_id"][0], list(tiles.cut(planes, tables.SIDE, top, height)))])
+
+    return boxes.groupBy("image_id", "strip").applyInArrow(paint, f"image_id string, {tiles.FIELDS}")
+
+
+def swatches_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swatches found in drawn legends, from pixels to the fence of sizes."""
+    return swatches.detect(drawn(spark, sf_dir))
+
+
+# From the parts alone, without pixels: the pieces that the drawing consists of, those that pass the rules, halves joined, and the fence.
+SWATCHES_DETECTED = """
+WITH p AS (
+  SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part
+), b AS (
+  SELECT p_brand AS image_id, p_partkey, ((n - 1) // 4) * 30 + 30 AS height, k % 4 * 60 + 8 AS x, k // 4 * 30 + 8 AS y, CASE WHEN p_partkey % 5 = 0 THEN 28 ELSE 12 END + p_size % 5 AS w, p_partkey % 7 + 9 AS h,
+    (p_size * 5 % 256)::BIGINT AS r, (p_partkey % 256)::BIGINT AS g, (p_partkey * 7 % 256)::BIGINT AS b FROM p
+), c AS (
+  SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo, (r + g + b) / 3.0::DOUBLE AS shade FROM b
+), m AS (
+  SELECT * FROM c WHERE shade > 30 AND shade < 240 AND hi - lo > 10 AND NOT (b > g AND g > r AND r BETWEEN 100 AND 125 AND g BETWEEN 130 AND 150 AND b BETWEEN 165 AND 185 AND (hi - lo)::DOUBLE / hi < 0.35) AND NOT (hi - lo < 15 AND hi > 50 AND hi < 220)
+), pieces AS (
+  SELECT *, x AS x0, CASE WHEN p_partkey % 5 = 0 THEN x + 12 ELSE x + w END AS x1 FROM m UNION ALL SELECT *, x + 16, x + w FROM m WHERE p_partkey % 5 = 0
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y // 30, x0, y) - 1 AS idx FROM pieces
+  WHERE x1 - x0 >= 12 AND h >= 12 AND NOT (x1 - x0 > least(248, height) * 0.12::DOUBLE AND h > least(248, height) * 0.12::DOUBLE) AND (x1 - x0 + 1) * (h + 1) >= 80
+), j AS (
+  SELECT image_id, min(idx) AS idx, sum((x1 - x0 + 1) * (h + 1)) AS size, max(r) AS cr, max(g) AS cg, max(b) AS cb, min(x0) AS min_x, max(x1) AS max_x, min(y) AS min_y, max(y + h) AS max_y FROM s GROUP BY image_id, p_partkey
+), a AS (SELECT *, (max_x - min_x) * (max_y - min_y) AS area FROM j
+), q AS (SELECT image_id, list_sort(list(area)) AS s, count(*) AS n FROM a GROUP BY 1)
+SELECT image_id, idx::BIGINT AS idx, size::BIGINT AS size, cr, cg, cb, min_x::BIGINT AS min_x, max_x::BIGINT AS max_x, min_y::BIGINT AS min_y, max_y::BIGINT AS max_y
+FROM a JOIN q USING (image_id) WHERE n < 5 OR (area >= 0.05 * s[floor(n * 0.25)::INT + 1] AND area <= 20 * s[floor(n * 0.75)::INT + 1])
+"""
+
+QUERIES = {f.__name__: f for f in (color_match_count, mean_color, pixel_measures, highlight_overlay, row_density, row_bands, band_colours, blobs, merged_blobs, scan_palette, found_partition, swatch_order, greedy_merge, swatch_boundaries, sampled_colour, ncc_pairs, ncc_topk, pattern_filter, centred_overlap, template_scan, swatch_shapes, legend_rows, area_fence, swatch_templates, row_templates, swatches_detected)}
+ORACLES = {n.lower(): globals()[n] for n in ("COLOR_MATCH_COUNT", "MEAN_COLOR", "PIXEL_MEASURES", "HIGHLIGHT_OVERLAY", "ROW_DENSITY", "ROW_BANDS", "BAND_COLOURS", "BLOBS", "MERGED_BLOBS", "SCAN_PALETTE", "FOUND_PARTITION", "SWATCH_ORDER", "GREEDY_MERGE", "SWATCH_BOUNDARIES", "SAMPLED_COLOUR", "NCC_PAIRS", "NCC_TOPK", "PATTERN_FILTER", "CENTRED_OVERLAP", "TEMPLATE_SCAN", "SWATCH_SHAPES", "LEGEND_ROWS", "AREA_FENCE", "SWATCH_TEMPLATES", "ROW_TEMPLATES", "SWATCHES_DETECTED")}

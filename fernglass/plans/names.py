@@ -135,8 +135,10 @@ SIMILAR_PAIRS = f"WITH {_NAMES}, l AS (SELECT DISTINCT lower(name) AS name FROM
 
 
 def plant_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the name field offers: the dictionary's common names."""
-    return dims.plants(spark).select(F.col("ord").cast("long").alias("ord"), "common")
+    """What the name field offers, the dictionary's common names, and how many parts' names each stands for."""
+    found = resolve.lookup(names(spark, sf_dir), dims.plants(spark), dims.genera(spark)).where("key is not null").select("name", "key")
+    parts = names(spark, sf_dir).join(found, "name").groupBy("key").agg(F.count("*").alias("n"))
+    return dims.plants(spark).join(parts, "key", "left").select(F.col("ord").cast("long").alias("ord"), "common", F.coalesce("n", F.lit(0)).alias("parts"))
 
 
 def plant_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +148,7 @@ def plant_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(p, "key").select("name", F.col("pos").cast("long").alias("pos"), "photo")
 
 
-PLANT_NAMES = f"SELECT ord::BIGINT AS ord, common FROM {_PLANTS}"
+PLANT_NAMES = f"SELECT ord::BIGINT AS ord, common, coalesce(n, 0)::BIGINT AS parts FROM {_PLANTS} LEFT JOIN (SELECT key, count(*) AS n FROM ({LOOKUP_CASCADE}) WHERE key IS NOT NULL GROUP BY 1) ON key = k"
 _PHOTOS = _values([(r[1], i, u) for r in dims.plant_rows() for i, u in enumerate(r[-1])], "key, pos, photo")
 PLANT_PHOTOS = f"SELECT DISTINCT name, pos::BIGINT AS pos, photo FROM ({LOOKUP_CASCADE}) JOIN {_PHOTOS.replace(' AS t(', ' AS t2(')} USING (key)"
 
@@ -223,6 +225,41 @@ WITH {_NAMED}, v AS (SELECT * FROM n WHERE {rules.sql_valid('name')}
 ), f AS (SELECT image_id, unnest({_FOLD.format(all='items')}) AS e FROM l)
 SELECT f.image_id, e.o AS ord, e.n AS name, e.c AS confidence, (p_size * 5 % 256)::BIGINT AS cr FROM f JOIN o ON o.p_brand = f.image_id AND o.ord = e.o
 """
+
+
+def legend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each legend's swatches, and how many had no text, were rejected, are valid and repeat others."""
+    s, sizes, words = _legend(spark, sf_dir)
+    bounded = layout.right_boundaries(s, sizes)
+    found = layout.named(layout.assign_words(bounded, words), words)
+    rows = layout.parse_counts(bounded, found, layout.without_near_names(found.where("valid")))
+    return rows.select("image_id", *(F.col(c).cast("long").alias(c) for c in rows.columns[1:]))
+
+
+LEGEND_COUNTS = f"""
+WITH e AS ({LEGEND_ENTRIES.strip()}), k AS (SELECT image_id, count(*) AS kept FROM e GROUP BY 1), x AS ({LEGEND_NAMES}), c AS (SELECT image_id, count(*) AS named, count(*) FILTER (NOT valid) AS rejected, count(*) FILTER (valid) AS valid FROM x GROUP BY 1
+), s AS (SELECT p_brand AS image_id, count(*) AS swatches FROM part GROUP BY 1)
+SELECT image_id, swatches::BIGINT AS swatches, (swatches - coalesce(named, 0))::BIGINT AS no_text, coalesce(rejected, 0)::BIGINT AS rejected, coalesce(valid, 0)::BIGINT AS valid, (coalesce(valid, 0) - coalesce(kept, 0))::BIGINT AS deduped FROM s LEFT JOIN c USING (image_id) LEFT JOIN k USING (image_id)
+"""
+
+
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the legends' words, whose tops are uneven."""
+    words = _legend(spark, sf_dir)[2]
+    shift = F.col("word_idx") * 7 % 9
+    rows = layout.lines_of_words(words.withColumns({"y0": F.col("y0") + shift, "y1": F.col("y1") + shift}), 12)
+    return rows.select("image_id", F.col("word_idx").cast("long").alias("word_idx"), F.col("line").cast("long").alias("line"))
+
+
+WORD_LINES = """
+WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part
+), w AS (SELECT p_brand AS image_id, k, k * 10 + generate_subscripts(string_split(p_name, ' '), 1) - 1 AS word_idx FROM p
+), l AS (SELECT image_id, list(word_idx ORDER BY word_idx) AS w, list((k // 4) * 40 + 20 + word_idx * 7 % 9 ORDER BY word_idx) AS m FROM w GROUP BY 1
+), st AS (
+  SELECT image_id, w, m, 1 AS i, 0 AS line, m[1] AS first FROM l
+  UNION ALL SELECT image_id, w, m, i + 1, CASE WHEN abs(m[i + 1] - first) >= 12 * 0.6::DOUBLE THEN line + 1 ELSE line END, CASE WHEN abs(m[i + 1] - first) >= 12 * 0.6::DOUBLE THEN m[i + 1] ELSE first END FROM st WHERE i < len(m)
+) SELECT image_id, w[i]::BIGINT AS word_idx, line::BIGINT AS line FROM st
+"""
 NEAR_DUP_NAMES = f"""
 WITH {LINES_SQL}, s AS (SELECT doc_id, pos, line AS n FROM lines
 ), l AS (SELECT doc_id, list({{'o': pos::BIGINT, 'p': regexp_replace(lower(n), '[^a-z]', '', 'g'), 'n': n}} ORDER BY pos) AS items FROM s GROUP BY 1
@@ -230,5 +267,5 @@ WITH {LINES_SQL}, s AS (SELECT doc_id, pos, line AS n FROM lines
 SELECT doc_id, e.o AS pos, e.n AS name FROM f
 """
 
-QUERIES = {f.__name__: f for f in (clean_lines, valid_names, core_names, import_lines, import_counts, near_dup_names, lookup_cascade, lookup_enriched, genus_lookup, similar_pairs, plant_names, plant_photos, gap_cut, word_assignment, legend_names, legend_entries)}
-ORACLES = {n.lower(): globals()[n] for n in ("CLEAN_LINES", "VALID_NAMES", "CORE_NAMES", "IMPORT_LINES", "IMPORT_COUNTS", "LOOKUP_CASCADE", "LOOKUP_ENRICHED", "GENUS_LOOKUP", "SIMILAR_PAIRS", "PLANT_NAMES", "PLANT_PHOTOS", "GAP_CUT", "WORD_ASSIGNMENT", "LEGEND_NAMES", "LEGEND_ENTRIES", "NEAR_DUP_NAMES")}
+QUERIES = {f.__name__: f for f in (clean_lines, valid_names, core_names, import_lines, import_counts, near_dup_names, lookup_cascade, lookup_enriched, genus_lookup, similar_pairs, plant_names, plant_photos, gap_cut, word_assignment, legend_names, legend_entries, legend_counts, word_lines)}
+ORACLES = {n.lower(): globals()[n] for n in ("CLEAN_LINES", "VALID_NAMES", "CORE_NAMES", "IMPORT_LINES", "IMPORT_COUNTS", "LOOKUP_CASCADE", "LOOKUP_ENRICHED", "GENUS_LOOKUP", "SIMILAR_PAIRS", "PLANT_NAMES", "PLANT_PHOTOS", "GAP_CUT", "WORD_ASSIGNMENT", "LEGEND_NAMES", "LEGEND_ENTRIES", "NEAR_DUP_NAMES", "LEGEND_COUNTS", "WORD_LINES")}

@@ -24,7 +24,7 @@ SMALL = 64 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A small scan's rows dealt to all cores, as a file with one row group is read by one task; a larger scan as it is."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size.longValue() < SMALL else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size) < SMALL else df
 
 
 def palette(spark: SparkSession) -> DataFrame:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from fernglass.operators import legend
+from fernglass.operators import legend, tiles
 
 WORD = "image_id string, word_idx int, text string, confidence double, x0 int, y0 int, x1 int, y1 int"
 
@@ -20,7 +20,8 @@ def test_legends_are_read_by_swatches_or_by_rows(spark):
     px = _image(spark, "a", 200, 200, two).unionByName(_image(spark, "bad", 200, 200, two)).unionByName(_image(spark, "rows", 200, 100, [(5, 10, 45, 30, (128, 128, 128)), (5, 50, 45, 70, (90, 90, 90))]))
     px = px.unionByName(_image(spark, "blank", 30, 30, []))
     words = [("a", 0, "Azalea", 91.0, 45, 25, 80, 35), ("a", 1, "Boxwood", 80.0, 45, 65, 80, 75), ("rows", 0, "Camellia", 70.0, 60, 15, 90, 25), ("rows", 1, "x", 70.0, 60, 55, 90, 65), ("bad", 0, "Azalea", 90.0, 45, 25, 80, 35)]
-    got = legend.parse(px, spark.createDataFrame(words, WORD), spark.createDataFrame([("bad",)], "image_id string")).orderBy("image_id", "ord").collect()
+    drawn = tiles.of_pixels(px, 64)
+    got = legend.parse(drawn, spark.createDataFrame(words, WORD), spark.createDataFrame([("bad",)], "image_id string"), 64).orderBy("image_id", "ord").collect()
     shown = [(r.image_id, r.name, r.confidence, (r.cr, r.cg, r.cb), r.min_x, r.y_start, r.y_end, (r.template.width, r.template.height, len(r.template.gray))) for r in got]
     red, green = (200, 30, 30), (30, 160, 40)
     assert shown == [
@@ -28,4 +29,4 @@ def test_legends_are_read_by_swatches_or_by_rows(spark):
         ("bad", "", 0, red, 20, None, None, (19, 19, 361)), ("bad", "", 0, green, 20, None, None, (19, 19, 361)),
         ("rows", "Camellia", 70, (128, 128, 128), None, 10, 30, (20, 20, 400)),
     ]
-    assert legend.parse(px.limit(0), spark.createDataFrame(words, WORD)).count() == 0
+    assert legend.parse(drawn.limit(0), spark.createDataFrame(words, WORD)).count() == 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernglass.functions import colour
-from fernglass.operators import raster, swatches, templates
+from fernglass.operators import raster, swatches, templates, tiles
 from fernglass.operators.components import numbered, pixel_components
 
 PIXEL = "image_id string, y long, x long, r int, g int, b int, a int"
@@ -107,7 +107,7 @@ def test_swatches_end_to_end(spark):
                 grid[y][x] = c
     for x in range(60, 160):  # a line is no swatch
         grid[20][x] = "G"
-    got = sorted((r.min_y, r.cr, r.cg, r["size"], r.idx) for r in swatches.detect(image(spark, "i", grid, {"R": red, "G": green, ".": paper})).collect())
+    got = sorted((r.min_y, r.cr, r.cg, r["size"], r.idx) for r in swatches.detect(tiles.of_pixels(image(spark, "i", grid, {"R": red, "G": green, ".": paper}), 32)).collect())
     assert got == [(10, 200, 30, 360, 0), (60, 30, 160, 360, 1), (110, 200, 30, 360, 2)]
 
 
