@@ -34,6 +34,8 @@ from fernglass.llm._shared import claim, materialize, scratch, taken
 from fernglass.llm.packing import BATCH_BYTES, BATCH_ROWS, ids_of
 
 CAPACITY, END, PATTERNS, SWEEPS = 2048, 0, 100_000, 12
+#: Characters whose parts a task looks up at a time; more cost less each, as parts repeat.
+SLICE = 6_000_000
 _PIECE = "doc_id long, piece int, start long, length int, ids binary, part int, nth long"
 
 
@@ -153,7 +155,7 @@ def _pieces(df: DataFrame, tokenizer: str, text: str, doc_id: str, capacity: int
 
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for start, stop, texts in taken(batch.column(1)):
+            for start, stop, texts in taken(batch.column(1), SLICE):
                 for doc, raw in zip(docs[start:stop], ids.of([t or "" for t in texts]), strict=True):
                     raw += last
                     for i, at in enumerate(range(0, len(raw), 4 * capacity)):
