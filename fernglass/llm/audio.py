@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.llm._shared import map_arrow, taken
+from fernglass.sources.tables import spread
 
 BLOCK = 192
 RATE = 8000
@@ -170,7 +171,7 @@ def _levels(pcm: np.ndarray) -> str:
     return f"{int(np.abs(x).max())},{int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))},{int(x @ x) // len(x)}"
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fault string"
 
 
 def text_media(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -189,31 +190,48 @@ def described(df: DataFrame, media: str = "media") -> DataFrame:
     """What stored files (doc_id, n_bytes, media) hold and play as, read from their bytes.
 
     `feature` is `mu:peak,crossings,power;al:...;ad:...;pcm:crc32`: of the payload as mu-law, as A-law and as ADPCM
-    blocks of 192 bytes, and the CRC-32 of the mu-law samples resampled to 16 kHz."""
+    blocks of 192 bytes, and the CRC-32 of the mu-law samples resampled to 16 kHz. A null or broken file, or one whose payload is no whole blocks, has a `fault` and null features;
+    else `fault` is null. Equal files have equal values."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for start, stop, files in taken(batch.column(2)):
-            loaded = [load(f)[3] for f in files]
-            decoded, at, features = adpcm(b"".join(loaded)), 0, []
+            loaded, faults = zip(*map(_payload, files), strict=True)
+            held = b"".join(p for p in loaded if p)
+            decoded, at, features = adpcm(held) if held else None, 0, []
             for payload in loaded:
+                if payload is None:
+                    features.append(None)
+                    continue
                 n = len(payload) // BLOCK
                 mu = expand(payload)
                 features.append(f"mu:{_levels(mu)};al:{_levels(expand(payload, 'alaw'))};ad:{_levels(decoded[at : at + n].ravel())};pcm:{zlib.crc32(resample(mu).tobytes())}")
                 at += n
-            sha = lambda some: pa.array([hashlib.sha256(x).hexdigest() for x in some], pa.string())
-            size = lambda some: pa.array([len(x) for x in some], pa.int64())
+            whole = lambda some, f, kind: pa.array([None if x is None else f(x) for x in some], kind)
+            sha = lambda some: whole(some, lambda x: hashlib.sha256(x).hexdigest(), pa.string())
+            size = lambda some: whole(some, len, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[start:stop], batch.column(1)[start:stop], size(loaded), sha(loaded), pa.array([zlib.crc32(p[-16:]) for p in loaded], pa.int64()), size(files), sha(files), pa.array(features, pa.string())],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [batch.column(0)[start:stop], batch.column(1)[start:stop], size(loaded), sha(loaded), whole(loaded, lambda p: zlib.crc32(p[-16:]), pa.int64()), size(files), sha(files), pa.array(features, pa.string()), pa.array(faults, pa.string())],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "fault"],
             )
 
     return map_arrow(df.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), F.col(media).cast("binary")), run, SCHEMA)
 
 
+def _payload(media: bytes | None) -> tuple[bytes | None, str | None]:
+    """A file's payload, or why there is none."""
+    if media is None:
+        return None, "null"
+    try:
+        payload = load(media)[3]
+    except (ValueError, IndexError, struct.error) as e:
+        return None, str(e) or "broken"
+    return (payload, None) if payload and len(payload) % BLOCK == 0 else (None, f"{len(payload)} bytes are no whole blocks")
+
+
 def text_audio(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Texts stored as media and read back: a media column in between."""
     return described(text_media(df, text, doc_id))
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_audio(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return text_audio(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

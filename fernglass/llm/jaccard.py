@@ -43,6 +43,8 @@ LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Cost of a verification in units of a shared place; width of the sketches; estimated count from which a shingle's list is
 #: dealt to `SALTS` tasks; members of a hub that are verified together.
 VERIFY, BITS, WIDE, SALTS, TOGETHER = 30.0, 20, 100_000, 64, 64
+#: Members of a group that share a place from which families are looked for, and how often families of families are.
+FAMILY, DEPTH = 24, 4
 BLOCKS = 16
 _words = WordHashes(200_000)
 
@@ -341,7 +343,21 @@ def _tops(diffs: DataFrame) -> DataFrame:
     return tops.select("hub", F.col("t.slack").alias("top"), (-F.col("t.x")).alias("best"), "low")
 
 
-def _within(diffs: DataFrame, percent: int) -> list[DataFrame]:
+def _families(rows: DataFrame, centred: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(hub, x, family) of members that share places, each with the first member of the list that it shares most with, and so on; and their differences from that one."""
+    lists = rows.groupBy("hub", "tok").agg(F.min("x").alias("s"), F.count("*").alias("c")).where("c > 1").drop("c")
+    votes = rows.select("hub", "tok", "x").join(lists, ["hub", "tok"]).where("x != s").groupBy("hub", "x", "s").agg(F.count("*").alias("shared"))
+    best = votes.groupBy("hub", "x").agg(F.max(F.struct("shared", (-F.col("s")).alias("s"))).alias("b"))
+    found = components(best.select(F.col("x").alias("a"), (-F.col("b.s")).alias("b")))
+    members = materialize(centred.join(found, centred["x"] == found["id"]).select("hub", "x", "n", "diff", F.col("component").alias("family")), "families")
+    sizes = members.groupBy("family").agg(F.count("*").cast("long").alias("size"))
+    heads = members.where("x = family").select("family", F.col("diff").alias("head"))
+    apart = F.concat(F.array_except("diff", "head"), F.array_except("head", "diff"))
+    diffs = members.join(heads, "family").join(sizes, "family").select(F.col("family").alias("hub"), "size", "x", "n", apart.alias("diff"))
+    return members.select("hub", "x", "family"), diffs.withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * F.size("diff"))
+
+
+def _within(diffs: DataFrame, percent: int, depth: int = 0) -> list[DataFrame]:
     """Edges (a, b) that join what is linked inside the groups of `_differences`, without pairs of all members.
 
     The sets of x and y differ by |Dx| + |Dy| - 2c where c counts what their differences from any third set share. They are linked when
@@ -350,7 +366,11 @@ def _within(diffs: DataFrame, percent: int) -> list[DataFrame]:
     2. any other link has a member u that the slacks don't link to that one, and needs a c of its own. Differences are ordered, rare ones first, and
        prefixes cut by the least c that a partner of such a u, or u itself, can do with; a pair is made at a shared shingle only if both have
        enough places from there on. Exact counts then decide.
-    Before 2, differences are taken from the set of what most of the group's members hold: what the hub alone has or lacks would else be shared by all."""
+    Before 2, differences are taken from the set of what most of the group's members hold: what the hub alone has or lacks would else be shared by all.
+
+    What several families below half of a group share among themselves is still in their differences. So where more than `FAMILY` members share a place, members go to
+    the one that they share most places with, links inside such a family are found in the same way from the differences to that one, and 2 makes
+    pairs of different families only."""
     q = 2 * (100 + percent)
     sure = lambda d, t: d.join(t, "hub").where("slack + top >= 0 and x != best").select(F.col("x").alias("a"), F.col("best").alias("b"))
     tops = materialize(_tops(diffs), "tops")
@@ -372,10 +392,15 @@ def _within(diffs: DataFrame, percent: int) -> list[DataFrame]:
     least = lambda other: F.greatest(F.lit(1), F.ceil(-(F.col("slack") + other) / q))
     rows = rows.withColumns({"room": F.row_number().over(back), "own": least(F.col("top")), "other": least(F.least(F.col("top"), -F.col("top") - 1))})
     rows = materialize(rows.where((F.col("room") >= F.col("other")) | (F.col("u") & (F.col("room") >= F.col("own")))).select("hub", "tok", "x", "slack", "u", "room", "own", "other"), "places")
-    us = rows.where("u and room >= own").select("hub", "tok", *(F.col(c).alias(f"{c}_u") for c in ("x", "slack", "room")))
+    rows = rows.withColumn("family", F.col("x"))
+    if depth < DEPTH and not rows.groupBy("hub", "tok").agg(F.count("*").alias("c"), F.max("u").alias("u")).where((F.col("c") > FAMILY) & F.col("u")).isEmpty():
+        families, inner = _families(rows, centred, percent)
+        edges += _within(materialize(inner, "inner"), percent, depth + 1)
+        rows = rows.drop("family").join(families, ["hub", "x"], "left").withColumn("family", F.coalesce("family", "x"))
+    us = rows.where("u and room >= own").select("hub", "tok", *(F.col(c).alias(f"{c}_u") for c in ("x", "slack", "room", "family")))
     need = F.greatest(F.lit(1), F.ceil(-(F.col("slack_u") + F.col("slack")) / q))
-    both = us.alias("l").join(rows.where("room >= other").alias("r"), (F.col("l.hub") == F.col("r.hub")) & (F.col("l.tok") == F.col("r.tok")) & (F.col("x") != F.col("x_u")) & (~F.col("u") | (F.col("x_u") < F.col("x"))) & (need <= F.least("room", "room_u")))
-    pairs = both.select(F.col("l.hub").alias("hub"), "x_u", "x").distinct()
+    both = us.alias("l").join(rows.where("room >= other").alias("r"), (F.col("l.hub") == F.col("r.hub")) & (F.col("l.tok") == F.col("r.tok")) & (F.col("family") != F.col("family_u")) & (~F.col("u") | (F.col("x_u") < F.col("x"))) & (need <= F.least("room", "room_u")))
+    pairs = materialize(both.select(F.col("l.hub").alias("hub"), "x_u", "x").distinct(), "near")
     side = lambda x, d, s: centred.select("hub", F.col("x").alias(x), F.col("diff").alias(d), F.col("slack").alias(s))
     pairs = pairs.join(side("x_u", "diff_u", "slack_u"), ["hub", "x_u"]).join(side("x", "diff", "slack"), ["hub", "x"])
     shared = F.size(F.array_intersect("diff_u", "diff"))

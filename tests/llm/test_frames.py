@@ -366,7 +366,7 @@ def test_near_copies_below_the_limit_make_few_pairs(spark, monkeypatch):
 
     def counted(df, label):
         out = tables(df, label)
-        if label in ("places", "pairs"):
+        if label in ("places", "pairs", "near"):
             made.append((label, out.count()))
         return out
 
@@ -378,5 +378,49 @@ def test_near_copies_below_the_limit_make_few_pairs(spark, monkeypatch):
     assert sum(n for _, n in made) < 20_000  # all pairs would be 124,750
 
 
+def family_rows(m):
+    """Four families of m near copies: 110 rare words that all share, 180 of the family that 5 m other documents hold too, and a few of their own."""
+    rng, rows = random.Random(m), []
+    rare = [f"rare{i}" for i in range(110)]
+    for f in range(4):
+        own = [f"family{f}word{i}" for i in range(180)]
+        for k in range(m):
+            rows.append((len(rows), " ".join([*rare, *own, *(f"x{len(rows)}y{i}" for i in range(rng.choice((2, 6, 12))))])))
+    for f in range(4):
+        own = [f"family{f}word{i}" for i in range(180)]
+        for k in range(5 * m):
+            rows.append((len(rows), " ".join([*own, *(f"z{len(rows)}y{i}" for i in range(200))])))
+    return rows
+
+
+def test_families_in_one_group_make_pairs_in_proportion(spark, monkeypatch):
+    """Rows of pairs inside groups grow with the families' size, not with its square, and links are those of all pairs."""
+    tables, made = jaccard.materialize, []
+
+    def counted(df, label):
+        out = tables(df, label)
+        if label == "near":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    sums = []
+    for m in (30, 60, 120):
+        made.clear()
+        got = {r.doc_id: r.component_id for r in jaccard.join(table(spark, family_rows(m)), 1, 80).collect()}
+        assert got == {i: i // m * m if i < 4 * m else i for i in range(24 * m)}
+        sums.append(sum(made))
+    assert sums[2] <= 40 * 120 and sums[2] <= 6 * max(sums[0], 30), sums
+
+
+def test_broken_media_have_a_fault(spark):
+    whole = audio.text_media(table(spark, [(1, "good"), (2, None)]))
+    junk = spark.createDataFrame([(3, 4, None), (4, 4, bytearray(b"junk")), (5, 4, bytearray(b"RIFF    WAVEfmt ")), (6, 4, bytearray(b""))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in audio.described(whole.unionByName(junk)).collect()}
+    assert got[1].fault is None and got[1].payload_bytes == 192 and got[2].payload_bytes == 192 and got[1].feature
+    assert all(got[i].fault and got[i].feature is None and got[i].payload_sha256 is None for i in (3, 4, 5, 6))
+    assert audio.described(junk.limit(0)).count() == 0 and {r.doc_id for r in audio.described(junk).collect()} == {3, 4, 5, 6}
+
+
 def test_queries_are_registered():
-    assert [re.match(r"op(\d+)_", n)[1] for n in registry.QUERIES] == [str(i) for i in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in registry.QUERIES] == [str(i) for i in range(1, 14)]
