@@ -374,12 +374,14 @@ WITH bands AS ({ROW_BANDS.strip()}), {PIXELS_SQL}, sz AS (SELECT image_id, max(x
 """
 
 
-def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of a legend for each brand: a box for each of its parts, four in a row, on white; every fifth is cut in two by a white line."""
+def drawn(spark: SparkSession, sf_dir: str, gray: bool = False) -> DataFrame:
+    """Tiles of a legend for each brand: a box for each of its parts, four in a row, on white; every fifth is cut in two by a white line. With `gray`, all boxes of
+    brands whose number is divisible by 7 are gray, so that they are no swatches."""
+    plain = (F.substring("p_brand", 7, 9).cast("int") % 7 == 0) if gray else F.lit(False)
     p = tables.table(spark, sf_dir, "part").withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("p_brand")))
     key, wide = F.col("p_partkey"), F.when(F.col("p_partkey") % 5 == 0, 28).otherwise(12) + F.col("p_size") % 5
     boxes = p.select(F.col("p_brand").alias("image_id"), (F.floor((F.col("n") - 1) / 4) * 30 + 30).cast("int").alias("height"), (F.col("k") % 4 * 60 + 8).cast("int").alias("x"), (F.floor(F.col("k") / 4) * 30 + 8).cast("int").alias("y"), wide.cast("int").alias("w"), (key % 7 + 9).cast("int").alias("h"),
-        (key % 5 == 0).alias("halved"), (F.col("p_size") * 5 % 256).cast("int").alias("r"), (key % 256).cast("int").alias("g"), (key * 7 % 256).cast("int").alias("b"))
+        (key % 5 == 0).alias("halved"), *(F.when(plain, 128).otherwise(v % 256).cast("int").alias(c) for c, v in (("r", F.col("p_size") * 5), ("g", key), ("b", key * 7))))
     boxes = boxes.withColumn("strip", F.explode(F.sequence(F.floor(F.col("y") / tables.SIDE), F.floor((F.col("y") + F.col("h")) / tables.SIDE))))
 
     def paint(found):

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.functions import text as rules
-from fernglass.operators import layout, resolve, state
+from fernglass.operators import layout, legend, resolve, state
+from fernglass.plans import images as drawings
 from fernglass.sources import dims, tables
 from fernglass.sources.tables import LINES_SQL
 
@@ -243,6 +244,52 @@ SELECT image_id, swatches::BIGINT AS swatches, (swatches - coalesce(named, 0))::
 """
 
 
+def legend_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole parses of drawn legends, from pixels and words to entries with templates: by swatches, by rows where all boxes are gray (brands divisible by 7), and
+    without names where recognition failed (brands divisible by 5)."""
+    from pyspark.sql import Window
+
+    p = tables.table(spark, sf_dir, "part").withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    right, y = F.col("k") % 4 * 60 + 8 + F.when(F.col("p_partkey") % 5 == 0, 28).otherwise(12) + F.col("p_size") % 5, F.floor(F.col("k") / 4) * 30 + 8
+    w = p.select("p_brand", "k", right.alias("right"), y.alias("y"), F.posexplode(F.split(F.initcap("p_name"), " ")).alias("i", "text")).where("i < 2")
+    left = F.col("right") + 3 + F.col("i") * 9
+    words = w.select(F.col("p_brand").alias("image_id"), (F.col("k") * 10 + F.col("i")).cast("int").alias("word_idx"), "text", (F.lit(50.0) + F.col("k") % 50).alias("confidence"), *(c.cast("int").alias(n) for c, n in ((left, "x0"), (F.col("y") + 2, "y0"), (left + 8, "x1"), (F.col("y") + 10, "y1"))))
+    failed = p.where(F.substring("p_brand", 7, 9).cast("int") % 5 == 0).select(F.col("p_brand").alias("image_id")).distinct()
+    found = legend.parse(drawings.drawn(spark, sf_dir, True), words, failed, tables.SIDE)
+    whole = ("ord", "confidence", "cr", "cg", "cb", "min_x", "max_x", "min_y", "max_y", "y_start", "y_end")
+    return found.select("image_id", "name", *(F.col(c).cast("long").alias(c) for c in whole), F.col("template.width").cast("long").alias("width"), F.col("template.height").cast("long").alias("height"))
+
+
+# From the parts alone: swatches as they are detected, their words, and bands of gray boxes.
+LEGEND_PARSED = f"""
+WITH d AS ({drawings.SWATCHES_DETECTED.strip()}), p AS (
+  SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, p_brand[7:]::INT AS number, p_partkey % 7 + 9 AS h FROM part
+), o AS (
+  SELECT d.*, k, p_name, number, row_number() OVER (PARTITION BY image_id ORDER BY floor(min_y / 25), min_x, idx) - 1 AS ord FROM d JOIN p ON image_id = p_brand AND min_x = k % 4 * 60 + 8 AND min_y = k // 4 * 30 + 8 WHERE number % 7 <> 0
+), w AS (SELECT p_brand, k, number, i, upper(t[1]) || t[2:] AS t FROM (SELECT p_brand, k, number, unnest(string_split(p_name, ' ')[1:2]) AS t, generate_subscripts(string_split(p_name, ' ')[1:2], 1) AS i FROM p)
+), r AS (SELECT o.image_id, o.ord, o.k, string_agg(t, ' ' ORDER BY i) AS raw FROM o JOIN w ON w.p_brand = o.image_id AND w.k = o.k WHERE o.number % 5 <> 0 GROUP BY ALL
+), n AS (SELECT image_id, ord, k, {rules.sql_clean('raw')} AS name FROM r
+), v AS (SELECT * FROM n WHERE {rules.sql_valid('name')}
+), l AS (SELECT image_id, list({{'o': ord, 'p': regexp_replace(lower(name), '[^a-z]', '', 'g'), 'n': name, 'c': 50 + k % 50}} ORDER BY ord) AS items FROM v GROUP BY 1
+), f AS (SELECT image_id, unnest({_FOLD.format(all='items')}) AS e FROM l
+), named AS (SELECT image_id, e.o AS ord, e.n AS name, e.c AS confidence FROM f UNION ALL SELECT image_id, ord, '', 0 FROM o WHERE number % 5 = 0
+), one AS (
+  SELECT image_id, name, ord, confidence, cr, cg, cb, min_x, max_x, min_y, max_y, NULL::BIGINT AS y_start, NULL::BIGINT AS y_end, max_x - min_x AS width, max_y - min_y AS height FROM named JOIN o USING (image_id, ord)
+), bands AS (SELECT image_id, number, line, line * 30 + 8 AS y_start, line * 30 + 9 + h AS y_end FROM (SELECT p_brand AS image_id, number, k // 4 AS line, max(h) AS h FROM p WHERE number % 7 = 0 GROUP BY ALL)
+), read AS (
+  SELECT b.image_id, y_start, y_end, b.number, {rules.sql_clean("trim(coalesce(raw, ''))")} AS name, confidence
+  FROM (
+    SELECT b.image_id, y_start, y_end, b.number, string_agg(t, ' ' ORDER BY w.k, i) AS raw, coalesce(floor(avg(50 + w.k % 50) + 0.5), 0) AS confidence
+    FROM bands b LEFT JOIN w ON w.p_brand = b.image_id AND w.k // 4 = line AND w.k % 4 > 0 AND b.number % 5 <> 0 GROUP BY b.image_id, y_start, y_end, b.number
+  ) b
+), two AS (
+  SELECT image_id, name, y_start AS ord, confidence, 128 AS cr, 128 AS cg, 128 AS cb, NULL::BIGINT AS min_x, NULL::BIGINT AS max_x, NULL::BIGINT AS min_y, NULL::BIGINT AS max_y, y_start, y_end, y_end - y_start AS width, y_end - y_start AS height
+  FROM read WHERE number % 5 = 0 OR length(name) >= 2
+)
+SELECT image_id, name, {', '.join(f'{c}::BIGINT AS {c}' for c in ('ord', 'confidence', 'cr', 'cg', 'cb', 'min_x', 'max_x', 'min_y', 'max_y', 'y_start', 'y_end', 'width', 'height'))} FROM (SELECT * FROM one UNION ALL SELECT * FROM two)
+"""
+
+
 def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the legends' words, whose tops are uneven."""
     words = _legend(spark, sf_dir)[2]
@@ -267,5 +314,5 @@ WITH {LINES_SQL}, s AS (SELECT doc_id, pos, line AS n FROM lines
 SELECT doc_id, e.o AS pos, e.n AS name FROM f
 """
 
-QUERIES = {f.__name__: f for f in (clean_lines, valid_names, core_names, import_lines, import_counts, near_dup_names, lookup_cascade, lookup_enriched, genus_lookup, similar_pairs, plant_names, plant_photos, gap_cut, word_assignment, legend_names, legend_entries, legend_counts, word_lines)}
-ORACLES = {n.lower(): globals()[n] for n in ("CLEAN_LINES", "VALID_NAMES", "CORE_NAMES", "IMPORT_LINES", "IMPORT_COUNTS", "LOOKUP_CASCADE", "LOOKUP_ENRICHED", "GENUS_LOOKUP", "SIMILAR_PAIRS", "PLANT_NAMES", "PLANT_PHOTOS", "GAP_CUT", "WORD_ASSIGNMENT", "LEGEND_NAMES", "LEGEND_ENTRIES", "NEAR_DUP_NAMES", "LEGEND_COUNTS", "WORD_LINES")}
+QUERIES = {f.__name__: f for f in (clean_lines, valid_names, core_names, import_lines, import_counts, near_dup_names, lookup_cascade, lookup_enriched, genus_lookup, similar_pairs, plant_names, plant_photos, gap_cut, word_assignment, legend_names, legend_entries, legend_counts, legend_parsed, word_lines)}
+ORACLES = {n.lower(): globals()[n] for n in ("CLEAN_LINES", "VALID_NAMES", "CORE_NAMES", "IMPORT_LINES", "IMPORT_COUNTS", "LOOKUP_CASCADE", "LOOKUP_ENRICHED", "GENUS_LOOKUP", "SIMILAR_PAIRS", "PLANT_NAMES", "PLANT_PHOTOS", "GAP_CUT", "WORD_ASSIGNMENT", "LEGEND_NAMES", "LEGEND_ENTRIES", "NEAR_DUP_NAMES", "LEGEND_COUNTS", "LEGEND_PARSED", "WORD_LINES")}
