@@ -115,6 +115,25 @@ def export_json(filename: Column, tolerance: Column, date: Column, palette: Colu
     return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())), {"pretty": "true"})
 
 
+FEEDBACK_FIELDS = ("markerId", "timestamp", "rating", "detectedName", "detectedColor", "position", "correctName", "notes", "isMissing")
+
+
+def export_lines(head: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(part, marker_id, line): the whole export as lines, which in the order of these two columns are one JSON document.
+
+    head: one row of filename, tolerance, date, legend (array<struct<id,name,color,count>>), markers, feedback_count and summary. feedback: rows of
+    FEEDBACK_FIELDS, one a marker; they stand in the document's list by markerId, each on a line of its own, so that the list may be of any length."""
+    entries = F.transform("legend", lambda p: F.struct(p["id"].alias("id"), p["name"].alias("name"), p["color"].alias("color"), F.coalesce(p["count"], F.lit(0)).alias("count")))
+    fields = {"exportDate": F.col("date"), "imageFilename": F.col("filename"), "colorTolerance": F.col("tolerance"), "legendEntries": entries, "totalMarkers": F.col("markers"), "feedbackCount": F.col("feedback_count")}
+    first = F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    none = F.lit(None).cast("string").alias("marker_id")
+    above = head.withColumn("open_", first).select(F.lit(0).alias("part"), none, F.concat(F.expr("left(open_, char_length(open_) - 1)"), F.lit(',"feedback":[')).alias("line"))
+    below = head.select(F.lit(2).alias("part"), none, F.concat(F.lit('],"summary":'), F.to_json("summary"), F.lit("}")).alias("line"))
+    least = feedback.agg(F.min("markerId").alias("first_"))
+    rows = feedback.join(F.broadcast(least)).select(F.lit(1).alias("part"), F.col("markerId").alias("marker_id"), F.concat(F.when(F.col("markerId") == F.col("first_"), "").otherwise(","), F.to_json(F.struct(*FEEDBACK_FIELDS), {"ignoreNullFields": "false"})).alias("line"))
+    return above.unionByName(rows).unionByName(below)
+
+
 def imported_lines(texts: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """(key, pos, line) of pasted texts: lines without white space at their ends, empty ones dropped."""
     from fernglass.functions.text import trimmed

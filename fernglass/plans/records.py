@@ -242,6 +242,33 @@ UNION ALL SELECT 'feedback', marker_id, '{{"marker_id":"' || marker_id || '"' ||
 """
 
 
+def export_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export as one document in lines: palette and hits, every marker's latest feedback with its nine fields, and the summary."""
+    from fernglass.plans.images import found_partition
+
+    legend = found_partition(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("id", "name", F.lit("").alias("color"), F.col("hits").alias("count")))).alias("legend"), F.sum("hits").alias("markers"))
+    last = state.latest(feedback(spark, sf_dir), "marker_id", "ts", "event_id").join(_t(spark, sf_dir, "events").select("event_id", "value"), "event_id")
+    p = F.broadcast(tables.palette(spark).select(F.col("id").alias("color_id"), F.col("name").alias("detectedName"), F.array("r", "g", "b").alias("detectedColor")))
+    rows = last.withColumn("color_id", (F.col("event_id") % 3 + 1).cast("int")).join(p, "color_id")
+    whole = lambda c: F.floor(c + 0.5).cast("long")
+    rows = rows.select(F.col("marker_id").alias("markerId"), state.iso_time(F.col("ts")).alias("timestamp"), "rating", "detectedName", "detectedColor", F.struct(whole(F.col("value")).alias("x"), (F.col("event_id") % 64).alias("y")).alias("position"),
+        F.when(F.col("rating") == "wrong", "Rust").otherwise("").alias("correctName"), F.lit("").alias("notes"), F.col("is_missing").alias("isMissing"))
+    head = legend.crossJoin(feedback_summary(spark, sf_dir).select(F.struct("*").alias("summary"))).crossJoin(last.agg(F.count("*").alias("feedback_count")))  # one row each
+    head = head.withColumns({"filename": F.lit("plan.png"), "tolerance": F.lit(40), "date": F.lit("2024-01-01T00:00:00.000Z")})
+    return state.export_lines(head, rows).withColumn("part", F.col("part").cast("long"))
+
+
+EXPORT_DOCUMENT = f"""
+WITH p AS ({FOUND_PARTITION}), s AS ({FEEDBACK_SUMMARY}), l AS ({FEEDBACK_LATEST_UPSERT}), n AS (SELECT * FROM (VALUES (0, 'middle gray', '[128,128,128]'), (1, 'rust', '[160,128,96]'), (2, 'slate', '[96,128,160]')) AS t(c, name, rgb)
+), f AS (SELECT l.*, e.ts, e.value, n.name, n.rgb FROM l JOIN events e USING (event_id) JOIN n ON c = event_id % 3)
+SELECT 0::BIGINT AS part, NULL::VARCHAR AS marker_id, '{{"exportDate":"2024-01-01T00:00:00.000Z","imageFilename":"plan.png","colorTolerance":40,"legendEntries":[' ||
+  (SELECT string_agg('{{"id":' || id || ',"name":"' || name || '","color":"","count":' || hits || '}}', ',' ORDER BY id) FROM p) || '],"totalMarkers":' || (SELECT sum(hits) FROM p) || ',"feedbackCount":' || (SELECT count(*) FROM l) || ',"feedback":[' AS line
+UNION ALL SELECT 1, marker_id, CASE WHEN marker_id = (SELECT min(marker_id) FROM l) THEN '' ELSE ',' END || '{{"markerId":"' || marker_id || '","timestamp":"' || strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","rating":' || coalesce('"' || rating || '"', 'null') ||
+  ',"detectedName":"' || name || '","detectedColor":' || rgb || ',"position":{{"x":' || floor(value + 0.5)::BIGINT || ',"y":' || event_id % 64 || '}},"correctName":"' || CASE WHEN rating = 'wrong' THEN 'Rust' ELSE '' END || '","notes":"","isMissing":' || is_missing || '}}' FROM f
+UNION ALL SELECT 2, NULL, '],"summary":{{"correct":' || correct || ',"close":' || close || ',"wrong":' || wrong || ',"duplicate":' || duplicate || ',"missing":' || missing || '}}}}' FROM s
+"""
+
+
 def annotations_created(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as points, named after plants, a palette colour or nothing."""
     d = F.broadcast(dims.plants(spark).select("ord", F.upper("common").alias("common")))
@@ -405,6 +432,6 @@ def legend_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEGEND_CONFIRMED = "WITH e AS (SELECT p_size % 7 AS image_id, row_number() OVER (PARTITION BY p_size % 7 ORDER BY p_partkey) AS id, p_name AS name, p_size AS cr FROM part WHERE p_size > 5 AND p_size < 45) SELECT image_id, id::BIGINT AS id, name, lower(name) AS db_key, cr, (SELECT count(*) FROM events WHERE event_id % 9 NOT IN (SELECT p_size % 7 FROM part))::BIGINT AS markers_left FROM e"
 
 
-_NAMES = ("export_json", "scan_colour", "marker_feedback", "shown_times", "display_colours", "legend_confirmed", "annotations_created", "record_edits", "plant_type_labels", "missing_stubs", "request_terms", "photos_fetched", "rescan_markers", "legend_left_lookup", "first_match_lookup", "suggestions_union_anti", "cascade_delete_anti", "feedback_latest_upsert", "feedback_summary", "keyed_upsert", "keyed_get", "saved_list_recent", "next_id", "json_props", "default_texts", "confirmed_entries", "low_confidence", "marker_visibility", "viewport_transform", "zoom_clamp", "crop_clamp", "thumb_ratio", "url_filter_dedupe", "url_categorize_rebalance")
+_NAMES = ("export_json", "export_document", "scan_colour", "marker_feedback", "shown_times", "display_colours", "legend_confirmed", "annotations_created", "record_edits", "plant_type_labels", "missing_stubs", "request_terms", "photos_fetched", "rescan_markers", "legend_left_lookup", "first_match_lookup", "suggestions_union_anti", "cascade_delete_anti", "feedback_latest_upsert", "feedback_summary", "keyed_upsert", "keyed_get", "saved_list_recent", "next_id", "json_props", "default_texts", "confirmed_entries", "low_confidence", "marker_visibility", "viewport_transform", "zoom_clamp", "crop_clamp", "thumb_ratio", "url_filter_dedupe", "url_categorize_rebalance")
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLES = {n: globals()[n.upper()] for n in _NAMES}

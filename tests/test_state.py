@@ -112,3 +112,14 @@ def test_export_has_all_feedback(spark):
     (head,) = [json.loads(r.json) for r in rows if r.part == "head"]
     assert head["feedbackCount"] == len(latest) and "feedback" not in head
     assert head["summary"]["correct"] == sum(e.event_type == "view" for e in events)
+
+
+def test_export_document_is_one_json_text(spark):
+    from fernglass.plans import records
+
+    rows = records.export_document(spark, "/root/testdata/sf0.001").collect()
+    got = json.loads("".join(r.line for r in sorted(rows, key=lambda r: (r.part, r.marker_id or ""))))
+    assert [*got] == ["exportDate", "imageFilename", "colorTolerance", "legendEntries", "totalMarkers", "feedbackCount", "feedback", "summary"]
+    assert len(got["feedback"]) == got["feedbackCount"] > 5 and all(tuple(f) == state.FEEDBACK_FIELDS for f in got["feedback"])
+    none = state.export_lines(spark.createDataFrame([("f", 40, "d", [], 0, 0, (1,))], "filename string, tolerance int, date string, legend array<struct<id:int,name:string,color:string,count:int>>, markers int, feedback_count int, summary struct<correct:int>"), spark.createDataFrame([], "markerId string, timestamp string, rating string, detectedName string, detectedColor array<int>, position struct<x:int,y:int>, correctName string, notes string, isMissing boolean"))
+    assert json.loads("".join(r.line for r in none.orderBy("part").collect()))["feedback"] == []
