@@ -36,7 +36,7 @@ def annotated(points: DataFrame, palette: DataFrame, plants: DataFrame, genera:
     """Annotations of named points (point_id, x, y, name): blank names are left out; ids go on from `after`; a palette colour of the
     same name (case aside, the lowest id) is linked; attributes come from the dictionaries."""
     rows = points.withColumn("name", rules.trimmed(F.col("name"))).where("name != ''")
-    linked = state.left_lookup(rows, palette.select(F.col("id").alias("color_id"), F.col("name").alias("p_name")), "name", "p_name", "color_id", fold=True).drop("p_name")
+    linked = state.left_lookup(rows, palette.select(F.col("id").alias("color_id"), F.col("name").alias("__palette_name")), "name", "__palette_name", "color_id", fold=True).drop("__palette_name")
     full = resolve.enriched(numbered(linked, ("point_id",), "id", after + 1), plants, genera).drop("stage")
     return full.withColumns({"photos": F.array().cast("array<string>"), "photos_fetched": F.lit(False)})
 
@@ -61,10 +61,10 @@ def scanned(markers: DataFrame, pixels: DataFrame, palette: DataFrame, plants: D
 
 def edited(records: DataFrame, edits: DataFrame, key: str = "id") -> DataFrame:
     """Records with the attributes of their edits (one a key); an edit also drops the photos."""
-    new = edits.select(F.col(key).alias("k_"), *(F.col(a).alias(f"n_{a}") for a in ATTRIBUTES), F.lit(True).alias("hit_"))
-    rows = records.join(new, F.col(key) == F.col("k_"), "left")
-    hit = F.coalesce("hit_", F.lit(False))
-    values = {a: F.when(hit, F.col(f"n_{a}")).otherwise(F.col(a)) for a in ATTRIBUTES}
+    new = edits.select(F.col(key).alias("__key"), *(F.col(a).alias(f"__new_{a}") for a in ATTRIBUTES), F.lit(True).alias("__hit"))
+    rows = records.join(new, F.col(key) == F.col("__key"), "left")
+    hit = F.coalesce("__hit", F.lit(False))
+    values = {a: F.when(hit, F.col(f"__new_{a}")).otherwise(F.col(a)) for a in ATTRIBUTES}
     values |= {"photos": F.when(hit, F.array().cast(records.schema["photos"].dataType)).otherwise(F.col("photos")), "photos_fetched": F.when(hit, False).otherwise(F.col("photos_fetched"))}
     return rows.withColumns(values).select(*records.columns)
 

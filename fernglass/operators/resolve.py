@@ -141,9 +141,9 @@ def enriched(rows: DataFrame, plants: DataFrame, genera: DataFrame, name: str =
     """rows with the eight plant attributes of their names; without a hit common is the name and the others ''."""
     found = lookup(rows, plants, genera, name)
     attrs = ("common", "botanical", "type", "size", "bloom", "sun", "water", "notes")
-    p = plants.select("key", *(F.col(a).alias(f"p_{a}") for a in attrs))
-    g = genera.select("genus", *(F.col(a).alias(f"g_{a}") for a in ("type", "sun", "water", "bloom", "notes")))
+    p = plants.select("key", *(F.col(a).alias(f"__plant_{a}") for a in attrs))
+    g = genera.select("genus", *(F.col(a).alias(f"__genus_{a}") for a in ("type", "sun", "water", "bloom", "notes")))
     out = rows.join(found, name, "left").join(p, "key", "left").join(g, "genus", "left")
     own = {"common": rules.trimmed(F.col(name)), "botanical": F.when(F.col("genus").isNotNull(), botanical_part(F.col(name)))}
-    value = lambda a: F.coalesce(F.nullif(F.col(f"p_{a}"), F.lit("")), own[a] if a in own else F.col(f"g_{a}") if f"g_{a}" in g.columns else F.lit(None), F.lit(""))
+    value = lambda a: F.coalesce(F.nullif(F.col(f"__plant_{a}"), F.lit("")), own[a] if a in own else F.col(f"__genus_{a}") if f"__genus_{a}" in g.columns else F.lit(None), F.lit(""))
     return out.select(*(rows[c] for c in rows.columns if c not in attrs), "stage", *(value(a).alias(a) for a in attrs))

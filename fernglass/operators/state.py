@@ -14,14 +14,14 @@ def default(column: Column, value: Column) -> Column:
 def left_lookup(rows: DataFrame, dim: DataFrame, key: str, dim_key: str, order: str, fold: bool = False) -> DataFrame:
     """rows with the first dim row (by `order`) of their key, letters' case left aside on demand."""
     name = (lambda c: F.lower(c)) if fold else (lambda c: c)
-    first = dim.withColumn("k_", name(F.col(dim_key))).withColumn("n_", F.row_number().over(Window.partitionBy("k_").orderBy(order))).where("n_ = 1").drop("n_")
-    return rows.join(first, name(F.col(key)) == F.col("k_"), "left").drop("k_")
+    first = dim.withColumn("__key", name(F.col(dim_key))).withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(order))).where("__nth = 1").drop("__nth")
+    return rows.join(first, name(F.col(key)) == F.col("__key"), "left").drop("__key")
 
 
 def unlisted(names: DataFrame, listed: DataFrame, name: str = "name") -> DataFrame:
     """Listed names as they are, then those of `names` that are not among them (case aside)."""
-    low = listed.select(F.lower(name).alias("l_")).distinct()
-    rest = names.join(low, F.lower(names[name]) == F.col("l_"), "left_anti")
+    low = listed.select(F.lower(name).alias("__low")).distinct()
+    rest = names.join(low, F.lower(names[name]) == F.col("__low"), "left_anti")
     return listed.select(name, F.lit("listed").alias("origin")).unionByName(rest.select(name, F.lit("rest").alias("origin")))
 
 
@@ -32,7 +32,7 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def latest(rows: DataFrame, key: str, order: str, tie: str) -> DataFrame:
     """The last row of each key."""
     by = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col(tie).desc())
-    return rows.withColumn("n_", F.row_number().over(by)).where("n_ = 1").drop("n_")
+    return rows.withColumn("__nth", F.row_number().over(by)).where("__nth = 1").drop("__nth")
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -93,8 +93,8 @@ def display_colour(own: Column, palette: Column) -> Column:
 
 def with_feedback(markers: DataFrame, feedback: DataFrame, key: str = "marker_id", order: str = "timestamp", tie: str = "rating") -> DataFrame:
     """Markers with the rating and the correct name of their latest feedback, and the class that shows it."""
-    last = latest(feedback, key, order, tie).select(F.col(key).alias("k_"), "rating", "correct_name")
-    rows = markers.join(last, F.col(key) == F.col("k_"), "left").drop("k_")
+    last = latest(feedback, key, order, tie).select(F.col(key).alias("__key"), "rating", "correct_name")
+    rows = markers.join(last, F.col(key) == F.col("__key"), "left").drop("__key")
     return rows.withColumn("shown_as", F.concat(F.lit("debug-"), "rating"))
 
 

@@ -123,3 +123,14 @@ def test_export_document_is_one_json_text(spark):
     assert len(got["feedback"]) == got["feedbackCount"] > 5 and all(tuple(f) == state.FEEDBACK_FIELDS for f in got["feedback"])
     none = state.export_lines(spark.createDataFrame([("f", 40, "d", [], 0, 0, (1,))], "filename string, tolerance int, date string, legend array<struct<id:int,name:string,color:string,count:int>>, markers int, feedback_count int, summary struct<correct:int>"), spark.createDataFrame([], "markerId string, timestamp string, rating string, detectedName string, detectedColor array<int>, position struct<x:int,y:int>, correctName string, notes string, isMissing boolean"))
     assert json.loads("".join(r.line for r in none.orderBy("part").collect()))["feedback"] == []
+
+
+def test_columns_may_have_any_names(spark):
+    """Helper columns of lookups, upserts and edits don't meet the tables' own."""
+    odd = [("k_", 1), ("n_", 2), ("l_", 3), ("hit_", 4), ("p_name", 5), ("n_common", 6)]
+    rows = spark.createDataFrame([(i, "Ab", *(v for _, v in odd)) for i in (1, 2, 2)], "id int, name string, " + ", ".join(f"{c} int" for c, _ in odd))
+    dim = spark.createDataFrame([("ab", 5), ("AB", 3)], "kind string, ord int")
+    assert {r.ord for r in state.left_lookup(rows, dim, "name", "kind", "ord", fold=True).collect()} == {3}
+    assert state.left_lookup(rows, dim, "name", "kind", "ord", fold=True).columns == [*rows.columns, "kind", "ord"]
+    assert state.latest(rows, "id", "n_", "k_").columns == rows.columns and state.latest(rows, "id", "n_", "k_").count() == 2
+    assert state.unlisted(rows, rows.limit(0)).count() == 3 and state.without(rows, rows.where("id = 1"), "id").count() == 2
