@@ -44,7 +44,7 @@ LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: dealt to `SALTS` tasks; members of a hub that are verified together.
 VERIFY, BITS, WIDE, SALTS, TOGETHER = 30.0, 20, 100_000, 64, 64
 #: Members of a group that share a place from which families are looked for, and how often families of families are.
-FAMILY, DEPTH = 24, 4
+FAMILY, DEPTH = 24, 2
 BLOCKS = 16
 _words = WordHashes(200_000)
 
@@ -344,17 +344,17 @@ def _tops(diffs: DataFrame) -> DataFrame:
 
 
 def _families(rows: DataFrame, centred: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(hub, x, family) of members that share places, each with the first member of the list that it shares most with, and so on; and their differences from that one."""
+    """(hub, x, family) of members with the first member of the list that they share most places with; and the differences of a family's members (it among them) from that one's."""
     lists = rows.groupBy("hub", "tok").agg(F.min("x").alias("s"), F.count("*").alias("c")).where("c > 1").drop("c")
     votes = rows.select("hub", "tok", "x").join(lists, ["hub", "tok"]).where("x != s").groupBy("hub", "x", "s").agg(F.count("*").alias("shared"))
     best = votes.groupBy("hub", "x").agg(F.max(F.struct("shared", (-F.col("s")).alias("s"))).alias("b"))
-    found = components(best.select(F.col("x").alias("a"), (-F.col("b.s")).alias("b")))
-    members = materialize(centred.join(found, centred["x"] == found["id"]).select("hub", "x", "n", "diff", F.col("component").alias("family")), "families")
-    sizes = members.groupBy("family").agg(F.count("*").cast("long").alias("size"))
-    heads = members.where("x = family").select("family", F.col("diff").alias("head"))
+    best = materialize(best.select("hub", "x", (-F.col("b.s")).alias("family")), "families")
+    sizes = best.groupBy("hub", "family").agg((F.count("*") + 1).cast("long").alias("size"))
+    heads = sizes.join(centred.select("hub", F.col("x").alias("family"), F.col("n").alias("n_head"), F.col("diff").alias("head")), ["hub", "family"])
     apart = F.concat(F.array_except("diff", "head"), F.array_except("head", "diff"))
-    diffs = members.join(heads, "family").join(sizes, "family").select(F.col("family").alias("hub"), "size", "x", "n", apart.alias("diff"))
-    return members.select("hub", "x", "family"), diffs.withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * F.size("diff"))
+    others = best.join(heads, ["hub", "family"]).join(centred.select("hub", "x", "n", "diff"), ["hub", "x"]).select(F.col("family").alias("hub"), "size", "x", "n", apart.alias("diff"))
+    own = heads.select(F.col("family").alias("hub"), "size", F.col("family").alias("x"), F.col("n_head").alias("n"), F.slice("head", 1, 0).alias("diff"))
+    return best, others.unionByName(own).withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * F.size("diff"))
 
 
 def _within(diffs: DataFrame, percent: int, depth: int = 0) -> list[DataFrame]:
