@@ -25,15 +25,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that meets the other one in a shuffle, never as a broadcast from the driver.
+
+    Sizes that Spark goes by are those of what rows are made from (boxes, not the planes drawn of them) or of compressed shuffle files, a hundredth of what rows of equal values
+    take in memory; so tables that grow with the input came to the driver whole."""
+    return df.hint("merge")
+
+
 def components(nodes: DataFrame, edges: DataFrame, image: str = "image_id") -> DataFrame:
     """(image, id, root) for nodes (image, id) and edges (image, a, b) in either or both directions; root is the least id."""
     both = checkpointed(edges.select(image, "a", "b").unionByName(edges.select(image, F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     now = checkpointed(nodes.select(image, "id", F.col("id").alias("root")))
     while True:
-        seen = both.join(now.select(image, F.col("id").alias("b"), F.col("root").alias("r")), [image, "b"]).groupBy(image, F.col("a").alias("id")).agg(F.min("r").alias("r"))
-        spread = now.join(seen, [image, "id"], "left").select(image, "id", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
+        seen = both.join(dealt(now.select(image, F.col("id").alias("b"), F.col("root").alias("r"))), [image, "b"]).groupBy(image, F.col("a").alias("id")).agg(F.min("r").alias("r"))
+        spread = now.join(dealt(seen), [image, "id"], "left").select(image, "id", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
         jump = spread.select(image, F.col("id").alias("root"), F.col("root").alias("to"))
-        then = checkpointed(spread.join(jump, [image, "root"]).select(image, "id", "old", F.least("root", "to").alias("root")))
+        then = checkpointed(spread.join(dealt(jump), [image, "root"]).select(image, "id", "old", F.least("root", "to").alias("root")))
         changed = not then.where("root != old").isEmpty()
         now = then.select(image, "id", "root")
         if not changed:
@@ -86,13 +94,13 @@ def pixel_components(mask: DataFrame, keys: tuple[str, ...] = ("image_id",), sum
     image = F.struct(*keys)
     low = rows.where((F.col("y") + 1) % strip == 0).select(image.alias("image"), (F.col("y") + 1).alias("y"), "x0", "x1", F.col("root").alias("a"))
     high = rows.where(F.col("y") % strip == 0).select(image.alias("image"), "y", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("root").alias("b"))
-    edges = low.join(high, ["image", "y"]).where("u0 <= x1 + 1 and u1 >= x0 - 1").select("image", "a", "b").distinct()
+    edges = low.join(dealt(high), ["image", "y"]).where("u0 <= x1 + 1 and u1 >= x0 - 1").select("image", "a", "b").distinct()
     edges = checkpointed(edges)
     if edges.isEmpty():
         return rows.drop("strip")
     nodes = edges.select("image", F.col("a").alias("id")).unionByName(edges.select("image", F.col("b").alias("id"))).distinct()
     found = components(nodes, edges, "image").select(*(F.col(f"image.{k}").alias(k) for k in keys), F.col("id").alias("root"), F.col("root").alias("whole"))
-    return rows.join(found, [*keys, "root"], "left").withColumn("root", F.coalesce("whole", "root")).drop("strip", "whole")
+    return rows.join(dealt(found), [*keys, "root"], "left").withColumn("root", F.coalesce("whole", "root")).drop("strip", "whole")
 
 
 def numbered(df: DataFrame, order: tuple[str, ...], name: str, first: int = 0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as rules
 from fernglass.functions.colour import rounded
+from fernglass.operators.components import dealt
 from fernglass.operators.folds import in_order
 
 ROW, REACH, GAP = 25, 0.15, 50
@@ -26,7 +27,7 @@ def banded(spans: DataFrame, points: DataFrame) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / width(F.col("level_")))
     left = spans.where("low <= high").withColumn("cell_", F.explode(F.sequence(cell("low"), cell("high"))))
     right = points.join(levels, "image_id").withColumn("cell_", cell("at"))
-    return left.join(right, ["image_id", "level_", "cell_"]).where(F.col("at").between(F.col("low"), F.col("high"))).drop("level_", "cell_")
+    return left.join(dealt(right), ["image_id", "level_", "cell_"]).where(F.col("at").between(F.col("low"), F.col("high"))).drop("level_", "cell_")
 
 
 def right_boundaries(swatches: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def right_boundaries(swatches: DataFrame, sizes: DataFrame) -> DataFrame:
     later = (F.col("ord_b") > F.col("ord")) & (F.abs(F.col("at") - F.col("mid")) < F.col("reach")) & (F.col("min_x_b") > F.col("max_x"))
     beside = banded(spans, others).where(later).groupBy("image_id", "ord").agg(F.min_by("min_x_b", "ord_b").alias("beside"))
     far = F.col("max_x") + F.col("width") * REACH
-    return rows.join(sizes.select("image_id", "width"), "image_id").join(beside, ["image_id", "ord"], "left").withColumn("right_boundary", F.least(far, F.coalesce(F.col("beside") - 5, far))).drop("beside", "width", "mid")
+    return rows.join(sizes.select("image_id", "width"), "image_id").join(dealt(beside), ["image_id", "ord"], "left").withColumn("right_boundary", F.least(far, F.coalesce(F.col("beside") - 5, far))).drop("beside", "width", "mid")
 
 
 ASSIGNED = "ord int, word_idx int, place int"
@@ -81,7 +82,7 @@ class _Taken:
 
 def named(assigned: DataFrame, words: DataFrame) -> DataFrame:
     """(image_id, ord, raw, name, confidence, valid): texts joined by spaces, cleaned, with the rounded mean confidence."""
-    rows = assigned.join(words, ["image_id", "word_idx"])
+    rows = assigned.join(dealt(words), ["image_id", "word_idx"])
     raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda w: w["text"]), " ")
     out = rows.groupBy("image_id", "ord").agg(rules.trimmed(raw).alias("raw"), rounded(F.avg("confidence")).alias("confidence")).withColumn("name", rules.clean(F.col("raw")))
     return out.withColumn("valid", rules.valid(F.col("name")))
@@ -127,7 +128,8 @@ def parse(swatches: DataFrame, sizes: DataFrame, words: DataFrame) -> DataFrame:
     bounded = right_boundaries(swatches, sizes)
     found = named(assign_words(bounded, words), words).where("valid")
     kept = without_near_names(found)
-    return kept.join(found.select("image_id", "ord", "confidence"), ["image_id", "ord"]).join(bounded.select("image_id", "ord", "cr", "cg", "cb", "min_x", "max_x", "min_y", "max_y"), ["image_id", "ord"])
+    boxes = bounded.select("image_id", "ord", "cr", "cg", "cb", "min_x", "max_x", "min_y", "max_y")
+    return kept.join(dealt(found.select("image_id", "ord", "confidence")), ["image_id", "ord"]).join(dealt(boxes), ["image_id", "ord"])
 
 
 def parse_counts(bounded: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fernglass.functions import colour
 from fernglass.operators import raster
 from fernglass.operators import templates as patterns
-from fernglass.operators.components import checkpointed, components
+from fernglass.operators.components import checkpointed, components, dealt
 
 SIDE = 256
 FIELDS = "ty int, tx int, y0 long, x0 long, h int, w int, width int, height int, planes binary"
@@ -379,13 +379,13 @@ def _joined(found: DataFrame, least: int) -> DataFrame:
     ends = keyed.select("key", F.col("id").alias("a"), F.explode("feet").alias("at")).withColumn("step", F.explode(F.array(*down)))
     ends = ends.unionByName(keyed.select("key", F.col("id").alias("a"), F.explode("sides").alias("at")).withColumn("step", F.explode(F.array(*right))))
     heads = keyed.select("key", F.col("id").alias("b"), F.explode("heads").alias("at"))
-    edges = ends.select("key", "a", (F.col("at") + F.col("step")).alias("at")).join(heads, ["key", "at"]).select(F.col("key").alias("image_id"), "a", "b").where("a != b").distinct()
+    edges = ends.select("key", "a", (F.col("at") + F.col("step")).alias("at")).join(dealt(heads), ["key", "at"]).select(F.col("key").alias("image_id"), "a", "b").where("a != b").distinct()
     edges = checkpointed(edges)
     joined = keyed.withColumn("root", F.col("id"))
     if not edges.isEmpty():
         nodes = edges.select("image_id", F.col("a").alias("id")).unionByName(edges.select("image_id", F.col("b").alias("id"))).distinct()
         roots = components(nodes, edges).select(F.col("image_id").alias("key"), "id", F.col("root").alias("whole"))
-        joined = keyed.join(roots, ["key", "id"], "left").withColumn("root", F.coalesce("whole", "id"))
+        joined = keyed.join(dealt(roots), ["key", "id"], "left").withColumn("root", F.coalesce("whole", "id"))
     merged = joined.groupBy("key", "root").agg(
         *(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sr", "sg", "sb")), F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y")
     ).where(F.col("n") >= least)
@@ -572,7 +572,7 @@ def scored(blobs: DataFrame, tiles: DataFrame, templates: DataFrame, threshold:
     under = F.sqrt((_spread(F.col("n"), "cand") / n) * (_spread(F.col("n"), "temp") / n)) * UNIT * UNIT
     over = F.col("cross") - F.col("cand0").cast("double") * F.col("temp0").cast("double") / n * UNIT * UNIT
     whole = whole.select("image_id", "id_", "n", F.when(under >= patterns.FLAT, over / under).alias("ncc"))
-    both = placed.join(whole, ["image_id", "id_"], "left")
+    both = placed.join(dealt(whole), ["image_id", "id_"], "left")
     same = (F.col("cw") == F.col("tw")) & (F.col("ch") == F.col("th"))
     score = F.when(same, F.coalesce("ncc", F.lit(0.0))).otherwise(F.when(F.col("n") >= patterns.LEAST_PIXELS, F.coalesce("ncc", F.lit(patterns.UNDECIDED))).otherwise(patterns.UNDECIDED))
     final = patterns.window_score(score, F.col("tw").isNotNull(), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("tw"), F.col("th"))

@@ -398,7 +398,9 @@ def drawn(spark: SparkSession, sf_dir: str, gray: bool = False) -> DataFrame:
                 planes[:, rows, x + 13 : x + 16] = 255
         return pa.Table.from_batches([tiles.batch_of(found["image_id"][0], list(tiles.cut(planes, tables.SIDE, top, height)))])
 
-    return boxes.groupBy("image_id", "strip").applyInArrow(paint, f"image_id string, {tiles.FIELDS}")
+    # Few bytes of boxes make many of planes, so their strips are dealt to a fixed number of tasks, which adaptive execution does not join.
+    dealt = boxes.repartition(tables.dealt(spark), "image_id", "strip")
+    return dealt.groupBy("image_id", "strip").applyInArrow(paint, f"image_id string, {tiles.FIELDS}")
 
 
 def swatches_detected(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size) < SMALL else df
 
 
+def dealt(spark: SparkSession) -> int:
+    """Into how many tasks rows go that make rasters: all cores four times, or the session's shuffle partitions if these are more."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def palette(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PALETTE, "id int, name string, r int, g int, b int")
 
