@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fernglass.functions import text as rules
 from fernglass.functions.colour import rounded
 from fernglass.operators import layout, raster, swatches, templates, tiles
-from fernglass.operators.components import checkpointed
+from fernglass.operators.components import checkpointed, dealt
 
 BOX = ("min_x", "max_x", "min_y", "max_y")
 
@@ -24,7 +24,7 @@ def row_entries(images: DataFrame, bands: DataFrame, words: DataFrame) -> DataFr
     rows = layout.banded(spans, found.select("image_id", "x0", "word_idx", "text", "confidence", F.col("mid").alias("at")))
     raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("x0", "word_idx", "text")))), lambda v: v["text"]), " ")
     read = rows.groupBy("image_id", "y_start", "y_end").agg(raw.alias("raw"), rounded(F.avg("confidence")).alias("mean"))
-    out = coloured.join(read, ["image_id", "y_start", "y_end"], "left").select("image_id", "y_start", "y_end", "cr", "cg", "cb", rules.clean(rules.trimmed(F.coalesce("raw", F.lit("")))).alias("name"), F.coalesce("mean", F.lit(0)).cast("long").alias("confidence"))
+    out = coloured.join(dealt(read), ["image_id", "y_start", "y_end"], "left").select("image_id", "y_start", "y_end", "cr", "cg", "cb", rules.clean(rules.trimmed(F.coalesce("raw", F.lit("")))).alias("name"), F.coalesce("mean", F.lit(0)).cast("long").alias("confidence"))
     return out.withColumn("ord", F.col("y_start").cast("long"))
 
 
@@ -53,4 +53,4 @@ def parse(drawn: DataFrame, words: DataFrame, failed: DataFrame | None = None, s
     key = F.struct("image_id", "ord").alias("key_")
     boxes = templates.swatch_boxes(entries.where("min_x is not null")).select(key, "image_id", "x0", "y0", "x1", "y1").unionByName(templates.row_boxes(entries.where("y_start is not null"), sizes).select(key, "image_id", "x0", "y0", "x1", "y1"))
     cut = tiles.captured(drawn, boxes, "key_", side).select("key_", F.struct("width", "height", "gray").alias("template"))
-    return entries.withColumn("key_", key).join(cut, "key_", "left").drop("key_")
+    return entries.withColumn("key_", key).join(dealt(cut), "key_", "left").drop("key_")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import colour
 from fernglass.operators import templates as patterns
-from fernglass.operators.components import components, pixel_components
+from fernglass.operators.components import components, dealt, pixel_components
 
 TOLERANCE, LEAST_SIZE, LEAST_RADIUS, MOST_ASPECT = 40, 30, 30, 8
 
@@ -73,7 +73,7 @@ def near_edges(blobs: DataFrame, floor: float = LEAST_RADIUS) -> DataFrame:
     pad = F.greatest(F.col("a.radius"), F.col("b.radius"))
     touch = (F.col("a.min_x") - pad <= F.col("b.max_x")) & (F.col("a.max_x") + pad >= F.col("b.min_x")) & (F.col("a.min_y") - pad <= F.col("b.max_y")) & (F.col("a.max_y") + pad >= F.col("b.min_y"))
     same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") != F.col("b.id"))
-    found = a.join(b, same & touch).where((F.col("b.level") < F.col("a.level")) | (F.col("b.radius") <= F.col("a.radius")))
+    found = a.join(dealt(b), same & touch).where((F.col("b.level") < F.col("a.level")) | (F.col("b.radius") <= F.col("a.radius")))
     return found.select(F.col("a.image_id").alias("image_id"), F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
@@ -82,7 +82,7 @@ def merged(blobs: DataFrame, floor: float = LEAST_RADIUS) -> DataFrame:
     rows = blobs.withColumn("key", F.struct("image_id", "color_id"))
     roots = components(rows.select(F.col("key").alias("image_id"), F.col("blob_id").alias("id")), near_edges(blobs, floor)).select(F.col("image_id").alias("key"), F.col("id").alias("blob_id"), "root")
     weighted = lambda c: F.sum(F.col(c) * F.col("size"))
-    found = rows.join(roots, ["key", "blob_id"]).groupBy("key", "root").agg(
+    found = rows.join(dealt(roots), ["key", "blob_id"]).groupBy("key", "root").agg(
         weighted("x").alias("wx"), weighted("y").alias("wy"), *(weighted(f"c{c}").alias(f"w{c}") for c in "rgb"), F.sum("size").alias("size"), F.count("*").alias("parts"),
         F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"),
     )
@@ -160,5 +160,5 @@ def band_colours(pixels: DataFrame, bands: DataFrame, share: float = 0.35, least
 
 def colours_of_bands(bands: DataFrame, sums: DataFrame, least: int = 5) -> DataFrame:
     """The colours of bands from sums over their rows' swatch pixels (image_id, y, n, sr, sg, sb)."""
-    rows = bands.withColumn("y", F.explode(F.sequence(F.col("y_start").cast("long"), F.col("y_end").cast("long")))).join(sums, ["image_id", "y"], "left")
+    rows = bands.withColumn("y", F.explode(F.sequence(F.col("y_start").cast("long"), F.col("y_end").cast("long")))).join(dealt(sums), ["image_id", "y"], "left")
     return rows.groupBy("image_id", "y_start", "y_end").agg(*(F.when(F.sum("n") >= least, colour.rounded(F.sum(f"s{c}") / F.sum("n"))).alias(f"c{c}") for c in "rgb"))
