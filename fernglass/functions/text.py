@@ -8,12 +8,16 @@ lookahead and need a captured character instead.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"\t\n\x0b\f\r    -     　﻿"
+#: The same characters one by one, and the marks that names neither begin nor end with.
+BLANKS = "".join(c for c in map(chr, range(1 << 16)) if re.fullmatch(f"[{SPACES}]", c))
+MARKS = "-–:,;"
 
 # Section labels, care words and editorial words of legends.
 LABELS = r"perennials?|annuals?|groundcovers?|ground\s*covers?|shrubs?|trees?|grasses?|ornamental\s*grasses?|vines?|ferns?|succulents?|bulbs?|evergreens?|deciduous|flowering|native|accent|specimen"
@@ -139,31 +143,56 @@ def rewrite(text: Column, pattern: str, replacement: str = "", fold: bool = Fals
 
 def trimmed(text: Column) -> Column:
     """Without white space (Unicode's too) at either end."""
-    return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def _cut_marks(text: Column) -> Column:
+    """Rewrite 35: without marks at the end and the white space behind them."""
+    kept = F.rtrim(text, F.lit(BLANKS))
+    return F.when(F.right(kept, F.lit(1)).isin(*MARKS), F.rtrim(kept, F.lit(MARKS))).otherwise(text)
+
+
+def _cut_first_marks(text: Column) -> Column:
+    """Rewrite 36: without marks at the beginning and the white space behind them."""
+    return F.when(F.left(text, F.lit(1)).isin(*MARKS), F.ltrim(F.ltrim(text, F.lit(MARKS)), F.lit(BLANKS))).otherwise(text)
+
+
+def _cut_dot(text: Column) -> Column:
+    """Rewrite 37: without a dot at the end and the white space around it."""
+    kept = F.rtrim(text, F.lit(BLANKS))
+    return F.when(F.endswith(kept, F.lit(".")), F.rtrim(F.left(kept, F.char_length(kept) - 1), F.lit(BLANKS))).otherwise(text)
+
+
+#: Rewrites at the ends of a text, looked at from there instead of at every place.
+AT_ENDS = {35: _cut_marks, 36: _cut_first_marks, 37: _cut_dot}
 
 
 #: Rewrites [first, end) that change nothing in a text without a match of the pattern: they are skipped together.
 GATES = (
     (2, 15, "[0-9]"), (16, 17, "[-–:]"), (17, 18, "[-–]"), (19, 20, "[0-9]"), (20, 22, r"\("), (22, 23, r"\["), (23, 24, r"\{"), (24, 28, r"[=><%»«\\]"),
-    (30, 32, "[A-Z]{2}"), (32, 33, "[0-9][tT]"), (37, 38, r"\."), (38, 39, f"[{SPACES.replace(' ', '', 1)}]|  "),
+    (28, 30, "[bB][rRbB]"), (30, 32, "[A-Z]{2}"), (32, 33, "[0-9][tT]"), (33, 34, "[fF][rR][—–-]"), (34, 35, "[pP][eE][rR][eE]|[gG][rR][oO][uU]|[sS][hH][rR][uU]"), (38, 39, "[^ -~\xa1-\u167f]|  "),
 )
 
 
-def _applied(text: Column, some: tuple) -> Column:
-    return reduce(lambda c, r: rewrite(c, *r), some, text)
+def _once(text: Column, f: Callable[[Column], Column]) -> Column:
+    # A lambda's variable, so that the text is computed once.
+    return F.transform(F.array(text), f)[0]
+
 
+def _applied(text: Column, first: int, end: int) -> Column:
+    return reduce(lambda c, i: _once(c, AT_ENDS[i]) if i in AT_ENDS else rewrite(c, *REWRITES[i]), range(first, end), text)
 
-def _gated(text: Column, some: tuple, needs: str) -> Column:
-    # A lambda's variable, so that the text is computed once.
-    return F.transform(F.array(text), lambda t: F.when(t.rlike(needs), _applied(t, some)).otherwise(t))[0]
+
+def _gated(text: Column, first: int, end: int, needs: str) -> Column:
+    return _once(text, lambda t: F.when(t.rlike(needs), _applied(t, first, end)).otherwise(t))
 
 
 def clean(text: Column) -> Column:
     """A legend text without the marks of recognition errors, sizes, counts and labels; '' for null and empty ones."""
     out, at = F.coalesce(text, F.lit("")), 0
     for first, end, needs in GATES:
-        out, at = _gated(_applied(out, REWRITES[at:first]), REWRITES[first:end], needs), end
-    return trimmed(_applied(out, REWRITES[at:]))
+        out, at = _gated(_applied(out, at, first), first, end, needs), end
+    return trimmed(_applied(out, at, len(REWRITES)))
 
 
 def core_of(cleaned: Column) -> Column:

@@ -54,3 +54,15 @@ def test_fused_patterns_reject_what_each_rejects(spark):
     df = spark.createDataFrame([(rng.choice(heads) + rng.choice(tails),) for _ in range(1500)], "t string")
     one, each = (reduce(lambda a, b: a | b, (F.col("t").rlike(p) for p in some)) for some in (rules._fused(rules.REJECTED), [rules.java(p, fold) for p, fold in rules.REJECTED]))
     assert df.where(one != each).count() == 0 and 0 < df.where(one).count() < 1500
+
+
+def test_rewrites_at_the_ends_are_the_patterns(spark):
+    from itertools import product
+
+    cases = ["".join(p) for n in range(5) for p in product("a.-;  ", repeat=n)] + ["a– ", "﻿: a", "x\n.\n"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    for i, f in rules.AT_ENDS.items():
+        wrong = df.where(f(F.col("t")) != rules.rewrite(F.col("t"), *rules.REWRITES[i]))
+        assert wrong.collect() == [], i
+    plain = rf"\A[{rules.SPACES}]+|[{rules.SPACES}]+\z"
+    assert df.where(rules.trimmed(F.col("t")) != F.regexp_replace("t", plain, "")).collect() == []
