@@ -33,6 +33,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def tasks(spark: SparkSession) -> int:
+    """Into how many tasks rows go that Python works on, or that are far larger in memory than in shuffle files: all cores four times, or the session's shuffle
+    partitions if these are more. Adaptive execution does not join tasks that a number was asked for; it goes by the files' bytes."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def components(nodes: DataFrame, edges: DataFrame, image: str = "image_id") -> DataFrame:
     """(image, id, root) for nodes (image, id) and edges (image, a, b) in either or both directions; root is the least id."""
     both = checkpointed(edges.select(image, "a", "b").unionByName(edges.select(image, F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())

@@ -95,12 +95,12 @@ def gap_cut(words: DataFrame, keys: tuple[str, ...], most: int = GAP) -> DataFra
     return words.withColumn("wide_", wide).withColumn("cut_", F.max("wide_").over(by.rowsBetween(Window.unboundedPreceding, 0))).where("cut_ = 0").drop("wide_", "cut_")
 
 
-def without_near_names(entries: DataFrame, key: str = "image_id", order: str = "ord", name: str = "name") -> DataFrame:
-    """(key, order, name) of entries that repeat no kept one: letters only, equal, or one the other's beginning and fewer than 5 letters shorter."""
+def without_near_names(entries: DataFrame, key: str = "image_id", order: str = "ord", name: str = "name", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, order, name, also...) of entries that repeat no kept one: letters only, equal, or one the other's beginning and fewer than 5 letters shorter."""
     plain = F.regexp_replace(F.lower(F.col(name)), "[^a-z]", "")
-    kinds = [f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in (order, name)]
-    rows = entries.select(key, order, name, plain.alias("plain_"))
-    return in_order(rows, key, [F.col(order).asc_nulls_last(), F.col("plain_").asc_nulls_last(), F.col(name).asc_nulls_last()], [order, name, "plain_"], _Kept, ", ".join(kinds))
+    kinds = [f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in (order, name, *also)]
+    rows = entries.select(key, order, name, plain.alias("plain_"), *also)
+    return in_order(rows, key, [F.col(order).asc_nulls_last(), F.col("plain_").asc_nulls_last(), F.col(name).asc_nulls_last()], [order, name, "plain_", *also], _Kept, ", ".join(kinds))
 
 
 class _Kept:
@@ -111,25 +111,27 @@ class _Kept:
     def __init__(self):
         self.names, self.beginnings = set(), set()
 
-    def row(self, order, name, plain):
+    def row(self, order, name, plain, *also):
         if plain is not None:
             own = [plain[: len(plain) - k] for k in range(min(self.SHORTER, len(plain)) + 1)]
             if plain in self.beginnings or any(p in self.names for p in own):
                 return
             self.names.add(plain)
             self.beginnings.update(own)
-        yield order, name
+        yield order, name, *also
 
 
 def parse(swatches: DataFrame, sizes: DataFrame, words: DataFrame) -> DataFrame:
     """Legend entries of images: (image_id, ord, name, confidence, cr, cg, cb, min_x, max_x, min_y, max_y).
 
     Names that are not valid are left out after their words have been taken; then near repeats are."""
-    bounded = right_boundaries(swatches, sizes)
-    found = named(assign_words(bounded, words), words).where("valid")
-    kept = without_near_names(found)
-    boxes = bounded.select("image_id", "ord", "cr", "cg", "cb", "min_x", "max_x", "min_y", "max_y")
-    return kept.join(dealt(found.select("image_id", "ord", "confidence")), ["image_id", "ord"]).join(dealt(boxes), ["image_id", "ord"])
+    return entries(right_boundaries(swatches, sizes), words)
+
+
+def entries(bounded: DataFrame, words: DataFrame) -> DataFrame:
+    """`parse` of swatches that have their boundaries."""
+    kept = without_near_names(named(assign_words(bounded, words), words).where("valid"), also=("confidence",))
+    return kept.join(dealt(bounded.select("image_id", "ord", "cr", "cg", "cb", "min_x", "max_x", "min_y", "max_y")), ["image_id", "ord"])
 
 
 def parse_counts(bounded: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:

@@ -11,20 +11,22 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import colour
 from fernglass.operators import tiles
+from fernglass.operators.components import checkpointed, tasks
 from fernglass.operators.selection import order_statistics
 
 LEAST_SIDE, LEAST_PIXELS, MOST_SHARE, MOST_ASPECT, LEAST_FILL = 12, 80, 0.12, 4, 0.35
 ROW, NEAR, NEAR_COLOUR = 30, 10, 50
 
 
-def shaped(blobs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Regions of a swatch's shape and colour; sizes has (image_id, width, height)."""
+def shaped(blobs: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Regions of a swatch's shape and colour; sizes has (image_id, width, height), unless the regions have these already, which then stay."""
     w, h = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
     most = F.least("width", "height") * MOST_SHARE
-    out = blobs.join(sizes, "image_id").where((w >= LEAST_SIDE) & (h >= LEAST_SIDE) & ~((w > most) & (h > most)) & (F.col("size") >= LEAST_PIXELS))
+    out = (blobs if sizes is None else blobs.join(sizes, "image_id")).where((w >= LEAST_SIDE) & (h >= LEAST_SIDE) & ~((w > most) & (h > most)) & (F.col("size") >= LEAST_PIXELS))
     out = out.where((F.greatest(w, h) / F.nullif(F.least(w, h), F.lit(0)) <= MOST_ASPECT) & (F.col("size") / F.nullif(w * h, F.lit(0)) >= LEAST_FILL))
     mean = F.col("cr"), F.col("cg"), F.col("cb")
-    return out.where(~colour.grayish(*mean) & ~colour.blue_gray(*mean)).drop("width", "height")
+    out = out.where(~colour.grayish(*mean) & ~colour.blue_gray(*mean))
+    return out if sizes is None else out.drop("width", "height")
 
 
 def ordered(swatches: DataFrame, row: int = ROW) -> DataFrame:
@@ -72,8 +74,43 @@ def _among(there: dict[int, object], low: int, high: int) -> list[int]:
     return [k for k in range(low, high + 1) if k in there] if high - low < len(there) else [k for k in there if low <= k <= high]
 
 
+FEW = 32
+
+
 def merged_in_order(items: list[tuple]) -> list[tuple]:
     """The fold of `merge_near` over one image's swatches (idx, size, cr, cg, cb, min_x, max_x, min_y, max_y), in order."""
+    return _merged_few(items) if len(items) <= FEW else _merged_by_cells(items)
+
+
+def _merged_few(items: list[tuple]) -> list[tuple]:
+    """A few swatches, each compared with all later ones."""
+    waiting, out = items, []
+    while waiting:
+        (idx, size, cr, cg, cb, x0, x1, y0, y1), rest, waiting = waiting[0], waiting[1:], []
+        for item in rest:
+            _, more, r, g, b, u0, u1, v0, v1 = item
+            if x0 - NEAR <= u1 and x1 + NEAR >= u0 and y0 - NEAR <= v1 and y1 + NEAR >= v0 and (cr - r) ** 2 + (cg - g) ** 2 + (cb - b) ** 2 <= NEAR_COLOUR**2:
+                size += more
+                x0, x1, y0, y1 = min(x0, u0), max(x1, u1), min(y0, v0), max(y1, v1)
+            else:
+                waiting.append(item)
+        out.append((idx, size, cr, cg, cb, x0, x1, y0, y1))
+    return out
+
+
+def _apart(items: list[tuple]) -> list[list[tuple]]:
+    """Swatches in order, by what is between rows without any that no box grows over."""
+    out, below = [], None
+    for item in sorted(items, key=lambda s: s[7]):
+        if below is None or item[7] > below + NEAR:
+            out.append([])
+            below = item[8]
+        out[-1].append(item)
+        below = max(below, item[8])
+    return [sorted(part) for part in out]
+
+
+def _merged_by_cells(items: list[tuple]) -> list[tuple]:
     used: set[int] = set()
     cells, out = Cells(items, used), []
     for i, (idx, size, cr, cg, cb, x0, x1, y0, y1) in enumerate(items):
@@ -107,19 +144,30 @@ def merged_in_order(items: list[tuple]) -> list[tuple]:
 MERGED = "idx long, size long, cr long, cg long, cb long, min_x long, max_x long, min_y long, max_y long"
 
 
-def merge_near(swatches: DataFrame) -> DataFrame:
+#: About as many swatches of an image are folded together, where rows without any part them.
+PART = 4096
+
+
+def merge_near(swatches: DataFrame, also: tuple[str, ...] = (), part: int = PART) -> DataFrame:
     """One pass in order: a swatch takes each later free one of a colour within 50 whose box is within 10 pixels of its
-    growing box. Colours stay the first's; sizes add up. The fold is in order, so an image's swatches are in one task; each looks
-    only at those in the cells that its box touches as it grows."""
+    growing box. Colours stay the first's; sizes add up. The fold is in order; each looks only at those in the cells that its box touches as it grows.
+
+    No box grows over more than 10 rows without a swatch, so an image is cut at such rows into parts of about `part` swatches, which are folded by themselves; what has no such rows stays together.
+    Columns `also`, whole numbers that an image's swatches share, stay."""
     names = [f.split()[0] for f in MERGED.split(", ")]
     kind = swatches.schema["image_id"].dataType.simpleString()
 
     def run(found: pa.Table) -> pa.Table:
-        items = merged_in_order(sorted(zip(*(found[n].to_pylist() for n in names), strict=True)))
-        return pa.table({"image_id": pa.repeat(found["image_id"][0], len(items)), **{n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*items, strict=True), strict=True)}})
+        items = [item for part in _apart(list(zip(*(found[n].to_pylist() for n in names), strict=True))) for item in merged_in_order(part)]
+        shared = {n: pa.repeat(found[n][0], len(items)) for n in ("image_id", *also)}
+        return pa.table(shared | {n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*items, strict=True), strict=True)})
 
-    rows = swatches.select("image_id", *(F.col(n).cast("long").alias(n) for n in names))
-    return rows.groupBy("image_id").applyInArrow(run, f"image_id {kind}, {MERGED}")
+    rows = swatches.select("image_id", *(F.col(n).cast("long").alias(n) for n in (*also, *names)))
+    down = Window.partitionBy("image_id").orderBy("min_y", "idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"at_": F.row_number().over(Window.partitionBy("image_id").orderBy("min_y", "idx")), "above_": F.max("max_y").over(down.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = rows.withColumn("part_", F.floor(F.max(F.when(F.col("above_").isNull() | (F.col("min_y") > F.col("above_") + NEAR), F.col("at_"))).over(down) / part)).drop("at_", "above_")
+    dealt = rows.repartition(tasks(swatches.sparkSession), "image_id", "part_")
+    return dealt.groupBy("image_id", "part_").applyInArrow(run, ", ".join([f"image_id {kind}", *(f"{c} long" for c in also), MERGED]))
 
 
 def size_fence(rows: DataFrame, key: str = "image_id", area: str = "area") -> DataFrame:
@@ -133,8 +181,10 @@ def size_fence(rows: DataFrame, key: str = "image_id", area: str = "area") -> Da
     return fenced.where(stays).drop(*names.values())
 
 
-def detect(images: DataFrame) -> DataFrame:
-    """The swatches of images, given as tiles: (image_id, idx, cr, cg, cb, size, min_x, max_x, min_y, max_y)."""
-    found = ordered(shaped(tiles.mask_regions(images, tiles.coloured), tiles.image_sizes(images)))
-    one = merge_near(found).withColumn("area", (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")))
+def detect(images: DataFrame, sized: bool = False) -> DataFrame:
+    """The swatches of images, given as tiles: (image_id, idx, cr, cg, cb, size, min_x, max_x, min_y, max_y), with the image's width and height if `sized`.
+
+    Tiles are gone through once, as regions bring their image's size."""
+    found = ordered(shaped(tiles.mask_regions(images, tiles.coloured, sized=True)))
+    one = checkpointed(merge_near(found, ("width", "height") if sized else ())).withColumn("area", (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")))
     return size_fence(one).drop("area")

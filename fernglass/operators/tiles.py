@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fernglass.functions import colour
 from fernglass.operators import raster
 from fernglass.operators import templates as patterns
-from fernglass.operators.components import checkpointed, components, dealt
+from fernglass.operators.components import checkpointed, components, dealt, tasks
 
 SIDE = 256
 FIELDS = "ty int, tx int, y0 long, x0 long, h int, w int, width int, height int, planes binary"
@@ -136,12 +136,16 @@ def measures(tiles: DataFrame, to: tuple[int, int, int]) -> DataFrame:
 
 
 def coloured(planes: np.ndarray) -> np.ndarray:
-    """Which pixels are coloured, as `colour.coloured` tells."""
-    r, g, b = (planes[k].astype(np.int64) for k in range(3))
-    high, low, shade = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b), _shade(planes)
+    """Which pixels are coloured, as `colour.coloured` tells. Gray ones, most of a plan's, are not, and are looked at no further."""
+    out = ((planes[0] != planes[1]) | (planes[1] != planes[2])).ravel()
+    some = np.flatnonzero(out)
+    tints = np.stack([planes[k].ravel()[some] for k in range(3)])
+    r, g, b = tints.astype(np.int64)
+    high, low, shade = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b), _shade(tints)
     saturation = np.divide(high - low, high, out=np.zeros(high.shape), where=high > 0)
     text = (b > g) & (g > r) & (r >= 100) & (r <= 125) & (g >= 130) & (g <= 150) & (b >= 165) & (b <= 185) & (saturation < 0.35)
-    return (shade > 30) & (shade < 240) & (high - low > 10) & ~text
+    out[some] = (shade > 30) & (shade < 240) & (high - low > 10) & ~text
+    return out.reshape(planes.shape[1:])
 
 
 def mean_colours(tiles: DataFrame) -> DataFrame:
@@ -164,21 +168,30 @@ def row_shares(tiles: DataFrame, kind: Callable[[np.ndarray], np.ndarray] = lamb
     return _each(tiles, counts, "y long, hits long, n long").groupBy("image_id", "y").agg((F.sum("hits") / F.sum("n")).alias("density"))
 
 
-def swatch_sums(tiles: DataFrame, share: float = 0.35) -> DataFrame:
-    """(image_id, y, n, sr, sg, sb): sums over each row's swatch pixels, in the left `share` of the image and neither paper nor ink; see `raster.colours_of_bands`."""
+def row_sums(tiles: DataFrame, share: float = 0.35) -> DataFrame:
+    """(image_id, y, width, height, density, n, sr, sg, sb): what `row_shares` and `swatch_sums` find, in one pass, with the image's size; n may be 0."""
     kind = tiles.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                y0, x0, h, w, width = (batch.column(k)[i].as_py() for k in range(1, 6))
-                planes = np.frombuffer(batch.column(6)[i].as_buffer(), np.uint8).reshape(4, h, w)[:, :, : max(0, int(width * share) - x0)]
-                hit = (_shade(planes) <= 225) & (_shade(planes) >= 30)
-                sums = [(planes[k] * hit).sum(1, dtype=np.int64) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], h), *map(pa.array, (np.arange(y0, y0 + h), hit.sum(1, dtype=np.int64), *sums))], ["image_id", "y", "n", "sr", "sg", "sb"])
+                y0, x0, h, w, width, height = (batch.column(k)[i].as_py() for k in range(1, 7))
+                planes = np.frombuffer(batch.column(7)[i].as_buffer(), np.uint8).reshape(4, h, w)
+                shade, part = _shade(planes), max(0, int(width * share) - x0)
+                hit = (shade[:, :part] <= 225) & (shade[:, :part] >= 30)
+                sums = [(planes[k, :, :part] * hit).sum(1, dtype=np.int64) for k in range(3)]
+                columns = np.arange(y0, y0 + h), np.full(h, width, np.int32), np.full(h, height, np.int32), ((shade > 20) & (shade < 240)).sum(1, dtype=np.int64), np.full(h, w, np.int64), hit.sum(1, dtype=np.int64), *sums
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], h), *map(pa.array, columns)], ["image_id", *(f.split()[0] for f in fields.split(", "))])
+
+    fields = "y long, width int, height int, inked long, wide long, n long, sr long, sg long, sb long"
+    rows = tiles.where("planes is not null").select("image_id", "y0", "x0", "h", "w", "width", "height", "planes").mapInArrow(run, f"image_id {kind}, {fields}")
+    sums = rows.groupBy("image_id", "y").agg(F.max("width").alias("width"), F.max("height").alias("height"), (F.sum("inked") / F.sum("wide")).alias("density"), *(F.sum(c).alias(c) for c in ("n", "sr", "sg", "sb")))
+    return sums
 
-    rows = tiles.where("planes is not null").select("image_id", "y0", "x0", "h", "w", "width", "planes").mapInArrow(run, f"image_id {kind}, y long, n long, sr long, sg long, sb long")
-    return rows.groupBy("image_id", "y").agg(*(F.sum(c).alias(c) for c in ("n", "sr", "sg", "sb"))).where("n > 0")
+
+def swatch_sums(tiles: DataFrame, share: float = 0.35) -> DataFrame:
+    """(image_id, y, n, sr, sg, sb): sums over each row's swatch pixels, in the left `share` of the image and neither paper nor ink; see `raster.colours_of_bands`."""
+    return row_sums(tiles, share).select("image_id", "y", "n", "sr", "sg", "sb").where("n > 0")
 
 
 def highlighted(tiles: DataFrame, target: tuple[int, int, int], tolerance: int = raster.TOLERANCE, paint: tuple[int, int, int, int] = (255, 255, 0, 140)) -> DataFrame:
@@ -308,9 +321,11 @@ _REGION = "n long, sx long, sy long, sr long, sg long, sb long, min_x long, max_
 Sought = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _tile_regions(planes: np.ndarray, y0: int, x0: int, ids: np.ndarray, matches: Sought) -> Iterator[Arrays]:
-    """Regions of matches (see `_matches`) inside a tile: id (least y * 2^24 + x), sums, box, and their pixels on the tile's border: `heads` above and left, `feet` below, `sides` right."""
-    h, w = planes.shape[1:]
+def _tile_regions(planes: np.ndarray, y0: int | np.ndarray, x0: int | np.ndarray, ids: np.ndarray, matches: Sought, stacked: bool = False) -> Iterator[Arrays]:
+    """Regions of matches (see `_matches`) inside a tile: id (least y * 2^24 + x), sums, box, their pixels on the tile's border above and left (`heads`), and the places in the next tiles that those
+    on its border below and right touch (`feet`, `sides`). `stacked`: planes (4 x tiles x h x w) of tiles of one size, each of which is a colour's, with corners by colour."""
+    h, w = planes.shape[-2:]
+    top, side = np.broadcast_to(y0, len(ids)), np.broadcast_to(x0, len(ids))
     colours, places, pixel, starts = matches
     order = np.argsort(colours, kind="stable")
     colours, places = colours[order], places[order]
@@ -339,15 +354,24 @@ def _tile_regions(planes: np.ndarray, y0: int, x0: int, ids: np.ndarray, matches
         total = lambda v: sums(np.add.reduceat(v, head))
         length = right - left + 1
         box = [np.full(k, big) for big in (_ROW, -1, _ROW, -1)]
+        of = rc[firsts]
+        fy, fx, seen = top[of], side[of], key if stacked else p
         for out, f, v in zip(box, (np.minimum, np.maximum) * 2, (left, right, ry, ry), strict=True):
             f.at(out, region, v)
-        place = (y + y0) * _ROW + x + x0
+        place = (y + top[c]) * _ROW + x + side[c]
         owner = region[run]
-        edge = lambda mask: _lists(owner[mask], place[mask], k)
+        edge = (y == 0) | (x == 0)
+
+        def touched(mask: np.ndarray, along: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+            """Regions and the places along a border that are at most one from their pixels, each once."""
+            both = np.unique((owner[mask] * (size + 2) + along[mask])[:, None] + np.arange(3))
+            return both // (size + 2), both % (size + 2) - 1
+
+        (low_of, low_x), (right_of, right_y) = touched(y == h - 1, x, w), touched(x == w - 1, y, h)
         yield {
-            "color_id": ids[rc[firsts]], "id": (ry[firsts] + y0) * _ROW + left[firsts] + x0, "n": sums(length), "sx": total(x) + x0 * sums(length), "sy": total(y) + y0 * sums(length),
-            **{f"s{name}": total(planes[i].ravel()[p].astype(np.int64)) for i, name in enumerate("rgb")}, "min_x": box[0] + x0, "max_x": box[1] + x0, "min_y": box[2] + y0, "max_y": box[3] + y0,
-            "heads": edge((y == 0) | (x == 0)), "feet": edge(y == h - 1), "sides": edge(x == w - 1),
+            "color_id": ids[of], "at": of, "id": (ry[firsts] + fy) * _ROW + left[firsts] + fx, "n": sums(length), "sx": total(x) + fx * sums(length), "sy": total(y) + fy * sums(length),
+            **{f"s{name}": total(planes[i].ravel()[seen].astype(np.int64)) for i, name in enumerate("rgb")}, "min_x": box[0] + fx, "max_x": box[1] + fx, "min_y": box[2] + fy, "max_y": box[3] + fy,
+            "heads": _lists(owner[edge], place[edge], k), "feet": _lists(low_of, (fy[low_of] + h) * _ROW + fx[low_of] + low_x, k), "sides": _lists(right_of, (fy[right_of] + right_y) * _ROW + fx[right_of] + w, k),
         }
 
 
@@ -356,30 +380,45 @@ def regions(tiles: DataFrame, palette: DataFrame, tolerance: int = raster.TOLERA
     return _joined(_gridded(tiles, palette, tolerance, lambda planes, y0, x0, grid: _tile_regions(planes, y0, x0, grid.ids, _matches(planes, grid)), _IN_TILE), least)
 
 
-def mask_regions(tiles: DataFrame, kind: Callable[[np.ndarray], np.ndarray], least: int = 1) -> DataFrame:
-    """8-connected regions of the pixels of a kind (planes to a mask), with color_id 0."""
-    one = np.zeros(1, np.int64)
+def mask_regions(tiles: DataFrame, kind: Callable[[np.ndarray], np.ndarray], least: int = 1, sized: bool = False) -> DataFrame:
+    """8-connected regions of the pixels of a kind (planes to a mask, pixel by pixel), with color_id 0, and with the image's width and height if `sized`.
 
-    def inside(planes: np.ndarray, y0: int, x0: int) -> Iterator[Arrays]:
-        hit = np.flatnonzero(kind(planes))
-        return _tile_regions(planes, y0, x0, one, (one, one, hit, np.array([0, len(hit)]))) if len(hit) else iter(())
+    Tiles of one size are looked at together, up to HELD / 32 pixels at a time, each as a colour of its own."""
+    image, also = tiles.schema["image_id"].dataType.simpleString(), ["width", "height"] if sized else []
+    fields = ", ".join([*(f"{c} int" for c in also), f"color_id long, {_IN_TILE}"])
 
-    return _joined(_each(tiles, inside, f"color_id long, {_IN_TILE}"), least)
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y0, x0, h, w = (batch.column(c).to_numpy() for c in ("y0", "x0", "h", "w"))
+            stored, shape = batch.column("planes"), h.astype(np.int64) << 32 | w
+            for size in np.unique(shape).tolist():
+                alike, (tall, wide) = np.flatnonzero(shape == size), (size >> 32, size & 0xFFFFFFFF)
+                area = tall * wide
+                each = max(1, HELD // 32 // max(1, area))
+                for at in (alike[i : i + each] for i in range(0, len(alike), each)):
+                    planes = np.stack([np.frombuffer(stored[i].as_buffer(), np.uint8).reshape(4, area) for i in at.tolist()], 1)
+                    hit = np.flatnonzero(kind(planes.reshape(4, len(at) * tall, wide)))
+                    ends = np.searchsorted(hit, np.arange(len(at) + 1) * area)
+                    some = np.flatnonzero(np.diff(ends))
+                    for found in _tile_regions(planes.reshape(4, len(at), tall, wide), y0[at], x0[at], np.zeros(len(at), np.int64), (some, some, hit % area, ends), True):
+                        of = pa.array(at[found["at"]])
+                        columns = [c if isinstance(c, pa.Array) else pa.array(c) for c in (found[name.split()[0]] for name in _IN_TILE.split(", "))]
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("image_id", *also)), pa.array(found["color_id"]), *columns], ["image_id", *(f.split()[0] for f in fields.split(", "))])
+
+    found = tiles.where("planes is not null").select("image_id", *also, "y0", "x0", "h", "w", "planes").mapInArrow(inside, f"image_id {image}, {fields}")
+    return _joined(found, least, also)
 
 
 _IN_TILE = f"id long, {_REGION}, heads array<long>, feet array<long>, sides array<long>"
 
 
-def _joined(found: DataFrame, least: int) -> DataFrame:
-    """Whole regions from those inside tiles."""
+def _joined(found: DataFrame, least: int, also: list[str] | None = None) -> DataFrame:
+    """Whole regions from those inside tiles, with columns `also` that an image's tiles share."""
     found = checkpointed(found)
     keyed = found.withColumn("key", F.struct("image_id", "color_id"))
-    step = lambda dy, dx: F.lit(dy * _ROW + dx)
-    down, right = [step(1, d) for d in (-1, 0, 1)], [step(d, 1) for d in (-1, 0, 1)]
-    ends = keyed.select("key", F.col("id").alias("a"), F.explode("feet").alias("at")).withColumn("step", F.explode(F.array(*down)))
-    ends = ends.unionByName(keyed.select("key", F.col("id").alias("a"), F.explode("sides").alias("at")).withColumn("step", F.explode(F.array(*right))))
+    ends = keyed.select("key", F.col("id").alias("a"), F.explode(F.concat("feet", "sides")).alias("at"))
     heads = keyed.select("key", F.col("id").alias("b"), F.explode("heads").alias("at"))
-    edges = ends.select("key", "a", (F.col("at") + F.col("step")).alias("at")).join(dealt(heads), ["key", "at"]).select(F.col("key").alias("image_id"), "a", "b").where("a != b").distinct()
+    edges = ends.join(dealt(heads), ["key", "at"]).select(F.col("key").alias("image_id"), "a", "b").where("a != b").distinct()
     edges = checkpointed(edges)
     joined = keyed.withColumn("root", F.col("id"))
     if not edges.isEmpty():
@@ -387,11 +426,11 @@ def _joined(found: DataFrame, least: int) -> DataFrame:
         roots = components(nodes, edges).select(F.col("image_id").alias("key"), "id", F.col("root").alias("whole"))
         joined = keyed.join(dealt(roots), ["key", "id"], "left").withColumn("root", F.coalesce("whole", "id"))
     merged = joined.groupBy("key", "root").agg(
-        *(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sr", "sg", "sb")), F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y")
+        *(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sr", "sg", "sb")), F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), *(F.max(c).alias(c) for c in also or ()),
     ).where(F.col("n") >= least)
     return merged.select(
         "key.image_id", "key.color_id", F.col("root").alias("blob_id"), (F.col("sx") / F.col("n")).alias("x"), (F.col("sy") / F.col("n")).alias("y"), F.col("n").alias("size"),
-        *(colour.rounded(F.col(f"s{c}") / F.col("n")).alias(f"c{c}") for c in "rgb"), "min_x", "max_x", "min_y", "max_y",
+        *(colour.rounded(F.col(f"s{c}") / F.col("n")).alias(f"c{c}") for c in "rgb"), "min_x", "max_x", "min_y", "max_y", *(also or ()),
     )
 
 
@@ -426,33 +465,35 @@ def _parts(boxes: DataFrame, side: int) -> DataFrame:
 
 
 def _in_tiles(tiles: DataFrame, parts: DataFrame, f: Callable[..., Arrays], fields: str) -> DataFrame:
-    """What f makes of each tile's planes, the boxes in it, their ends (y0, x0, y1, x1) cut to the tile and in its own places, and the tile's corner. A tile meets all its boxes once."""
-    names, keys = [x.split()[0] for x in fields.split(", ")], ["image_id", "ty", "tx"]
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
-        if left.num_rows and right.num_rows:
-            top, x_left, h, w = (left[c][0].as_py() for c in ("y0", "x0", "h", "w"))
-            planes = np.frombuffer(left["planes"].combine_chunks()[0].as_buffer(), np.uint8).reshape(4, h, w)
-            place = lambda c, corner, most: np.clip(right[c].to_numpy() - corner, 0, most)
-            found = f(planes, right, place("y0", top, h), place("x0", x_left, w), place("y1", top, h), place("x1", x_left, w), top, x_left)
-            columns = [c if isinstance(c, pa.Array) else pa.array(c) for c in (found[n] for n in names)]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    one = tiles.where("planes is not null").select(*keys, "y0", "x0", "h", "w", "planes")
-    return one.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(_tabled(run, fields), fields)
+    """What f makes of each tile's planes, the boxes in it, their ends (y0, x0, y1, x1) cut to the tile and in its own places, and the tile's corner. A tile meets all its boxes once.
 
-
-def _tabled(run: Callable[..., Iterator[pa.RecordBatch]], fields: str) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    A tile's boxes come as a list, and the lists of a task are what its tiles are looked up in: tiles stream by, unsorted, and those without boxes are dropped before Python sees them."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    names, keys = [x.split()[0] for x in fields.split(", ")], ["image_id", "ty", "tx"]
     schema = to_arrow_schema(_parse_datatype_string(fields))
 
-    def table(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = list(run(key, left, right))
-        return pa.Table.from_batches(found).cast(schema) if found else schema.empty_table()
-
-    return table
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tops, lefts, hs, ws = (batch.column(c).to_pylist() for c in ("y0", "x0", "h", "w"))
+            lists, all_boxes = batch.column("boxes"), batch.column("boxes").values
+            ends, out, n = lists.offsets.to_pylist(), [], 0
+            for i, (top, x_left, h, w) in enumerate(zip(tops, lefts, hs, ws, strict=True)):
+                right = pa.Table.from_batches([pa.RecordBatch.from_struct_array(all_boxes.slice(ends[i], ends[i + 1] - ends[i]))])
+                planes = np.frombuffer(batch.column("planes")[i].as_buffer(), np.uint8).reshape(4, h, w)
+                place = lambda c, corner, most: np.clip(right[c].to_numpy() - corner, 0, most)  # noqa: B023, E731
+                found = f(planes, right, place("y0", top, h), place("x0", x_left, w), place("y1", top, h), place("x1", x_left, w), top, x_left)
+                out.append(pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in (found[name] for name in names)], names).cast(schema))
+                n += right.num_rows
+                if n >= 1024 or i + 1 == len(tops):
+                    yield from pa.concat_tables(out).combine_chunks().to_batches()
+                    out, n = [], 0
+
+    at, number = F.struct(*keys).alias("at_"), tasks(tiles.sparkSession)
+    one = tiles.where("planes is not null").select(at, "y0", "x0", "h", "w", "planes").repartition(number, "at_")
+    boxes = parts.select(at, F.struct(*(c for c in parts.columns if c not in ("ty", "tx"))).alias("box")).repartition(number, "at_").groupBy("at_").agg(F.collect_list("box").alias("boxes"))
+    return one.join(boxes.hint("shuffle_hash"), "at_").select("y0", "x0", "h", "w", "planes", "boxes").mapInArrow(run, fields)
 
 
 def sampled_colour(tiles: DataFrame, points: DataFrame, radius: int = 3, side: int = SIDE) -> DataFrame:
@@ -521,16 +562,30 @@ def captured(tiles: DataFrame, boxes: DataFrame, key: str, side: int = SIDE) ->
         values = [gray[a:c, b:d] for a, b, c, d in zip(y0.tolist(), x0.tolist(), y1.tolist(), x1.tolist(), strict=True)]
         return {"key_": rows["key_"].combine_chunks(), "y": pa.array(y0 + top), "x": pa.array(x0 + left), "part_h": pa.array(y1 - y0), "part_w": pa.array(x1 - x0), "gray": pa.array([v.ravel() for v in values], pa.list_(pa.float64()))}
 
-    def whole(table: pa.Table) -> pa.Table:
-        pieces = sorted(zip(*(table[c].to_pylist() for c in ("y", "x", "part_h", "part_w", "gray")), strict=True), key=lambda p: p[:2])
-        top, left = min(p[0] for p in pieces), min(p[1] for p in pieces)
-        out = np.zeros((max(p[0] + p[2] for p in pieces) - top, max(p[1] + p[3] for p in pieces) - left))
-        for y, x, h, w, gray in pieces:
-            out[y - top : y - top + h, x - left : x - left + w] = np.reshape(gray, (h, w))
-        return pa.table({key: table["key_"][:1], "width": pa.array([out.shape[1]], pa.int64()), "height": pa.array([out.shape[0]], pa.int64()), "gray": pa.array([out.ravel()], pa.list_(pa.float64()))})
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pieces, starts = batch.column("pieces").values, batch.column("pieces").offsets.to_numpy()
+            y, x, h, w = (pieces.field(c).to_numpy() for c in ("y", "x", "part_h", "part_w"))
+            values, ends = pieces.field("gray").values.to_numpy(), pieces.field("gray").offsets.to_numpy()
+            top, left = np.minimum.reduceat(y, starts[:-1]), np.minimum.reduceat(x, starts[:-1])
+            height, width = np.maximum.reduceat(y + h, starts[:-1]) - top, np.maximum.reduceat(x + w, starts[:-1]) - left
+            out = []
+            for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+                if b - a == 1:
+                    out.append(values[ends[a] : ends[b]])
+                    continue
+                gray = np.zeros((height[i], width[i]))
+                for j in range(a, b):
+                    gray[y[j] - top[i] : y[j] - top[i] + h[j], x[j] - left[i] : x[j] - left[i] + w[j]] = values[ends[j] : ends[j + 1]].reshape(h[j], w[j])
+                out.append(gray.ravel())
+            sizes = np.cumsum([0, *map(len, out)])
+            yield pa.RecordBatch.from_arrays([batch.column("key_"), pa.array(width), pa.array(height), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out)))], [key, "width", "height", "gray"])
 
     found = _in_tiles(tiles, _parts(rows, side), parts, f"key_ {kind}, y long, x long, part_h long, part_w long, gray array<double>")
-    return found.groupBy("key_").applyInArrow(whole, f"{key} {kind}, width long, height long, gray array<double>")
+    pieces = found.repartition(tasks(tiles.sparkSession), "key_").groupBy("key_").agg(F.collect_list(F.struct("y", "x", "part_h", "part_w", "gray")).alias("pieces"))
+    return pieces.select("key_", "pieces").mapInArrow(whole, f"{key} {kind}, width long, height long, gray array<double>")
 
 
 def scored(blobs: DataFrame, tiles: DataFrame, templates: DataFrame, threshold: float = patterns.THRESHOLD, side: int = SIDE) -> DataFrame:

@@ -320,7 +320,7 @@ def legend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' names as words on the rasters, read row band by row band."""
     k = F.col("p_partkey")
     words = tables.table(spark, sf_dir, "part").select((k % 10).alias("image_id"), k.cast("int").alias("word_idx"), F.col("p_name").alias("text"), F.col("p_size").cast("double").alias("confidence"), (k * 7 % 64).cast("int").alias("x0"), (k % 60).cast("int").alias("y0"), (k * 7 % 64 + 9).cast("int").alias("x1"), (k % 60 + 4).cast("int").alias("y1"))
-    return legend.row_entries(tables.tiles(spark, sf_dir), row_bands(spark, sf_dir), words).where(F.char_length("name") >= 2)
+    return legend.row_entries(tiles.row_sums(tables.tiles(spark, sf_dir)), row_bands(spark, sf_dir), words).where(F.char_length("name") >= 2)
 
 
 LEGEND_ROWS = f"""
@@ -384,23 +384,37 @@ def drawn(spark: SparkSession, sf_dir: str, gray: bool = False) -> DataFrame:
         (key % 5 == 0).alias("halved"), *(F.when(plain, 128).otherwise(v % 256).cast("int").alias(c) for c, v in (("r", F.col("p_size") * 5), ("g", key), ("b", key * 7))))
     boxes = boxes.withColumn("strip", F.explode(F.sequence(F.floor(F.col("y") / tables.SIDE), F.floor((F.col("y") + F.col("h")) / tables.SIDE))))
 
-    def paint(found):
+    def paint(batches):
+        from itertools import groupby
+
         import numpy as np
         import pyarrow as pa
 
-        height, top = found["height"][0].as_py(), found["strip"][0].as_py() * tables.SIDE
-        planes = np.full((4, min(tables.SIDE, height - top), 248), 255, np.uint8)
-        for x, y, w, h, halved, *rgb in zip(*(found[c].to_pylist() for c in ("x", "y", "w", "h", "halved", "r", "g", "b")), strict=True):
-            rows = slice(max(0, y - top), max(0, y + h + 1 - top))
-            for k, v in enumerate(rgb):
-                planes[k, rows, x : x + w + 1] = v
-            if halved:
-                planes[:, rows, x + 13 : x + 16] = 255
-        return pa.Table.from_batches([tiles.batch_of(found["image_id"][0], list(tiles.cut(planes, tables.SIDE, top, height)))])
-
-    # Few bytes of boxes make many of planes, so their strips are dealt to a fixed number of tasks, which adaptive execution does not join.
-    dealt = boxes.repartition(tables.dealt(spark), "image_id", "strip")
-    return dealt.groupBy("image_id", "strip").applyInArrow(paint, f"image_id string, {tiles.FIELDS}")
+        made: list[tuple] = []
+
+        def batch():
+            parts = [tiles.batch_of(pa.scalar(image, pa.string()), rows) for image, rows in made]
+            made.clear()
+            return pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+        rows = (row for found in batches for row in zip(*(c.to_pylist() for c in found.columns), strict=True))
+        for (image, strip, height), here in groupby(rows, lambda row: row[:3]):
+            top = strip * tables.SIDE
+            planes = np.full((4, min(tables.SIDE, height - top), 248), 255, np.uint8)
+            for *_, x, y, w, h, halved, r, g, b in here:
+                part = planes[:, max(0, y - top) : max(0, y + h + 1 - top)]
+                part[:3, :, x : x + w + 1] = np.array((r, g, b), np.uint8)[:, None, None]
+                if halved:
+                    part[:, :, x + 13 : x + 16] = 255
+            made.append((image, list(tiles.cut(planes, tables.SIDE, top, height))))
+            if len(made) == 32:
+                yield from batch()
+        if made:
+            yield from batch()
+
+    # Few bytes of boxes make many of planes, so their strips are dealt to a fixed number of tasks, which adaptive execution does not join. A task paints strip after strip.
+    dealt = boxes.repartition(tables.dealt(spark), "image_id", "strip").sortWithinPartitions("image_id", "strip")
+    return dealt.select("image_id", "strip", "height", "x", "y", "w", "h", "halved", "r", "g", "b").mapInArrow(paint, f"image_id string, {tiles.FIELDS}")
 
 
 def swatches_detected(spark: SparkSession, sf_dir: str) -> DataFrame:

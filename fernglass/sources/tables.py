@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernglass.operators import components
 from fernglass.operators import tiles as tiling
 
 SIDE = 64
@@ -29,7 +30,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def dealt(spark: SparkSession) -> int:
     """Into how many tasks rows go that make rasters: all cores four times, or the session's shuffle partitions if these are more."""
-    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return components.tasks(spark)
 
 
 def palette(spark: SparkSession) -> DataFrame:

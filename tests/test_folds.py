@@ -63,6 +63,19 @@ def test_indexed_merge_equal_to_the_plain_fold(seed):
     assert swatches.merged_in_order(items) == plain_merge(items)
 
 
+def test_parts_of_an_image_are_folded_in_many_tasks(spark):
+    r, items = random.Random(3), {}
+    for image in ("i", "j"):
+        boxes = [(r.randint(0, 90), r.randint(0, 3000), int(r.expovariate(0.1)), int(r.expovariate(0.1))) for _ in range(300)]
+        items[image] = [(i, r.randint(1, 90), *(r.choice([0, 30, 60, 255]) for _ in range(3)), x, x + w, y, y + h) for i, (x, y, w, h) in enumerate(boxes)]
+    df = spark.createDataFrame([(k, 248, *v) for k, rows in items.items() for v in rows], f"image_id string, width long, {swatches.MERGED}")
+    got = swatches.merge_near(df, ("width",), 16).select("image_id", "width", *(f.split()[0] for f in swatches.MERGED.split(", ")), F.spark_partition_id().alias("task")).collect()
+    for image, rows in items.items():
+        assert sorted(tuple(x)[2:-1] for x in got if x.image_id == image) == plain_merge(rows)
+        assert len({x.task for x in got if x.image_id == image}) > 1
+    assert {x.width for x in got} == {248}
+
+
 def test_hundred_thousand_swatches_of_one_image(spark):
     col = lambda e: F.expr(e).cast("long")
     df = spark.range(100_000).select(F.lit("i").alias("image_id"), F.col("id").alias("idx"), F.lit(5).alias("size"), *(col(e).alias(c) for e, c in (("id % 7 * 36", "cr"), ("id % 3 * 100", "cg"), ("0", "cb"), ("id % 400 * 20", "min_x"), ("id % 400 * 20 + 12", "max_x"), ("id div 400 * 20", "min_y"), ("id div 400 * 20 + 12", "max_y"))))

@@ -30,3 +30,18 @@ def test_legends_are_read_by_swatches_or_by_rows(spark):
         ("rows", "Camellia", 70, (128, 128, 128), None, 10, 30, (20, 20, 400)),
     ]
     assert legend.parse(drawn.limit(0), spark.createDataFrame(words, WORD)).count() == 0
+
+
+def test_a_parse_goes_through_its_tiles_three_times(spark):
+    px = _image(spark, "a", 200, 200, [(20, 20, 40, 40, (200, 30, 30)), (20, 60, 40, 80, (30, 160, 40))]).unionByName(_image(spark, "rows", 130, 70, [(5, 10, 25, 30, (128, 128, 128))]))
+    made, seen = tiles.of_pixels(px, 64).localCheckpoint(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    words = spark.createDataFrame([("a", 0, "Azalea", 91.0, 45, 25, 50, 35), ("rows", 0, "Camellia", 70.0, 40, 15, 90, 25)], WORD)
+    got = legend.parse(made.mapInArrow(counted, made.schema), words, side=64).orderBy("image_id").collect()
+    assert [(r.image_id, r.name, r.template.width) for r in got] == [("a", "Azalea", 19), ("rows", "Camellia", 20)]
+    assert 0 < seen.value <= 3 * made.count()

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from fernglass.functions import colour
 from fernglass.operators import raster, templates, tiles
 from fernglass.sources import images
 
@@ -60,6 +61,15 @@ def test_equal_to_pixel_rows(spark, found, side):
     assert rows(tiles.sampled_colour(t, points, side=side)) == rows(raster.sampled_colour(px, points))
 
 
+def test_regions_of_a_mask_in_tiles_of_many_sizes(spark, found):
+    t = table(spark, found | {"gray": np.full((4, 20, 20), 128, np.uint8)}, 13)
+    assert len({(r.h, r.w) for r in t.select("h", "w").collect()}) > 5
+    mask = tiles.pixels(t).where(colour.coloured(F.col("r"), F.col("g"), F.col("b"))).withColumn("color_id", F.lit(0).cast("long"))
+    want, got = raster.regions(mask, 1), tiles.mask_regions(t, tiles.coloured, sized=True).cache()
+    assert rows(got, *want.columns) == rows(want) and got.count() > 10
+    assert {(r.image_id, r.width, r.height) for r in got.collect()} <= {(n, p.shape[2], p.shape[1]) for n, p in found.items()}
+
+
 @pytest.mark.parametrize("side", [7])
 def test_windows_equal_to_pixel_rows(spark, found, side):
     flat = dict(found, flat=np.full((4, 40, 40), 128, np.uint8) | np.array([0, 0, 0, 255], np.uint8)[:, None, None])
